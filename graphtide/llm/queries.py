@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import urls
+from graphtide.llm import simhash, urls
 from graphtide.llm.common import read
 
 
@@ -31,3 +31,10 @@ FROM j
 
 QUERIES = {"op9_url_filter": op9_url_filter}
 ORACLE = {"op9_url_filter": OP9_SQL}
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_simhash"] = op2_simhash
