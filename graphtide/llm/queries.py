@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import simhash, urls
+from graphtide.llm import packing, simhash, urls
 from graphtide.llm.common import read
 
 
@@ -38,3 +38,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_simhash"] = op2_simhash
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES["op5_packing"] = op5_packing
