@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import chat, packing, simhash, urls
+from graphtide.llm import chat, packing, pii, simhash, urls
 from graphtide.llm.common import read
 
 
@@ -73,3 +73,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 ORACLE["op7_chat_formatting"] = OP7_SQL
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read(spark, sf_dir, "documents")))
+
+
+QUERIES["op8_pii"] = op8_pii
