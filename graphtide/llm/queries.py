@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import chat, packing, pii, simhash, urls
+from graphtide.llm import chat, packing, pii, simhash, toxicity, urls
 from graphtide.llm.common import read
 
 
@@ -80,3 +80,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_pii"] = op8_pii
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES["op1_toxicity"] = op1_toxicity
