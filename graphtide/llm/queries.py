@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import chat, packing, pii, simhash, toxicity, urls
+from graphtide.llm import chat, packing, pii, repeats, simhash, toxicity, urls
 from graphtide.llm.common import read
 
 
@@ -88,3 +88,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_repeats"] = op10_repeats
