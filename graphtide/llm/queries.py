@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import chat, packing, pii, repeats, simhash, toxicity, urls
+from graphtide.llm import chat, decontaminate, licences, packing, pii, repeats, simhash, toxicity, urls
 from graphtide.llm.common import read
 
 
@@ -95,3 +95,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_repeats"] = op10_repeats
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op4_decontamination": op4_decontamination, "op6_licences": op6_licences}
