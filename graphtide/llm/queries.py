@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.llm import chat, decontaminate, licences, packing, pii, repeats, simhash, toxicity, urls
+from graphtide.llm import chat, decontaminate, licences, neighbours, packing, pii, repeats, simhash, toxicity, urls
 from graphtide.llm.common import read
 
 
@@ -106,3 +106,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_decontamination": op4_decontamination, "op6_licences": op6_licences}
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
