@@ -22,63 +22,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import column, ranges
+from graphtide.llm.common import column, ranges, slices, utf8
 
-CAPACITY, END_ID, WINDOW_TOKENS, CACHED_WORDS = 2048, 1, 8_000_000, 800_000
-_SLICE_CHARS = 2_000_000
+CAPACITY, END_ID, WINDOW_TOKENS, CACHED_WORDS = 2048, 1, 8_000_000, 1_600_000
+_SLICE_BYTES = 8_000_000
+
+
+def stem(word: str) -> tuple[str, str]:
+    """A word as lower-case stem and the stop or comma behind it, where the tokenizer treats both alike; else the word itself.
+
+    Only letters below U+0130 are touched: there lower case goes letter by letter and normalisation changes nothing.
+    """
+    if not word or max(word) >= "\u0130":
+        return word, ""
+    word = word.lower()
+    return (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
+
+
+class IdStore:
+    """Id lists under string keys, all in one array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, end = len(self.index), len(self.index) + len(keys)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while end > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[first:end] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first:end] = sizes
+        self.index.update(zip(keys, range(first, end), strict=True))
+        self.used += len(ids)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[numbers]
+        return self.flat[ranges(self.starts[numbers], sizes)], sizes
 
 
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer never joins across a space or line feed, so each word is encoded once."""
+    """Token ids of texts, word by word: the tokenizer never joins across a space or line feed, so each word is encoded once.
+
+    New stems are encoded many at a time with a special token between them, which the tokenizer cuts out before anything else.
+    """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.index) + len(words) > self.most:
-            self.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self.index), int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(part) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-            self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
-            self.starts[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[first : first + len(part)] = sizes
-            self.index.update(zip(part, range(first, first + len(part)), strict=True))
-            self.used += total
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and the number of each text's ids."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for one in split for w in one]
-        new = set(words).difference(self.index)
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word]
+        self.mark = (special[-1][0], special[-1][1].content) if special else None
+        self.words = IdStore()
+
+    def _encode(self, new: list[str]) -> None:
+        plain = [w for w in new if self.mark and self.mark[1] not in w]
+        for at in range(0, len(plain), 64 * 256):
+            groups = [plain[i : i + 64] for i in range(at, min(len(plain), at + 64 * 256), 64)]
+            encoded = self.tokenizer.encode_batch_fast([self.mark[1].join(g) + self.mark[1] for g in groups], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
+            cuts = np.flatnonzero(ids == self.mark[0])
+            self.words.add([w for g in groups for w in g], ids[ids != self.mark[0]], np.diff(cuts, prepend=-1) - 1)
+        for w in new if not self.mark else [w for w in new if self.mark[1] in w]:
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            self.words.add([w], ids, np.array([len(ids)]))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words in the store; unknown ones are encoded first."""
+        index = self.words.index
+        new = [w for w in words if w not in index]
         if new:
-            if len(self.index) + len(new) > self.most:
-                self.clear()
-                new = set(words)
-            self._learn(sorted(new))
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.lengths[known]
-        ids = self.flat[ranges(self.starts[known], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(one) for one in split])] if split else np.zeros(0, np.int64)
+            if len(index) + 2 * len(new) > self.most:
+                self.words, new = IdStore(), words
+                index = self.words.index
+            pairs = [(w, *stem(w)) for w in new]
+            self._encode(list({x for _, s, t in pairs for x in (s, t)}.difference(index)))
+            rest = [(w, s, t) for w, s, t in pairs if w not in index]
+            ids, sizes = self.words.get(np.fromiter((index[x] for _, s, t in rest for x in (s, t)), np.int64, 2 * len(rest)))
+            self.words.add([w for w, _, _ in rest], ids, sizes.reshape(-1, 2).sum(1))
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and the number of each text's ids."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        known = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, sizes = self.words.get(known)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(pc.list_value_length(split).to_numpy())]
         return ids, np.diff(ends, prepend=0)
 
 
@@ -213,22 +252,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
         waiting = 0
         for batch in batches:
-            ids, texts = column(batch, "doc_id").to_pylist(), [t or "" for t in column(batch, "text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= _SLICE_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                flat, sizes = encoder.encode(texts[at:stop])
-                for doc, one in zip(ids[at:stop], np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+            ids, texts = column(batch, "doc_id").to_pylist(), column(batch, "text")
+            for first, last in slices(utf8(texts)[1], _SLICE_BYTES):
+                flat, sizes = encoder.encode(texts.slice(first, last - first))
+                for doc, one in zip(ids[first:last], np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                     names.append(doc)
                     tokens.append(np.append(one, np.uint32(end_id)))
                     whole, size = len(tokens) - 1, len(one) + 1
                     for start in range(0, size, capacity):
                         packer.add(whole, start, min(capacity, size - start))
                     waiting += size
-                at = stop
                 if waiting >= window_tokens:
                     packer.run()
                     yield flush()
