@@ -28,4 +28,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rk_standard"](spark, sf_dir)
 
 
-from graphtide.plans import queries_graph, queries_rank  # noqa: E402, F401
+from graphtide.plans import queries_graph  # noqa: E402, F401
+from graphtide.plans import queries_rank  # noqa: E402, F401
