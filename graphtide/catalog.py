@@ -31,3 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from graphtide.plans import queries_graph  # noqa: E402, F401
 from graphtide.plans import queries_rank  # noqa: E402, F401
 from graphtide.plans import queries_text  # noqa: E402, F401
+from graphtide.plans import queries_stream  # noqa: E402, F401

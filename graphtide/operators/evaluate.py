@@ -53,17 +53,16 @@ def answer_combinations(answer: Column) -> Column:
     return joined
 
 
-def normalise_answer(text: Column) -> Column:
+def answer_tokens(text: Column) -> Column:
+    """Lower-case tokens without ASCII punctuation and articles."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    plain = F.regexp_replace(plain, r"\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.filter(F.split(plain, r"\s+"), lambda t: ~t.isin("", "a", "an", "the"))
 
 
 def em_f1(df: DataFrame) -> DataFrame:
     """q_id, em, f1 (best over references) for df(q_id, prediction, references); tokens are matched as multisets."""
-    pairs = df.select("q_id", normalise_answer(F.col("prediction")).alias("p"), F.posexplode("references").alias("ref", "r")).withColumn("g", normalise_answer(F.col("r")))
-    tokens = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
-    pt, gt = tokens(F.col("p")), tokens(F.col("g"))
+    pairs = df.select("q_id", answer_tokens(F.col("prediction")).alias("p"), F.explode("references").alias("r")).withColumn("g", answer_tokens(F.col("r")))
+    pt, gt = F.col("p"), F.col("g")
     count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
     common = F.aggregate(F.transform(F.array_distinct(gt), lambda t: F.least(count(pt, t), count(gt, t))), F.lit(0), lambda a, x: a + x)
     scored = pairs.select("q_id", (F.col("p") == F.col("g")).cast("int").alias("em"), common.alias("c"), F.size(pt).alias("np"), F.size(gt).alias("ng"))

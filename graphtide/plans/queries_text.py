@@ -233,11 +233,19 @@ def question_parse(x):
     return good.select("q_id", F.explode(text.question_lines(reply)).alias("question"))
 
 
-@register("ev_em_f1", duck("q_eval", """SELECT q_id, max(em) AS em, round(max(f1), 6) AS f1 FROM (SELECT q_id, (p = g)::INT AS em, CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN (len(pt) = len(gt))::INT::DOUBLE WHEN c = 0 THEN 0 ELSE 2.0 * c / (len(pt) + len(gt)) END AS f1 FROM (
- SELECT *, coalesce(list_sum(list_transform(list_distinct(gt), lambda t: least(len(list_filter(pt, lambda y: y = t)), len(list_filter(gt, lambda y: y = t))))), 0) AS c FROM (
-  SELECT q_id, p, g, list_filter(string_split(p, ' '), lambda y: y <> '') AS pt, list_filter(string_split(g, ' '), lambda y: y <> '') AS gt FROM (
-   SELECT q_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(prediction), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS p, trim(regexp_replace(regexp_replace(regexp_replace(lower(r), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS g
-   FROM (SELECT q_id, prediction, unnest([question, w1]) AS r FROM q_eval) u) n) t) s) z GROUP BY q_id"""))
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda y: y NOT IN ('', 'a', 'an', 'the'))"
+
+
+@register(
+    "ev_em_f1",
+    duck(
+        "q_eval",
+        f"""SELECT q_id, max(em) AS em, round(max(f1), 6) AS f1 FROM (
+ SELECT q_id, (pt = gt)::INT AS em, CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN (len(pt) = len(gt))::INT::DOUBLE WHEN c = 0 THEN 0 ELSE 2.0 * c / (len(pt) + len(gt)) END AS f1 FROM (
+  SELECT *, coalesce(list_sum(list_transform(list_distinct(gt), lambda t: least(len(list_filter(pt, lambda y: y = t)), len(list_filter(gt, lambda y: y = t))))), 0) AS c FROM (
+   SELECT q_id, {_TOKENS.format('prediction')} AS pt, {_TOKENS.format('r')} AS gt FROM (SELECT q_id, prediction, unnest([question, w1]) AS r FROM q_eval) u) t) s) z GROUP BY q_id""",
+    ),
+)
 def ev_em_f1(x):
     return evaluate.em_f1(x.q_eval.select("q_id", "prediction", F.array("question", "w1").alias("references")))
 
