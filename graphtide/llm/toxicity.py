@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm.common import column
+from graphtide.session import discard, materialize
 
-ORDERS, BITS, FIT_ROWS, FEATURES, THRESHOLD = (4, 5, 6), 20, 20_000, 1 << 14, 0.7
+ORDERS, BITS, FIT_ROWS, FEATURES, THRESHOLD = (4, 5, 6), 20, 20_000, 1 << 12, 0.7
 MIN_Z, SMOOTHING, PENALTY, STEPS = 3.5, 1.0, 1e-4, 300
 _PART = 250_000
 _P, _M = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -129,22 +130,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
     """The classifier, fitted on labelled rows that are not held out."""
     sample = _sample(docs, labels, fit_rows)
     counted = sample.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counted.toPandas()  # 2^20 + 1 rows at most
-    rows = table[table.bucket < 0]
-    clean_rows, toxic_rows = (int(rows[c].sum()) for c in ("clean", "toxic"))
+    counted = materialize(counted, "counts")  # 2^20 + 1 rows at most
+    rows = counted.where("bucket < 0").agg(F.sum("clean"), F.sum("toxic")).first()
+    clean_rows, toxic_rows = (int(n or 0) for n in rows)
     bias = float(np.log((toxic_rows + SMOOTHING) / (clean_rows + SMOOTHING)))
-    table = table[table.bucket >= 0]
     none = Model(np.zeros(0, np.int64), np.zeros(0), bias)
-    if not clean_rows or not toxic_rows or not len(table):
+    real = counted.where("bucket >= 0").select("bucket", (F.col("toxic") + SMOOTHING).alias("p"), (F.col("clean") + SMOOTHING).alias("q"))
+    p_sum, q_sum = real.agg(F.sum("p"), F.sum("q")).first()
+    if not clean_rows or not toxic_rows or not p_sum:
         return none
-    p, q = table.toxic.to_numpy() + SMOOTHING, table.clean.to_numpy() + SMOOTHING
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    z = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    best = np.flatnonzero(z >= MIN_Z)
-    best = best[np.lexsort((table.bucket.to_numpy()[best], -z[best]))[:most]]
-    if not len(best):
+    ratio = F.log(F.col("p") / p_sum) - F.log(F.col("q") / q_sum)
+    z = F.round(F.abs(ratio) / F.sqrt(1 / F.col("p") + 1 / F.col("q")), 9)
+    best = real.select("bucket", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(most).toArrow()
+    discard(counted)
+    if not best.num_rows:
         return none
-    buckets, ratio = table.bucket.to_numpy()[best], ratio[best]
+    buckets, ratio = best.column("bucket").to_numpy(), best.column("ratio").to_numpy()
     keep = np.zeros(1 << BITS, bool)
     keep[buckets] = True
     shared = docs.sparkSession.sparkContext.broadcast(keep)
