@@ -81,6 +81,7 @@ RULES = [
 WORTH = re.compile(r"licen[sc]e|permission|redistribution|warrant|public domain|cc0|free software|all rights reserved|provided|copyright|endorse", re.I)
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)", re.S)
+_NUMBER = re.compile(r"\s*\d{1,3}[.:;]")
 _DROP = re.compile(r"[^\w.]+|(?<!\d)\.|\.(?!\d)|_")
 _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES.items()]
 
@@ -95,9 +96,15 @@ def identifier(sentence: str) -> str | None:
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
+    start = None
     for m in _SENTENCE.finditer(text):
         if m.end() > m.start() and not m[0].isspace():
-            yield m.start(), m.end()
+            start = m.start() if start is None else start
+            if not _NUMBER.fullmatch(m[0]):  # the number of a list item belongs to its sentence
+                yield start, m.end()
+                start = None
+    if start is not None:
+        yield start, len(text)
 
 
 def scan(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
