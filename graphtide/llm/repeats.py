@@ -363,9 +363,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False, chu
     total = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-total // bucket_bytes))
     sent = table.groupBy("chunk").applyInArrow(_send(least, buckets), _ddl(_SENT))
-    known = materialize(sent.groupBy("bucket").applyInArrow(_which, _ddl(_ANSWER)), "known")
+    known = materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_which, _ddl(_ANSWER)), "known")
     asked = table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(least, buckets), _ddl(_ASKED))
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(least), _ddl(_ANSWER)), "answers")
+    answers = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(least), _ddl(_ANSWER)), "answers")
     both = known.unionByName(answers)
     result = materialize(table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_apply(least, buckets, texts), _ddl(_RESULT if texts else _HASHED)), "kept")
     spark.sql(f"DROP TABLE {name}")
