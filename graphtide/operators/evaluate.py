@@ -110,7 +110,7 @@ def path_counts(paths: DataFrame) -> DataFrame:
 def sim_stats(scored: DataFrame) -> DataFrame:
     """Per question the max of maxes, min of mins, median of medians and mean of means over its seeds."""
     per = scored.groupBy("q_id", "seed_ord").agg(F.max("sim").alias("a"), F.min("sim").alias("b"), F.median("sim").alias("c"), F.avg("sim").alias("d"))
-    return per.groupBy("q_id").agg(F.max("a").alias("max_sim"), F.min("b").alias("min_sim"), F.round(F.median("c"), 5).alias("median_sim"), F.round(F.avg("d"), 5).alias("mean_sim"))
+    return per.groupBy("q_id").agg(F.max("a").alias("max_sim"), F.min("b").alias("min_sim"), F.round(F.median("c"), 10).alias("median_sim"), F.round(F.avg("d"), 5).alias("mean_sim"))
 
 
 def score_stats(scores: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), PLACES)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length one: normalise before a join, so that each pair costs one product."""
+    norm = F.sqrt(dot(a, a))
+    return F.aggregate(F.array(norm), F.array().cast("array<double>"), lambda s, n: F.transform(a, lambda v: v.cast("double") / n))
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1)
@@ -92,7 +98,7 @@ def filter_stats(scored: DataFrame, threshold: float) -> DataFrame:
         F.count_if(F.col("sim") > threshold).alias("n_kept"),
         F.max("sim").alias("max_sim"),
         F.min("sim").alias("min_sim"),
-        F.round(F.median("sim"), PLACES).alias("median_sim"),
+        F.round(F.median("sim"), 8).alias("median_sim"),
         F.round(F.avg("sim"), PLACES).alias("mean_sim"),
     )
 

@@ -47,7 +47,7 @@ def vec_topk_paths(x):
 
 @register(
     "vec_filter_stats",
-    duck("path_sims", "SELECT q_id, count(*) FILTER (WHERE sim > 0.1) AS n_kept, max(sim) AS max_sim, min(sim) AS min_sim, round(median(sim), 6) AS median_sim, round(avg(sim), 6) AS mean_sim FROM path_sims GROUP BY q_id"),
+    duck("path_sims", "SELECT q_id, count(*) FILTER (WHERE sim > 0.1) AS n_kept, max(sim) AS max_sim, min(sim) AS min_sim, round(median(sim), 8) AS median_sim, round(avg(sim), 6) AS mean_sim FROM path_sims GROUP BY q_id"),
 )
 def vec_filter_stats(x):
     return vectors.filter_stats(retrieve.with_similarity(x, retrieve.candidate_paths(x)), 0.1)
@@ -190,7 +190,7 @@ def ev_path_counts(x):
     return evaluate.path_counts(retrieve.candidate_paths(x))
 
 
-@register("ev_sim_stats", duck("path_sims", "SELECT q_id, max(a) AS max_sim, min(b) AS min_sim, round(median(c), 5) AS median_sim, round(avg(d), 5) AS mean_sim FROM (SELECT q_id, seed_ord, max(sim) a, min(sim) b, median(sim) c, avg(sim) d FROM path_sims GROUP BY ALL) s GROUP BY q_id"))
+@register("ev_sim_stats", duck("path_sims", "SELECT q_id, max(a) AS max_sim, min(b) AS min_sim, round(median(c), 10) AS median_sim, round(avg(d), 5) AS mean_sim FROM (SELECT q_id, seed_ord, max(sim) a, min(sim) b, median(sim) c, avg(sim) d FROM path_sims GROUP BY ALL) s GROUP BY q_id"))
 def ev_sim_stats(x):
     return evaluate.sim_stats(retrieve.with_similarity(x, retrieve.candidate_paths(x)))
 

@@ -41,8 +41,9 @@ def triple_similarity(x: Inputs, hops: DataFrame) -> DataFrame:
 def _similar(x: Inputs, rows: DataFrame) -> DataFrame:
     """rows(q_id, v) with the cosine of the question's vector and the embedding numbered v; each pair is computed once."""
     pairs = rows.select("q_id", "v").distinct()
-    sims = pairs.join(x.q_vectors.withColumnRenamed("vec", "qv"), "q_id").join(x.embeddings.select(F.col("vec_id").alias("v"), "embedding"), "v")
-    return rows.join(sims.select("q_id", "v", vectors.cosine(F.col("qv"), F.col("embedding")).alias("sim")), ["q_id", "v"]).drop("v")
+    asked = x.q_vectors.select("q_id", vectors.unit(F.col("vec")).alias("qv"))
+    sims = pairs.join(asked, "q_id").join(x.embeddings.select(F.col("vec_id").alias("v"), vectors.unit(F.col("embedding")).alias("ev")), "v")
+    return rows.join(sims.select("q_id", "v", F.round(vectors.dot(F.col("qv"), F.col("ev")), vectors.PLACES).alias("sim")), ["q_id", "v"]).drop("v")
 
 
 def standard(x: Inputs, pruning: int = PRUNING, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
