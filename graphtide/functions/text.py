@@ -162,3 +162,22 @@ def global_ids(groups: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("size").over(Window.partitionBy("q_id").orderBy("group_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifted = groups.withColumn("before", before)
     return shifted.select("q_id", "group_ord", F.transform("ids", lambda i: (i + F.col("before")).cast("long")).alias("ids"))
+
+
+REASONING = "struct<Insufficient_information:boolean,Path_score:map<string,double>,Reasoning_path:string>"
+
+
+def reasoning_path(raw: Column) -> Column:
+    """Steps (src, rel, dst) and an error text of a reasoning reply: steps are split at runs of three or more hyphens."""
+    parsed = F.from_json(raw, REASONING)
+    step = lambda c: F.when(
+        F.contains(c, F.lit(" -> ")),
+        F.struct(F.trim(F.regexp_extract(c, r"^(.*?) - ", 1)).alias("src"), F.trim(F.regexp_extract(c, r" - (.*) -> ", 1)).alias("rel"), F.trim(F.regexp_extract(c, r" -> (.*)$", 1)).alias("dst")),
+    ).otherwise(F.struct(F.trim(F.regexp_extract(c, r" - (.*)$", 1)).alias("src"), F.trim(F.regexp_extract(c, r" <- (.*?) - ", 1)).alias("rel"), F.trim(F.regexp_extract(c, r"^(.*?) <- ", 1)).alias("dst")))
+    chunks = F.filter(F.transform(F.split(parsed["Reasoning_path"], "-{3,}"), lambda c: F.trim(c)), lambda c: c != "")
+    error = (
+        F.when(parsed["Insufficient_information"].isNull() | parsed["Path_score"].isNull() | parsed["Reasoning_path"].isNull(), "missing key")
+        .when(F.exists(F.map_values(parsed["Path_score"]), lambda v: (v < -1) | (v > 1)), "score out of range")
+        .when(parsed["Insufficient_information"] & (F.trim(parsed["Reasoning_path"]) != ""), "path despite insufficient information")
+    )
+    return F.struct(F.when(error.isNull(), F.transform(chunks, step)).alias("steps"), error.alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES = 6
@@ -129,3 +129,9 @@ def iteration_diff(last: DataFrame, now: DataFrame) -> DataFrame:
 def judge_rates(classes: DataFrame) -> DataFrame:
     share = lambda v: F.round(F.avg((F.col("class") == v).cast("int")), PLACES)
     return classes.agg(share("correct").alias("correct_rate"), share("error").alias("error_rate"), share("refused").alias("refused_rate"))
+
+
+def cost_means(rows: DataFrame) -> DataFrame:
+    """Mean prompt tokens and seconds per question of rows(batch, tokens, batch_seconds); a batch's time is shared by its rows."""
+    size = F.count("*").over(Window.partitionBy("batch"))
+    return rows.withColumn("seconds", F.col("batch_seconds") / size).agg(F.round(F.avg("tokens"), PLACES).alias("mean_tokens"), F.round(F.avg("seconds"), PLACES).alias("mean_seconds"))

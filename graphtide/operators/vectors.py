@@ -99,7 +99,7 @@ def filter_stats(scored: DataFrame, threshold: float) -> DataFrame:
         F.max("sim").alias("max_sim"),
         F.min("sim").alias("min_sim"),
         F.round(F.median("sim"), 8).alias("median_sim"),
-        F.round(F.avg("sim"), PLACES).alias("mean_sim"),
+        F.round(F.avg("sim"), 12).alias("mean_sim"),
     )
 
 

@@ -47,7 +47,7 @@ def vec_topk_paths(x):
 
 @register(
     "vec_filter_stats",
-    duck("path_sims", "SELECT q_id, count(*) FILTER (WHERE sim > 0.1) AS n_kept, max(sim) AS max_sim, min(sim) AS min_sim, round(median(sim), 8) AS median_sim, round(avg(sim), 6) AS mean_sim FROM path_sims GROUP BY q_id"),
+    duck("path_sims", "SELECT q_id, count(*) FILTER (WHERE sim > 0.1) AS n_kept, max(sim) AS max_sim, min(sim) AS min_sim, round(median(sim), 8) AS median_sim, round(avg(sim), 12) AS mean_sim FROM path_sims GROUP BY q_id"),
 )
 def vec_filter_stats(x):
     return vectors.filter_stats(retrieve.with_similarity(x, retrieve.candidate_paths(x)), 0.1)
@@ -211,13 +211,42 @@ _GRADIENT = dict(
 )
 
 
-def _gradient(x):
+def _gradient(x, scale=0.4, by_length=True):
     paths, hops, probabilities = retrieve.standard(x)
     scored = _utilities(x, paths).withColumn("path_id", F.struct("seed_ord", "path_ord"))
     each = hops.join(probabilities.select("q_id", *graph.KEY, "pt"), ["q_id", *graph.KEY]).withColumn("path_id", F.struct("seed_ord", "path_ord"))
-    return feedback.path_gradient(scored, each, 0.5, 1.0)
+    return feedback.path_gradient(scored, each, 0.5, 1.0, scale, by_length)
 
 
 @register("fb_path_gradient", duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, o.seed_ord, o.path_ord, o.hop_ord, o.head, o.rel, o.tail, round(-g * 1000, 6) AS delta FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail WHERE utility IS NOT NULL", **_GRADIENT))
 def fb_path_gradient(x):
     return _gradient(x).select("q_id", "path_id.seed_ord", "path_id.path_ord", "hop_ord", *graph.KEY, F.round(F.col("delta") * 1000, 6).alias("delta"))
+
+
+def _gradient_sql(scale: float, by_length: bool) -> str:
+    ctes = dict(_GRADIENT)
+    ctes["valued"] = ctes["valued"].replace("* 0.4 AS u", f"* {scale} AS u")
+    if not by_length:
+        ctes["valued"] = ctes["valued"].replace(" / len AS v", " AS v")
+    return duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, o.seed_ord, o.path_ord, o.hop_ord, o.head, o.rel, o.tail, round(-g * 1000, 6) AS delta FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail WHERE utility IS NOT NULL", **ctes)
+
+
+def _scaled(df):
+    return df.select("q_id", "path_id.seed_ord", "path_id.path_ord", "hop_ord", *graph.KEY, F.round(F.col("delta") * 1000, 6).alias("delta"))
+
+
+@register("fb_path_gradient_v1", _gradient_sql(0.1, False))
+def fb_path_gradient_v1(x):
+    return _scaled(_gradient(x, 0.1, False))
+
+
+@register("fb_path_gradient_v0", _gradient_sql(0.05, False))
+def fb_path_gradient_v0(x):
+    return _scaled(_gradient(x, 0.05, False))
+
+
+@register("fb_weight_gradient", duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, round(sum((sim01 - score01) * g / -0.5) * 1000, 5) AS gradient FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail JOIN q_triples t ON t.q_id = o.q_id AND t.head = o.head AND t.rel = o.rel AND t.tail = o.tail WHERE utility IS NOT NULL GROUP BY o.q_id", **_GRADIENT))
+def fb_weight_gradient(x):
+    _, _, probabilities = retrieve.standard(x)
+    steps = _gradient(x).join(probabilities.select("q_id", *graph.KEY, "sim01", "score01"), ["q_id", *graph.KEY])
+    return steps.groupBy("q_id").agg(F.round(F.sum((F.col("sim01") - F.col("score01")) * F.col("delta") / 0.5) * 1000, 5).alias("gradient"))

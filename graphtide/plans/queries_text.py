@@ -406,3 +406,49 @@ def vec_question_accept(x):
     other = q.select((F.col("q_id") - 1).alias("q_id"), F.col("vec").alias("v2"), F.col("names").alias("n2"))
     both = q.join(other, "q_id").select("q_id", vectors.cosine(F.col("vec"), F.col("v2")).alias("sim"), F.round(F.size(F.array_intersect("names", "n2")) / 12.0, 6).alias("overlap"))
     return both.withColumn("accepted", ((F.col("sim") >= 0.5) & (F.col("overlap") >= 0.5)) | (F.col("overlap") >= 0.7))
+
+
+@register("src_qa_concurrent_support", duck("q", "SELECT question AS query, ' ' || question || ' ' || prediction AS support FROM q"))
+def src_qa_concurrent_support(x):
+    part = lambda c: F.struct(F.lit("t").alias("title"), F.array(c).alias("sents"))
+    row = F.to_json(F.struct("question", F.array(part("question"), part("prediction")).alias("sp")))
+    return readers.qa_concurrent_support(x.spark, _file(x, x.q.select(row.alias("value"))))
+
+
+@register("src_corpus_sentences", duck("q", "SELECT question AS query, [question, prediction, question] AS sentences FROM q"))
+def src_corpus_sentences(x):
+    part = lambda *c: F.struct(F.lit("t").alias("title"), F.array(*c).alias("sentences"))
+    row = F.to_json(F.struct("question", F.array(part("question", "prediction"), part("question")).alias("context")))
+    return readers.corpus_sentences(x.spark, _file(x, x.q.select(row.alias("value"))))
+
+
+@register("reasoning_path_parse", duck("kg_scores", "SELECT head, rel, tail, CASE WHEN score > 190 THEN 'score out of range' END AS error, CASE WHEN score <= 190 THEN head || '|' || rel || '|' || tail || ';' || head || '|' || rel || '|' || tail END AS steps FROM kg_scores"))
+def reasoning_path_parse(x):
+    path = F.concat("head", F.lit(" - "), "rel", F.lit(" -> "), "tail", F.lit(" ---- "), "tail", F.lit(" <- "), "rel", F.lit(" - "), "head")
+    raw = F.to_json(F.struct(F.lit(False).alias("Insufficient_information"), F.create_map(F.lit("Path 1"), F.when(F.col("score") > 190, 2.0).otherwise(0.5)).alias("Path_score"), path.alias("Reasoning_path")))
+    parsed = x.kg_scores.select(*KEY, text.reasoning_path(raw).alias("r"))
+    steps = F.array_join(F.transform("r.steps", lambda s: F.concat_ws("|", s["src"], s["rel"], s["dst"])), ";")
+    return parsed.select(*KEY, "r.error", steps.alias("steps"))
+
+
+@register("ev_cost_means", duck("q", "SELECT round(avg(tokens), 6) AS mean_tokens, round(avg(seconds), 6) AS mean_seconds FROM (SELECT length(question) AS tokens, (q_id // 8) / count(*) OVER (PARTITION BY q_id // 8) AS seconds FROM q) r"))
+def ev_cost_means(x):
+    batch = F.floor(F.col("q_id") / 8)
+    return evaluate.cost_means(x.q.select(batch.alias("batch"), F.length("question").alias("tokens"), batch.cast("double").alias("batch_seconds")))
+
+
+@register(
+    "rk_dataset_eval_flow",
+    duck(
+        "q_eval q_vectors vec_count",
+        f"""SELECT q_id, bool_or(contains(lower(text), lower(w1))) AS label FROM (SELECT q_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, CAST(doc_id AS VARCHAR)) AS rank FROM (
+ SELECT q_id, doc_id, {COS.format('q_vectors.vec', 'embedding')} AS sim FROM q_vectors CROSS JOIN (SELECT doc_id, embedding FROM documents CROSS JOIN vec_count JOIN embeddings ON vec_id = doc_id % n) d) s) r WHERE rank <= 5) k
+ JOIN documents USING (doc_id) JOIN q_eval USING (q_id) GROUP BY q_id""",
+    ),
+)
+def rk_dataset_eval_flow(x):
+    n = F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
+    docs = x.documents.select("doc_id").crossJoin(n).withColumn("vec_id", F.col("doc_id") % F.col("n")).join(x.embeddings, "vec_id")
+    top = vectors.top_k(x.q_vectors, docs.select(F.col("doc_id").cast("string").alias("name"), F.col("embedding").alias("vec")), 5)
+    found = top.join(x.documents.select(F.col("doc_id").cast("string").alias("name"), "text"), "name").join(x.q_eval.select("q_id", "w1"), "q_id")
+    return found.groupBy("q_id").agg(F.max(evaluate.any_match(F.col("text"), F.array("w1"))).alias("label"))

@@ -107,3 +107,16 @@ def scores_json(spark: SparkSession, path: str) -> DataFrame:
 def similar_questions(questions: DataFrame, paraphrases: DataFrame) -> DataFrame:
     """Question texts replaced by those of the same q_id; answers stay."""
     return questions.drop("query").join(paraphrases.select("q_id", "query"), "q_id")
+
+
+def qa_concurrent_support(spark: SparkSession, path: str) -> DataFrame:
+    """question and its support: all sentences, each after a space."""
+    rows = spark.read.schema("question string, sp array<struct<title:string,sents:array<string>>>").json(path)
+    text = F.array_join(F.transform("sp", lambda p: F.array_join(F.transform(p["sents"], lambda s: F.concat(F.lit(" "), s)), "")), "")
+    return rows.select(F.col("question").alias("query"), text.alias("support"))
+
+
+def corpus_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """One row per question with all sentences of its context."""
+    rows = spark.read.schema("question string, context array<struct<title:string,sentences:array<string>>>").json(path)
+    return rows.select(F.col("question").alias("query"), F.flatten(F.transform("context", lambda p: p["sentences"])).alias("sentences"))
