@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphtide.operators import graph, ranking, vectors
 from graphtide.plans.fixtures import DUCK, Inputs
+from graphtide.session import materialize
 
 ENTITIES, DEPTH, PRUNING, WEIGHT = 2, 2, 5, 0.5
 
@@ -47,10 +48,13 @@ def _similar(x: Inputs, rows: DataFrame) -> DataFrame:
 
 
 def standard(x: Inputs, pruning: int = PRUNING, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all paths with p, hop rows, triple probabilities)."""
-    paths = candidate_paths(x)
+    """(all paths with p, hop rows, triple probabilities).
+
+    Paths and probabilities are read by several branches of what follows, so they are written once.
+    """
+    paths = materialize(candidate_paths(x), "paths")
     hops = ranking.hop_rows(paths).drop("hop")
-    probabilities = ranking.triple_probability(hops, x.kg_scores, triple_similarity(x, hops), weight)
+    probabilities = materialize(ranking.triple_probability(hops, x.kg_scores, triple_similarity(x, hops), weight), "probabilities")
     return ranking.standard(hops, probabilities).join(paths.select(*ranking.PATH, "path"), ranking.PATH), hops, probabilities
 
 
