@@ -1,7 +1,11 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, comment marks, quotes and punctuation
-gone, spaces collapsed) and mapped to the identifier of a known licence sentence, if it is one. The
+A text is cut into pieces at sentence ends and line feeds; each is normalised (lower case, comment
+marks, quotes and punctuation gone, spaces collapsed). Pieces in a row are mapped to the identifier
+of a known licence sentence, if they are one: a sentence may be wrapped over lines of a paragraph,
+and those in ACROSS may hold a stop (`v. 2.0`, `Identifier: MIT`). A line that is a known sentence by
+itself is never joined to the line before. A known sentence with a free ending reaches to its stop
+or its paragraph's end, those in SHORT to the end of the line. The
 sequence of identifiers is matched against licence rules in order: at each place the first rule
 whose identifiers follow there without an unknown sentence between them wins, and the scan goes on
 behind it. Known sentences that no rule takes are reported as `unclassified`.
@@ -81,9 +85,18 @@ RULES = [
 WORTH = re.compile(r"licen[sc]e|permission|redistribution|warrant|public domain|cc0|free software|all rights reserved|provided|copyright|endorse", re.I)
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)", re.S)
-_NUMBER = re.compile(r"\s*\d{1,3}[.:;]")
+_NUMBER = re.compile(r"[^\w\n]*\d{1,3}[.:;]")
+_ITEM = re.compile(_NUMBER.pattern + r"\s")
 _DROP = re.compile(r"[^\w.]+|(?<!\d)\.|\.(?!\d)|_")
 _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES.items()]
+#: Words that known sentences begin with (or a digit).
+FIRST = frozenset("this released licensed distributed dedicated available under the permission redistribution redistributions neither you spdx copyright all".split())
+ACROSS = frozenset(["spdx-mit", "spdx-apache2", "spdx-gpl3", "mpl2-name", "gpl-free"])
+SHORT = frozenset(["lgpl-name", "agpl-name", "cc0", "spdx-gpl3"])
+MOST_LINES = 16  # a known sentence's fixed words are looked for in so many pieces
+_OPEN = frozenset(name for name, p in SENTENCES.items() if p.endswith(".*"))
+_STOP = re.compile(r"[.!?;:]\s*\Z")
+_BLANK = re.compile(r"\n[^\w\n]*\n")
 
 
 def normalised(sentence: str) -> str:
@@ -107,11 +120,45 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
+def known_sentences(text: str) -> Iterator[tuple[str | None, int, int]]:
+    """(identifier or None, start, end) for all pieces in order, those of a known sentence together."""
+    worded = [(t, a, b) for a, b in sentences(text) for t in [normalised(text[a:b])] if t]
+    plain, pieces = [w[0] for w in worded], [w[1:] for w in worded]
+    alone = [next((name for name, p in _KNOWN if p.fullmatch(t)), None) if WORTH.search(text, a, b) else None for t, (a, b) in zip(plain, pieces, strict=True)]
+    stops = [bool(_STOP.search(text, a, b)) for a, b in pieces]
+    ends = [bool(_BLANK.search(text, b, a) or _ITEM.match(text, a)) for (_, b), (a, _) in zip(pieces, pieces[1:])] + [True]  # before a blank line or a list's number
+    i = 0
+    while i < len(pieces):
+        name, last, stopped, joined = alone[i], i, stops[i], plain[i]
+        first = joined.split(" ", 1)[0]
+        if name is None and (first in FIRST or first.isdigit()):
+            for j in range(i + 1, min(len(pieces), i + MOST_LINES)):
+                if ends[j - 1] or alone[j] is not None:
+                    break
+                joined = f"{joined} {plain[j]}"
+                found = next((n for n, p in _KNOWN if (n in ACROSS or not stopped) and p.fullmatch(joined)), None)
+                stopped |= stops[j]
+                if found:
+                    name, last = found, j
+                    break
+        if name in _OPEN and name not in SHORT:
+            while not stops[last] and not ends[last] and alone[last + 1] is None:
+                last += 1
+        elif name and name not in SHORT:
+            pattern, j, joined = re.compile(SENTENCES[name]), last, " ".join(plain[i : last + 1])
+            while j < last + 3 and not stops[j] and not ends[j] and alone[j + 1] is None:
+                j += 1
+                joined = f"{joined} {plain[j]}"
+                last = j if pattern.fullmatch(joined) else last
+        yield name, pieces[i][0], pieces[last][1]
+        i = last + 1
+
+
 def scan(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
     """(licence, start, end) in order, ends exclusive, in code points."""
     if not text or not WORTH.search(text):
         return []
-    known = [(identifier(text[a:b]) if WORTH.search(text, a, b) else None, a, b) for a, b in sentences(text)]
+    known = list(known_sentences(text))
     out, i = [], 0
     while i < len(known):
         if known[i][0] is None:
