@@ -11,9 +11,9 @@ windows.
 2. It sends its distinct super-windows with such anchors, each with its smallest doc_id, to the
    buckets. A bucket builds the suffix array of its super-windows' window starts, ordered to `least`
    bytes; neighbours with a common prefix that long form a common-prefix interval, the node of the
-   interval tree at that depth (deeper nodes would not change what is covered). Intervals whose
-   occurrences differ in the byte before them begin a maximal repeat, and intervals with the same
-   occurrences moved right continue it. Each window's answer is its interval's smallest doc_id.
+   interval tree at that depth (deeper nodes would not change what is covered). Each window's answer
+   is its interval's smallest doc_id. Maximal repeat groups with all their occurrences are not built;
+   no step calls `maximal_groups`.
 3. Chunks apply the answers to all their documents.
 
 Copies within a chunk are sent once, so a text with many copies costs a bucket one entry for each
