@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import mmap
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from graphtide.session import shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -54,3 +59,34 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
+
+
+def ship(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
+    """Writes the parts one after the other as a file in the shared folder and ships it to the executors.
+
+    Returns the name for `shipped`. An executor that comes later fetches the file again.
+    """
+    name = f"{name}-{uuid.uuid4().hex}"
+    jvm, sc = spark._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/graphtide/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        for part in parts:
+            for at in range(0, len(part), 1 << 22):
+                out.write(bytearray(part[at : at + (1 << 22)]))
+    finally:
+        out.close()
+    sc.addFile(path.toString())
+    return name
+
+
+def shipped(name: str) -> memoryview:
+    """The file as this worker sees it, memory-mapped read-only."""
+    if name not in _MAPPED:
+        with open(SparkFiles.get(name), "rb") as f:
+            size = f.seek(0, 2)
+            _MAPPED[name] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b"")
+    return _MAPPED[name]
+
+
+_MAPPED: dict[str, memoryview] = {}

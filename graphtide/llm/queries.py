@@ -9,7 +9,7 @@ from graphtide.llm.common import read
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(read(spark, sf_dir, "pages"))
+    return urls.filter_urls(read(spark, sf_dir, "pages"), urls.own_blocklist(spark))
 
 
 OP9_SQL = """

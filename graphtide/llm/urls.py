@@ -2,37 +2,41 @@
 
 A list entry is (host, path, action). It fits a url whose host is that host or a subdomain and
 whose path starts with that path; the longest fitting entry wins (host plus path; a tie goes to
-the longer host). Every key a url can match (host suffix plus path prefix of a length that the
-list has) is hashed with XXH64 and searched in the sorted digests; equal digests count only if
-the stored string is equal, so a collision never decides.
-
-The list is an input of its own and is broadcast only up to `max_entries`; a longer one is
-matched by a shuffled join on digest and string, which gives the same rows.
-
-Null urls and urls without `://` have an empty host and path and match nothing. An empty table
-gives an empty result; repeated urls are judged alike; further columns of the input are not used.
+the longer host). Every key that a url can match (host suffix plus path prefix of a length that the
+list has) is hashed with XXH64 in Spark and searched in the sorted digests; equal digests count
+only if the stored host and path are equal, so a collision never decides.
+
+A list is a table, or rows, of any length. Spark hashes and sorts it; it becomes one file in the
+shared folder, which every executor maps, so that it costs address space and page cache, not heap.
+Only its segments (an Arrow batch of entries) pass through the driver, one at a time, and the set of
+its path lengths. There is one way for all lengths of list.
+
+Null urls and urls without `://` have an empty host and path and match nothing but an entry with an
+empty host. An empty table gives an empty result. Each row is judged by itself, so repeated urls are
+judged alike and page_ids may repeat or be null; further columns of the input are not used. Of equal
+entries with different actions the last action in alphabetical order counts; entries with a null are
+left out.
 """
 
 from __future__ import annotations
 
-import mmap
-import tempfile
+import os
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEED = 42
+from graphtide.llm.common import column, ship, shipped
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_ENTRIES = 200_000
+#: The list consulted where no rule fits, unless another is given.
+BLOCKLIST = os.path.join(os.path.dirname(os.path.abspath(__file__)), "blocklist.txt")
 
 #: The rules of the published result: (host, path, action).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The standing blocklist, consulted where no rule fits.
-BLOCKLIST = [("ads-track.example.com", "/", "block"), ("ads-track.example.org", "/", "block"), ("ads-track.example.net", "/", "block")]
 
 
 def with_parts(pages: DataFrame, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -45,136 +49,130 @@ def with_parts(pages: DataFrame, url: str = "url", keep: Sequence[str] = ("page_
     )
 
 
+def own_blocklist(spark: SparkSession, path: str = BLOCKLIST) -> DataFrame:
+    """The list of a file that only the driver can read, such as the one of this package."""
+    with open(path, encoding="utf-8") as f:
+        return blocklist(spark.createDataFrame([(line.rstrip("\n"),) for line in f], "value string"))
+
+
+def blocklist(lines: DataFrame) -> DataFrame:
+    """(host, path, action) of lines(value), as from spark.read.text: `host`, `host/path`, `0.0.0.0 host` or `||host^`; # and ! begin remarks."""
+    line = F.trim(F.regexp_replace(F.regexp_replace("value", r"(^|\s)[#!].*$", ""), r"^(\d+\.\d+\.\d+\.\d+|::1?)\s+", ""))
+    bare = F.regexp_replace(F.regexp_replace(line, r"^\|\|", ""), r"\^.*$", "")
+    entries = lines.select(bare.alias("e")).where(F.col("e") != "")
+    host = F.translate(F.regexp_extract("e", "^[^/]*", 0), UPPER, LOWER)
+    rest = F.regexp_extract("e", "^[^/]*(/.*)?$", 1)
+    return entries.select(host.alias("host"), F.when(rest == "", "/").otherwise(rest).alias("path"), F.lit("block").alias("action"))
+
+
+def _key(host: Column, path: Column) -> Column:
+    return F.xxhash64(F.concat(host, path))
+
+
+def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted entries as rows of (first digest, digests, string ends, strings)."""
+    for batch in batches:
+        digests = column(batch, "digest").to_numpy().view(np.uint64)
+        strings = [f"{h}\0{p}\0{a}".encode() for h, p, a in zip(*(column(batch, c).to_pylist() for c in ("host", "path", "action")), strict=True)]
+        ends = np.cumsum([len(s) for s in strings], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([digests.tobytes()]), pa.array([ends.tobytes()]), pa.array([b"".join(strings)])], names=["digests", "ends", "strings"])
+
+
+def digest_file(spark: SparkSession, entries: DataFrame) -> tuple[str, int, list[int]]:
+    """(name of the shipped file, number of entries, path lengths) of a list.
+
+    The file holds all digests in order, then the end of each entry's string, then the strings.
+    """
+    listed = entries.select(*(F.col(c).cast("string").alias(c) for c in ("host", "path", "action"))).dropna()
+    listed = listed.groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("digest", _key(F.col("host"), F.col("path")))
+    unsigned = F.col("digest").bitwiseXOR(F.lit(-(1 << 63)))  # the order of the unsigned digests
+    ranked = listed.orderBy(unsigned, "host", "path").cache()
+    try:
+        lengths = sorted(r[0] for r in ranked.select(F.length("path")).distinct().collect())
+        rows = ranked.count()
+        parts = lambda c: (bytes(r[0]) for r in ranked.mapInArrow(_segment, "digests binary, ends binary, strings binary").select(c).toLocalIterator())
+
+        def file() -> Iterator[bytes]:
+            yield from parts("digests")
+            before = 0
+            for ends in parts("ends"):
+                found = np.frombuffer(ends, np.int64) + before
+                before = int(found[-1])
+                yield found.tobytes()
+            yield from parts("strings")
+
+        return ship(spark, "urls", file()), rows, lengths
+    finally:
+        ranked.unpersist()
+
+
 class DigestArray:
-    """Sorted digests of `host + path` strings with the strings beside them, in one memory-mapped file."""
-
-    def __init__(self, entries: Sequence[tuple[str, str, str]]):
-        best = {(h, p): a for h, p, a in entries}
-        keys = sorted(((xxhash.xxh64_intdigest(f"{h}{p}", SEED), h, p, a) for (h, p), a in best.items()))
-        self.digests = np.array([k[0] for k in keys], np.uint64).tobytes()
-        strings = [f"{h}\0{p}\0{a}".encode() for _, h, p, a in keys]
-        self.ends = np.cumsum([len(s) for s in strings], dtype=np.int64).tobytes()
-        self.text = b"".join(strings)
-        self.count = len(keys)
-        lengths: dict[str, set[int]] = {}
-        for h, p in best:
-            lengths.setdefault(h, set()).add(len(p))
-        self.lengths = {h: sorted(v) for h, v in lengths.items()}
-        self.token = xxhash.xxh64_hexdigest(self.digests + self.text, SEED)
-
-    def open(self) -> MappedArray:
-        if self.token not in _OPEN:
-            if len(_OPEN) >= 8:
-                _OPEN.clear()
-            _OPEN[self.token] = MappedArray(self)
-        return _OPEN[self.token]
-
-
-class MappedArray:
-    """The array as one worker sees it: an unlinked temporary file, mapped read-only."""
-
-    def __init__(self, array: DigestArray):
-        self.count, self.lengths = array.count, array.lengths
-        if not self.count:
-            return
-        with tempfile.TemporaryFile() as f:
-            f.write(array.digests + array.ends + array.text)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.digests = np.frombuffer(self.map, np.uint64, self.count)
-        self.ends = np.frombuffer(self.map, np.int64, self.count, 8 * self.count)
-        self.base = 16 * self.count
+    """Sorted digests and the strings beside them, in one mapped file."""
+
+    def __init__(self, data: memoryview, count: int):
+        self.digests = np.frombuffer(data, np.uint64, count)
+        self.ends = np.frombuffer(data, np.int64, count, 8 * count)
+        self.strings = data[16 * count :]
 
     def entry(self, i: int) -> tuple[str, str, str]:
         start = int(self.ends[i - 1]) if i else 0
-        return tuple(self.map[self.base + start : self.base + int(self.ends[i])].decode().split("\0"))
-
-    def longest(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str, str] | None]:
-        """The longest entry that fits each url."""
-        out: list[tuple[str, str, str] | None] = [None] * len(hosts)
-        if not self.count:
-            return out
-        suffixes: dict[str, list[str]] = {}
-        owner, parts, digests = [], [], []
-        for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            known = suffixes.get(host)
-            if known is None:
-                labels = host.split(".")
-                known = suffixes[host] = [s for k in range(len(labels)) if (s := ".".join(labels[k:])) in self.lengths]
-            for suffix in known:
-                for n in self.lengths[suffix]:
-                    if n <= len(path):
-                        owner.append(i)
-                        parts.append((suffix, path[:n]))
-                        digests.append(xxhash.xxh64_intdigest(f"{suffix}{path[:n]}", SEED))
-        if not owner:
-            return out
-        probe = np.array(digests, np.uint64)
-        low, high = np.searchsorted(self.digests, probe, "left"), np.searchsorted(self.digests, probe, "right")
-        for j in np.flatnonzero(high > low):
-            suffix, prefix = parts[j]
-            for k in range(low[j], high[j]):
-                found = self.entry(k)
-                if found[:2] == (suffix, prefix):
-                    old = out[owner[j]]
-                    if old is None or _rank(found) > _rank(old):
-                        out[owner[j]] = found
-        return out
-
-
-_OPEN: dict[str, MappedArray] = {}
+        return tuple(bytes(self.strings[start : int(self.ends[i])]).decode().split("\0"))
+
+    def candidates(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions in digests whose digest is stored, first entry, entry behind the last) of each."""
+        low = np.searchsorted(self.digests, digests, "left")
+        at = np.flatnonzero(low < len(self.digests))
+        at = at[self.digests[low[at]] == digests[at]]
+        return at, low[at], np.searchsorted(self.digests, digests[at], "right")
+
+
+def _probe(batches: Iterator[pa.RecordBatch], file: str, count: int, name: str) -> Iterator[pa.RecordBatch]:
+    array = DigestArray(shipped(file), count)
+    for batch in batches:
+        lists = column(batch, "__keys")
+        offsets, digests = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        digests = digests[offsets[0] : offsets[-1]] if len(offsets) else digests
+        at, low, high = array.candidates(digests)
+        owner = np.searchsorted(offsets - offsets[:1], at, side="right") - 1
+        hosts, paths = column(batch, "host"), column(batch, "path")
+        best: list[tuple[str, str, str] | None] = [None] * len(batch)
+        for i, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True):
+            host, path = hosts[i].as_py(), paths[i].as_py()
+            for k in range(a, b):
+                entry = array.entry(k)
+                if fits(entry, host, path) and (best[i] is None or _rank(entry) > _rank(best[i])):
+                    best[i] = entry
+        rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__keys"]
+        yield pa.RecordBatch.from_arrays(
+            [*(c for _, c in rest), pa.array([e and e[0] + e[1] for e in best], pa.string()), pa.array([e and e[2] for e in best], pa.string())],
+            names=[*(n for n, _ in rest), name, f"{name}_action"],
+        )
+
+
+def fits(entry: tuple[str, str, str], host: str, path: str) -> bool:
+    return (host == entry[0] or host.endswith(f".{entry[0]}")) and path.startswith(entry[1])
 
 
 def _rank(entry: tuple[str, str, str]) -> tuple[int, int]:
     return len(entry[0]) + len(entry[1]), len(entry[0])
 
 
-def _digest_list(entries, max_entries: int) -> DigestArray | None:
-    """The list as an array, or None if it is too long to broadcast."""
-    if isinstance(entries, DataFrame):
-        found = entries.select("host", "path", "action").limit(max_entries + 1).collect()
-        entries = [tuple(r) for r in found]
-    return DigestArray(entries) if len(entries) <= max_entries else None
-
-
-def match_entries(pages: DataFrame, entries, name: str, max_entries: int = MAX_ENTRIES, key: str = "page_id") -> DataFrame:
+def match_entries(pages: DataFrame, entries: DataFrame | Sequence[tuple[str, str, str]], name: str) -> DataFrame:
     """Adds `<name>` (host + path of the longest fitting entry, else null) and `<name>_action` to rows with host and path."""
-    array = _digest_list(entries, max_entries)
-    if array is None:
-        return _match_shuffled(pages, entries, name, key)
-    shared = pages.sparkSession.sparkContext.broadcast(array)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped = shared.value.open()
-        for batch in batches:
-            hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
-            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
-            found = mapped.longest(hosts, paths)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f and f[0] + f[1] for f in found], pa.string()), pa.array([f and f[2] for f in found], pa.string())],
-                names=[*batch.schema.names, name, f"{name}_action"],
-            )
-
-    return pages.mapInArrow(probe, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + f", `{name}` string, `{name}_action` string")
-
-
-def _match_shuffled(pages: DataFrame, entries: DataFrame, name: str, key: str) -> DataFrame:
-    """The same for a list of any size: candidate keys of each url joined to the list by digest and string."""
-    listed = entries.groupBy("host", "path").agg(F.max("action").alias("action"))
-    sizes = [r[0] for r in listed.select(F.length("path")).distinct().collect()]
+    spark = pages.sparkSession
+    if not isinstance(entries, DataFrame):
+        entries = spark.createDataFrame([tuple(e) for e in entries], "host string, path string, action string")
+    file, count, lengths = digest_file(spark, entries)
     labels = F.split("host", "\\.")
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefix = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = pages.select(key, F.explode(suffix).alias("h"), "path").select(key, "h", F.explode(prefix).alias("p"))
-    keys = keys.withColumn("digest", F.xxhash64(F.concat("h", "p")))
-    listed = listed.select(F.xxhash64(F.concat("host", "path")).alias("digest"), F.col("host").alias("lh"), F.col("path").alias("lp"), "action")
-    hit = keys.hint("merge").join(listed.hint("merge"), (keys.digest == listed.digest) & (keys.h == listed.lh) & (keys.p == listed.lp))
-    best = hit.groupBy(key).agg(F.max_by(F.struct("h", "p", "action"), F.struct(F.length("h") + F.length("p"), F.length("h"))).alias("b"))
-    return pages.hint("merge").join(best.hint("merge"), key, "left").select(pages["*"], F.concat("b.h", "b.p").alias(name), F.col("b.action").alias(f"{name}_action"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _key(s, p))))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + f", `{name}` string, `{name}_action` string"
+    return pages.withColumn("__keys", keys).mapInArrow(partial(_probe, file=file, count=count, name=name), out)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame | Sequence[tuple[str, str, str]], rules: DataFrame | Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every page; the rule decides, else the blocklist, else allow."""
-    parts = with_parts(pages)
-    judged = match_entries(match_entries(parts, rules, "rule", max_entries), blocklist, "listed", max_entries)
+    judged = match_entries(match_entries(with_parts(pages), rules, "rule"), listed, "listed")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_action", "listed_action", F.lit("allow")).alias("verdict"))

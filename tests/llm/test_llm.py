@@ -296,21 +296,52 @@ def test_pii_terms_and_awkward(spark, awkward, nothing):
 # op9
 
 
-def test_urls_both_ways(spark):
-    pages = [(1, "http://A.Example.NET/en/1?x"), (2, "https://b.example.net/de/2"), (3, "x://example.com/de/3#f"), (4, "http://w.org/fr/"), (5, "http://w.org/de/"), (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://www.ads-track.example.com/en/"), (10, "http://a.net/?"), (10, "http://a.net/?")]
-    df = spark.createDataFrame(pages, "page_id long, url string")
-    want = {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: ("example.com/de/", "block"), 4: ("org/fr/", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "block"), 10: ("net/", "block")}
-    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df).collect()} == want
-    rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
-    once = df.dropDuplicates()
-    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(once, rules=rules, max_entries=1, blocklist=spark.createDataFrame(urls.BLOCKLIST, "host string, path string, action string")).collect()} == want
-    assert urls.filter_urls(df.limit(0)).count() == 0 and urls.filter_urls(df, rules=[], blocklist=[]).where("verdict = 'allow'").count() == len(pages)
-
-
-def test_urls_collision_is_confirmed(monkeypatch):
-    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s, seed: 5)
-    array = urls.MappedArray(urls.DigestArray([("a.net", "/x", "block"), ("b.net", "/y", "allow")]))
-    assert array.longest(["b.net", "a.net"], ["/y", "/y"]) == [("b.net", "/y", "allow"), None]
+PAGES = [(1, "http://A.Example.NET/en/1?x"), (2, "https://b.example.net/de/2"), (3, "x://example.com/de/3#f"), (4, "http://w.org/fr/"), (5, "http://w.org/de/"), (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://www.ads-track.example.com/en/"), (10, "http://a.net/?"), (10, "http://a.net/?"), (1, "http://a.net/x"), (1, "http://w.org/fr/"), (None, "http://b.net/x"), (11, "http://a.net/" + "long/" * 20_000)]
+VERDICTS = [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), ("net/", "block"), ("net/", "block"), ("net/", "block"), ("org/fr/", "allow"), ("net/", "block"), ("net/", "block")]
+
+
+def test_urls_judge_each_row_by_itself(spark):
+    df = spark.createDataFrame([(*p, "x", 7) for p in PAGES], "page_id long, url string, host string, rule int").repartition(3)
+    want = sorted((str(p), len(u or ""), *map(str, v)) for (p, u), v in zip(PAGES, VERDICTS, strict=True))
+    ids = spark.createDataFrame([(len(u or ""), i) for i, (_, u) in enumerate(PAGES)], "n long, i long")
+    assert ids.count() == len(PAGES)
+    got = urls.filter_urls(df, urls.own_blocklist(spark)).collect()
+    assert sorted(map(str, ((r.page_id, r.rule, r.verdict) for r in got))) == sorted(map(str, ((p, *v) for (p, _), v in zip(PAGES, VERDICTS, strict=True)))) and len(want) == len(got)
+    assert urls.filter_urls(df.limit(0), []).count() == 0 and urls.filter_urls(df, [], rules=[]).where("verdict = 'allow'").count() == len(PAGES)
+
+
+def test_urls_long_list_against_brute_force(spark):
+    rng = random.Random(9)
+    name = lambda: rng.choice("abc")
+    entries = [(".".join(name() for _ in range(rng.randint(1, 4))), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 4))), rng.choice(["allow", "block"])) for _ in range(4000)]
+    entries += [(None, "/", "block"), ("a", None, "block"), ("é.ß", "/ü", "block")]
+    pages = [(i % 300 or None, "h://" + ".".join(name() for _ in range(rng.randint(1, 5))) + "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 6)))) for i in range(600)] + [(1, "h://www.é.ß/üx")]
+    best = {}
+    for h, p, a in entries:
+        if h is not None and p is not None:
+            best[h, p] = max(a, best.get((h, p), a))
+    want = []
+    for i, url in pages:
+        host, path = url[4:].split("/", 1)[0], "/" + url[4:].split("/", 1)[1]
+        fit = [(len(h) + len(p), len(h), h + p, a) for (h, p), a in best.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want.append(str((i, host, path, *(max(fit)[2:] if fit else (None, None)))))
+    df = urls.with_parts(spark.createDataFrame(pages, "page_id long, url string"))
+    for given in (entries, spark.createDataFrame(entries, "host string, path string, action string").repartition(5)):
+        got = urls.match_entries(df, given, "hit").collect()
+        assert sorted(str(tuple(r)) for r in got) == sorted(want)
+
+
+def test_urls_collision_is_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(urls, "_key", lambda host, path: queries.urls.F.length(host).cast("long") * 0 + 5)
+    pages = spark.createDataFrame([(1, "h://b.net/y"), (2, "h://a.net/y")], "page_id long, url string")
+    got = urls.match_entries(urls.with_parts(pages), [("a.net", "/x", "block"), ("b.net", "/y", "allow")], "hit").collect()
+    assert {r.page_id: r.hit for r in got} == {1: "b.net/y", 2: None}
+
+
+def test_blocklist_formats(spark):
+    lines = ["# remark", "Ads.example", "0.0.0.0 bad.example # why", "||track.example^$third-party", "x.example/Path/", "", "! no"]
+    got = urls.blocklist(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert sorted((r.host, r.path, r.action) for r in got) == [("ads.example", "/", "block"), ("bad.example", "/", "block"), ("track.example", "/", "block"), ("x.example", "/Path/", "block")]
 
 
 # op10
