@@ -2,9 +2,9 @@
 
 Texts are lower-cased and padded with a space; each distinct n-gram of 4 to 6 characters, hashed
 to 2^20 buckets, is a binary feature. A bucket's value is its naive Bayes log-count ratio: the
-smoothed share of toxic documents' features against that of the others'. Buckets whose ratio stands
-out from its standard error stay (the `features` strongest at most), and a logistic regression with
-an L2 penalty is fitted on them. A score is the predicted probability.
+smoothed share of toxic documents' features against that of the others'. All buckets whose ratio
+stands out from its standard error by MIN_Z stay, and a logistic regression with an L2 penalty is
+fitted on them. A score is the predicted probability.
 
 The model is fitted on at most `fit_rows` labelled rows, those with the smallest hashes of doc_id,
 so the sample and all that is gathered on the driver have a bound; every row is scored, over its
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphtide.llm.common import column
 from graphtide.session import discard, materialize
 
-ORDERS, BITS, FIT_ROWS, FEATURES, THRESHOLD = (4, 5, 6), 20, 20_000, 1 << 12, 0.7
+ORDERS, BITS, FIT_ROWS, THRESHOLD = (4, 5, 6), 20, 20_000, 0.7
 MIN_Z, SMOOTHING, PENALTY, STEPS = 3.5, 1.0, 1e-4, 300
 _PART = 250_000
 _P, _M = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -126,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate([rows[:1], counts[0, seen]])), pa.array(np.concatenate([rows[1:], counts[1, seen]]))], names=["bucket", "clean", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The classifier, fitted on labelled rows that are not held out."""
     sample = _sample(docs, labels, fit_rows)
     counted = sample.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
         return none
     ratio = F.log(F.col("p") / p_sum) - F.log(F.col("q") / q_sum)
     z = F.round(F.abs(ratio) / F.sqrt(1 / F.col("p") + 1 / F.col("q")), 9)
-    best = real.select("bucket", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(most).toArrow()
+    best = real.select("bucket", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy("bucket").select("bucket", "ratio").toArrow()  # 2^20 rows at most
     discard(counted)
     if not best.num_rows:
         return none
@@ -163,20 +163,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
     lists = chosen.column("buckets").combine_chunks()
     y = np.array(chosen.column("toxic").to_pylist(), float)
     sizes = np.diff(lists.offsets.to_numpy())
-    weights, bias = _logistic(y, np.repeat(np.arange(len(y)), sizes), place[lists.flatten().to_numpy()], ratio, bias)
+    weights, bias = _logistic(y, np.repeat(np.arange(len(y), dtype=np.int32), sizes), place[lists.flatten().to_numpy()].astype(np.int32), ratio, bias)
     return Model(buckets, weights * ratio, bias)
 
 
 def _logistic(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on features of value ratio, by Adam over all rows; the order of rows doesn't matter."""
-    order = np.lexsort((feature, row))
-    row, feature = row[order], feature[order]
-    value, w, b = ratio[feature], np.zeros(len(ratio)), bias
+    by_row, by_feature = np.argsort(row, kind="stable"), np.lexsort((row, feature))
+    features, rows = feature[by_row], row[by_feature]
+    full, row_starts = np.unique(row[by_row], return_index=True)
+    some, feature_starts = np.unique(feature[by_feature], return_index=True)
+    w, b, margin, slope = np.zeros(len(ratio)), bias, np.zeros(len(y)), np.zeros(len(ratio))
     m = v = np.zeros(len(ratio) + 1)
     for step in range(1, STEPS + 1):
-        margin = np.bincount(row, w[feature] * value, minlength=len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(feature, error[row] * value, minlength=len(ratio)) + PENALTY * w, error.sum())
+        margin[full] = np.add.reduceat((w * ratio)[features], row_starts)
+        error = (1 / (1 + np.exp(-np.clip(margin + b, -40, 40))) - y) / len(y)
+        slope[some] = np.add.reduceat(error[rows], feature_starts)
+        g = np.append(slope * ratio + PENALTY * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]

@@ -58,6 +58,26 @@ def test_toxicity_learns_and_scores_everything(spark, awkward, nothing):
     assert toxicity.score(awkward, empty).count() == len(AWKWARD)
 
 
+def test_toxicity_keeps_every_bucket_that_stands_out(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = ["".join(rng.choice("abcd" if toxic else "efgh") for _ in range(6)) for _ in range(60)]
+        rows.append((i, " ".join(words), None))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    counts = np.zeros((2, 1 << toxicity.BITS))
+    for i, text, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[int(i % 3 == 0), toxicity.features([text])[1]] += 1
+    seen = np.flatnonzero(counts.any(0))
+    q, p = counts[:, seen] + 1
+    z = np.round(np.abs(np.log(p / p.sum()) - np.log(q / q.sum())) / np.sqrt(1 / p + 1 / q), 9)
+    want = seen[z >= toxicity.MIN_Z]
+    assert len(want) > 4096 and set(model.buckets) == set(want)
+
+
 def test_toxicity_features_do_not_depend_on_parts(monkeypatch):
     texts = ["abcdefghij " * 50, None, "", "xyz"]
     whole = toxicity.features(texts)
