@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not found:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         sc.setCheckpointDir(found)
@@ -55,11 +55,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Deletes tables made by materialize that no later result reads."""
     for df in dfs:
         path = getattr(df, "_graphtide_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            remove(df.sparkSession, path)
