@@ -1,24 +1,34 @@
-"""Exact removal of repeated passages: common-prefix intervals of sparse suffix arrays.
+"""Exact removal of repeated passages: the common-prefix interval tree of sparse suffix arrays.
 
 Every byte covered by a string of `least` bytes that also starts in a document with a smaller
 doc_id goes; strings are judged on the input. Texts are cut into super-windows: runs of
 neighbouring `least`-byte windows whose smallest hash among their 16-byte substrings (their anchor)
-is the same. Equal windows have equal anchors, so a bucket of anchors sees every occurrence of its
-windows.
+is the same, at most CUT windows long. Equal windows have equal anchors, so a bucket of anchors sees
+every occurrence of its windows.
 
 1. Each chunk of documents sends its distinct anchors (40 bits of them) to the anchors' buckets and
-   learns which stand in two documents or more.
-2. It sends its distinct super-windows with such anchors, each with its smallest doc_id, to the
-   buckets. A bucket builds the suffix array of its super-windows' window starts, ordered to `least`
-   bytes; neighbours with a common prefix that long form a common-prefix interval, the node of the
-   interval tree at that depth (deeper nodes would not change what is covered). Each window's answer
-   is its interval's smallest doc_id. Maximal repeat groups with all their occurrences are not built;
-   no step calls `maximal_groups`.
+   learns which stand in two documents or more, and which of those have HOT windows or more. Windows
+   of such a hot anchor are keyed by a hash of the whole window instead, so that a passage that very
+   many documents share is dealt over all buckets.
+2. It sends its distinct super-windows with repeated anchors, each with its smallest doc_id, to the
+   buckets. A bucket builds an enhanced suffix array of their window starts: suffixes in order and
+   the common prefix of neighbours, each suffix up to its super-window's end. A stack scan gives the
+   tree of common-prefix intervals of `least` bytes and more, with the smallest doc_id of each
+   and its left-extension diversity: whether its occurrences differ in the byte to their left, or one
+   of them begins a super-window (its left neighbours are then in another tree). The diverse
+   intervals are the maximal repeat groups. In its smallest document a super-window loses, at each
+   start, the prefix of the deepest maximal group around it that has a smaller doc_id; in other
+   documents all of it goes, as it is itself a repeat. Intervals that are not diverse add nothing: their
+   occurrences lie inside those of the group one to the left.
 3. Chunks apply the answers to all their documents.
 
+`maximal_repeats` gives the groups themselves, with all occurrences. A repeat that runs over several
+super-windows is listed in the pieces that these cut it into.
+
 Copies within a chunk are sent once, so a text with many copies costs a bucket one entry for each
 chunk. Documents stay in a table bucketed by chunk: answers travel to them and they do not move.
-Bucket sizes follow the input. Tables are in the shared folder.
+Chunks are bounded in rows and bytes (a longer text is a chunk of its own); the number of buckets
+follows the input. Tables are in the shared folder.
 
 Null texts are empty. A null doc_id is not smaller than another and none is smaller than it: such
 rows keep all bytes. Repeated rows with one doc_id do not remove each other. An empty table gives an
@@ -29,20 +39,26 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import ranges, slices, utf8
-from graphtide.session import discard, materialize, shared_dir
+from graphtide.llm.common import column, ranges, slices, utf8
+from graphtide.session import discard, materialize, remove, shared_dir
 
-LEAST, GRAM, CHUNK_ROWS, BUCKET_BYTES = 50, 16, 4096, 16_000_000
+LEAST, GRAM, CUT = 50, 16, 512
+CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 4096, 1 << 24, 16_000_000, 20_000
+HOT = 1 << 16  # windows of an anchor above which it is split
 _NOBODY = np.iinfo(np.int64).max
 _SLICE = 2_000_000
+_BATCH = 1_500_000  # window starts sorted at once
+_DIVERSE = 256  # what stands left of a suffix: a byte, or this
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -74,67 +90,88 @@ def _minima(data: np.ndarray, least: int) -> np.ndarray:
 class Chunk:
     """A chunk's texts as bytes and its super-windows: anchor, document, first window, number of windows."""
 
-    def __init__(self, table: pa.Table, least: int):
+    def __init__(self, table: pa.Table, least: int, cut: int):
         table = table.sort_by("uid")
-        self.uids = table.column("uid").to_numpy()
         ids = table.column("doc_id").combine_chunks()
+        self.ids = ids.to_pylist()
         self.null = np.array(ids.is_null().to_pylist(), bool)
         self.docs = np.where(self.null, _NOBODY, ids.fill_null(0).to_numpy())
         text = table.column("text").combine_chunks()
         self.data, self.offsets = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
-        self.least = least
+        self.least, self.cut = least, cut
         found = [self._runs(a, b) for a, b in slices(self.offsets, _SLICE)]
         self.anchor, self.row, self.start, self.count = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(4))
         self.anchor = self.anchor.astype(np.uint64)
 
     def _runs(self, first: int, last: int) -> tuple:
         begin, end = self.offsets[first], self.offsets[last]
+        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
         if end - begin < self.least:
-            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+            return none
         minima = _minima(self.data[begin:end], self.least)
         windows = np.maximum(np.diff(self.offsets[first : last + 1]) - self.least + 1, 0)
         at = ranges(self.offsets[first:last] - begin, windows)
         if not len(at):
-            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+            return none
         values = minima[at]
         new = np.append(True, (values[1:] != values[:-1]) | (at[1:] != at[:-1] + 1))
         new[np.cumsum(windows[windows > 0])[:-1]] = True
         head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(at)))
+        pieces = -(-count // self.cut)
+        head = np.repeat(head, pieces) + self.cut * ranges(np.zeros(len(pieces), np.int64), pieces)
         start = at[head] + begin
         return values[head], np.searchsorted(self.offsets, start, side="right") - 1, start, np.diff(np.append(head, len(at)))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, sorted, and which of them stand in several of the chunk's documents."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors, sorted, which of them stand in several of the chunk's documents, and about how many different windows they have."""
         if not len(self.anchor):
-            return self.anchor, np.zeros(0, bool)
-        order = np.lexsort((self.docs[self.row], self.anchor))
-        anchor, doc = self.anchor[order], self.docs[self.row][order]
-        new = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
-        head = np.flatnonzero(new)
-        last = np.append(head[1:], len(anchor)) - 1
-        return anchor[head], doc[head] != doc[last]
-
-    def shared(self, repeated: np.ndarray) -> tuple:
-        """Of the super-windows whose anchor is in `repeated` (sorted): members (run numbers), their content's number, and the contents' first members, sorted by anchor and content."""
+            return self.anchor, np.zeros(0, bool), np.zeros(0, np.int64)
+        ends = self.start + self.count + self.least - 9
+        looks = [self.data[at[:, None] + np.arange(8)].view("<u8").ravel() for at in (self.start, ends)]
+        look = looks[0] * np.uint64(0x9E3779B97F4A7C15) ^ looks[1] ^ self.count.astype(np.uint64)
+        order = np.lexsort((look, self.anchor))
+        anchor, doc, look = self.anchor[order], self.docs[self.row[order]], look[order]
+        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (look[1:] != look[:-1]))
+        weight = np.add.reduceat(np.where(fresh, self.count[order], 0), head)
+        return anchor[head], np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head), weight
+
+    def shared(self, repeated: np.ndarray, hot: np.ndarray) -> Contents:
+        """The super-windows whose anchor is in `repeated` (sorted), those in `hot` window by window."""
         runs = np.flatnonzero(np.isin(self.anchor, repeated))
+        split = np.isin(self.anchor[runs], hot)
+        whole, single = runs[~split], runs[split]
+        start = np.concatenate([self.start[whole], ranges(self.start[single], self.count[single])])
+        count = np.concatenate([self.count[whole], np.ones(int(self.count[single].sum()), np.int64)])
+        row = np.concatenate([self.row[whole], np.repeat(self.row[single], self.count[single])])
         data, size = memoryview(self.data), self.least - 1
-        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s : s + n + size]) for s, n in zip(self.start[runs].tolist(), self.count[runs].tolist(), strict=True)]), "<u8").reshape(-1, 2)
-        order = np.lexsort((self.docs[self.row[runs]], digest[:, 1], digest[:, 0], self.anchor[runs]))
-        runs, digest = runs[order], digest[order]
-        anchor = self.anchor[runs]
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1]).any(1))[: len(runs)]
-        return runs, np.cumsum(new) - 1, runs[new], digest[new]
+        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s : s + n + size]) for s, n in zip(start.tolist(), count.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        key = np.concatenate([self.anchor[whole], digest[len(whole) :, 0]])
+        order = np.lexsort((self.docs[row], digest[:, 1], digest[:, 0], key))
+        key, digest = key[order], digest[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]).any(1))[: len(key)]
+        return Contents(row[order], start[order], count[order], np.cumsum(new) - 1, np.flatnonzero(new), key[new], digest[new])
+
 
+@dataclass
+class Contents:
+    """Members (sorted by key, content and doc_id) of different contents; the first member of each content, its key and digest."""
 
-def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return (anchor % np.uint64(buckets)).astype(np.int64)
+    row: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    content: np.ndarray
+    first: np.ndarray
+    key: np.ndarray
+    digest: np.ndarray
 
 
 def _by_bucket(anchor: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions), the order within a bucket unchanged."""
     if not len(anchor):
         return
-    of = _bucket(anchor, buckets)
+    of = (anchor % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
     heads = np.flatnonzero(np.append(True, np.diff(of[order]) != 0)[: len(order)])
     for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
@@ -147,79 +184,112 @@ def _short(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 _SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("flags", pa.binary())])
-_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("digests", pa.binary()), ("text", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("runs", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary())])
+_KNOWN = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("hot", pa.binary())])
+_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("digests", pa.binary()), ("members", pa.binary()), ("text", pa.binary())])
+_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("owners", pa.binary()), ("runs", pa.binary()), ("begins", pa.binary()), ("lengths", pa.binary())])
+_FOUND = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("groups", pa.list_(pa.string())), ("owners", pa.binary()), ("begins", pa.binary()), ("lengths", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 _HASHED = pa.schema([*list(_RESULT)[:4], ("kept_sha256", pa.string())])
+_GROUPS = pa.schema([("group_id", pa.string()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {({'int64': 'long'}).get(str(f.type), str(f.type))}" for f in schema)
+    names = {"int64": "long", "list<item: string>": "array<string>"}
+    return ", ".join(f"{f.name} {names.get(str(f.type), str(f.type))}" for f in schema)
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-def _send(least: int, buckets: int):
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+
+@dataclass
+class Setting:
+    """What all steps of a run share."""
+
+    least: int
+    cut: int
+    buckets: int
+    hot: int
+
+
+def _send(to: Setting) -> Callable:
     def work(table: pa.Table) -> pa.Table:
-        anchor, several = Chunk(table, least).anchors()
+        anchor, several, weight = Chunk(table, to.least, to.cut).anchors()
+        flags = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.uint8) | several.astype(np.uint8) << 7
         number = table.column("chunk")[0].as_py()
         rows = []
-        for bucket, at in _by_bucket(anchor, buckets):
-            short = np.ascontiguousarray(_short(anchor[at], buckets).view(np.uint8).reshape(-1, 8)[:, :5])
-            rows.append((number, bucket, short.tobytes(), np.packbits(several[at]).tobytes()))
+        for bucket, at in _by_bucket(anchor, to.buckets):
+            short = np.ascontiguousarray(_short(anchor[at], to.buckets).view(np.uint8).reshape(-1, 8)[:, :5])
+            rows.append((number, bucket, short.tobytes(), flags[at].tobytes()))
         return _table(rows, _SENT)
 
     return work
 
 
-def _which(table: pa.Table) -> pa.Table:
-    """For each chunk the flags of its anchors that stand in several documents."""
-    parts = [np.frombuffer(a, np.uint8).reshape(-1, 5) for a in table.column("anchors").to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)) for f, p in zip(table.column("flags").to_pylist(), parts, strict=True)]
-    wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    wide[:, :5] = np.concatenate(parts)
-    values = wide.view("<u8").ravel()
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    sizes = np.diff(np.append(head, len(ranked)))
-    many = (sizes > 1) | (np.maximum.reduceat(np.concatenate(flags)[order], head) > 0)
-    out = np.zeros(len(values), np.uint8)
-    out[order] = np.repeat(many, sizes)
-    cut = np.split(out, np.cumsum([len(p) for p in parts])[:-1])
-    rows = [(c, b, np.packbits(f).tobytes(), None, None, None) for c, b, f in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), cut, strict=True)]
-    return _table(rows, _ANSWER)
-
-
-def _repeated(chunk: Chunk, answers: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
-    anchor, _ = chunk.anchors()
-    known = dict(answers)
-    found = [anchor[at][np.unpackbits(np.frombuffer(known[b], np.uint8), count=len(at)).astype(bool)] for b, at in _by_bucket(anchor, buckets) if b in known]
-    return np.sort(np.concatenate(found)) if found else anchor[:0]
-
-
-def _ask(least: int, buckets: int):
-    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _which(to: Setting) -> Callable:
+    def work(table: pa.Table) -> pa.Table:
+        """For each chunk, which of its anchors stand in several documents and which of those are hot."""
+        short, flags = _joined(table, "anchors", np.uint8).reshape(-1, 5), _joined(table, "flags", np.uint8)
+        wide = np.zeros((len(short), 8), np.uint8)
+        wide[:, :5] = short
+        values = wide.view("<u8").ravel()
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+        head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        sizes = np.diff(np.append(head, len(ranked)))
+        many = (sizes > 1) | (np.maximum.reduceat(flags[order] >> 7, head) > 0)
+        weight = np.add.reduceat(np.int64(1) << (flags[order] & 127).astype(np.int64), head)
+        known, hot = np.zeros((2, len(values)), bool)
+        known[order], hot[order] = np.repeat(many, sizes), np.repeat(many & (weight >= to.hot), sizes)
+        ends = np.cumsum([len(f) for f in table.column("flags").to_pylist()])
+        rows = [
+            (c, b, np.packbits(k).tobytes(), np.packbits(h).tobytes() if h.any() else None)
+            for c, b, k, h in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), np.split(known, ends[:-1]), np.split(hot, ends[:-1]), strict=True)
+        ]
+        return _table(rows, _KNOWN)
+
+    return work
+
+
+def _contents(chunk: Chunk, known: list[tuple[int, bytes, bytes | None]], buckets: int) -> Contents:
+    """The chunk's super-windows of repeated anchors, as the buckets told it."""
+    anchor, told = np.unique(chunk.anchor), {b: (k, h) for b, k, h in known}
+    repeated, hot = [anchor[:0]], [anchor[:0]]
+    for b, at in _by_bucket(anchor, buckets):
+        for bits, out in zip(told.get(b, (None, None)), (repeated, hot), strict=True):
+            if bits is not None:
+                out.append(anchor[at][np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)])
+    return chunk.shared(np.concatenate(repeated), np.concatenate(hot))
+
+
+def _listed(table: pa.Table, *names: str) -> list[tuple]:
+    return list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
+
+
+def _ask(to: Setting) -> Callable:
+    def work(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], _ASKED)
-        chunk = Chunk(docs, least)
-        repeated = _repeated(chunk, list(zip(answers.column("bucket").to_pylist(), answers.column("known").to_pylist(), strict=True)), buckets)
-        _, _, first, digest = chunk.shared(repeated)
+        chunk = Chunk(docs, to.least, to.cut)
+        c = _contents(chunk, _listed(known, "bucket", "known", "hot"), to.buckets)
+        members = np.diff(np.append(c.first, len(c.row)))
         number, rows = docs.column("chunk")[0].as_py(), []
-        for bucket, at in _by_bucket(chunk.anchor[first], buckets):
-            runs = first[at]
-            text = chunk.data[ranges(chunk.start[runs], chunk.count[runs] + least - 1)]
-            rows.append((number, bucket, chunk.anchor[runs].tobytes(), chunk.count[runs].astype("<i4").tobytes(), chunk.docs[chunk.row[runs]].tobytes(), np.ascontiguousarray(digest[at]).tobytes(), text.tobytes()))
+        for bucket, at in _by_bucket(c.key, to.buckets):
+            first = c.first[at]
+            text = chunk.data[ranges(c.start[first], c.count[first] + to.least - 1)]
+            parts = c.key[at], c.count[first].astype("<i4"), chunk.docs[c.row[first]], c.digest[at], members[at].astype("<i4"), text
+            rows.append((number, bucket, *(np.ascontiguousarray(p).tobytes() for p in parts)))
         return _table(rows, _ASKED)
 
     return work
 
 
-def intervals(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of the given starts, ordered to `least` bytes, and where its common-prefix intervals begin."""
-    words = _words(data).byteswap()
+def suffix_groups(words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The given starts ordered by their first `least` bytes, and where a new prefix begins."""
     steps = [*range(0, least - 8, 8), least - 8]
     keys = [words[starts + s] for s in steps]
     order = np.lexsort(keys[::-1])
@@ -228,147 +298,350 @@ def intervals(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndar
     for k in keys:
         ranked = k[order]
         new[1:] |= ranked[1:] != ranked[:-1]
-    return order, np.flatnonzero(new)
+    return order, new
 
 
-def maximal_groups(order: np.ndarray, heads: np.ndarray, starts: np.ndarray, before: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each start its interval, and whether the interval begins a maximal repeat.
+def enhanced(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, new: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of starts (each up to its end) and each entry's common prefix with the one before it; below `least` it is zero.
 
-    before: the byte left of each start (-1: none). follows: the position, among starts, of the start one to the left (-1: none).
-    An interval begins a maximal repeat if its occurrences differ in the byte before them, or if moving them left loses the
-    occurrences of a larger interval.
+    order and new are those of suffix_groups. Groups are ordered further by eight bytes at a time, as long as some are equal.
     """
-    sizes = np.diff(np.append(heads, len(order)))
-    of = np.empty(len(order), np.int64)
-    of[order] = np.repeat(np.arange(len(heads)), sizes)
-    left = before[order]
-    diverse = (np.minimum.reduceat(left, heads) != np.maximum.reduceat(left, heads)) | (np.minimum.reduceat(left, heads) < 0)
-    previous = follows[order[heads]]
-    same = (previous >= 0) & (sizes[of[np.maximum(previous, 0)]] == sizes)
-    return of, diverse | ~same
+    order, lcp = order.copy(), np.zeros(len(starts) + 1, np.int64)
+    tied = np.zeros(len(starts), bool)
+    tied[1:] = ~new[1:]
+    tied[:-1] |= ~new[1:]
+    at, group, depth = np.flatnonzero(tied), np.cumsum(new)[tied], least
+    while len(at):
+        s = order[at]
+        left = np.minimum(ends[s] - starts[s] - depth, 8)
+        shift = ((8 - left) % 8 * 8).astype(np.uint64)
+        word = np.where(left > 0, words[starts[s] + depth] >> shift << shift, np.uint64(0))
+        rank = np.lexsort((left, word, group))
+        order[at], word, left = s[rank], word[rank], left[rank]
+        differ, shorter, same = word[1:] ^ word[:-1], np.minimum(left[1:], left[:-1]), group[1:] == group[:-1]
+        common = np.minimum(sum((differ >> np.uint64(8 * k)) == 0 for k in range(8)), shorter)
+        on = same & (differ == 0) & (shorter == 8)
+        known = same & ~on
+        lcp[at[1:][known]] = depth + common[known]
+        stay = np.append(on, False) | np.append(False, on)
+        at, group, depth = at[stay], np.cumsum(~np.append(False, on))[stay], depth + 8
+    return order, lcp
+
+
+@dataclass
+class Tree:
+    """Common-prefix intervals: depth, first and last place in the suffix array, smallest doc_id, left-extension diversity, parent (-1: none); and each place's deepest interval (-1: none)."""
+
+    depth: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    low: np.ndarray
+    diverse: np.ndarray
+    parent: np.ndarray
+    leaf: np.ndarray
+
+
+def interval_tree(lcp: np.ndarray, left: np.ndarray, docs: np.ndarray) -> Tree:
+    """A stack scan over the common prefixes of an enhanced suffix array (lcp ends with a zero); left holds the byte before each suffix or _DIVERSE."""
+    depth, first, last, low, side, parent, leaf, stack = [], [], [], [], [], [], [], []
+
+    def push(d: int, at: int, doc: int, byte: int) -> int:
+        depth.append(d)
+        first.append(at)
+        last.append(at)
+        low.append(doc)
+        side.append(byte)
+        parent.append(-1)
+        stack.append(len(depth) - 1)
+        return stack[-1]
+
+    for j, (ahead, byte, doc) in enumerate(zip(lcp[1:].tolist(), left.tolist(), docs.tolist(), strict=True)):
+        if ahead and (not stack or ahead > depth[stack[-1]]):
+            leaf.append(push(ahead, j, doc, byte))
+            continue
+        if not stack:
+            leaf.append(-1)
+            continue
+        top = stack[-1]
+        leaf.append(top)
+        low[top] = min(low[top], doc)
+        if side[top] != byte:
+            side[top] = _DIVERSE
+        while stack and depth[stack[-1]] > ahead:
+            done = stack.pop()
+            last[done] = j
+            if stack and depth[stack[-1]] >= ahead:
+                up = stack[-1]
+                low[up] = min(low[up], low[done])
+                if side[up] != side[done]:
+                    side[up] = _DIVERSE
+            elif ahead:
+                up = push(ahead, first[done], low[done], side[done])
+            else:
+                continue
+            parent[done] = up
+    return Tree(*(np.array(x, np.int64) for x in (depth, first, last, low)), np.array(side, np.int64) == _DIVERSE, np.array(parent, np.int64), np.array(leaf, np.int64))
+
+
+def covers(tree: Tree, docs: np.ndarray) -> np.ndarray:
+    """For each place of the suffix array the depth of the deepest maximal group around it that has a smaller doc_id than the place (0: none)."""
+    if not len(tree.depth):
+        return np.zeros(len(docs), np.int64)
+    parent, low, diverse = tree.parent.tolist(), tree.low.tolist(), tree.diverse.tolist()
+    group, lower = [-1] * len(parent), [-1] * len(parent)  # the maximal group at or above; the nearest interval above with a smaller doc_id
+    for i in np.argsort(tree.depth, kind="stable").tolist():
+        up = parent[i]
+        group[i] = i if diverse[i] else group[up] if up >= 0 else -1
+        if up >= 0:
+            lower[i] = up if low[up] < low[i] else lower[up]
+    node = np.where(tree.low[tree.leaf] < docs, tree.leaf, np.array(lower)[tree.leaf])
+    node = np.where((tree.leaf >= 0) & (node >= 0), np.array(group)[node], -1)
+    return np.where(node >= 0, tree.depth[node], 0)
+
+
+class Bucket:
+    """All super-windows of a bucket's keys: what each chunk asked, and the different contents."""
 
-
-def _answer(least: int):
+    def __init__(self, table: pa.Table, least: int):
+        self.least = least
+        self.asked = _listed(table, "chunk", "bucket")
+        key, doc, count = _joined(table, "keys", "<u8"), _joined(table, "docs", "<i8"), _joined(table, "counts", "<i4").astype(np.int64)
+        digest, members = _joined(table, "digests", "<u8").reshape(-1, 2), _joined(table, "members", "<i4").astype(np.int64)
+        text = _joined(table, "text", np.uint8)
+        begin = np.cumsum(count + least - 1) - (count + least - 1)
+        order = np.lexsort((doc, digest[:, 1], digest[:, 0], key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1))
+        self.content = np.empty(len(order), np.int64)  # of each entry asked for
+        self.content[order] = np.cumsum(new) - 1
+        self.members = np.add.reduceat(members[order], np.flatnonzero(new))
+        first = order[new]  # of each content, the entry with the smallest doc_id
+        self.key, self.doc, self.count, self.begin, self.text = key[first], doc[first], count[first], begin[first], text
+        self.sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
+
+    def batches(self, wanted: np.ndarray) -> Iterator[np.ndarray]:
+        """The wanted contents in order, whole keys at a time, so that no interval is cut and memory is bounded."""
+        weight, at = np.cumsum(self.count[wanted]), 0
+        while at < len(wanted):
+            to = int(np.searchsorted(weight, (weight[at - 1] if at else 0) + _BATCH)) + 1
+            while to < len(wanted) and self.key[wanted[to]] == self.key[wanted[to - 1]]:
+                to += 1
+            yield wanted[at:to]
+            at = to
+
+    def trees(self, wanted: np.ndarray, across: bool) -> Iterator[tuple]:
+        """(content and start of each place of the suffix array, its doc_id, tree) for the wanted contents; with `across`, only prefixes that lie in several documents."""
+        for some in self.batches(wanted):
+            lengths = self.count[some] + self.least - 1
+            words = _words(np.append(self.text[ranges(self.begin[some], lengths)], np.zeros(8, np.uint8))).byteswap()
+            base = np.cumsum(lengths) - lengths
+            of = np.repeat(np.arange(len(some)), self.count[some])
+            starts = ranges(base, self.count[some])
+            order, new = suffix_groups(words, starts, self.least)
+            docs = self.doc[some][of]
+            head = np.flatnonzero(new)
+            sizes = np.diff(np.append(head, len(order)))
+            use = sizes > 1
+            if across:
+                use &= np.minimum.reduceat(docs[order], head) < np.maximum.reduceat(docs[order], head)
+            use = np.repeat(use, sizes)
+            kept = order[use]
+            back = np.arange(len(kept))
+            starts_, of, docs = starts[kept], of[kept], docs[kept]
+            order, lcp = enhanced(words, starts_, (base + lengths)[of], back, new[use], self.least)
+            starts_, of, docs = starts_[order], of[order], docs[order]
+            left = np.where(starts_ > base[of], (words[np.maximum(starts_ - 1, 0)] >> np.uint64(56)).astype(np.int64), _DIVERSE)
+            yield some[of], starts_ - base[of], docs, interval_tree(lcp, left, docs)
+
+
+def _answer(to: Setting) -> Callable:
     def work(table: pa.Table) -> pa.Table:
-        chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-        parts = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("anchors", "<u8"), ("counts", "<i4"), ("docs", "<i8"), ("digests", "<u8"), ("text", np.uint8))}
-        anchor, count, doc, text = (np.concatenate(parts[c]) for c in ("anchors", "counts", "docs", "text"))
-        digest, count = np.concatenate(parts["digests"]).reshape(-1, 2), count.astype(np.int64)
-        start = np.cumsum(count + least - 1) - (count + least - 1)
-        order = np.lexsort((doc, digest[:, 1], digest[:, 0], anchor))
-        new = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1))
-        content = np.empty(len(order), np.int64)
-        content[order] = np.cumsum(new) - 1
-        first = order[new]  # of each distinct content, the entry with the smallest doc_id
-        same = anchor[first]
-        alone = np.append(True, same[1:] != same[:-1]) & np.append(same[1:] != same[:-1], True)
-        size = np.where(alone, 1, count[first])
-        at = np.cumsum(size) - size
-        least_doc = np.repeat(doc[first], size)
-        several = np.flatnonzero(~alone)
-        if len(several):
-            # whole anchors at a time, so that no interval is cut and memory is bounded
-            weight = np.cumsum(count[first][several])
-            cut = [0]
-            while cut[-1] < len(several):
-                to = int(np.searchsorted(weight, (weight[cut[-1] - 1] if cut[-1] else 0) + 1_500_000)) + 1
-                while to < len(several) and same[several[to]] == same[several[to - 1]]:
-                    to += 1
-                cut.append(min(to, len(several)))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                some = several[a:b]
-                starts = ranges(start[first[some]], count[first[some]])
-                suffixes, heads = intervals(text, starts, least)
-                docs = doc[first[some]].repeat(count[first[some]])
-                sizes = np.diff(np.append(heads, len(starts)))
-                lowest = np.empty(len(starts), np.int64)
-                lowest[suffixes] = np.repeat(np.minimum.reduceat(docs[suffixes], heads), sizes)
-                least_doc[ranges(at[some], size[some])] = lowest
-        # runs of equal answers within each content
-        begins = np.zeros(len(least_doc), bool)
-        begins[at] = True
-        begins[1:] |= least_doc[1:] != least_doc[:-1]
-        run = np.flatnonzero(begins)
-        length = np.diff(np.append(run, len(least_doc)))
-        per = np.add.reduceat(begins.astype(np.int64), at)
+        b = Bucket(table, to.least)
+        alone = np.append(True, b.key[1:] != b.key[:-1]) & np.append(b.key[1:] != b.key[:-1], True)
+        contents, begins, lengths = [], [], []
+        for content, start, docs, tree in b.trees(np.flatnonzero(~alone), True):
+            cover = covers(tree, docs)
+            hit = np.flatnonzero(cover)
+            hit = hit[np.lexsort((start[hit], content[hit]))]
+            if not len(hit):
+                continue
+            # runs of covered bytes within each content
+            content, start, stop = content[hit], start[hit], start[hit] + cover[hit]
+            width = int(b.count.max()) + to.least
+            reach = np.maximum.accumulate(content * width + stop) - content * width
+            new = np.append(True, (content[1:] != content[:-1]) | (start[1:] > reach[:-1]))
+            head = np.flatnonzero(new)
+            contents.append(content[head])
+            begins.append(start[head])
+            lengths.append(reach[np.append(head[1:], len(content)) - 1] - start[head])
+        content, begin, length = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (contents, begins, lengths))
+        per = np.bincount(content, minlength=len(b.key))
         head = np.cumsum(per) - per
-        length[head[alone]] = count[first][alone]
         rows, done = [], 0
-        for number, part in zip(chunks, parts["anchors"], strict=True):
-            mine = content[done : done + len(part)]
-            done += len(part)
+        for (number, bucket), size in zip(b.asked, b.sizes, strict=True):
+            mine = b.content[done : done + size]
+            done += size
             pick = ranges(head[mine], per[mine])
-            rows.append((number, bucket, None, per[mine].astype("<i4").tobytes(), length[pick].astype("<i4").tobytes(), least_doc[run][pick].tobytes()))
+            rows.append((number, bucket, b.doc[mine].tobytes(), *(x.astype("<i4").tobytes() for x in (per[mine], begin[pick], length[pick]))))
         return _table(rows, _ANSWER)
 
     return work
 
 
-def _apply(least: int, buckets: int, texts: bool):
+def _apply(to: Setting, texts: bool) -> Callable:
+    schema = _RESULT if texts else _HASHED
+
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = _RESULT if texts else _HASHED
         if not docs.num_rows:
             return _table([], schema)
-        chunk = Chunk(docs, least)
-        found = answers.to_pylist()
-        repeated = _repeated(chunk, [(a["bucket"], a["known"]) for a in found if a["known"] is not None], buckets)
-        members, content, first, _ = chunk.shared(repeated)
+        chunk = Chunk(docs, to.least, to.cut)
+        found = _listed(answers, "bucket", "known", "hot", "owners", "runs", "begins", "lengths")
+        c = _contents(chunk, [f[:3] for f in found if f[1] is not None], to.buckets)
+        told = {f[0]: f[3:] for f in found if f[3] is not None}
+        owner, per, offset = np.zeros((3, len(c.first)), np.int64)
+        begins, lengths, filled = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for bucket, at in _by_bucket(c.key, to.buckets):
+            owners, *rest = told[bucket]
+            runs, begin, length = (np.frombuffer(x, "<i4").astype(np.int64) for x in rest)
+            owner[at], per[at], offset[at] = np.frombuffer(owners, "<i8"), runs, filled + np.cumsum(runs) - runs
+            begins.append(begin)
+            lengths.append(length)
+            filled += len(begin)
+        begin, length = np.concatenate(begins), np.concatenate(lengths)
         change = np.zeros(len(chunk.data) + 1, np.int32)
-        told = {a["bucket"]: a for a in found if a["runs"] is not None}
-        per, offset = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        lengths, owners, filled = [], [], 0
-        for bucket, at in _by_bucket(chunk.anchor[first], buckets):
-            runs = np.frombuffer(told[bucket]["runs"], "<i4")
-            per[at], offset[at] = runs, filled + np.cumsum(runs) - runs
-            lengths.append(np.frombuffer(told[bucket]["lengths"], "<i4"))
-            owners.append(np.frombuffer(told[bucket]["docs"], "<i8"))
-            filled += len(lengths[-1])
-        if len(members):
-            lengths, owners = np.concatenate(lengths).astype(np.int64), np.concatenate(owners)
-            shift = np.cumsum(lengths) - lengths
-            pick = ranges(offset[content], per[content])
-            member = np.repeat(np.arange(len(members)), per[content])
-            begin = chunk.start[members][member] + shift[pick] - np.repeat(shift[offset[content]], per[content])
-            row = chunk.row[members][member]
-            gone = (owners[pick] < chunk.docs[row]) & ~chunk.null[row]
-            np.add.at(change, begin[gone], 1)
-            np.add.at(change, begin[gone] + lengths[pick][gone] + least - 1, -1)
+        doc, live = chunk.docs[c.row], ~chunk.null[c.row]
+        copy = np.flatnonzero(live & (doc > owner[c.content]))
+        np.add.at(change, c.start[copy], 1)
+        np.add.at(change, c.start[copy] + c.count[copy] + to.least - 1, -1)
+        own = np.flatnonzero(live & (doc == owner[c.content]))
+        runs = per[c.content[own]]
+        pick = ranges(offset[c.content[own]], runs)
+        at = np.repeat(c.start[own], runs) + begin[pick]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + length[pick], -1)
         out, data = [], chunk.data
         covered = np.cumsum(change[:-1]) > 0
-        ids = docs.sort_by("uid").column("doc_id").to_pylist()
-        for i, doc in enumerate(ids):
+        for i, doc_id in enumerate(chunk.ids):
             a, b = chunk.offsets[i], chunk.offsets[i + 1]
             mask = covered[a:b]
             removed = int(mask.sum())
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if removed else 0
             kept = (data[a:b][~mask] if removed else data[a:b]).tobytes()
-            out.append((doc, int(b - a), removed, spans, kept if texts else hashlib.sha256(kept).hexdigest()))
+            out.append((doc_id, int(b - a), removed, spans, kept if texts else hashlib.sha256(kept).hexdigest()))
         return _table(out, schema)
 
     return work
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False, chunk_rows: int = CHUNK_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or, with texts, the kept bytes) for every row of docs(doc_id, text)."""
+def _groups(to: Setting) -> Callable:
+    """For each chunk the maximal groups of its contents: group, content (by place among those asked for), start, length."""
+
+    def work(table: pa.Table) -> pa.Table:
+        b = Bucket(table, to.least)
+        contents, starts, lengths = [], [], []
+        whole = b.count + to.least - 1
+        listed = np.zeros(len(b.key), bool)  # contents that are a group as a whole
+        for content, start, _, tree in b.trees(np.arange(len(b.key)), False):
+            maximal = np.flatnonzero(tree.diverse)
+            spread = tree.last[maximal] - tree.first[maximal] + 1
+            place, length = ranges(tree.first[maximal], spread), np.repeat(tree.depth[maximal], spread)
+            contents.append(content[place])
+            starts.append(start[place])
+            lengths.append(length)
+            listed[content[place][(start[place] == 0) & (length == whole[content[place]])]] = True
+        copied = np.flatnonzero((b.members > 1) & ~listed)
+        content, start, length = (np.concatenate(x) for x in ([*contents, copied], [*starts, np.zeros(len(copied), np.int64)], [*lengths, whole[copied]]))
+        order = np.argsort(content, kind="stable")
+        content, start, length = content[order], start[order], length[order]
+        text = memoryview(b.text)
+        names = [xxhash.xxh3_128_hexdigest(text[a : a + n]) for a, n in zip((b.begin[content] + start).tolist(), length.tolist(), strict=True)]
+        per = np.bincount(content, minlength=len(b.key))
+        head = np.cumsum(per) - per
+        rows, done = [], 0
+        for (number, bucket), size in zip(b.asked, b.sizes, strict=True):
+            mine = b.content[done : done + size]
+            done += size
+            pick = ranges(head[mine], per[mine])
+            rows.append((number, bucket, [names[i] for i in pick.tolist()], *(x.astype("<i4").tobytes() for x in (np.repeat(np.arange(size), per[mine]), start[pick], length[pick]))))
+        return _table(rows, _FOUND)
+
+    return work
+
+
+def _occurrences(to: Setting) -> Callable:
+    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _table([], _GROUPS)
+        chunk = Chunk(docs, to.least, to.cut)
+        found = _listed(answers, "bucket", "known", "hot", "groups", "owners", "begins", "lengths")
+        c = _contents(chunk, [f[:3] for f in found if f[1] is not None], to.buckets)
+        told, rows = {f[0]: f[3:] for f in found if f[3] is not None}, []
+        members = np.diff(np.append(c.first, len(c.row)))
+        for bucket, at in _by_bucket(c.key, to.buckets):
+            names, *rest = told[bucket]
+            content, begin, length = (np.frombuffer(x, "<i4").astype(np.int64) for x in rest)
+            content = at[content]
+            member = ranges(c.first[content], members[content])
+            which = np.repeat(np.arange(len(content)), members[content])
+            place = c.start[member] + begin[which] - chunk.offsets[c.row[member]]
+            rows += [(names[w], n, chunk.ids[r], p) for w, n, r, p in zip(which.tolist(), length[which].tolist(), c.row[member].tolist(), place.tolist(), strict=True)]
+        return _table(rows, _GROUPS)
+
+    return work
+
+
+def _dealt(rows: int, size: int) -> Callable:
+    """Numbers rows, and chunks of at most `rows` rows and `size` bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
+        number, chunk, held, filled = 0, base, 0, 0
+        for batch in batches:
+            _, offsets = utf8(column(batch, "text"))
+            chunks = []
+            for n in np.diff(offsets).tolist():
+                if held and (held == rows or filled + n > size):
+                    chunk, held, filled = chunk + 1, 0, 0
+                chunks.append(chunk)
+                held, filled = held + 1, filled + n
+            uids = base + number + np.arange(len(batch))
+            number += len(batch)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(uids, pa.int64()), pa.array(chunks, pa.int64())], names=["doc_id", "text", "uid", "chunk"])
+
+    return work
+
+
+def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_bytes: int, hot: int, cut: int, answer: Callable, answered: pa.Schema, apply: Callable, result: pa.Schema) -> DataFrame:
     if least < 24:
         raise ValueError("least must be 24 or more")
     spark, name = docs.sparkSession, f"graphtide_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/graphtide/{name}"
-    shift = max(0, (chunk_rows - 1).bit_length())
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    source = source.withColumn("chunk", F.shiftright("uid", shift))
-    parts = min(100_000, max(8, 2 * docs.rdd.getNumPartitions()))
-    source.write.bucketBy(parts, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
-    total = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, -(-total // bucket_bytes))
-    sent = table.groupBy("chunk").applyInArrow(_send(least, buckets), _ddl(_SENT))
-    known = materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_which, _ddl(_ANSWER)), "known")
-    asked = table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(least, buckets), _ddl(_ASKED))
-    answers = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(least), _ddl(_ANSWER)), "answers")
-    both = known.unionByName(answers)
-    result = materialize(table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_apply(least, buckets, texts), _ddl(_RESULT if texts else _HASHED)), "kept")
-    spark.sql(f"DROP TABLE {name}")
-    table._graphtide_path = path
-    discard(known, answers, table)
-    return result
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = source.mapInArrow(_dealt(chunk_rows, chunk_bytes), "doc_id long, text string, uid long, chunk long")
+    parts = min(MOST_PARTS, max(8, 2 * docs.rdd.getNumPartitions()))
+    written: list[DataFrame] = []
+    try:
+        source.write.bucketBy(parts, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
+        table = spark.table(name)
+        total = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        to = Setting(least, cut, max(12, -(-total // bucket_bytes)), hot)
+        dealt = lambda df: df.repartition(min(MOST_PARTS, to.buckets), "bucket").groupBy("bucket")
+        sent = table.groupBy("chunk").applyInArrow(_send(to), _ddl(_SENT))
+        written.append(materialize(dealt(sent).applyInArrow(_which(to), _ddl(_KNOWN)), "known"))
+        asked = table.groupBy("chunk").cogroup(written[0].groupBy("chunk")).applyInArrow(_ask(to), _ddl(_ASKED))
+        written.append(materialize(dealt(asked).applyInArrow(answer(to), _ddl(answered)), "answers"))
+        both = written[0].unionByName(written[1], allowMissingColumns=True)
+        return materialize(table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply(to), _ddl(result)), "kept")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(*written)
+        remove(spark, path)
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, cut: int = CUT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or, with texts, the kept bytes) for every row of docs(doc_id, text)."""
+    return _run(docs, least, chunk_rows, chunk_bytes, bucket_bytes, hot, cut, _answer, _ANSWER, lambda to: _apply(to, texts), _RESULT if texts else _HASHED)
+
+
+def maximal_repeats(docs: DataFrame, least: int = LEAST, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, cut: int = CUT) -> DataFrame:
+    """group_id, length, doc_id, start (bytes): all occurrences of every maximal repeat group of `least` bytes or more whose anchor stands in two documents or more."""
+    return _run(docs, least, chunk_rows, chunk_bytes, bucket_bytes, hot, cut, _groups, _FOUND, _occurrences, _GROUPS)

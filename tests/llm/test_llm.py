@@ -386,21 +386,84 @@ def brute_repeats(rows, least=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_repeats_against_brute_force(spark, seed):
+def repeated_texts(seed):
     rng = random.Random(seed)
     base = ["".join(rng.choice("ab") for _ in range(400)) for _ in range(6)] + ["a" * 700, "ab" * 200, "é" * 150]
     rows = [(i * 3 - 50 if i % 17 else None, rng.choice([" ", "x", ""]).join(s[(a := rng.randint(0, len(s))) : a + rng.randint(0, 160)] for s in rng.choices(base, k=rng.randint(0, 5))), "") for i in range(80)]
-    rows += [(7, None, ""), rows[3], rows[3]]
-    got = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), chunk_rows=16, bucket_bytes=2000).collect()
+    return [*rows, (7, None, ""), rows[3], rows[3]]
+
+
+@pytest.mark.parametrize(("seed", "hot", "cut"), [(5, 1 << 16, 512), (6, 40, 512), (7, 1 << 16, 9)])
+def test_repeats_against_brute_force(spark, seed, hot, cut):
+    rows = repeated_texts(seed)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), chunk_rows=16, bucket_bytes=2000, hot=hot, cut=cut).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in got) == brute_repeats([r[:2] for r in rows])
 
 
-def test_repeats_awkward(awkward, nothing):
-    rows = [(d, t) for d, t, _ in AWKWARD if d != 5]
-    got = repeats.remove_repeats(awkward.where("doc_id IS NULL OR doc_id <> 5")).collect()
+def test_maximal_repeats_against_brute_force(spark):
+    rows = [(i, t or "") for i, (_, t, _) in enumerate(repeated_texts(8))]
+    got = repeats.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk_rows=16, bucket_bytes=2000).collect()
+    data = {i: t.encode() for i, t in rows}
+    groups = {}
+    for r in got:
+        groups.setdefault((r.group_id, r.length), set()).add((r.doc_id, r.start))
+    anchors = {i: repeats._minima(np.frombuffer(b, np.uint8), 50) if len(b) >= 50 else [] for i, b in data.items()}
+    begins = lambda i, p: p == 0 or anchors[i][p] != anchors[i][p - 1]
+    stops = lambda i, p: p == len(anchors[i]) - 1 or anchors[i][p] != anchors[i][p + 1]
+    assert len(groups) > 100 and len(got) == sum(map(len, groups.values()))
+    covered = set()
+    for (_, n), places in groups.items():
+        i, p = next(iter(places))
+        text = data[i][p : p + n]
+        assert places == {(j, q) for j, b in data.items() for q in range(len(b) - n + 1) if b[q : q + n] == text} and len(places) > 1
+        assert len({data[j][q - 1] for j, q in places if q}) > 1 or any(begins(j, q) for j, q in places)
+        assert len({data[j][q + n : q + n + 1] for j, q in places}) > 1 or any(stops(j, q + n - 50) for j, q in places)
+        covered |= {(j, q + k) for j, q in places for k in range(n - 49)}
+    owners = {}
+    for i, b in data.items():
+        for p in range(len(b) - 49):
+            owners.setdefault(b[p : p + 50], set()).add((i, p))
+    assert covered >= {w for s in owners.values() if len({i for i, _ in s}) > 1 for w in s}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_interval_tree_is_that_of_all_prefixes(seed):
+    rng = random.Random(seed)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(60, 90))) for _ in range(12)] + [b"a" * 80, b"ab" * 40]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    base = np.cumsum(sizes) - sizes
+    starts, of = repeats.ranges(base, sizes - 49), np.repeat(np.arange(len(texts)), sizes - 49)
+    words = repeats._words(np.append(data, np.zeros(8, np.uint8))).byteswap()
+    order, new = repeats.suffix_groups(words, starts, 50)
+    starts, of = starts[order], of[order]
+    rank, lcp = repeats.enhanced(words, starts, (base + sizes)[of], np.arange(len(starts)), new, 50)
+    ranked, owner = starts[rank], of[rank]
+    left = np.where(ranked > base[owner], data[np.maximum(ranked - 1, 0)].astype(np.int64), repeats._DIVERSE)
+    tree = repeats.interval_tree(lcp, left, owner)
+    suffixes = {(int(o), int(s - base[o])): texts[o][s - base[o] :] for s, o in zip(ranked, owner, strict=True)}
+    want = {}
+    for a in suffixes.values():
+        for b in suffixes.values():
+            n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            if n >= 50 and a is not b:
+                want[a[:n]] = frozenset(k for k, s in suffixes.items() if s.startswith(a[:n]))
+    got = {}
+    for d, f, last, low, diverse in zip(tree.depth, tree.first, tree.last, tree.low, tree.diverse, strict=True):
+        places = frozenset((int(owner[i]), int(ranked[i] - base[owner[i]])) for i in range(f, last + 1))
+        got[bytes(data[ranked[f] : ranked[f] + d])] = places
+        assert low == min(o for o, _ in places)
+        assert diverse == (len({texts[o][p - 1] if p else None for o, p in places}) > 1 or any(p == 0 for _, p in places))
+    assert got == want and len(tree.depth) == len(got)
+
+
+def test_repeats_awkward(spark, awkward, nothing):
+    assert repeats.remove_repeats(nothing).count() == 0 and repeats.maximal_repeats(nothing).count() == 0
+    rows = [(d, (t or "")[:9_000]) for d, t, _ in AWKWARD] + [(8, "word " * 1_500), (9, "x " + "word " * 900 + "y")]
+    wide = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, uid int, chunk string, bucket int")
+    got = repeats.remove_repeats(wide).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in got) == brute_repeats(rows)
-    assert repeats.remove_repeats(nothing).count() == 0
+    long = spark.createDataFrame([(1, "word " * 40_000), (2, "word " * 30_000 + "end")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(long).collect()} == {1: (0, 0), 2: (150_000, 1)}
 
 
 # pipeline
