@@ -45,15 +45,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import column, ranges, slices, utf8
+from graphtide.llm.common import ranges, slices, utf8
 from graphtide.session import discard, materialize, remove, shared_dir
 
 LEAST, GRAM, CUT = 50, 16, 512
-CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 4096, 1 << 24, 16_000_000, 20_000
+CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 4096, 1 << 26, 16_000_000, 20_000
 HOT = 1 << 16  # windows of an anchor above which it is split
 _NOBODY = np.iinfo(np.int64).max
 _SLICE = 2_000_000
@@ -589,25 +588,12 @@ def _occurrences(to: Setting) -> Callable:
     return work
 
 
-def _dealt(rows: int, size: int) -> Callable:
-    """Numbers rows, and chunks of at most `rows` rows and `size` bytes."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        number, chunk, held, filled = 0, base, 0, 0
-        for batch in batches:
-            _, offsets = utf8(column(batch, "text"))
-            chunks = []
-            for n in np.diff(offsets).tolist():
-                if held and (held == rows or filled + n > size):
-                    chunk, held, filled = chunk + 1, 0, 0
-                chunks.append(chunk)
-                held, filled = held + 1, filled + n
-            uids = base + number + np.arange(len(batch))
-            number += len(batch)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(uids, pa.int64()), pa.array(chunks, pa.int64())], names=["doc_id", "text", "uid", "chunk"])
-
-    return work
+def _chunk(rows: int, size: int) -> Column:
+    """The number of a row's chunk: `rows` neighbouring ones, or fewer the longer their texts are, so that a chunk holds `size` bytes at most (a longer text is alone)."""
+    shift = max(0, (rows - 1).bit_length())
+    longer = F.ceil(F.log2(F.octet_length("text") * F.lit(float(rows)) / F.lit(float(size)))).cast("int")
+    step = F.least(F.greatest(F.coalesce(longer, F.lit(0)), F.lit(0)), F.lit(shift))
+    return F.call_function("shiftright", F.col("uid"), F.lit(shift) - step) * 64 + step
 
 
 def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_bytes: int, hot: int, cut: int, answer: Callable, answered: pa.Schema, apply: Callable, result: pa.Schema) -> DataFrame:
@@ -615,8 +601,8 @@ def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_
         raise ValueError("least must be 24 or more")
     spark, name = docs.sparkSession, f"graphtide_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/graphtide/{name}"
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    source = source.mapInArrow(_dealt(chunk_rows, chunk_bytes), "doc_id long, text string, uid long, chunk long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    source = source.withColumn("chunk", _chunk(chunk_rows, chunk_bytes))
     parts = min(MOST_PARTS, max(8, 2 * docs.rdd.getNumPartitions()))
     written: list[DataFrame] = []
     try:
