@@ -45,6 +45,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ from graphtide.llm.common import ranges, slices, utf8
 from graphtide.session import discard, materialize, remove, shared_dir
 
 LEAST, GRAM, CUT = 50, 16, 512
-CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 4096, 1 << 26, 16_000_000, 20_000
+CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 8192, 3 << 24, 16_000_000, 20_000
 HOT = 1 << 16  # windows of an anchor above which it is split
 _NOBODY = np.iinfo(np.int64).max
 _SLICE = 2_000_000
@@ -177,9 +178,20 @@ def _by_bucket(anchor: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
         yield int(of[order[a]]), order[a:b]
 
 
-def _short(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    """Forty bits of each anchor beside its bucket."""
-    return ((anchor // np.uint64(buckets)) & np.uint64((1 << 40) - 1)).astype("<u8")
+def _short(anchor: np.ndarray, buckets: int) -> bytes:
+    """Forty bits of each anchor beside its bucket; anchors that agree in them are treated as one, which changes no result."""
+    return _narrow(((anchor // np.uint64(buckets)) & np.uint64((1 << 40) - 1)).astype("<u8"), 8, 5)
+
+
+def _narrow(numbers: np.ndarray, size: int, kept: int) -> bytes:
+    """The first `kept` of each `size` bytes."""
+    return np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, size)[:, :kept]).tobytes()
+
+
+def _wide(data: np.ndarray, size: int, kept: int) -> np.ndarray:
+    out = np.zeros((len(data) // kept, size), np.uint8)
+    out[:, :kept] = data.reshape(-1, kept)
+    return out.view("<u8").reshape(-1, size // 8)
 
 
 _SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("flags", pa.binary())])
@@ -213,6 +225,7 @@ class Setting:
     cut: int
     buckets: int
     hot: int
+    groups: bool
 
 
 def _send(to: Setting) -> Callable:
@@ -222,8 +235,7 @@ def _send(to: Setting) -> Callable:
         number = table.column("chunk")[0].as_py()
         rows = []
         for bucket, at in _by_bucket(anchor, to.buckets):
-            short = np.ascontiguousarray(_short(anchor[at], to.buckets).view(np.uint8).reshape(-1, 8)[:, :5])
-            rows.append((number, bucket, short.tobytes(), flags[at].tobytes()))
+            rows.append((number, bucket, _short(anchor[at], to.buckets), flags[at].tobytes()))
         return _table(rows, _SENT)
 
     return work
@@ -232,10 +244,7 @@ def _send(to: Setting) -> Callable:
 def _which(to: Setting) -> Callable:
     def work(table: pa.Table) -> pa.Table:
         """For each chunk, which of its anchors stand in several documents and which of those are hot."""
-        short, flags = _joined(table, "anchors", np.uint8).reshape(-1, 5), _joined(table, "flags", np.uint8)
-        wide = np.zeros((len(short), 8), np.uint8)
-        wide[:, :5] = short
-        values = wide.view("<u8").ravel()
+        values, flags = _wide(_joined(table, "anchors", np.uint8), 8, 5).ravel(), _joined(table, "flags", np.uint8)
         order = np.argsort(values, kind="stable")
         ranked = values[order]
         head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -275,13 +284,13 @@ def _ask(to: Setting) -> Callable:
             return _table([], _ASKED)
         chunk = Chunk(docs, to.least, to.cut)
         c = _contents(chunk, _listed(known, "bucket", "known", "hot"), to.buckets)
-        members = np.diff(np.append(c.first, len(c.row)))
+        members, packed = np.diff(np.append(c.first, len(c.row))), zstandard.ZstdCompressor(level=1).compress
         number, rows = docs.column("chunk")[0].as_py(), []
         for bucket, at in _by_bucket(c.key, to.buckets):
             first = c.first[at]
             text = chunk.data[ranges(c.start[first], c.count[first] + to.least - 1)]
-            parts = c.key[at], c.count[first].astype("<i4"), chunk.docs[c.row[first]], c.digest[at], members[at].astype("<i4"), text
-            rows.append((number, bucket, *(np.ascontiguousarray(p).tobytes() for p in parts)))
+            parts = chunk.docs[c.row[first]].tobytes(), _narrow(c.digest[at], 16, 10), members[at].astype("<i4").tobytes() if to.groups else None, packed(text.tobytes())
+            rows.append((number, bucket, _short(c.key[at], to.buckets), c.count[first].astype("<u2").tobytes(), *parts))
         return _table(rows, _ASKED)
 
     return work
@@ -401,12 +410,13 @@ def covers(tree: Tree, docs: np.ndarray) -> np.ndarray:
 class Bucket:
     """All super-windows of a bucket's keys: what each chunk asked, and the different contents."""
 
-    def __init__(self, table: pa.Table, least: int):
+    def __init__(self, table: pa.Table, least: int, groups: bool = False):
         self.least = least
         self.asked = _listed(table, "chunk", "bucket")
-        key, doc, count = _joined(table, "keys", "<u8"), _joined(table, "docs", "<i8"), _joined(table, "counts", "<i4").astype(np.int64)
-        digest, members = _joined(table, "digests", "<u8").reshape(-1, 2), _joined(table, "members", "<i4").astype(np.int64)
-        text = _joined(table, "text", np.uint8)
+        key, doc, count = _wide(_joined(table, "keys", np.uint8), 8, 5).ravel(), _joined(table, "docs", "<i8"), _joined(table, "counts", "<u2").astype(np.int64)
+        digest, unpacked = _wide(_joined(table, "digests", np.uint8), 16, 10), zstandard.ZstdDecompressor().decompress
+        members = _joined(table, "members", "<i4").astype(np.int64) if groups else np.ones(len(key), np.int64)
+        text = np.frombuffer(b"".join(unpacked(x) for x in table.column("text").to_pylist()), np.uint8)
         begin = np.cumsum(count + least - 1) - (count + least - 1)
         order = np.lexsort((doc, digest[:, 1], digest[:, 0], key))
         new = np.append(True, (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1))
@@ -415,7 +425,7 @@ class Bucket:
         self.members = np.add.reduceat(members[order], np.flatnonzero(new))
         first = order[new]  # of each content, the entry with the smallest doc_id
         self.key, self.doc, self.count, self.begin, self.text = key[first], doc[first], count[first], begin[first], text
-        self.sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
+        self.sizes = [len(x) // 5 for x in table.column("keys").to_pylist()]
 
     def batches(self, wanted: np.ndarray) -> Iterator[np.ndarray]:
         """The wanted contents in order, whole keys at a time, so that no interval is cut and memory is bounded."""
@@ -535,7 +545,7 @@ def _groups(to: Setting) -> Callable:
     """For each chunk the maximal groups of its contents: group, content (by place among those asked for), start, length."""
 
     def work(table: pa.Table) -> pa.Table:
-        b = Bucket(table, to.least)
+        b = Bucket(table, to.least, True)
         contents, starts, lengths = [], [], []
         whole = b.count + to.least - 1
         listed = np.zeros(len(b.key), bool)  # contents that are a group as a whole
@@ -597,8 +607,8 @@ def _chunk(rows: int, size: int) -> Column:
 
 
 def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_bytes: int, hot: int, cut: int, answer: Callable, answered: pa.Schema, apply: Callable, result: pa.Schema) -> DataFrame:
-    if least < 24:
-        raise ValueError("least must be 24 or more")
+    if least < 24 or not 0 < cut < 1 << 16:
+        raise ValueError("least must be 24 or more, cut from 1 to 65535")
     spark, name = docs.sparkSession, f"graphtide_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/graphtide/{name}"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
@@ -609,7 +619,7 @@ def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_
         source.write.bucketBy(parts, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
         table = spark.table(name)
         total = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        to = Setting(least, cut, max(12, -(-total // bucket_bytes)), hot)
+        to = Setting(least, cut, max(12, -(-total // bucket_bytes)), hot, answer is _groups)
         dealt = lambda df: df.repartition(min(MOST_PARTS, to.buckets), "bucket").groupBy("bucket")
         sent = table.groupBy("chunk").applyInArrow(_send(to), _ddl(_SENT))
         written.append(materialize(dealt(sent).applyInArrow(_which(to), _ddl(_KNOWN)), "known"))
