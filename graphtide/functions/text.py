@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def capitalise(c: Column) -> Column:
     """First character upper, the rest lower (one word or many)."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def keywords(line: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.session import discard, materialize
+
 KEY = ["head", "rel", "tail"]
 
 
@@ -67,11 +69,11 @@ def neighbours_2hop(triples: DataFrame, seeds: DataFrame, limit: int = 30) -> Da
     return first.select(*cols).union(last.select(*cols)).distinct().orderBy(*cols).limit(limit)
 
 
-def undirected(triples: DataFrame) -> DataFrame:
-    """Both readings of each edge: src, rel, dst, dir."""
-    return triples.select(F.col("head").alias("src"), "rel", F.col("tail").alias("dst"), F.lit("->").alias("dir")).union(
-        triples.select(F.col("tail").alias("src"), "rel", F.col("head").alias("dst"), F.lit("<-").alias("dir"))
-    )
+def undirected(triples: DataFrame, *carry: str) -> DataFrame:
+    """Both readings of each edge: src, rel, dst, dir and the carried columns."""
+    there = F.struct(F.col("head").alias("src"), "rel", F.col("tail").alias("dst"), F.lit("->").alias("dir"), *carry)
+    back = F.struct(F.col("tail").alias("src"), "rel", F.col("head").alias("dst"), F.lit("<-").alias("dir"), *carry)
+    return triples.select(F.explode(F.array(there, back)).alias("e")).select("e.*")
 
 
 def hop_edge(hop: Column) -> Column:
@@ -87,28 +89,36 @@ def path_text(hops: Column) -> Column:
     return F.concat(F.element_at(hops, 1)["src"], F.array_join(step, ""))
 
 
-def expand_paths(triples: DataFrame, seeds: DataFrame, depth: int = 2, max_degree: int | None = None) -> DataFrame:
+def expand_paths(triples: DataFrame, seeds: DataFrame, depth: int = 2, max_degree: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """All undirected paths of 1..depth edges from each seed(seed), no edge twice: seed, hops, path.
 
-    Only the frontier is joined at each level. `max_degree` leaves out expansion through nodes with
-    more edges than that; None keeps them all.
+    Only the frontier is joined at each level, and written, so that the next join knows its size. Hops
+    hold the carried columns of their triple too. The number of paths grows with the product of the
+    degrees on the way: `max_degree` leaves out expansion through nodes with more edges than that
+    (`hubs` lists them); None keeps them all.
     """
-    edges = undirected(triples)
+    edges = undirected(triples, *carry)
     if max_degree is not None:
-        busy = edges.groupBy("src").count().where(F.col("count") > max_degree).select("src")
-        edges = edges.join(busy, "src", "left_anti")
-    hop = F.struct("src", "rel", "dst", "dir")
-    level = seeds.select("seed").distinct().join(edges, F.col("seed") == F.col("src")).select("seed", F.array(hop).alias("hops"))
+        edges = edges.hint("merge").join(hubs(triples, max_degree).select(F.col("name").alias("src")).hint("merge"), "src", "left_anti")
+    edges = materialize(edges, "edges")
+    hop = F.struct("src", "rel", "dst", "dir", *carry)
+    level = materialize(seeds.select("seed").distinct().hint("merge").join(edges.hint("merge"), F.col("seed") == F.col("src")).select("seed", F.array(hop).alias("hops")), "level")
     found = level
     for _ in range(depth - 1):
         ends = level.select("seed", "hops", F.element_at("hops", -1)["dst"].alias("end"))
-        grown = ends.join(edges, F.col("end") == F.col("src")).select("seed", "hops", hop.alias("hop"))
+        grown = ends.hint("merge").join(edges.hint("merge"), F.col("end") == F.col("src")).select("seed", "hops", hop.alias("hop"))
         fresh = ~F.exists("hops", lambda h: hop_edge(h) == hop_edge(F.col("hop")))
-        level = grown.where(fresh).select("seed", F.concat("hops", F.array("hop")).alias("hops"))
+        level = materialize(grown.where(fresh).select("seed", F.concat("hops", F.array("hop")).alias("hops")), "level")
         found = found.union(level)
+    discard(edges)
     return found.select("seed", "hops", path_text(F.col("hops")).alias("path"))
 
 
+def hubs(triples: DataFrame, max_degree: int) -> DataFrame:
+    """name, degree of the nodes with more than max_degree edges."""
+    return undirected(triples).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("degree")).where(F.col("degree") > max_degree)
+
+
 def upsert(triples: DataFrame, new: DataFrame) -> DataFrame:
     return triples.select(*KEY).union(new.select(*KEY).distinct().join(triples, KEY, "left_anti"))
 
@@ -120,8 +130,8 @@ def delete(triples: DataFrame, gone: DataFrame) -> DataFrame:
 def delete_with_orphans(triples: DataFrame, nodes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(triples, nodes) without the given edges and without the ends that they leave bare."""
     left = delete(triples, gone)
-    orphans = entities(gone).join(entities(left), "name", "left_anti")
-    return left, nodes.join(orphans, "name", "left_anti")
+    orphans = entities(gone).hint("merge").join(entities(left).hint("merge"), "name", "left_anti")
+    return left, nodes.hint("merge").join(orphans.hint("merge"), "name", "left_anti")
 
 
 def delete_nodes(nodes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -132,7 +142,7 @@ def rename(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     """Heads and tails replaced through mapping(dup, canonical), one level."""
     h = mapping.select(F.col("dup").alias("h_dup"), F.col("canonical").alias("h_new"))
     t = mapping.select(F.col("dup").alias("t_dup"), F.col("canonical").alias("t_new"))
-    joined = triples.join(h, F.col("head") == F.col("h_dup"), "left").join(t, F.col("tail") == F.col("t_dup"), "left")
+    joined = triples.hint("merge").join(h.hint("merge"), F.col("head") == F.col("h_dup"), "left").join(t.hint("merge"), F.col("tail") == F.col("t_dup"), "left")
     rest = [c for c in triples.columns if c not in ("head", "tail")]
     return joined.select(F.coalesce("h_new", "head").alias("head"), F.coalesce("t_new", "tail").alias("tail"), *rest)
 
@@ -150,20 +160,28 @@ def three_hop_candidates(triples: DataFrame, relations: list[str]) -> DataFrame:
     return joined.select(F.col("s0").alias("a"), "r0", F.col("t0").alias("b"), "r1", F.col("t1").alias("c"), "r2", F.col("t2").alias("d"))
 
 
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of `by` (which must be unique), without one task for all.
+
+    Rows are dealt into ranges and written, so that the ranges are fixed; a place is the one within
+    its range plus the size of the ranges before.
+    """
+    ranged = materialize(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranged")
+    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size")).select("__part", before.alias("__before"))  # one row a partition
+    return local.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__n") + F.col("__before") - 1).drop("__part", "__n", "__before")
+
+
 def dictionary_encode(triples: DataFrame) -> DataFrame:
     """head_id, rel_id, tail_id with dense ids from 0, in alphabetical order."""
-    def ids(names: DataFrame) -> DataFrame:
-        # a global rank without one task for all: ranks within ranges of names, then each range's offset
-        ranged = names.repartitionByRange(names.columns[0]).withColumn("part", F.spark_partition_id())
-        local = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(names.columns[0])))
-        sizes = local.groupBy("part").agg(F.max("n").alias("size"))
-        before = sizes.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("before"))
-        return local.join(before, "part").select(names.columns[0], (F.col("n") + F.col("before") - 1).alias("id"))
-
-    names, rels = ids(entities(triples)), ids(relations(triples))
+    names = materialize(numbered(entities(triples), ["name"], "id"), "names")
+    rels = materialize(numbered(relations(triples), ["rel"], "rel_id"), "rels")
     return (
-        triples.join(names.select(F.col("name").alias("head"), F.col("id").alias("head_id")), "head")
-        .join(names.select(F.col("name").alias("tail"), F.col("id").alias("tail_id")), "tail")
-        .join(rels.select("rel", F.col("id").alias("rel_id")), "rel")
+        triples.hint("merge")
+        .join(names.select(F.col("name").alias("head"), F.col("id").alias("head_id")).hint("merge"), "head")
+        .hint("merge")
+        .join(names.select(F.col("name").alias("tail"), F.col("id").alias("tail_id")).hint("merge"), "tail")
+        .join(rels, "rel")
         .select("head_id", "rel_id", "tail_id")
     )

@@ -43,7 +43,7 @@ def maximal_paths(paths: DataFrame) -> DataFrame:
 
 def keep_known(hops: DataFrame, scores: DataFrame) -> DataFrame:
     """Hop rows with their score, without the paths that have a hop of unknown score."""
-    joined = hops.join(scores.select(*KEY, "score"), KEY, "left")
+    joined = hops.hint("merge").join(scores.select(*KEY, "score").hint("merge"), KEY, "left")
     known = F.min(F.col("score").isNotNull()).over(Window.partitionBy(*PATH))
     return joined.withColumn("known", known).where("known").drop("known")
 
@@ -53,13 +53,23 @@ def basic(paths: DataFrame, scores: DataFrame, sim_threshold: float, score_thres
     near = paths.where(F.col("sim") > sim_threshold)
     kept = keep_known(hop_rows(near), scores).where(F.col("score") >= score_threshold)
     merged = kept.groupBy(*PATH).agg(F.product("score").alias("product"), F.count("*").alias("n_kept"))
-    value = F.round((F.col("sim") + 1) * 50 + F.col("product") / F.pow(F.lit(100.0), F.col("n_kept") - 1), 6)
-    return top_paths(near.join(merged, PATH).withColumn("value", value), "value", pruning).select("q_id", "seed_ord", "path_ord", "path", "n_kept", "value", "rank")
+    value = basic_value(F.col("sim"), F.col("product"), F.col("n_kept"))
+    return top_paths(near.hint("merge").join(merged.hint("merge"), PATH).withColumn("value", value), "value", pruning).select("q_id", "seed_ord", "path_ord", "path", "n_kept", "value", "rank")
+
+
+def basic_value(sim: Column, product: Column, n_kept: Column) -> Column:
+    return F.round((sim + 1) * 50 + product / F.pow(F.lit(100.0), n_kept - 1), 6)
+
+
+def mixed(sim: Column, score: Column, low: Column, high: Column, weight: float) -> Column:
+    """p(t): similarity and min-max score of a triple, mixed."""
+    score01 = F.when(high == low, 0.5).otherwise((score - low) / (high - low))
+    return (1 - F.lit(weight)) * ((sim + 1) / 2) + F.lit(weight) * score01
 
 
 def triple_probability(hops: DataFrame, scores: DataFrame, sims: DataFrame, weight: float) -> DataFrame:
     """q_id, head, rel, tail, sim01, score01, pt: similarity and min-max score of each distinct triple of a question."""
-    distinct = hops.select("q_id", *KEY).distinct().join(scores.select(*KEY, "score"), KEY).join(sims, ["q_id", *KEY])
+    distinct = hops.select("q_id", *KEY).distinct().hint("merge").join(scores.select(*KEY, "score").hint("merge"), KEY).hint("merge").join(sims.hint("merge"), ["q_id", *KEY])
     w = Window.partitionBy("q_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
     score01 = F.when(high == low, 0.5).otherwise((F.col("score") - low) / (high - low))
@@ -69,9 +79,13 @@ def triple_probability(hops: DataFrame, scores: DataFrame, sims: DataFrame, weig
 
 def standard(hops: DataFrame, probabilities: DataFrame, places: int = 9) -> DataFrame:
     """q_id, seed_ord, path_ord, len, pl, p: softmax over all paths of a question of the mean log-probability of their triples."""
-    each = hops.join(probabilities.select("q_id", *KEY, "pt"), ["q_id", *KEY])
+    each = hops.hint("merge").join(probabilities.select("q_id", *KEY, "pt").hint("merge"), ["q_id", *KEY])
     pl = F.round(F.avg(F.log(F.greatest("pt", F.lit(1e-12)))), places)
-    paths = each.groupBy(*PATH).agg(F.count("*").alias("len"), pl.alias("pl"))
+    return softmax(each.groupBy(*PATH).agg(F.count("*").alias("len"), pl.alias("pl")))
+
+
+def softmax(paths: DataFrame) -> DataFrame:
+    """paths(q_id, pl) with p, the softmax of pl over each question."""
     w = Window.partitionBy("q_id")
     weight = F.exp(F.col("pl") - F.max("pl").over(w))
     return paths.withColumn("e", weight).withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
@@ -108,7 +122,3 @@ def entity_support(hops: DataFrame, k: int = 5) -> DataFrame:
     counted = hops.select("entity", text.alias("fact")).groupBy("entity", "fact").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "fact"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def mean_round(c: Column, places: int = 6) -> Column:
-    return F.round(F.avg(c), places)

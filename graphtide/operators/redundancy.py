@@ -45,7 +45,7 @@ def missing_deletes(scores: DataFrame, gone: DataFrame) -> DataFrame:
 
 def replacement_map(groups: DataFrame) -> DataFrame:
     """dup, canonical of groups(group_ord, members): all but the first go to the first; a later group overwrites; one level only."""
-    pairs = groups.where(F.size("members") > 1).select("group_ord", F.element_at("members", 1).alias("canonical"), F.explode(F.slice("members", 2, 1_000_000)).alias("dup"))
+    pairs = groups.where(F.size("members") > 1).select("group_ord", F.element_at("members", 1).alias("canonical"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("dup"))
     return pairs.groupBy("dup").agg(F.max_by("canonical", "group_ord").alias("canonical"))
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.session import materialize
+
 PLACES = 6
 
 
@@ -26,6 +28,48 @@ def unit(a: Column) -> Column:
     return F.aggregate(F.array(norm), F.array().cast("array<double>"), lambda s, n: F.transform(a, lambda v: v.cast("double") / n))
 
 
+def pair_cosines(pairs: DataFrame, questions: DataFrame, items: DataFrame, block_rows: int = 20_000, bucket_pairs: int = 500_000) -> DataFrame:
+    """q_id, v, sim of pairs(q_id, v) for questions(q_id, vec) and items(v, vec).
+
+    Pairs and items meet in buckets of v, sized by the number of pairs, so a vector travels once and not
+    once a pair; questions are sent to the buckets in blocks of at most block_rows.
+    """
+    total, count = pairs.count(), questions.count()
+    buckets, blocks = max(16, -(-total // bucket_pairs)), max(1, -(-count // block_rows))
+    place = F.pmod(F.xxhash64("v"), F.lit(buckets))
+    found = None
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b
+        rows = questions.where(mine).select(F.col("q_id").cast("long").alias("q_id"), "vec").orderBy("q_id").toArrow()
+        if not rows.num_rows:
+            continue
+        shared = pairs.sparkSession.sparkContext.broadcast((rows.column("q_id").to_numpy(), _unit(_matrix(rows.column("vec").combine_chunks()))))
+        left = pairs.where(mine).select(F.col("q_id").cast("long").alias("q_id"), F.col("v").cast("long").alias("v"), place.alias("bucket")).groupBy("bucket")
+        right = items.select(F.col("v").cast("long").alias("v"), "vec", place.alias("bucket")).groupBy("bucket")
+        one = left.cogroup(right).applyInArrow(_pair_sims(shared), "q_id long, v long, sim double")
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else pairs.sparkSession.createDataFrame([], "q_id long, v long, sim double")
+
+
+def _pair_sims(shared):
+    def work(pairs: pa.Table, items: pa.Table) -> pa.Table:
+        ids, matrix = shared.value
+        q, v = pairs.column("q_id").to_numpy(), pairs.column("v").to_numpy()
+        if not len(q) or not items.num_rows:
+            return pa.table({"q_id": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        known = items.column("v").to_numpy()
+        order = np.argsort(known, kind="stable")
+        units = _unit(_matrix(items.column("vec").combine_chunks()))[order]
+        known = known[order]
+        i, j = np.minimum(np.searchsorted(ids, q), len(ids) - 1), np.minimum(np.searchsorted(known, v), len(known) - 1)
+        both = (ids[i] == q) & (known[j] == v)
+        q, v, i, j = q[both], v[both], i[both], j[both]
+        sims = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", matrix[i[a : a + 50_000]], units[j[a : a + 50_000]]) for a in range(0, len(q), 50_000))])
+        return pa.table({"q_id": q, "v": v, "sim": np.round(sims, PLACES) + 0.0})
+
+    return work
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1)
@@ -39,8 +83,8 @@ def top_k(questions: DataFrame, items: DataFrame, k: int, threshold: float | Non
     """q_id, name, sim, rank: the k most similar items of each question, ties by name.
 
     Questions are sent to all items in blocks of at most block_rows, so what is broadcast is bounded;
-    each task keeps its k best before anything is shuffled. With a threshold and k = 0, all items
-    above it.
+    items that share a vector are scored once a batch, and each task keeps its k best before anything
+    is shuffled. With a threshold and k = 0, all items above it.
     """
     count = questions.count()
     blocks = max(1, -(-count // block_rows))
@@ -52,7 +96,7 @@ def top_k(questions: DataFrame, items: DataFrame, k: int, threshold: float | Non
             continue
         ids, matrix = rows.column("q_id").to_numpy(), _unit(_matrix(rows.column("vec").combine_chunks()))
         shared = questions.sparkSession.sparkContext.broadcast((ids, matrix))
-        one = items.select("name", "vec").mapInArrow(_best(shared, k, threshold), "q_id long, name string, sim double")
+        one = materialize(items.select("name", "vec").mapInArrow(_best(shared, k, threshold), "q_id long, name string, sim double"), "block")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return questions.sparkSession.createDataFrame([], "q_id long, name string, sim double, rank int")
@@ -67,26 +111,31 @@ def _best(shared, k: int, threshold: float | None):
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             order = np.argsort(names, kind="stable")
-            names, items = names[order], _unit(_matrix(batch.column(1)))[order]
+            names, items = names[order], np.ascontiguousarray(_matrix(batch.column(1))[order])
+            # one row a vector, with its names in order
+            _, first, group = np.unique(items.view(np.dtype((np.void, items.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+            by_group = np.argsort(group, kind="stable")
+            sizes = np.bincount(group, minlength=len(first))
+            heads, distinct = np.cumsum(sizes) - sizes, _unit(items[first])
             rows, cols, sims = [], [], []
             for at in range(0, len(ids), 256):
-                sim = np.round(matrix[at : at + 256] @ items.T, PLACES)
+                sim = np.round(matrix[at : at + 256] @ distinct.T, PLACES)
+                keep = np.ones(sim.shape, bool) if threshold is None else sim > threshold
                 if k and k < sim.shape[1]:
-                    # everything as good as the k-th best; the first k by name among equals
-                    edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-                    keep = sim >= edge[:, None]
-                    extra = np.flatnonzero(keep.sum(1) > k)
-                    for r in extra:
-                        tied = np.flatnonzero(sim[r] == edge[r])
-                        keep[r, tied[k - int((sim[r] > edge[r]).sum()) :]] = False
-                else:
-                    keep = np.ones(sim.shape, bool)
-                if threshold is not None:
-                    keep &= sim > threshold
+                    keep &= sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
                 r, c = np.nonzero(keep)
+                many = np.minimum(sizes[c], k) if k else sizes[c]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(heads[c], many)
+                r, s, name = np.repeat(r, many), np.repeat(sim[r, c], many), by_group[place]
+                if k:  # the first k of each question, ties by name
+                    best = np.lexsort((name, -s, r))
+                    r, s, name = r[best], s[best], name[best]
+                    begin = np.searchsorted(r, np.arange(sim.shape[0]))
+                    top = np.arange(len(r)) - begin[r] < k
+                    r, s, name = r[top], s[top], name[top]
                 rows.append(ids[at + r])
-                cols.append(names[c])
-                sims.append(sim[r, c])
+                cols.append(names[name])
+                sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols), pa.string()), pa.array(np.concatenate(sims))], names=["q_id", "name", "sim"])
 
     return work

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphtide.operators.graph import numbered
+from graphtide.session import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def _views(md5int) -> dict[str, tuple[list[str], str]]:
+def _views(md5int, md5long) -> dict[str, tuple[list[str], str]]:
     """name -> (views it needs, SQL)."""
     return {
         "kg_triples": (
@@ -48,26 +54,27 @@ def _views(md5int) -> dict[str, tuple[list[str], str]]:
         row_number() OVER (PARTITION BY event_id % nq, user_id % 10 ORDER BY event_id) AS rn
  FROM events CROSS JOIN q_count WHERE event_type IN ('purchase','click','error')) e WHERE rn = 1""",
         ),
+        "ev_count": ([], "SELECT count(*) AS ne FROM events"),
+        # each slot has one triple, the first of those that hash to it: slots, and so the triples, grow with questions and events
         "fb_triples": (
-            ["kg_scores", "fb_rows"],
-            """SELECT q_ord, idx, kind, degree, event_id, head, rel, tail, score FROM (
- SELECT head, rel, tail, score, row_number() OVER (ORDER BY head, rel, tail) - 1 AS t_ord FROM kg_scores) s
- JOIN (SELECT q_ord, idx, kind, degree, event_id, (q_ord * 7 + idx) % 997 AS t_want FROM fb_rows) f ON t_ord = t_want""",
+            ["kg_scores", "fb_rows", "q_count"],
+            f"""SELECT q_ord, idx, kind, degree, event_id, head, rel, tail, score FROM (
+ SELECT head, rel, tail, score, slot, row_number() OVER (PARTITION BY slot ORDER BY head, rel, tail) AS n FROM (
+  SELECT head, rel, tail, score, {md5long("concat_ws(' ', head, rel, tail)")} % (3 * nq) AS slot FROM kg_scores CROSS JOIN q_count) h) s
+ JOIN (SELECT q_ord, idx, kind, degree, event_id, (q_ord * 7 + idx) % (3 * nq) AS want FROM fb_rows CROSS JOIN q_count) f ON slot = want WHERE n = 1""",
         ),
         "facts": (
-            ["fb_rows", "kg_scores"],
-            """SELECT q_ord, head, rel, tail, score, row_number() OVER (PARTITION BY q_ord ORDER BY head, tail, rel) - 1 AS pos FROM (
- SELECT DISTINCT q_ord, head, rel, tail, score FROM (SELECT q_ord, (q_ord * 13 + user_id * 5 + event_id) % 4999 AS want FROM (
-   SELECT event_id % nq AS q_ord, user_id, event_id FROM events CROSS JOIN q_count) a) w
- JOIN (SELECT head, rel, tail, score, row_number() OVER (ORDER BY head, rel, tail) - 1 AS t_ord FROM kg_scores) s ON t_ord = want) d""",
+            ["kg_scores", "q_count", "ev_count"],
+            f"""SELECT q_ord, head, rel, tail, score, row_number() OVER (PARTITION BY q_ord ORDER BY head, tail, rel) - 1 AS pos FROM (
+ SELECT DISTINCT q_ord, head, rel, tail, score FROM (SELECT event_id % nq AS q_ord, (event_id % nq * 13 + user_id * 5 + event_id) % ne AS want FROM events CROSS JOIN q_count CROSS JOIN ev_count) w
+ JOIN (SELECT head, rel, tail, score, slot, row_number() OVER (PARTITION BY slot ORDER BY head, rel, tail) AS n FROM (
+  SELECT head, rel, tail, score, {md5long("concat_ws(' ', head, rel, tail)")} % ne AS slot FROM kg_scores CROSS JOIN ev_count) h) s ON slot = want WHERE n = 1) d""",
         ),
     }
 
 
-SPARK = _views(lambda x: f"CAST(conv(substr(md5({x}), 1, 6), 16, 10) AS INT)")
-DUCK = _views(lambda x: f"('0x' || substr(md5({x}), 1, 6))::INT")
-SPARK["facts"] = (["q_count", "kg_scores"], SPARK["facts"][1])
-DUCK["facts"] = (["q_count", "kg_scores"], DUCK["facts"][1])
+SPARK = _views(lambda x: f"CAST(conv(substr(md5({x}), 1, 6), 16, 10) AS INT)", lambda x: f"CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)")
+DUCK = _views(lambda x: f"('0x' || substr(md5({x}), 1, 6))::INT", lambda x: f"('0x' || substr(md5({x}), 1, 8))::BIGINT")
 
 
 def _needed(names, views) -> list[str]:
@@ -86,7 +93,7 @@ def _needed(names, views) -> list[str]:
 
 def duck(names: str, select: str, **ctes: str) -> str:
     """An oracle query over the named views (space-separated) and further common table expressions."""
-    parts = [f"{n} AS (\n{DUCK[n][1]})" for n in _needed(names.split(), DUCK)] + [f"{n} AS (\n{s})" for n, s in ctes.items()]
+    parts = [f"{n} AS MATERIALIZED (\n{DUCK[n][1]})" for n in _needed(names.split(), DUCK)] + [f"{n} AS MATERIALIZED (\n{s})" for n, s in ctes.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
@@ -95,6 +102,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._numbered: str | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -104,10 +112,18 @@ class Inputs:
         return self.sql(name, f"SELECT * FROM {name}")
 
     def sql(self, names: str, select: str) -> DataFrame:
+        """select over the named views; tables and views are common table expressions, so the session's own views stay as they are."""
         needed = _needed(names.split(), SPARK)
         text = " ".join([select, *(SPARK[n][1] for n in needed)])
-        for t in TABLES:
-            if t in text:
-                self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        ctes = ",\n".join(f"{n} AS (\n{SPARK[n][1]})" for n in needed)
-        return self.spark.sql((f"WITH {ctes}\n" if ctes else "") + select)
+        ctes = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
+        ctes += [f"{n} AS (\n{self._q() if n == 'q' else SPARK[n][1]})" for n in needed]
+        return self.spark.sql((f"WITH {',\n'.join(ctes)}\n" if ctes else "") + select)
+
+    def _q(self) -> str:
+        """The questions, numbered by ranges instead of by one task for all; written once."""
+        if self._numbered is None:
+            turns = Window.partitionBy("conv_id").orderBy("turn")
+            said = self.conversations.select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("role").over(turns).alias("nrole"), F.lead("text").over(turns).alias("prediction"))
+            asked = said.where("role = 'user' AND nrole = 'assistant'")
+            self._numbered = materialize(numbered(asked, ["conv_id", "turn"], "q_id").select("q_id", "question", "prediction"), "q")._graphtide_path
+        return f"SELECT * FROM parquet.`{self._numbered}`"

@@ -122,12 +122,12 @@ def rk_topk_global(x):
     ),
 )
 def rk_basic(x):
-    return ranking.basic(retrieve.with_similarity(x, retrieve.candidate_paths(x)), x.kg_scores, 0.0, 61.0, 5)
+    return retrieve.ranked_basic(x)
 
 
 @register("rk_basic_suppressed")
 def rk_basic_suppressed(x):
-    ranked = ranking.basic(retrieve.with_similarity(x, retrieve.candidate_paths(x)), x.kg_scores, 0.0, 61.0, 20)
+    ranked = retrieve.ranked_basic(x, pruning=20)
     return redundancy.substring_suppress(ranked.select("q_id", F.col("seed_ord").cast("int").alias("seed_ord"), "rank", "path"), 5)
 
 

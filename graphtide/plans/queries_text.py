@@ -366,10 +366,15 @@ def src_corpus_option(x):
     return readers.corpus_option(x.q.select("q_id", F.array("question").alias("positive"), F.array("prediction").alias("negative")), "full")
 
 
-@register("src_corpus_evidence_join", duck("q", "SELECT q_id, [html] AS texts FROM q JOIN pages ON page_id = q_id % 97"))
+_EVIDENCE = duck("q", "SELECT q_id, [html] AS texts FROM q CROSS JOIN (SELECT count(*) AS np FROM pages) n JOIN pages ON page_id = q_id % np")
+
+
+@register("j_evidence", _EVIDENCE)
+@register("src_corpus_evidence_join", _EVIDENCE)
 def src_corpus_evidence_join(x):
     urls = x.pages.select(F.col("page_id").alias("p"), "url")
-    asked = x.q.join(urls, F.col("q_id") % 97 == F.col("p")).select("q_id", F.array("url", F.lit("none://")).alias("urls"))
+    pages = F.broadcast(x.pages.agg(F.count("*").alias("np")))
+    asked = x.q.crossJoin(pages).join(urls, F.col("q_id") % F.col("np") == F.col("p")).select("q_id", F.array("url", F.lit("none://")).alias("urls"))
     return readers.evidence_corpus(asked, x.pages.select("url", F.col("html").alias("body"), F.col("page_id").alias("ord")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators import graph, ranking, vectors
@@ -17,50 +17,125 @@ def links(x: Inputs, k: int = ENTITIES) -> DataFrame:
     return vectors.top_k(x.q_vectors, x.entity_vectors, k).select("q_id", F.col("name").alias("seed"), (F.col("rank") - 1).alias("seed_ord"))
 
 
+def _vector_number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long") % F.col("n")
+
+
+def _count(x: Inputs) -> DataFrame:
+    return F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
+
+
+def seed_paths(x: Inputs, linked: DataFrame, depth: int = DEPTH, max_degree: int | None = None, hops: bool = True) -> DataFrame:
+    """seed, path_ord, path, v, marks and, if wanted, hops: each seed's paths once, however many questions share it; written.
+
+    A path's place is the number of longer ones of its seed plus its place among those of its length, so
+    no task sorts a whole hub. v is the number of the path text's vector; marks hold each hop's score
+    (null if unknown) and the number of its sentence's vector.
+    """
+    scored = x.kg_scores.crossJoin(_count(x)).select(*graph.KEY, "score", _vector_number(graph.sentence()).alias("v"))
+    found = graph.expand_paths(scored, linked.select("seed"), depth, max_degree, carry=("score", "v")).withColumn("size", F.length("path"))
+    counts = found.groupBy("seed", "size").agg(F.count("*").alias("many"))
+    longer = F.sum("many").over(Window.partitionBy("seed").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
+    before = materialize(counts.select(F.col("seed").alias("of"), F.col("size").alias("of_size"), F.coalesce(longer, F.lit(0)).alias("longer")), "longer")
+    marks = F.transform("hops", lambda h: F.struct(h["score"].alias("score"), h["v"].alias("v")))
+    kept = found.select("seed", "size", "path", marks.alias("marks"), *(["hops"] if hops else []))
+    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy("seed", "size").orderBy("path")))
+    joined = ranked.hint("merge").join(before.hint("merge"), (F.col("seed") == F.col("of")) & (F.col("size") == F.col("of_size"))).crossJoin(_count(x))
+    return materialize(joined.select("seed", (F.col("place") + F.col("longer")).alias("path_ord"), "path", _vector_number(F.col("path")).alias("v"), "marks", *(["hops"] if hops else [])), "seed_paths")
+
+
+def candidates(x: Inputs, k: int = ENTITIES, depth: int = DEPTH, max_degree: int | None = None, hops: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(links, paths of their seeds), both written: what every ranking starts from."""
+    linked = materialize(links(x, k), "links")
+    return linked, seed_paths(x, linked, depth, max_degree, hops)
+
+
+def to_questions(linked: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows by seed given to the questions of the seed."""
+    return linked.hint("merge").join(paths.hint("merge"), "seed")
+
+
 def candidate_paths(x: Inputs, k: int = ENTITIES, depth: int = DEPTH) -> DataFrame:
-    """q_id, seed_ord, path_ord, hops, path: expansion is done once per distinct seed, then given to its questions."""
-    linked = links(x, k)
-    found = graph.expand_paths(x.kg_triples, linked.select("seed"), depth)
-    order = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc(F.length("path")), "path"))
-    return linked.join(found.withColumn("path_ord", order), "seed").select("q_id", "seed_ord", "path_ord", "hops", "path")
+    """q_id, seed_ord, path_ord, hops, path, v of all questions."""
+    return to_questions(*candidates(x, k, depth)).select("q_id", "seed_ord", "path_ord", "hops", "path", "v")
 
 
 def with_similarity(x: Inputs, paths: DataFrame) -> DataFrame:
-    """paths with sim, the cosine of question and path text; each distinct text is encoded once."""
-    n = F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
-    number = F.conv(F.substring(F.md5("path"), 1, 6), 16, 10).cast("long") % F.col("n")
-    return _similar(x, paths.crossJoin(n).withColumn("v", number).drop("n"))
+    """paths(q_id, v) with sim, the cosine of question and path text; each pair of vectors is computed once."""
+    return similar(paths, similarities(x, paths.select("q_id", "v"))).drop("v")
 
 
-def triple_similarity(x: Inputs, hops: DataFrame) -> DataFrame:
-    n = F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
-    distinct = hops.select("q_id", *graph.KEY).distinct().withColumn("s", graph.sentence())
-    number = F.conv(F.substring(F.md5("s"), 1, 6), 16, 10).cast("long") % F.col("n")
-    return _similar(x, distinct.crossJoin(n).withColumn("v", number).drop("n", "s"))
+def similarities(x: Inputs, pairs: DataFrame) -> DataFrame:
+    """q_id, v, sim of each distinct pair of a question and an embedding's number; written."""
+    distinct = materialize(pairs.distinct(), "pairs")
+    sims = vectors.pair_cosines(distinct, x.q_vectors, x.embeddings.select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec")))
+    return materialize(sims, "similarities")
 
 
-def _similar(x: Inputs, rows: DataFrame) -> DataFrame:
-    """rows(q_id, v) with the cosine of the question's vector and the embedding numbered v; each pair is computed once."""
-    pairs = rows.select("q_id", "v").distinct()
-    asked = x.q_vectors.select("q_id", vectors.unit(F.col("vec")).alias("qv"))
-    sims = pairs.join(asked, "q_id").join(x.embeddings.select(F.col("vec_id").alias("v"), vectors.unit(F.col("embedding")).alias("ev")), "v")
-    return rows.join(sims.select("q_id", "v", F.round(vectors.dot(F.col("qv"), F.col("ev")), vectors.PLACES).alias("sim")), ["q_id", "v"]).drop("v")
+def similar(rows: DataFrame, sims: DataFrame) -> DataFrame:
+    return rows.hint("merge").join(sims.hint("merge"), ["q_id", "v"])
 
 
-def standard(x: Inputs, pruning: int = PRUNING, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all paths with p, hop rows, triple probabilities).
+def triple_similarity(x: Inputs, hops: DataFrame) -> DataFrame:
+    distinct = hops.select("q_id", *graph.KEY).distinct().crossJoin(_count(x)).withColumn("v", _vector_number(graph.sentence())).drop("n")
+    written = materialize(distinct, "triples")
+    return similar(written, similarities(x, written.select("q_id", "v"))).drop("v")
+
 
-    Paths and probabilities are read by several branches of what follows, so they are written once.
+def question_triples(x: Inputs, linked: DataFrame, paths: DataFrame, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """(numbers of the hops, similarities with bounds): what p(t) needs, by seed and by question.
+
+    hops: seed, path_ord, hop_ord, v, score, of known triples; bounds: q_id, v, sim, low, high with the
+    least and greatest score of the question's triples. Nothing of a question's hops is joined by text.
     """
-    paths = materialize(candidate_paths(x), "paths")
+    hops = materialize(paths.select("seed", "path_ord", F.posexplode("marks").alias("hop_ord", "h")).where("h.score IS NOT NULL").select("seed", "path_ord", "hop_ord", "h.v", "h.score"), "hops")
+    sims = similarities(x, to_questions(linked, hops.select("seed", "v").distinct()).select("q_id", "v"))
+    ends = to_questions(linked, hops.groupBy("seed").agg(F.min("score").alias("low"), F.max("score").alias("high"))).groupBy("q_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return hops, materialize(sims.hint("merge").join(materialize(ends, "ends").hint("merge"), "q_id"), "bounds")
+
+
+def path_probabilities(linked: DataFrame, hops: DataFrame, bounds: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """q_id, seed_ord, path_ord, len, pl, p: softmax over all paths of a question of the mean log-probability of their triples."""
+    each = similar(to_questions(linked, hops), bounds)
+    pt = ranking.mixed(F.col("sim"), F.col("score"), F.col("low"), F.col("high"), weight)
+    logs = each.select(*ranking.PATH, F.log(F.greatest(pt, F.lit(1e-12))).alias("log"))
+    return ranking.softmax(logs.groupBy(*ranking.PATH).agg(F.count("*").alias("len"), F.round(F.avg("log"), 9).alias("pl")))
+
+
+def with_text(ranked: DataFrame, linked: DataFrame, paths: DataFrame) -> DataFrame:
+    """ranked(q_id, seed_ord, path_ord), already cut, with the text of its paths."""
+    named = materialize(ranked.hint("merge").join(linked.hint("merge"), ["q_id", "seed_ord"]), "ranked")
+    return named.hint("merge").join(paths.select("seed", "path_ord", "path").hint("merge"), ["seed", "path_ord"])
+
+
+def standard(x: Inputs, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all paths with p, hop rows, triple probabilities), with texts, as the feedback gradients read them."""
+    linked, found = candidates(x)
+    paths = materialize(to_questions(linked, found).select(*ranking.PATH, "path", "hops"), "paths")
     hops = ranking.hop_rows(paths).drop("hop")
     probabilities = materialize(ranking.triple_probability(hops, x.kg_scores, triple_similarity(x, hops), weight), "probabilities")
-    return ranking.standard(hops, probabilities).join(paths.select(*ranking.PATH, "path"), ranking.PATH), hops, probabilities
+    return ranking.standard(hops, probabilities), hops, probabilities
+
 
+def ranked_standard(x: Inputs, pruning: int = PRUNING, weight: float = WEIGHT) -> DataFrame:
+    """The first `pruning` paths of each question and seed by probability."""
+    linked, paths = candidates(x, hops=False)
+    ranked = ranking.top_paths(path_probabilities(linked, *question_triples(x, linked, paths), weight), "pl", pruning)
+    return with_text(ranked, linked, paths).select("q_id", "seed_ord", "path_ord", "path", F.round("p", 6).alias("p"), "rank")
 
-def ranked_standard(x: Inputs, pruning: int = PRUNING) -> DataFrame:
-    paths, _, _ = standard(x)
-    return ranking.top_paths(paths, "pl", pruning).select("q_id", "seed_ord", "path_ord", "path", F.round("p", 6).alias("p"), "rank")
+
+def ranked_basic(x: Inputs, sim_threshold: float = 0.0, score_threshold: float = 61.0, pruning: int = PRUNING) -> DataFrame:
+    """q_id, seed_ord, path_ord, path, n_kept, value, rank: the published basic ranking.
+
+    What depends on the path alone (its kept hops and their product) is computed once per seed.
+    """
+    linked, paths = candidates(x, hops=False)
+    kept = F.filter("marks", lambda h: h["score"] >= score_threshold)
+    known = paths.where(~F.exists("marks", lambda h: h["score"].isNull())).select("seed", "path_ord", "v", F.size(kept).alias("n_kept"), F.aggregate(kept, F.lit(1.0), lambda a, h: a * h["score"]).alias("product")).where("n_kept > 0")
+    asked = to_questions(linked, known).drop("seed")
+    near = similar(asked, similarities(x, asked.select("q_id", "v"))).where(F.col("sim") > sim_threshold)
+    ranked = ranking.top_paths(near.withColumn("value", ranking.basic_value(F.col("sim"), F.col("product"), F.col("n_kept"))), "value", pruning)
+    return with_text(ranked, linked, paths).select("q_id", "seed_ord", "path_ord", "path", "n_kept", "value", "rank")
 
 
 COS = "round(list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[]))), 6)"
