@@ -3,12 +3,14 @@
 A text is cut into pieces at sentence ends and line feeds; each is normalised (lower case, comment
 marks, quotes and punctuation gone, spaces collapsed). Pieces in a row are mapped to the identifier
 of a known licence sentence, if they are one: a sentence may be wrapped over lines of a paragraph,
-and those in ACROSS may hold a stop (`v. 2.0`, `Identifier: MIT`). A line that is a known sentence by
+and those in ACROSS may hold a stop (`v. 2.0`, `free software;`). A line that is a known sentence by
 itself is never joined to the line before. A known sentence with a free ending reaches to its stop
 or its paragraph's end, those in SHORT to the end of the line. The
 sequence of identifiers is matched against licence rules in order: at each place the first rule
 whose identifiers follow there without an unknown sentence between them wins, and the scan goes on
-behind it. Known sentences that no rule takes are reported as `unclassified`.
+behind it. Known sentences that no rule takes are reported as `unclassified`. A tag
+`SPDX-License-Identifier:` is read first, as its own sentence; each known identifier of its expression is
+a find, an expression without one is `unclassified`.
 
 Null and empty texts have no licence. Every row is scanned, repeated rows too; a null doc_id is
 carried along. An empty table gives an empty result; further columns are not used.
@@ -38,51 +40,87 @@ SENTENCES = {
     "isc-grant": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted.*",
     "apache2-name": r"(?:this (?:work|software|project|file) is )?(?:licensed|released|distributed) under the apache licen[sc]e version 2(?:\.0)?(?: the license)?",
     "apache2-use": r"you may not use this file except in compliance with the license",
-    "gpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*",
+    "gpl3-free": r"this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 3.*",
+    "gpl2-free": r"this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2.*",
+    "gpl-free": r"this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*",
+    "lgpl3-free": r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 3.*",
+    "lgpl21-free": r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 2\.1.*",
+    "lgpl-free": r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation.*",
+    "agpl-free": r"this (?:program|software) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation.*",
+    "gnu-warranty": r"this (?:program|library) is distributed in the hope that it will be useful but without any warranty.*",
     "gpl2-name": r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed) under the gnu general public licen[sc]e(?: gpl)? version 2(?:\.0)?( only| or later)?",
     "gpl3-name": r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed) under the gnu general public licen[sc]e(?: gpl)? version 3(?:\.0)?( only| or later)?",
     "lgpl-name": r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed) under the gnu lesser general public licen[sc]e.*",
     "agpl-name": r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed) under the gnu affero general public licen[sc]e.*",
     "mpl2-name": r"this source code form is subject to the terms of the mozilla public license v 2(?:\.0)?",
-    "cc-by-nc-4": r"(?:this (?:work|document|text) is )?(?:licensed|released) under (?:the )?(?:cc|creative commons) by nc 4\.0(?: international)?(?: license)?",
-    "cc-by-nc-sa-4": r"(?:this (?:work|document|text) is )?(?:licensed|released) under (?:the )?(?:cc|creative commons) by nc sa 4\.0(?: international)?(?: license)?",
-    "cc-by-sa-4": r"(?:this (?:work|document|text) is )?(?:licensed|released) under (?:the )?(?:cc|creative commons) by sa 4\.0(?: international)?(?: license)?",
-    "cc-by-4": r"(?:this (?:work|document|text) is )?(?:licensed|released) under (?:the )?(?:cc|creative commons) by 4\.0(?: international)?(?: license)?",
     "cc0": r"(?:this (?:work|document|text) is )?(?:licensed|released|dedicated) (?:under|to) (?:cc0|the public domain).*",
-    "spdx-mit": r"spdx license identifier mit",
-    "spdx-apache2": r"spdx license identifier apache 2\.0",
-    "spdx-gpl3": r"spdx license identifier gpl 3\.0.*",
+    "mpl2-copy": r"if a copy of the mpl was not distributed with this file you can obtain one at.*",
+    "epl2-name": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2(?:\.0)?.*",
+    "epl1-name": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1(?:\.0)?.*",
+    "bsl-name": r"(?:distributed under the )?boost software license version 1\.0.*",
+    "bsl-grant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*",
+    "unlicense": r"this is free and unencumbered software released into the public domain",
+    "unlicense-use": r"anyone is free to copy modify publish use compile sell or distribute this software.*",
+    "no-liability": r"in no event (?:will|shall) the (?:authors?|copyright holders?).*",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsd-advertise": r"(?:\d )?all advertising materials mentioning features or use of this software must display the following acknowledgement.*",
+    "bsd-product": r"this product includes software developed by.*",
+    "wtfpl": r"(?:licensed under the )?do what the fuck you want to public license.*",
+    "artistic2-name": r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed) under the artistic licen[sc]e version 2(?:\.0)?",
     "all-rights": r"(?:copyright .* )?all rights reserved",
 }
+#: Creative Commons licences by code, with their long names, and versions.
+CREATIVE = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+SENTENCES |= {
+    f"cc-{code}-{v}": rf"(?:this (?:work|document|text|page) is )?(?:licensed|released|available|distributed) under (?:a |the )?(?:cc |creative commons )(?:{code.replace('-', ' ')}|{name}) {re.escape(v)}(?: international| unported| generic)?(?: licen[sc]e)?"
+    for code, name in CREATIVE.items()
+    for v in VERSIONS
+}
+#: Identifiers of the software package data exchange list that are known in tags.
+SPDX = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0
+CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC
+LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA OFL-1.1
+OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL Zlib""".split()
+SPDX += [f"CC-{code.upper()}-{v}" for code in CREATIVE for v in VERSIONS]
+
 #: Licence rules, tried in this order.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-product", "bsd-endorse"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant", "as-is"]),
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache2-name", "apache2-use"]),
     ("Apache-2.0", ["apache2-name"]),
-    ("Apache-2.0", ["spdx-apache2"]),
     ("MIT", ["mit-name"]),
-    ("MIT", ["spdx-mit"]),
     ("GPL-3.0", ["gpl3-name"]),
-    ("GPL-3.0", ["spdx-gpl3"]),
     ("GPL-2.0", ["gpl2-name"]),
-    ("GPL", ["gpl-free"]),
+    *((licence, [sentence, *rest]) for licence, sentence in (("GPL-3.0", "gpl3-free"), ("GPL-2.0", "gpl2-free"), ("GPL", "gpl-free"), ("LGPL-3.0", "lgpl3-free"), ("LGPL-2.1", "lgpl21-free"), ("LGPL", "lgpl-free"), ("AGPL-3.0", "agpl-free")) for rest in (["gnu-warranty"], [])),
     ("LGPL", ["lgpl-name"]),
     ("AGPL", ["agpl-name"]),
+    ("MPL-2.0", ["mpl2-name", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-name"]),
-    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    ("CC-BY-4.0", ["cc-by-4"]),
+    ("EPL-2.0", ["epl2-name"]),
+    ("EPL-1.0", ["epl1-name"]),
+    ("BSL-1.0", ["bsl-name", "bsl-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("BSL-1.0", ["bsl-name"]),
+    ("Unlicense", ["unlicense", "unlicense-use"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["as-is", "no-liability", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("WTFPL", ["wtfpl"]),
+    ("Artistic-2.0", ["artistic2-name"]),
+    *((f"CC-{code.upper()}-{v}", [f"cc-{code}-{v}"]) for code in CREATIVE for v in VERSIONS),
     ("CC0-1.0", ["cc0"]),
     ("Proprietary", ["all-rights"]),
 ]
 #: Every known sentence holds one of these words.
-WORTH = re.compile(r"licen[sc]e|permission|redistribution|warrant|public domain|cc0|free software|all rights reserved|provided|copyright|endorse", re.I)
+WORTH = re.compile(r"licen[sc]e|permission|redistribution|warrant|public domain|cc0|free software|all rights reserved|provided|copyright|endorse|mpl was not|liable|liability|attribution|creative commons|\bcc\b|distributed|advertising|free to copy|event|product includes", re.I)
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)", re.S)
 _NUMBER = re.compile(r"[^\w\n]*\d{1,3}[.:;]")
@@ -90,12 +128,14 @@ _ITEM = re.compile(_NUMBER.pattern + r"\s")
 _DROP = re.compile(r"[^\w.]+|(?<!\d)\.|\.(?!\d)|_")
 _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES.items()]
 #: Words that known sentences begin with (or a digit).
-FIRST = frozenset("this released licensed distributed dedicated available under the permission redistribution redistributions neither you spdx copyright all".split())
-ACROSS = frozenset(["spdx-mit", "spdx-apache2", "spdx-gpl3", "mpl2-name", "gpl-free"])
-SHORT = frozenset(["lgpl-name", "agpl-name", "cc0", "spdx-gpl3"])
+FIRST = frozenset("this released licensed distributed dedicated available under the permission redistribution redistributions neither you copyright all if in boost do anyone".split())
+ACROSS = frozenset(["mpl2-name", "epl1-name", "epl2-name", "gpl-free", "gpl2-free", "gpl3-free", "lgpl-free", "lgpl21-free", "lgpl3-free", "agpl-free", "gnu-warranty"])
+SHORT = frozenset(["lgpl-name", "agpl-name", "cc0", "wtfpl", "bsl-name"])
 MOST_LINES = 16  # a known sentence's fixed words are looked for in so many pieces
 _OPEN = frozenset(name for name, p in SENTENCES.items() if p.endswith(".*"))
 _STOP = re.compile(r"[.!?;:]\s*\Z")
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*(?:\n[^\w\n(]*)?([^\n]*?)[ \t]*(?:\*/|-->|$)", re.M)
+_PART = re.compile(r"[A-Za-z0-9.+-]+")
 _BLANK = re.compile(r"\n[^\w\n]*\n")
 
 
@@ -144,6 +184,8 @@ def known_sentences(text: str) -> Iterator[tuple[str | None, int, int]]:
         if name in _OPEN and name not in SHORT:
             while not stops[last] and not ends[last] and alone[last + 1] is None:
                 last += 1
+            whole = " ".join(plain[i : last + 1])  # what follows may make it a more special one
+            name = next(n for n, p in _KNOWN if p.fullmatch(whole))
         elif name and name not in SHORT:
             pattern, j, joined = re.compile(SENTENCES[name]), last, " ".join(plain[i : last + 1])
             while j < last + 3 and not stops[j] and not ends[j] and alone[j + 1] is None:
@@ -158,8 +200,13 @@ def scan(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
     """(licence, start, end) in order, ends exclusive, in code points."""
     if not text or not WORTH.search(text):
         return []
-    known = list(known_sentences(text))
+    tags = list(_TAG.finditer(text))
     out, i = [], 0
+    for tag in reversed(tags):
+        ids = [x for x in _PART.findall(tag[1]) if x in SPDX] or ["unclassified"]
+        out = [(x, tag.start(), tag.end(1)) for x in ids] + out
+        text = text[: tag.start()] + "\n" * (tag.end() - tag.start()) + text[tag.end() :]
+    known = list(known_sentences(text))
     while i < len(known):
         if known[i][0] is None:
             i += 1
@@ -170,7 +217,7 @@ def scan(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
                 out.append((licence, start + len(text[start:end]) - len(text[start:end].lstrip()), end))
                 i += len(wanted)
                 break
-    return out
+    return sorted(out, key=lambda f: f[1:]) if tags else out
 
 
 def licences(docs: DataFrame, rules=RULES) -> DataFrame:
