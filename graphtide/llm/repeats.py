@@ -9,7 +9,7 @@ every occurrence of its windows.
 1. Each chunk of documents sends its distinct anchors (40 bits of them) to the anchors' buckets and
    learns which stand in two documents or more, and which of those have HOT windows or more. Windows
    of such a hot anchor are keyed by a hash of the whole window instead, so that a passage that very
-   many documents share is dealt over all buckets.
+   many documents share is dealt over all buckets; such a window is a tree of its own.
 2. It sends its distinct super-windows with repeated anchors, each with its smallest doc_id, to the
    buckets. A bucket builds an enhanced suffix array of their window starts: suffixes in order and
    the common prefix of neighbours, each suffix up to its super-window's end. A stack scan gives the
@@ -54,7 +54,7 @@ from graphtide.session import discard, materialize, remove, shared_dir
 
 LEAST, GRAM, CUT = 50, 16, 512
 CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 8192, 3 << 24, 16_000_000, 20_000
-HOT = 1 << 16  # windows of an anchor above which it is split
+HOT = 1 << 18  # windows of an anchor above which it is split
 _NOBODY = np.iinfo(np.int64).max
 _SLICE = 2_000_000
 _BATCH = 1_500_000  # window starts sorted at once
@@ -151,12 +151,13 @@ class Chunk:
         order = np.lexsort((self.docs[row], digest[:, 1], digest[:, 0], key))
         key, digest = key[order], digest[order]
         new = np.append(True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]).any(1))[: len(key)]
-        return Contents(row[order], start[order], count[order], np.cumsum(new) - 1, np.flatnonzero(new), key[new], digest[new])
+        alone = (np.arange(len(start)) >= len(whole))[order]
+        return Contents(row[order], start[order], count[order], np.cumsum(new) - 1, np.flatnonzero(new), key[new], digest[new], alone[new])
 
 
 @dataclass
 class Contents:
-    """Members (sorted by key, content and doc_id) of different contents; the first member of each content, its key and digest."""
+    """Members (sorted by key, content and doc_id) of different contents; the first member of each content, its key and digest, and whether it is a window of a hot anchor."""
 
     row: np.ndarray
     start: np.ndarray
@@ -165,6 +166,7 @@ class Contents:
     first: np.ndarray
     key: np.ndarray
     digest: np.ndarray
+    alone: np.ndarray
 
 
 def _by_bucket(anchor: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -288,9 +290,10 @@ def _ask(to: Setting) -> Callable:
         number, rows = docs.column("chunk")[0].as_py(), []
         for bucket, at in _by_bucket(c.key, to.buckets):
             first = c.first[at]
-            text = chunk.data[ranges(c.start[first], c.count[first] + to.least - 1)]
+            count = np.where(c.alone[at] & (not to.groups), 0, c.count[first])  # 0: a window that no other content can meet, sent without its text
+            text = chunk.data[ranges(c.start[first], np.where(count, count + to.least - 1, 0))]
             parts = chunk.docs[c.row[first]].tobytes(), _narrow(c.digest[at], 16, 10), members[at].astype("<i4").tobytes() if to.groups else None, packed(text.tobytes())
-            rows.append((number, bucket, _short(c.key[at], to.buckets), c.count[first].astype("<u2").tobytes(), *parts))
+            rows.append((number, bucket, _short(c.key[at], to.buckets), count.astype("<u2").tobytes(), *parts))
         return _table(rows, _ASKED)
 
     return work
@@ -417,7 +420,8 @@ class Bucket:
         digest, unpacked = _wide(_joined(table, "digests", np.uint8), 16, 10), zstandard.ZstdDecompressor().decompress
         members = _joined(table, "members", "<i4").astype(np.int64) if groups else np.ones(len(key), np.int64)
         text = np.frombuffer(b"".join(unpacked(x) for x in table.column("text").to_pylist()), np.uint8)
-        begin = np.cumsum(count + least - 1) - (count + least - 1)
+        sizes = np.where(count, count + least - 1, 0)
+        begin = np.cumsum(sizes) - sizes
         order = np.lexsort((doc, digest[:, 1], digest[:, 0], key))
         new = np.append(True, (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1))
         self.content = np.empty(len(order), np.int64)  # of each entry asked for
@@ -465,7 +469,7 @@ class Bucket:
 def _answer(to: Setting) -> Callable:
     def work(table: pa.Table) -> pa.Table:
         b = Bucket(table, to.least)
-        alone = np.append(True, b.key[1:] != b.key[:-1]) & np.append(b.key[1:] != b.key[:-1], True)
+        alone = (b.count == 0) | np.append(True, b.key[1:] != b.key[:-1]) & np.append(b.key[1:] != b.key[:-1], True)
         contents, begins, lengths = [], [], []
         for content, start, docs, tree in b.trees(np.flatnonzero(~alone), True):
             cover = covers(tree, docs)
