@@ -198,11 +198,53 @@ def test_decontamination_finds_exactly_what_is_within_the_budget(spark):
             distance = edit_distance_inside(item.lower(), text.lower()) if text else 99
             assert ((i, k) in got) == (distance <= allowed), (i, k, distance, allowed)
             assert (i, k) not in got or got[i, k] == distance
+    assert got.keys() == {(r.doc_id, r.item_id) for r in decontaminate.matches(df.repartition(7), bench, block_chars=10**6).collect()}
     kept = decontaminate.clean(df, bench)
     assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {i for i, _ in got} and kept.columns == df.columns
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_awkward(spark, awkward, nothing):
+    plain = AWKWARD[0][1]
+    bench = spark.createDataFrame([(1, plain), (2, plain), (None, plain), (3, "tiny"), (4, "  "), (5, None), (6, "Yes\t"), (7, "word " * 40)], "item_id long, text string")
+    docs = awkward.unionByName(spark.createDataFrame([(20, "a\n tiny \nyes\nno", "x"), (21, "tiny steps, yes", "x"), (22, plain.upper(), "x"), (22, plain, "x")], SCHEMA))
+    wide = docs.selectExpr("doc_id", "text", "fp", "1 AS item_id", "2 AS start", "3 AS edits")
+    got = decontaminate.matches(wide, bench).collect()
+    counts = {}
+    for r in got:
+        counts[r.doc_id, r.item_id] = counts.get((r.doc_id, r.item_id), 0) + 1
+        assert r.edits == 0
+    assert 600 < counts.pop((5, 7)) <= 750  # finds that do not overlap
+    assert counts == {(d, i): n for d, n in ((1, 1), (4, 2), (22, 2)) for i in (1, 2, None)} | {(20, 3): 1, (20, 6): 1}
+    assert sorted((r.start, r.end) for r in got if r.doc_id == 20) == [(3, 7), (9, 12)]
+    kept = decontaminate.clean(wide, bench)
+    assert kept.columns == wide.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "21", "3", "6", "7", "None"]
+    assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.clean(nothing, bench).count() == 0
+
+
+def test_decontamination_of_repeated_characters():
+    import time
+
+    item = "def f(x):" + " " * 400 + "return x + 1  # " + "=-" * 60
+    items = decontaminate.Items.of([(1, item), (2, "=" * 300)], 8, 0.1)
+    began = time.process_time()
+    texts = [" " * 500_000, "ab " * 1000 + item.replace("x + 1", "y + 2") + "=-" * 100_000, "=" * 5_000]
+    found = decontaminate.search(items, texts)
+    assert time.process_time() - began < 60
+    assert [f for f in found if f[0] == 0] == [] and [(f[1], f[2] // 10, f[4]) for f in found if f[0] == 1] == [(0, 300, 2)]
+    assert len([f for f in found if f[:2] == (2, 1) and f[4] == 0]) >= 12
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_diagonal_counts(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    hits, places = np.flatnonzero(rng.random(300) < 0.6), np.flatnonzero(rng.random(40) < 0.5)
+    want = np.bincount((hits[:, None] - places + 40).ravel(), minlength=340)
+    assert np.array_equal(decontaminate.diagonal_counts(hits, places, 300, 40), want)
+    hits, places = np.arange(0, 40_000, 2), np.arange(0, 200, 2)
+    assert np.array_equal(decontaminate.diagonal_counts(hits, places, 40_000, 200), np.bincount((hits[:, None] - places + 200).ravel(), minlength=40_200))
+
+
 # op5
 
 
