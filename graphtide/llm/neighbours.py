@@ -6,9 +6,12 @@ shard has `trees` sorted arrays of 32-bit hash strings, bit i being the side of
 of the tree (rows of random rotations; vectors are first lifted by one coordinate to equal norms, so
 that angle follows inner product). A query descends to its longest matching prefixes and all trees
 ascend together, one bit at a time, until at least `share` of the shard's entries (counted with
-repetition over the trees) share a prefix with it; those are scored. Queries go to all shards in
-blocks of about `block_rows`; each shard keeps a query's best and the best of all shards are merged.
-Every row is in the index, nothing is fitted on a sample.
+repetition over the trees) share a prefix with it; those are scored. Every row is in the index,
+nothing is fitted on a sample.
+
+Different query vectors are broadcast in blocks of at most BLOCK_BYTES (about `block_rows` rows); a
+pass over the shards answers one block, each task keeping a query's best over all its shards, so
+neither entries nor queries are ever multiplied. A pass is written before the next one begins.
 
 On vectors without structure the neighbours of a query are hardly nearer than the rest, so much of a
 shard has to be scored for a high recall; `share` is that price.
@@ -22,6 +25,7 @@ not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.llm.common import column
-from graphtide.session import materialize
+from graphtide.session import discard, materialize
 
-K, QUERY_STEP, TREES, SHARE, SHARD_ROWS, BLOCK_ROWS = 20, 20, 32, 0.9, 8192, 4096
+K, QUERY_STEP, TREES, SHARE, SHARD_ROWS, BLOCK_ROWS = 20, 20, 32, 0.9, 8192, 16_384
+BLOCK_BYTES = 64_000_000
 _BITS, _LEAST, _SEED = 32, 1024, 11
 
 
@@ -130,27 +135,42 @@ class Forest:
             yield i, found, scores
 
 
-def _search(k: int, trees: int, share: float):
-    def work(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        keys = queries.column("key").to_pylist()
-        by_size: dict[int, list[int]] = {}
-        for i, key in enumerate(keys):
-            by_size.setdefault(len(key), []).append(i)
-        stored = rows.column("key").to_pylist()
-        ids = rows.column("ids").to_pylist()
-        for size, mine in by_size.items():
-            there = [i for i, key in enumerate(stored) if len(key) == size]
-            if not there:
-                continue
-            vectors = np.frombuffer(b"".join(stored[i] for i in there), np.float64).reshape(len(there), -1)
-            asked = np.frombuffer(b"".join(keys[i] for i in mine), np.float64).reshape(len(mine), -1)
-            for i, found, scores in Forest(vectors, trees).nearest(asked, k + 1, max(_LEAST, int(share * len(there)))):
-                for e, s in zip(found.tolist(), scores.tolist(), strict=True):
-                    out[0].append(keys[mine[i]])
-                    out[1].append(ids[there[e]])
-                    out[2].append(s)
-        return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], names=["key", "ids", "score"])
+def _search(shared, k: int, trees: int, share: float, shard_rows: int):
+    """The k best entries of each query of the block in a task's shards."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[bytes]] = {}
+        for key in shared.value:
+            by_size.setdefault(len(key), []).append(key)
+        best: dict[bytes, list[tuple[float, list[int]]]] = {}
+        held: dict[int, tuple[list[bytes], list[list[int]]]] = {}
+
+        def answer(size: int) -> None:
+            stored, ids = held.pop(size)
+            asked = np.frombuffer(b"".join(by_size[size]), np.float64).reshape(len(by_size[size]), -1)
+            vectors = np.frombuffer(b"".join(stored), np.float64).reshape(len(stored), -1)
+            for i, found, scores in Forest(vectors, trees).nearest(asked, k, max(_LEAST, int(share * len(stored)))):
+                mine = best.setdefault(by_size[size][i], [])
+                mine += [(s, ids[e]) for e, s in zip(found.tolist(), scores.tolist(), strict=True)]
+                if len(mine) > 4 * k:
+                    mine.sort(key=lambda f: (-f[0], f[1][0]))
+                    del mine[k:]
+
+        for batch in batches:
+            for key, ids in zip(column(batch, "key").to_pylist(), column(batch, "ids").to_pylist(), strict=True):
+                if len(key) not in by_size:
+                    continue
+                one = held.setdefault(len(key), ([], []))
+                one[0].append(key)
+                one[1].append(ids)
+                if len(one[0]) >= shard_rows:
+                    answer(len(key))
+        for size in list(held):
+            answer(size)
+        rows = [(key, ids, s) for key, mine in best.items() for s, ids in sorted(mine, key=lambda f: (-f[0], f[1][0]))[:k]]
+        for at in range(0, len(rows), 20_000):
+            part = list(zip(*rows[at : at + 20_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), pa.array(part[1], pa.list_(pa.int64())), pa.array(part[2], pa.float64())], names=["key", "ids", "score"])
 
     return work
 
@@ -158,18 +178,28 @@ def _search(k: int, trees: int, share: float):
 def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by query_step, among all rows of vectors(vec_id, embedding)."""
     named = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    parts = named.mapInArrow(_entries(k + 1), "key binary, ids array<long>")
+    shards = max(1, -(-named.count() // shard_rows))
+    parts = named.mapInArrow(_entries(k + 1), "key binary, ids array<long>").repartition(shards, "key")
     entries = materialize(parts.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "entries")
     queries = materialize(named.where(F.col("vec_id") % query_step == 0).mapInArrow(_asked, "key binary, query_id long").where(F.col("key").isNotNull()), "queries")
     asked = queries.select("key").distinct()
-    shards, blocks = max(1, -(-entries.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    sent = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    found = rows.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(_search(k, trees, share), "key binary, ids array<long>, score double")
-    each = found.select("key", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    top = materialize(each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "top")
+    rows, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    blocks = max(1, -(-rows // block_rows), -(-size // BLOCK_BYTES))
+    passes = []
+    for b in range(blocks):
+        keys = [bytes(r[0]) for r in asked.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(blocks)) == b).collect()]  # a block
+        if keys:
+            shared = vectors.sparkSession.sparkContext.broadcast(sorted(keys))
+            found = entries.mapInArrow(_search(shared, k + 1, trees, share, shard_rows), "key binary, ids array<long>, score double")
+            each = found.select("key", "score", F.explode("ids").alias("vec_id"))
+            best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+            passes.append(materialize(each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "pass"))
+            shared.unpersist()
+    if not passes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    top = reduce(DataFrame.unionByName, passes)
     pairs = queries.distinct().hint("merge").join(top.hint("merge"), "key").where(F.col("vec_id") != F.col("query_id"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(entries, queries, *passes)
+    return out
