@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +72,13 @@ def em_f1(df: DataFrame) -> DataFrame:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time."""
+    numbers: dict[str, int] = {}
+    left, right = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (a, b))
+    row = np.zeros(len(right) + 1, np.int64)
+    for x in left if len(right) else ():
+        row[1:] = np.maximum.accumulate(np.where(right == x, row[:-1] + 1, row[1:]))
+    return int(row[-1])
 
 
 def rouge_l(df: DataFrame) -> DataFrame:

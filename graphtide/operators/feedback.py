@@ -20,13 +20,13 @@ def fold(scores: DataFrame, deltas: DataFrame, order: list[str], step=None) -> D
     """
     step = step or (lambda a, d: clamp(a + d))
     grouped = deltas.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("delta").cast("double").alias("delta")))).alias("steps"))
-    return scores.join(grouped, KEY).select(*KEY, F.aggregate("steps", F.col("score").cast("double"), lambda a, x: step(a, x["delta"])).alias("score"))
+    return scores.hint("merge").join(grouped.hint("merge"), KEY).select(*KEY, F.aggregate("steps", F.col("score").cast("double"), lambda a, x: step(a, x["delta"])).alias("score"))
 
 
 def next_iteration(scores: DataFrame, folded: DataFrame, iteration: int) -> DataFrame:
     """The next generation of scores; triples without a change are carried over."""
     new = folded.select(*KEY, F.col("score").alias("new_score"))
-    return scores.join(new, KEY, "left").select(*KEY, F.coalesce("new_score", "score").alias("score"), F.lit(iteration).alias("iteration"))
+    return scores.hint("merge").join(new.hint("merge"), KEY, "left").select(*KEY, F.coalesce("new_score", "score").alias("score"), F.lit(iteration).alias("iteration"))
 
 
 def flip_labels(labels: DataFrame, noise: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators.components import components
 from graphtide.operators.graph import KEY, rename
+from graphtide.session import materialize
 
 
 def pair_groups(facts: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def keep_delete(groups: DataFrame, keep: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.size("facts")).over(Window.partitionBy("q_id").orderBy("group_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     flat = groups.withColumn("before", before).select("q_id", "group_ord", "before", F.posexplode("facts").alias("i", "fact")).withColumn("id", F.col("before") + F.col("i"))
     kept = keep.select("q_id", F.col("id").cast("long").alias("id"), F.lit(True).alias("kept")).distinct()
-    joined = flat.withColumn("id", F.col("id").cast("long")).join(kept, ["q_id", "id"], "left")
+    joined = flat.withColumn("id", F.col("id").cast("long")).hint("merge").join(kept.hint("merge"), ["q_id", "id"], "left")
     decided = F.max(F.coalesce("kept", F.lit(False))).over(Window.partitionBy("q_id", "group_ord"))
     return joined.withColumn("decided", decided).select("q_id", "fact", F.when(F.col("kept"), "keep").when(F.col("decided"), "delete").otherwise("undecided").alias("decision"))
 
@@ -68,54 +70,124 @@ def redundancy_rate(decisions: DataFrame) -> DataFrame:
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers of average-linkage clustering on cosine distance, cut at the threshold; numbered by first member."""
+    """Cluster numbers of average-linkage clustering on cosine distance, cut at the threshold; numbered by first member.
+
+    A merge updates the distances of one row (the mean of two clusters' distances, weighted by size), so
+    all takes the square of the number of vectors.
+    """
+    n = len(vectors)
     unit = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-12)
-    distance = 1 - unit @ unit.T
-    members = [[i] for i in range(len(vectors))]
-    while len(members) > 1:
-        best, pair = threshold, None
-        means = [[distance[np.ix_(a, b)].mean() for b in members[:i]] for i, a in enumerate(members)]
-        for i, row in enumerate(means):
-            for j, d in enumerate(row):
-                if d < best:
-                    best, pair = d, (j, i)
-        if pair is None:
+    distance = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(distance, np.inf)
+    size, owner = np.ones(n), np.arange(n)
+    nearest = distance.argmin(1) if n > 1 else np.zeros(n, int)
+    low = distance[np.arange(n), nearest] if n > 1 else np.full(n, np.inf)
+    while n > 1:
+        i = int(low.argmin())
+        if not low[i] < threshold:
             break
-        members[pair[0]] += members.pop(pair[1])
-    out = np.zeros(len(vectors), int)
-    for n, group in enumerate(sorted(members, key=min)):
-        out[group] = n
-    return out
+        a, b = sorted((i, int(nearest[i])))
+        row = (size[a] * distance[a] + size[b] * distance[b]) / (size[a] + size[b])
+        row[[a, b]] = np.inf
+        distance[a], distance[:, a] = row, row
+        distance[b], distance[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        owner[owner == b] = a
+        low[b] = np.inf
+        again = np.flatnonzero((nearest == a) | (nearest == b))
+        nearest[again], low[again] = distance[again].argmin(1), distance[again].min(1)
+        closer = np.flatnonzero((row < low) & np.isfinite(row))
+        nearest[closer], low[closer] = a, row[closer]
+        nearest[a], low[a] = row.argmin(), row.min()
+    return np.unique(owner, return_inverse=True)[1]
+
+
+def close_pairs(items: DataFrame, threshold: float | str, chunk_rows: int = 1024) -> DataFrame:
+    """(a, b) of items(q_id, id, vec), ids of one question whose cosine distance is below the threshold (a number or a column of the items).
+
+    A question with over chunk_rows items is cut into chunks and each pair of chunks compared in a task
+    of its own; only close pairs leave it.
+    """
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    rows = items.select("q_id", "id", "vec", limit.cast("double").alias("limit"))
+    sizes = rows.groupBy(F.col("q_id").alias("of")).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
+    dealt = rows.hint("merge").join(materialize(sizes, "sizes").hint("merge"), F.col("q_id") == F.col("of")).withColumn("own", own).select("q_id", "id", "vec", "limit", "own", F.explode(others).alias("c"))
+    dealt = dealt.select("q_id", "id", "vec", "limit", "own", "c.x", "c.y")
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.array(frame["vec"].tolist(), float)
+        matrix /= np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
+        ids, own_, x, y = frame["id"].to_numpy(), frame["own"].to_numpy(), int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+        left, right = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
+        i, j = np.nonzero(np.round(1 - matrix[left] @ matrix[right].T, 9) < float(frame["limit"].iloc[0]))
+        a, b = ids[left[i]], ids[right[j]]
+        keep = a < b if x == y else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return dealt.groupBy("q_id", "x", "y").applyInPandas(work, "a long, b long")
+
+
+def _joined(items: DataFrame, threshold: float | str) -> DataFrame:
+    """items(q_id, id, ...) with label, the smallest id that close pairs lead to; written."""
+    labels = components(close_pairs(items, threshold))
+    found = items.hint("merge").join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+    return materialize(found, "joined")
+
+
+def numbered_items(items: DataFrame) -> DataFrame:
+    """items with an id; written, so that the ids stay."""
+    return materialize(items.withColumn("id", F.monotonically_increasing_id()), "items")
 
 
 def cluster(items: DataFrame, threshold: float | str = 0.25) -> DataFrame:
-    """q_id, name, cluster for items(q_id, name, vec): the entities or facts of one question at a time.
+    """q_id, name, cluster for items(q_id, name, vec): average linkage on cosine distance within each question; a cluster is named by its first name.
 
-    threshold is a number or a column of the items. A question's items are a short list by nature;
-    for long lists block them first (pair_groups).
+    threshold is a number or a column of the items. Clusters that merge have a pair below the threshold,
+    so a cluster lies within a component of close pairs: linkage runs inside the components.
     """
+    joined = _joined(numbered_items(items), threshold)
+
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("name", kind="stable").reset_index(drop=True)
         cut = float(frame[threshold].iloc[0]) if isinstance(threshold, str) else threshold
-        frame["cluster"] = average_linkage(np.array(frame["vec"].tolist(), float), cut)
+        number = average_linkage(np.array(frame["vec"].tolist(), float), cut)
+        frame["cluster"] = frame["name"].groupby(number).transform("first")
         return frame[["q_id", "name", "cluster"]]
 
-    return items.groupBy("q_id").applyInPandas(work, "q_id long, name string, cluster long")
+    return joined.groupBy("q_id", "label").applyInPandas(work, "q_id long, name string, cluster string")
+
+
+def dbscan(items: DataFrame, eps: float = 0.05) -> DataFrame:
+    """q_id, name, cluster: density clustering with two points as least, which is components of pairs within eps; noise stays alone. A cluster is named by its first name."""
+    joined = _joined(numbered_items(items), eps)
+    first = joined.groupBy(F.col("label").alias("of")).agg(F.min("name").alias("cluster"))
+    return joined.hint("merge").join(materialize(first, "first").hint("merge"), F.col("label") == F.col("of")).select("q_id", "name", "cluster")
+
+
+def large_clusters(clusters: DataFrame, least: int = 2) -> DataFrame:
+    """q_id, cluster, names of the clusters with `least` members or more."""
+    return clusters.groupBy("q_id", "cluster").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") >= least)
+
+
+def adaptive_threshold(items: DataFrame, text: str = "name", most_numbers: int = 25, few: float = 0.15, many: float = 0.05) -> DataFrame:
+    """items with threshold: `many` for questions with more than most_numbers different numbers in their texts, else `few`."""
+    numbers = items.select(F.col("q_id").alias("of"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\d+"), F.lit(0))).alias("number")).distinct()
+    counted = materialize(numbers.groupBy("of").agg(F.count("*").alias("numbers")), "numbers")
+    threshold = F.when(F.coalesce("numbers", F.lit(0)) > most_numbers, many).otherwise(few)
+    return items.hint("merge").join(counted.hint("merge"), F.col("q_id") == F.col("of"), "left").withColumn("threshold", threshold).drop("of", "numbers")
 
 
 def substring_suppress(ranked: DataFrame, limit: int) -> DataFrame:
-    """q_id, seed_ord, rank, path of ranked(q_id, seed_ord, rank, path): in rank order a path inside a kept one is skipped and one that contains a kept one takes its place."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        for path in frame.sort_values("rank")["path"]:
-            if any(path in k for k in kept):
-                continue
-            inside = next((i for i, k in enumerate(kept) if k in path), None)
-            if inside is not None:
-                kept[inside] = path
-            elif len(kept) < limit:
-                kept.append(path)
-        return pd.DataFrame({"q_id": frame["q_id"].iloc[0], "seed_ord": frame["seed_ord"].iloc[0], "rank": range(1, len(kept) + 1), "path": kept})
-
-    return ranked.groupBy("q_id", "seed_ord").applyInPandas(fold, "q_id long, seed_ord int, rank int, path string")
+    """q_id, seed_ord, rank, path of ranked(q_id, seed_ord, rank, path): in rank order a path inside a kept one is skipped and one that contains a kept one takes the place of the first such; else it is kept if fewer than limit are."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda r: r["path"])
+
+    def step(kept: Column, path: Column) -> Column:
+        inside = F.array_position(F.transform(kept, lambda k: F.contains(path, k)), F.lit(True))
+        replaced = F.transform(kept, lambda k, i: F.when(i + 1 == inside, path).otherwise(k))
+        fresh = F.when(inside > 0, replaced).when(F.size(kept) < limit, F.concat(kept, F.array(path))).otherwise(kept)
+        return F.when(F.exists(kept, lambda k: F.contains(k, path)), kept).otherwise(fresh)
+
+    folded = ranked.groupBy("q_id", "seed_ord").agg(F.aggregate(ordered, F.array().cast("array<string>"), step).alias("kept"))
+    return folded.select("q_id", "seed_ord", F.posexplode("kept").alias("rank", "path")).withColumn("rank", F.col("rank") + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from graphtide.operators import evaluate, feedback, graph, ranking, redundancy
 from graphtide.operators.vectors import vector_index
 from graphtide.plans import retrieve
 from graphtide.plans.fixtures import duck
+from graphtide.session import shared_dir
+from graphtide.sources import sinks
+from graphtide.sources.vector_store import VectorStore
 
 KEY = graph.KEY
 T = "kg_triples"
@@ -117,29 +122,80 @@ def sink_dictionary_encode(x):
     return graph.dictionary_encode(x.kg_triples)
 
 
-@register("vec_store_subset", duck("entity_vectors", "SELECT name, vec[1] AS v1 FROM entity_vectors WHERE name IN (SELECT c_name FROM customer)"))
+def _store(x, name: str) -> VectorStore:
+    """An empty store in the shared folder whose encoder looks vectors up by the digest of the name."""
+    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/store-{name}-{uuid.uuid4().hex}"
+    return VectorStore(x.spark, path, lambda names: vector_index(x.embeddings, names, "name"))
+
+
+def _customers(x):
+    return x.customer.select(F.col("c_name").alias("name"))
+
+
+def _segments(x):
+    return x.customer.select(F.col("c_mktsegment").alias("name"))
+
+
+def _first(rows):
+    return rows.select("name", F.col("vec")[0].alias("v1"), F.size("vec").alias("dims"))
+
+
+_V = "name, vec[1] AS v1, len(vec) AS dims"
+_MORE = "SELECT name, embedding AS vec FROM (SELECT DISTINCT c_mktsegment AS name FROM customer) CROSS JOIN vec_count JOIN embeddings ON vec_id = ('0x' || substr(md5(name), 1, 6))::INT % n"
+
+
+@register("vec_store_build", duck("entity_vectors", f"SELECT {_V} FROM entity_vectors"))
+def vec_store_build(x):
+    return _first(_store(x, "build").build(x.kg_entities))
+
+
+@register("vec_store_subset", duck("entity_vectors", f"SELECT {_V} FROM entity_vectors WHERE name IN (SELECT c_name FROM customer)"))
 def vec_store_subset(x):
-    return x.entity_vectors.join(x.customer.select(F.col("c_name").alias("name")), "name", "left_semi").select("name", F.col("vec")[0].alias("v1"))
+    store = _store(x, "subset")
+    store.build(x.kg_entities)
+    return _first(store.subset(_customers(x).union(x.region.select(F.lit("no such name").alias("name")))))
 
 
-@register("vec_store_remove", duck("entity_vectors", "SELECT name FROM entity_vectors WHERE name NOT IN (SELECT c_name FROM customer)"))
+@register("vec_store_remove", duck("entity_vectors", f"SELECT {_V} FROM entity_vectors WHERE name NOT IN (SELECT c_name FROM customer)"))
 def vec_store_remove(x):
-    return x.entity_vectors.join(x.customer.select(F.col("c_name").alias("name")), "name", "left_anti").select("name")
+    store = _store(x, "remove")
+    store.build(x.kg_entities)
+    store.remove(_customers(x))
+    return _first(store.load())
 
 
-@register("vec_store_add", duck("entity_vectors", "SELECT name FROM entity_vectors UNION SELECT c_mktsegment FROM customer"))
+@register("vec_store_add", duck("entity_vectors vec_count", f"SELECT {_V} FROM (SELECT * FROM entity_vectors UNION ALL {_MORE}) a"))
 def vec_store_add(x):
-    return x.entity_vectors.select("name").union(x.customer.select("c_mktsegment")).distinct()
+    store = _store(x, "add")
+    store.build(x.kg_entities)
+    store.add(_segments(x))
+    return _first(store.load())
 
 
-@register("vec_store_incremental", duck("kg_entities", "SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment NOT IN (SELECT name FROM kg_entities)"))
+@register("vec_store_incremental", duck("entity_vectors vec_count", f"SELECT {_V} FROM (SELECT * FROM entity_vectors WHERE name IN (SELECT c_name FROM customer) UNION ALL {_MORE}) a"))
 def vec_store_incremental(x):
-    return x.customer.select(F.col("c_mktsegment").alias("name")).distinct().join(x.kg_entities, "name", "left_anti")
+    """Only what the store lacks is encoded and appended."""
+    store = _store(x, "incremental")
+    store.build(x.kg_entities.join(_customers(x).hint("merge"), "name", "left_anti"))
+    return _first(store.add(x.kg_entities.union(_segments(x)).union(x.kg_entities)))
 
 
-@register("vec_store_snapshot", duck("entity_vectors", "SELECT name, 3 AS iteration FROM entity_vectors"))
+@register("vec_store_snapshot", duck("entity_vectors", f"SELECT {_V}, 3 AS iteration FROM entity_vectors"))
 def vec_store_snapshot(x):
-    return x.entity_vectors.select("name", F.lit(3).alias("iteration"))
+    store = _store(x, "snapshot")
+    store.build(x.kg_entities)
+    store.snapshot(2)
+    now = store.snapshot(3)
+    return now.select("name", F.col("vec")[0].alias("v1"), F.size("vec").alias("dims"), "iteration")
+
+
+@register("sink_stage_rows", duck("q_eval", "SELECT q_id, question, p1 AS response, contains(lower(prediction), lower(w1)) AS label, it AS iteration FROM q_eval CROSS JOIN (SELECT 1 AS it UNION ALL SELECT 2) i"))
+def sink_stage_rows(x):
+    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/stages-{uuid.uuid4().hex}"
+    rows = x.q_eval.select("q_id", "question", F.col("p1").alias("response"), evaluate.any_match(F.col("prediction"), F.array("w1")).alias("label"))
+    for iteration in (1, 2, 2):
+        sinks.write_stage_rows(rows, path, iteration)
+    return x.spark.read.parquet(path)
 
 
 @register("sample_n", duck(T, "SELECT head, rel, tail FROM kg_triples ORDER BY md5(concat_ws(' ', head, rel, tail)), head, rel, tail LIMIT 1200"))
@@ -241,11 +297,51 @@ def rd_apply_deletes(x):
     return redundancy.apply_deletes(x.kg_scores, x.kg_scores.where("rel = 'contains' AND score < 60"))
 
 
+def _fact_items(x):
+    """Facts of each question by sentence, with the vector of the sentence."""
+    return vector_index(x.embeddings, x.facts.select(F.col("q_ord").cast("long").alias("q_id"), *KEY, graph.sentence().alias("name")), "name")
+
+
+@register("rd_cluster_triples")
+def rd_cluster_triples(x):
+    return redundancy.large_clusters(redundancy.cluster(_fact_items(x).select("q_id", "name", "vec"), 0.15))
+
+
+@register("rd_cluster_triples_average")
+def rd_cluster_triples_average(x):
+    """The form that takes the mean of head and tail vectors."""
+    facts = _fact_items(x).select("q_id", "name", *KEY)
+    ends = vector_index(x.embeddings, graph.entities(facts), "name")
+    head, tail = (ends.select(F.col("name").alias(c), F.col("vec").alias(v)).hint("merge") for c, v in (("head", "hv"), ("tail", "tv")))
+    both = facts.hint("merge").join(head, "head").hint("merge").join(tail, "tail")
+    items = both.select("q_id", "name", F.zip_with("hv", "tv", lambda a, b: (a.cast("double") + b.cast("double")) / 2).alias("vec"))
+    return redundancy.large_clusters(redundancy.cluster(items, 0.25))
+
+
+@register("rd_cluster_adaptive")
+def rd_cluster_adaptive(x):
+    renamed = graph.rename(x.facts, _mapping(x)).select(F.col("q_ord").cast("long").alias("q_id"), graph.sentence().alias("name")).distinct()
+    items = redundancy.adaptive_threshold(vector_index(x.embeddings, renamed, "name"))
+    return redundancy.large_clusters(redundancy.cluster(items.select("q_id", "name", "vec", "threshold"), "threshold"))
+
+
+_DBSCAN = """WITH RECURSIVE __VIEWS__,
+item AS MATERIALIZED (SELECT q_ord AS q_id, concat_ws(' ', head, replace(rel, '_', ' '), tail) AS name, embedding AS vec FROM facts CROSS JOIN vec_count JOIN embeddings ON vec_id = ('0x' || substr(md5(concat_ws(' ', head, replace(rel, '_', ' '), tail)), 1, 6))::INT % n),
+near AS MATERIALIZED (SELECT a.q_id, a.name AS a, b.name AS b FROM item a JOIN item b ON a.q_id = b.q_id AND a.name <> b.name WHERE 1 - __COS__ < 0.05),
+reach AS (SELECT q_id, a, b FROM near UNION SELECT r.q_id, r.a, n.b FROM reach r JOIN near n ON n.q_id = r.q_id AND n.a = r.b)
+SELECT i.q_id, i.name, least(i.name, coalesce(min(r.b), i.name)) AS cluster FROM item i LEFT JOIN reach r ON r.q_id = i.q_id AND r.a = i.name GROUP BY i.q_id, i.name"""
+
+
+@register("rd_cluster_dbscan", _DBSCAN.replace("__VIEWS__", duck("facts vec_count", "").removeprefix("WITH ").rstrip()).replace("__COS__", retrieve.COS.format("a.vec", "b.vec")))
+def rd_cluster_dbscan(x):
+    return redundancy.dbscan(_fact_items(x).select("q_id", "name", "vec"))
+
+
 @register("rd_cluster_entities")
 def rd_cluster_entities(x):
-    nation = x.customer.select(F.col("c_nationkey").cast("long").alias("q_id"), F.col("c_mktsegment").alias("segment")).distinct()
-    named = nation.select("q_id", F.concat_ws(" ", "segment", F.col("q_id").cast("string")).alias("name"))
-    return redundancy.cluster(vector_index(x.embeddings, named, "name"), 0.9)
+    """The entities of each question's facts."""
+    facts = x.facts.select(F.col("q_ord").cast("long").alias("q_id"), F.explode(F.array("head", "tail")).alias("name")).distinct()
+    return redundancy.large_clusters(redundancy.cluster(vector_index(x.embeddings, facts, "name").select("q_id", "name", "vec"), 0.25))
 
 
 _FT = "fb_triples"
@@ -373,12 +469,19 @@ def answer_combinations(x):
     return _qa(x).where("aliases[0] <> '' AND aliases[1] <> ''").select("q_id", evaluate.answer_combinations(F.col("answer")).alias("combos"))
 
 
-@register("ev_rouge_l")
+_ROUGE = """SELECT q_id, p, r, CASE WHEN n = 0 THEN 0.0 ELSE round(2 * (n / np) * (n / ng) / (n / np + n / ng), 6) END AS f FROM (
+ SELECT q_id, n, np, ng, CASE WHEN n = 0 THEN 0.0 ELSE round(n / np, 6) END AS p, CASE WHEN n = 0 THEN 0.0 ELSE round(n / ng, 6) END AS r FROM (
+  SELECT q_id, len(a) AS np, len(b) AS ng, coalesce(list_max(list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda t: list_transform(b, lambda y: (y = t)::INT))),
+    lambda row, m: list_transform(m, lambda u, j: list_max(list_transform(m[1:j], lambda v, i: CASE WHEN v = 1 THEN coalesce(row[i - 1], 0) + 1 ELSE row[i] END))))), 0) AS n FROM (
+   SELECT q_id, list_filter(string_split_regex(prediction, '\\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex(question, '\\s+'), lambda w: w <> '') AS b FROM q) s) l) z"""
+
+
+@register("ev_rouge_l", duck("q", _ROUGE))
 def ev_rouge_l(x):
     return evaluate.rouge_l(x.q.select("q_id", "prediction", F.array("question").alias("references")))
 
 
-@register("ev_rouge_mean")
+@register("ev_rouge_mean", duck("q", f"SELECT round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg(f), 6) AS f FROM ({_ROUGE}) m"))
 def ev_rouge_mean(x):
     return ev_rouge_l(x).agg(*(F.round(F.avg(c), 6).alias(c) for c in "prf"))
 

@@ -39,6 +39,11 @@ def vec_cosine(x):
     return x.embeddings.join(b, "vec_id").select("vec_id", vectors.cosine(F.col("embedding"), F.col("other")).alias("sim"))
 
 
+@register("vec_cosine_matrix", duck("q_vectors", f"SELECT q_id, name, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, name) AS rank FROM (SELECT q_id, CAST(vec_id AS VARCHAR) AS name, {COS.format('q_vectors.vec', 'embedding')} AS sim FROM q_vectors CROSS JOIN embeddings) s) r WHERE rank <= 50"))
+def vec_cosine_matrix(x):
+    return vectors.top_k(x.q_vectors, x.embeddings.select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vec")), 50)
+
+
 @register("vec_topk_paths", duck("path_sims", "SELECT q_id, seed_ord, path_ord, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, seed_ord, path_ord) AS rank FROM path_sims) r WHERE rank <= 30"))
 def vec_topk_paths(x):
     paths = retrieve.with_similarity(x, retrieve.candidate_paths(x))
@@ -125,7 +130,34 @@ def rk_basic(x):
     return retrieve.ranked_basic(x)
 
 
-@register("rk_basic_suppressed")
+_SUPPRESS = """list_reduce(list(list_value(path) ORDER BY rank), lambda acc, x: CASE
+  WHEN len(list_filter(acc, lambda k: contains(k, x[1]))) > 0 THEN acc
+  WHEN len(list_filter(acc, lambda k: contains(x[1], k))) > 0 THEN list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda m: contains(x[1], m)), true) THEN x[1] ELSE k END)
+  WHEN len(acc) < {limit} THEN list_concat(acc, x) ELSE acc END)"""
+
+
+def _suppressed_sql(limit: int) -> str:
+    return f"SELECT q_id, seed_ord, unnest(kept) AS path, generate_subscripts(kept, 1) AS rank FROM (SELECT q_id, seed_ord, {_SUPPRESS.format(limit=limit)} AS kept FROM ranked GROUP BY q_id, seed_ord) s"
+
+
+@register("flt_substring_suppress", duck("facts", _suppressed_sql(8), ranked="SELECT q_ord AS q_id, 0 AS seed_ord, pos + 1 AS rank, CASE WHEN pos % 3 = 0 THEN head WHEN pos % 3 = 1 THEN concat_ws(' ', head, rel) ELSE concat_ws(' ', head, rel, tail) END AS path FROM facts"))
+def flt_substring_suppress(x):
+    path = F.when(F.col("pos") % 3 == 0, F.col("head")).when(F.col("pos") % 3 == 1, F.concat_ws(" ", "head", "rel")).otherwise(graph.triple_key())
+    return redundancy.substring_suppress(x.facts.select(F.col("q_ord").alias("q_id"), F.lit(0).alias("seed_ord"), (F.col("pos") + 1).alias("rank"), path.alias("path")), 8)
+
+
+@register(
+    "rk_basic_suppressed",
+    duck(
+        "path_sims hops kg_scores",
+        _suppressed_sql(5),
+        ranked="""SELECT * FROM (
+ SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY value DESC, path_ord) AS rank FROM (
+  SELECT p.q_id, p.seed_ord, p.path_ord, path, round((sim + 1) * 50 + prod / pow(100.0, n_kept - 1), 6) AS value FROM path_sims p
+  JOIN (SELECT q_id, seed_ord, path_ord, product(score) AS prod, count(*) AS n_kept FROM hops JOIN kg_scores USING (head, rel, tail) WHERE score >= 61 GROUP BY ALL) k
+  ON p.q_id = k.q_id AND p.seed_ord = k.seed_ord AND p.path_ord = k.path_ord WHERE sim > 0) v) r WHERE rank <= 20""",
+    ),
+)
 def rk_basic_suppressed(x):
     ranked = retrieve.ranked_basic(x, pruning=20)
     return redundancy.substring_suppress(ranked.select("q_id", F.col("seed_ord").cast("int").alias("seed_ord"), "rank", "path"), 5)
@@ -150,17 +182,18 @@ def rk_sim_score_maps(x):
     return probabilities.select("q_id", *graph.KEY, *(F.round(c, 9).alias(c) for c in ("sim01", "score01", "pt")))
 
 
-@register(
-    "rk_fragments",
-    duck(
-        "hops kg_scores",
-        """SELECT q_id, seed_ord, path_ord, run, string_agg(CASE WHEN first_hop THEN head ELSE '' END || ' -' || rel || '-> ' || tail, '' ORDER BY hop_ord) AS fragment, round(avg(score), 4) AS mean_score FROM (
+_FRAGMENTS = duck(
+    "hops kg_scores",
+    """SELECT q_id, seed_ord, path_ord, run, string_agg(CASE WHEN first_hop THEN head ELSE '' END || ' -' || rel || '-> ' || tail, '' ORDER BY hop_ord) AS fragment, round(avg(score), 4) AS mean_score FROM (
  SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord, path_ord, run ORDER BY hop_ord) = 1 AS first_hop FROM (
   SELECT *, sum(CASE WHEN prev_tail = head AND prev_ord = hop_ord - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY q_id, seed_ord, path_ord ORDER BY hop_ord) AS run FROM (
    SELECT *, lag(tail) OVER (PARTITION BY q_id, seed_ord, path_ord ORDER BY hop_ord) AS prev_tail, lag(hop_ord) OVER (PARTITION BY q_id, seed_ord, path_ord ORDER BY hop_ord) AS prev_ord
    FROM hops JOIN kg_scores USING (head, rel, tail) WHERE score >= 96) a) b) c GROUP BY ALL""",
-    ),
 )
+
+
+@register("path_merge_fragments", _FRAGMENTS)
+@register("rk_fragments", _FRAGMENTS)
 def rk_fragments(x):
     hops = ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores, graph.KEY)
     return ranking.fragments(hops, 96.0)

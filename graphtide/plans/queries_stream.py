@@ -24,7 +24,7 @@ def _deltas(x, parts=4):
     bounds = [r[0] for r in rows.agg(F.percentile_approx("q_ord", [i / parts for i in range(1, parts)])).collect()][0] or []
     part = sum([(F.col("q_ord") > b).cast("int") for b in bounds], F.lit(0))
     for i in range(parts):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part == i).repartition(4, *KEY).write.mode("append").parquet(path)  # a triple's deltas of a part in one file
     return path
 
 
@@ -34,6 +34,12 @@ def st_microbatch_loop(x):
     return feedback_loop.run_microbatches(x.spark, x.kg_scores, _deltas(x), f"{base}/snapshots", f"{base}/checkpoint").select(*KEY, "score")
 
 
+@register("st_score_state", duck("fb_triples", _duck_fold(_BOARD)))
+def st_score_state(x):
+    base = f"{shared_dir(x.spark).rstrip('/')}/graphtide/state-{uuid.uuid4().hex}"
+    return feedback_loop.run_score_state(x.spark, _deltas(x), f"{base}/scores", f"{base}/checkpoint")
+
+
 @register("embed_batch")
 def embed_batch(x):
     return x.kg_entities.select("name", model_udf(hash_encoder, "array<float>")(F.col("name")).alias("vec"))

@@ -299,10 +299,8 @@ def src_triples_jsonl(x):
 def src_scores_json(x):
     entry = F.to_json(F.create_map(graph.triple_key(), F.struct(F.array(*KEY).alias("triplet"), "score")))
     path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/scores-{uuid.uuid4().hex}"
-    # one JSON object per file would be one huge row at scale: each line is a small map of its own
     x.kg_scores.select(entry.alias("value")).write.text(path)
-    lines = x.spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
-    return lines.select(*(F.col("v.triplet")[i].alias(n) for i, n in enumerate(KEY)), F.col("v.score").alias("score"), (F.col("key") == F.array_join("v.triplet", " ")).alias("matches"))
+    return readers.scores_json(x.spark, path)
 
 
 @register("src_qa_jsonl", duck("q_eval", "SELECT question AS query, [[w1, p1], [w2]] AS answer FROM q_eval"))
@@ -317,8 +315,7 @@ def src_qa_array_filter(x):
     row = F.to_json(F.array(F.struct(F.col("question").alias("query"), F.col("prediction").alias("answer"), kind.alias("question_type"))))
     path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/array-{uuid.uuid4().hex}"
     x.q.select(row.alias("value")).repartition(8).write.text(path)
-    rows = x.spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<query:string,answer:string,question_type:string>>")).alias("r")).select("r.*")
-    return rows.where("question_type = 'inference_query'").select("query", F.array(F.array("answer")).alias("answer"))
+    return readers.qa_array(x.spark, path)
 
 
 @register("src_qa_hotpot", duck("q_eval", "SELECT question AS query, [[w1]] AS answer, question || prediction || w2 AS corpus FROM q_eval"))

@@ -24,8 +24,12 @@ def qa_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qa_array(spark: SparkSession, path: str, question_type: str = "inference_query") -> DataFrame:
-    """A JSON array file; only rows of the given type."""
-    rows = spark.read.schema("query string, answer string, question_type string").option("multiLine", True).json(path)
+    """JSON arrays of questions, only rows of the given type. A line may be an array of its own, or a row; a file may be one array over many lines."""
+    row = "struct<query:string,answer:string,question_type:string>"
+    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",$", "").alias("value"))
+    parts = F.when(F.startswith("value", F.lit("[")), F.from_json(F.concat("value", F.when(F.endswith("value", F.lit("]")), "").otherwise("]")), f"array<{row}>"))
+    parts = parts.otherwise(F.array(F.from_json(F.regexp_replace("value", r"\]$", ""), row)))
+    rows = lines.where(~F.col("value").isin("", "[", "]")).select(F.explode(parts).alias("r")).select("r.*")
     return rows.where(F.col("question_type") == question_type).select("query", F.array(F.array("answer")).alias("answer"))
 
 
@@ -98,8 +102,14 @@ def triples_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def scores_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON map from triple key to {triplet, score}; `matches` tells whether the key is that of its triplet."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
+    """Rows of JSON maps from triple key to {triplet, score}; `matches` tells whether the key is that of its triplet.
+
+    A line is a map of its own, or a part of a map over many lines with whole entries on each, so no file is one row.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.trim("value"), r",$", ""), r"^\{(?=\s*$)|^\}$", "")
+    whole = F.when(F.startswith(body, F.lit("{")), body).otherwise(F.concat(F.lit("{"), body))
+    whole = F.when(F.rlike(whole, F.lit(r"\}\s*\}\s*$")), whole).otherwise(F.concat(whole, F.lit("}")))
+    lines = spark.read.text(path).where(F.trim(body) != "").select(F.explode(F.from_json(whole, "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
     parts = [F.col("v.triplet")[i].alias(n) for i, n in enumerate(("head", "rel", "tail"))]
     return lines.select(*parts, F.col("v.score").alias("score"), (F.col("key") == F.array_join("v.triplet", " ")).alias("matches"))
 

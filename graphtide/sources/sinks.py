@@ -20,6 +20,11 @@ def write_graph(scores: DataFrame, path: str, iteration: int, reuse: bool = Fals
     out.mode("append" if reuse else "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_stage_rows(rows: DataFrame, path: str, iteration: int) -> None:
+    """The result rows of an iteration, one a question, as a partition of a table; writing an iteration again replaces it."""
+    rows.withColumn("iteration", F.lit(iteration)).write.partitionBy("iteration").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def export_triples(triples: DataFrame, path: str) -> None:
     triples.select(*KEY).write.json(path)
 

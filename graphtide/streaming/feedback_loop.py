@@ -16,28 +16,55 @@ DELTAS = "head string, rel string, tail string, q_ord long, idx long, event_id l
 ORDER = ["q_ord", "idx", "event_id"]
 
 
-def snapshot_path(folder: str, batch_id: int) -> str:
-    return f"{folder.rstrip('/')}/batch={batch_id}"
+def _parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The scores: those of the base, or of a triple's last change (of the batches before `before`)."""
+    changes = _parquet(spark, f"{folder}/changes", "head string, rel string, tail string, score double, batch long")
+    if before is not None:
+        changes = changes.where(F.col("batch") < before)
+    last = changes.groupBy(*KEY).agg(F.max_by("score", "batch").alias("changed"))
+    base = spark.read.parquet(f"{folder}/base").select(*KEY, "score")
+    return base.hint("merge").join(last.hint("merge"), KEY, "left").select(*KEY, F.coalesce("changed", "score").alias("score"))
 
 
 def apply_batch(spark: SparkSession, folder: str, deltas: DataFrame, batch_id: int) -> None:
-    """Writes snapshot batch_id + 1: the scores of snapshot batch_id with the batch's deltas folded in.
+    """Writes the changes of a batch: the scores of its triples as the batches before left them, with the batch's deltas folded in.
 
-    A batch that is replayed reads the same snapshot and overwrites its own, so it changes nothing.
+    Only changed triples are written. A batch that is replayed sees the same scores and overwrites its own
+    changes, so it changes nothing.
     """
-    scores = spark.read.parquet(snapshot_path(folder, batch_id)).select(*KEY, "score")
-    folded = feedback.fold(scores, deltas, ORDER)
-    feedback.next_iteration(scores, folded, batch_id + 1).drop("iteration").write.mode("overwrite").parquet(snapshot_path(folder, batch_id + 1))
+    folded = feedback.fold(current(spark, folder, batch_id), deltas, ORDER)
+    folded.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
 
 
-def run_microbatches(spark: SparkSession, scores: DataFrame, source: str, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """All delta files in source, one micro-batch after the other; the last snapshot."""
-    scores.select(*KEY, "score").write.mode("overwrite").parquet(snapshot_path(folder, 0))
+def run_microbatches(spark: SparkSession, scores: DataFrame, source: str, folder: str, checkpoint: str, files_per_batch: int = 4) -> DataFrame:
+    """All delta files in source, one micro-batch after the other; the scores after the last."""
+    folder = folder.rstrip("/")
+    scores.select(*KEY, "score").write.mode("overwrite").parquet(f"{folder}/base")
     stream = spark.readStream.schema(DELTAS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(lambda df, i: apply_batch(df.sparkSession, folder, df, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(snapshot_path(folder, last["batchId"] + 1 if last else 0))
+    return current(spark, folder)
+
+
+def run_score_state(spark: SparkSession, source: str, folder: str, checkpoint: str, files_per_batch: int = 4) -> DataFrame:
+    """The same with the scores as keyed state: the last score of each triple with deltas."""
+    folder = folder.rstrip("/")
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, provider)
+    try:
+        stream = spark.readStream.schema(f"{DELTAS}, base double").option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        query = score_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/batch={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return _parquet(spark, folder, "head string, rel string, tail string, score double, batch long").groupBy(*KEY).agg(F.max_by("score", "batch").alias("score"))
 
 
 class ScoreState(StatefulProcessor):
@@ -61,8 +88,3 @@ class ScoreState(StatefulProcessor):
 def score_state(deltas: DataFrame) -> DataFrame:
     """Stream of scores after each micro-batch of a stream of deltas with their triple's base score; needs the RocksDB state store."""
     return deltas.groupBy(*KEY).transformWithStateInPandas(ScoreState(), "head string, rel string, tail string, score double", "update", "none")
-
-
-def microbatch_reference(scores: DataFrame, deltas: DataFrame) -> DataFrame:
-    """What the loop must end with if batches follow the feedback order: one fold over all deltas."""
-    return feedback.next_iteration(scores, feedback.fold(scores, deltas, ORDER), 0).select(*KEY, F.col("score"))
