@@ -51,11 +51,20 @@ def unescape_role(text: str) -> str:
     return _ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(text))
 
 
-def turns_to_events(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The log that streaming each row of turns(conv_id, turn, role, text) would have left."""
+def turns_to_events(turns: DataFrame, delta_chars: int = DELTA_CHARS, revisions: bool = False) -> DataFrame:
+    """The log that streaming each row of turns(conv_id, turn, role, text) would have left.
+
+    With revisions, a quarter of the messages are regenerated after half a draft and a quarter are edited
+    into their text, chosen by hash.
+    """
     text = F.coalesce("text", F.lit(""))
     start = F.array(F.struct(F.lit("start").alias("kind"), F.lit("").alias("payload")))
     deltas = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0)), lambda p: F.struct(F.lit("delta").alias("kind"), p.alias("payload")))
+    if revisions:
+        event = lambda kind, payload: F.struct(F.lit(kind).alias("kind"), payload.alias("payload"))
+        half, which = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+        redone = F.concat(F.array(event("delta", half), event("regenerate", F.lit(""))), deltas)
+        deltas = F.when(which == 1, redone).when(which == 2, F.array(event("delta", half), event("edit", text))).otherwise(deltas)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.monotonically_increasing_id().alias("message"), F.concat(start, deltas).alias("events"))
     return rows.select("conv_id", "turn", "message", "role", F.posexplode("events").alias("seq", "event")).select("conv_id", "turn", "message", "seq", "event.kind", "role", "event.payload")
 

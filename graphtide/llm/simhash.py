@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm.common import column
-from graphtide.llm.components import components
+from graphtide.operators.components import components
 from graphtide.session import discard, materialize
 
-SEED, WORDS, RADIUS, SHARD_ROWS = 42, 3, 3, 512
+SEED, WORDS, RADIUS, SHARD_ROWS, MANY = 42, 3, 3, 512, 1 << 24
 _BLOCK = 200_000  # shingles hashed before their bits are counted
 
 
@@ -182,16 +182,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     prints = materialize(fingerprints(docs, words, seed), "prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     known = reps.where(F.col("rep").isNotNull())
-    parts = radius + 1 if known.count() <= (1 << 24) else radius + 2
+    parts = radius + 1 if known.count() <= MANY else radius + 2
     cells = shards(known, radius, parts, shard_rows).repartition("shard", "cell").sortWithinPartitions("shard", "cell")
     labels = components(cells.mapInPandas(_links(radius), "a long, b long"))
     named = materialize(known.hint("merge").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("label", "rep").alias("component_id")), "named")
-    discard(reps)
-    return (
-        prints.hint("merge")
-        .join(named.hint("merge"), F.col("fp") == F.col("of"), "left")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    joined = prints.hint("merge").join(named.hint("merge"), F.col("fp") == F.col("of"), "left")
+    out = materialize(joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
+    discard(prints, reps, labels, named)
+    return out
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from graphtide.llm import chat, components, decontaminate, licences, neighbours, packing, pii, queries, repeats, simhash, toxicity, urls
+from graphtide.llm import chat, decontaminate, licences, neighbours, packing, pii, queries, repeats, simhash, toxicity, urls
+from graphtide.operators import components
 
 AWKWARD = [
     (1, "Plain text of some words that stand here for a while, long enough for windows of fifty bytes.", "x"),
@@ -125,6 +126,16 @@ def test_simhash_awkward(awkward, nothing):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 5, 7] and set(kept.columns) == set(awkward.columns)
 
 
+def test_simhash_parts_change_no_link(spark, awkward, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else "x" for w in words[: rng.choice([20, 60])])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "MANY", 3)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == usual
+
+
 def test_bk_tree_is_the_tree_of_single_inserts():
     fps = np.array(sorted(random.Random(3).sample(range(4096), 60)), np.uint64)
     children = simhash.build_trees(fps, np.zeros(len(fps), np.int64))
@@ -346,6 +357,22 @@ def test_chat_reads_back_what_was_said(spark):
     assert chat.read_back(chat.format_conversations(chat.turns_to_events(turns.limit(0)))).count() == 0
 
 
+def test_chat_revisions_leave_what_was_said(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {c} {t} " * t) for c in range(12) for t in range(6)]
+    turns = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "conv_id long, turn long, role string, text string, message string, seq int, kind string")
+    plain, log = chat.turns_to_events(turns, 7), chat.turns_to_events(turns, 7, revisions=True)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    shuffled = log.orderBy("payload", "seq").repartition(3)
+    read = lambda events: sorted(map(tuple, chat.read_back(chat.format_conversations(events)).collect()))
+    assert read(plain) == read(shuffled)
+
+
+def test_chat_folds_interleaved_and_startless_messages(spark):
+    log = [(1, 0, 5, 1, "delta", "user", "He"), (1, 1, 6, 1, "delta", "assistant", "Yo"), (1, 0, 5, 2, "delta", None, "llo"), (1, 1, 6, 2, "edit", None, None), (1, 1, 6, 3, "delta", None, "x"), (1, 1, 7, 9, "start", "assistant", None)]
+    events = spark.createDataFrame([(*r, "z", 3) for r in log], "conv_id long, turn long, message long, seq int, kind string, role string, payload string, log string, reset int")
+    assert {(r.message, r.role, r.text) for r in chat.fold(events).collect()} == {(5, "user", "Hello"), (6, "assistant", "x"), (7, "assistant", "")}
+
+
 def test_chat_folds_edits_and_regenerations(spark):
     log = [(1, 0, 10, 0, "start", "user", ""), (1, 0, 10, 2, "delta", None, "b"), (1, 0, 10, 1, "delta", None, "a"), (1, 1, 11, 0, "start", "assistant", ""), (1, 1, 11, 1, "delta", None, "old"), (1, 1, 11, 2, "regenerate", None, "new"), (1, 1, 11, 3, "delta", None, "er"), (1, 0, 10, 4, "edit", None, "edited")]
     events = spark.createDataFrame(log, "conv_id long, turn long, message long, seq int, kind string, role string, payload string")
@@ -641,3 +668,27 @@ def test_pipeline_stages_take_effect(spark, small):
     assert n > 100
     packed = corpus_pipeline.STAGES[4][1](spark, docs, small)
     assert packed.select("doc_id").distinct().count() == n
+    ran = corpus_pipeline.run(spark, small)
+    assert ran.columns == packed.columns and ran.agg({"length": "sum"}).first() == packed.agg({"length": "sum"}).first()
+
+
+AWKWARD_DOCS = [(d, t, "en", s, len(t or ""), 1, "c") for d, t, s in AWKWARD]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_awkward(spark, small, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, of string"
+    docs = spark.createDataFrame(AWKWARD_DOCS, schema)
+    name, work = corpus_pipeline.STAGES[stage]
+    got = work(spark, docs, small)
+    empty = work(spark, docs.limit(0), small)
+    assert empty.count() == 0
+    if stage == 4:
+        assert sorted({str(r.doc_id) for r in got.collect()}) == sorted({str(d) for d, *_ in AWKWARD})
+        return
+    assert got.columns == empty.columns == docs.columns
+    want = sorted(str(r[:2]) for r in AWKWARD_DOCS)
+    rows = sorted(str((r.doc_id, r.text)) for r in got.collect())
+    if name == "near_duplicates":  # 1 and 4 are copies; 2, 3 and 6 are empty
+        want = sorted(str(r[:2]) for r in AWKWARD_DOCS if r[0] in (1, 2, 5, 7, None))
+    assert rows == want, name
