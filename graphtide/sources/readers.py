@@ -23,9 +23,16 @@ def qa_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get_json_object("value", "$.query").alias("query"), answer_groups(F.get_json_object("value", "$.answer")).alias("answer"))
 
 
-def qa_array(spark: SparkSession, path: str, question_type: str = "inference_query") -> DataFrame:
-    """JSON arrays of questions, only rows of the given type. A line may be an array of its own, or a row; a file may be one array over many lines."""
+def qa_array(spark: SparkSession, path: str, question_type: str = "inference_query", multi_line: bool = False) -> DataFrame:
+    """JSON arrays of questions, only rows of the given type.
+
+    A line is an array of its own, or a row of an array over many lines, so files can be split; rows over
+    several lines need multi_line, which reads a file as a whole.
+    """
     row = "struct<query:string,answer:string,question_type:string>"
+    if multi_line:
+        whole = spark.read.schema("query string, answer string, question_type string").option("multiLine", True).json(path)
+        return whole.where(F.col("question_type") == question_type).select("query", F.array(F.array("answer")).alias("answer"))
     lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",$", "").alias("value"))
     parts = F.when(F.startswith("value", F.lit("[")), F.from_json(F.concat("value", F.when(F.endswith("value", F.lit("]")), "").otherwise("]")), f"array<{row}>"))
     parts = parts.otherwise(F.array(F.from_json(F.regexp_replace("value", r"\]$", ""), row)))
@@ -101,15 +108,17 @@ def triples_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parsed.where(good).select("t.head", F.col("t.relationship").alias("rel"), "t.tail"), parsed.where(~F.coalesce(good, F.lit(False))).select("value")
 
 
-def scores_json(spark: SparkSession, path: str) -> DataFrame:
+def scores_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Rows of JSON maps from triple key to {triplet, score}; `matches` tells whether the key is that of its triplet.
 
-    A line is a map of its own, or a part of a map over many lines with whole entries on each, so no file is one row.
+    A line is a map of its own, or a part of a map over many lines with whole entries on each, so no file is
+    one row; entries over several lines need multi_line, which reads a file as a whole.
     """
     body = F.regexp_replace(F.regexp_replace(F.trim("value"), r",$", ""), r"^\{(?=\s*$)|^\}$", "")
     whole = F.when(F.startswith(body, F.lit("{")), body).otherwise(F.concat(F.lit("{"), body))
     whole = F.when(F.rlike(whole, F.lit(r"\}\s*\}\s*$")), whole).otherwise(F.concat(whole, F.lit("}")))
-    lines = spark.read.text(path).where(F.trim(body) != "").select(F.explode(F.from_json(whole, "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
+    rows = spark.read.text(path, wholetext=True).withColumn("whole", F.col("value")) if multi_line else spark.read.text(path).where(F.trim(body) != "").withColumn("whole", whole)
+    lines = rows.select(F.explode(F.from_json("whole", "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
     parts = [F.col("v.triplet")[i].alias(n) for i, n in enumerate(("head", "rel", "tail"))]
     return lines.select(*parts, F.col("v.score").alias("score"), (F.col("key") == F.array_join("v.triplet", " ")).alias("matches"))
 

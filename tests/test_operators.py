@@ -10,6 +10,7 @@ from graphtide.functions import text
 from graphtide.functions.models import hash_encoder, model_udf
 from graphtide.operators import evaluate, feedback, graph, ranking, redundancy, vectors
 from graphtide.sources import readers, sinks
+from graphtide.sources.vector_store import VectorStore
 from graphtide.streaming import feedback_loop
 
 T = "head string, rel string, tail string"
@@ -44,6 +45,14 @@ def test_replacement_map_and_rename(spark):
     assert [tuple(r) for r in redundancy.rename_scores(scores, mapping).collect()] == [("A", "r", "X", 80.0)]
 
 
+def test_no_member_or_character_is_cut(spark):
+    large = spark.range(1).select(F.lit(0).alias("group_ord"), F.transform(F.sequence(F.lit(0), F.lit(1_000_005)), lambda i: F.lpad(i.cast("string"), 7, "0")).alias("members"))
+    got = redundancy.replacement_map(large)
+    assert got.count() == 1_000_005 and got.where("dup = '1000005' AND canonical = '0000000'").count() == 1
+    long = spark.range(1).select(text.capitalise(F.repeat(F.lit("aB"), 600_000)).alias("t"))
+    assert long.select(F.length("t")).first()[0] == 1_200_000
+
+
 def test_fold_is_ordered_and_clamped(spark):
     scores = spark.createDataFrame([("A", "r", "B", 100.0), ("B", "r", "C", 198.0)], f"{T}, score double")
     deltas = spark.createDataFrame([("A", "r", "B", 2, -300.0), ("A", "r", "B", 0, 150.0), ("A", "r", "B", 1, 80.0), ("A", "r", "B", 3, 5.0)], f"{T}, ord int, delta double")
@@ -121,11 +130,107 @@ def test_undecided_groups_stay(spark):
     assert {(r.fact, r.decision) for r in redundancy.keep_delete(groups, keep).collect()} == {("a", "keep"), ("b", "delete"), ("c", "undecided"), ("d", "undecided")}
 
 
-def test_average_linkage():
+def brute_linkage(vectors, threshold):
+    unit = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    distance = np.round(1 - unit @ unit.T, 9)
+    groups = [[i] for i in range(len(vectors))]
+    while len(groups) > 1:
+        best = min((distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+        if not best[0] < threshold:
+            break
+        groups[best[2]] += groups.pop(best[1])
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((6, 3))[rng.integers(0, 6, 25)] + 0.3 * rng.standard_normal((25, 3))
+    for threshold in (0.02, 0.15, 0.5):
+        got = redundancy.average_linkage(v, threshold)
+        assert {frozenset(np.flatnonzero(got == k).tolist()) for k in set(got)} == brute_linkage(v, threshold)
     v = np.array([[1, 0], [0.99, 0.1], [0, 1], [0.1, 0.99]])
     assert redundancy.average_linkage(v, 0.25).tolist() == [0, 0, 1, 1] and redundancy.average_linkage(v, 0.0).tolist() == [0, 1, 2, 3]
 
 
+def test_clusters_of_each_question(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for q in range(3):
+        v = rng.standard_normal((5, 4))[rng.integers(0, 5, 20)] + 0.2 * rng.standard_normal((20, 4))
+        rows += [(q, f"n{q}{i:02}", v[i].tolist(), [0.05, 0.15, 0.3][q]) for i in range(20)]
+    items = spark.createDataFrame(rows, "q_id long, name string, vec array<double>, threshold double").repartition(3)
+    got = {}
+    for r in redundancy.cluster(items, "threshold").collect():
+        got.setdefault((r.q_id, r.cluster), set()).add(r.name)
+    for q in range(3):
+        mine = [r for r in rows if r[0] == q]
+        want = {frozenset(mine[i][1] for i in g) for g in brute_linkage(np.array([r[2] for r in mine]), mine[0][3])}
+        assert {frozenset(g) for (k, _), g in got.items() if k == q} == want and all(c == min(g) for (_, c), g in got.items())
+    near = redundancy.close_pairs(redundancy.numbered_items(items.select("q_id", "name", "vec")), 0.15)
+    few = redundancy.close_pairs(redundancy.numbered_items(items.select("q_id", "name", "vec")), 0.15, chunk_rows=6)
+    assert near.count() == few.count() > 10
+    chain = spark.createDataFrame([(0, c, [float(np.cos(a)), float(np.sin(a))]) for c, a in zip("abcdz", (0.0, 0.3, 0.6, 0.9, 2.5), strict=True)], "q_id long, name string, vec array<double>")
+    assert {(r.name, r.cluster) for r in redundancy.dbscan(chain, 0.05).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("z", "z")}
+    assert redundancy.cluster(items.limit(0)).count() == 0 and redundancy.dbscan(items.limit(0)).count() == 0
+
+
+def test_adaptive_threshold_counts_different_numbers(spark):
+    rows = [(1, f"Order {i} of {i % 3}") for i in range(26)] + [(2, f"Order {i % 5}") for i in range(60)] + [(3, "no number")]
+    got = redundancy.adaptive_threshold(spark.createDataFrame(rows, "q_id long, name string")).select("q_id", "threshold").distinct().collect()
+    assert {(r.q_id, r.threshold) for r in got} == {(1, 0.05), (2, 0.15), (3, 0.15)}
+
+
+def test_substring_suppress_is_the_ordered_fold(spark):
+    rng = random.Random(3)
+    rows = [(q, 0, i, "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))) for q in range(20) for i in range(12)]
+    want = {}
+    for q in range(20):
+        kept = []
+        for _, _, _, path in [r for r in rows if r[0] == q]:
+            inside = next((i for i, k in enumerate(kept) if k in path), None)
+            if any(path in k for k in kept):
+                continue
+            if inside is not None:
+                kept[inside] = path
+            elif len(kept) < 3:
+                kept.append(path)
+        want[q] = kept
+    rng.shuffle(rows)
+    got = redundancy.substring_suppress(spark.createDataFrame(rows, "q_id long, seed_ord int, rank int, path string"), 3).orderBy("q_id", "rank").collect()
+    assert {q: [r.path for r in got if r.q_id == q] for q in want} == want
+
+
+def test_numbered_is_dense_and_ordered(spark):
+    rows = [(f"k{i % 7}", i) for i in range(500)]
+    got = graph.numbered(spark.createDataFrame(rows, "a string, b int").repartition(5), ["a", "b"], "n").orderBy("n").collect()
+    assert [(r.a, r.b) for r in got] == sorted(rows) and [r.n for r in got] == list(range(500))
+
+
+def test_vector_store(spark, tmp_path):
+    calls = []
+
+    def encoder(names):
+        calls.append(sorted(r.name for r in names.collect()))
+        return names.select("name", F.array(F.length("name").cast("float")).alias("vec"))
+
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    store = VectorStore(spark, str(tmp_path / "store"), encoder)
+    assert store.load().count() == 0
+    assert {(r.name, r.vec[0]) for r in store.build(names("a", "bb", "a", None)).collect()} == {("a", 1.0), ("bb", 2.0)}
+    assert store.build(names("zzz")).count() == 2 and calls == [["a", "bb"]]  # what is there is loaded
+    assert {r.name for r in store.add(names("bb", "ccc", "ccc")).collect()} == {"ccc"} and calls[1:] == [["ccc"]]
+    store.remove(names("a", "none"))
+    assert {r.name for r in store.load().collect()} == {"bb", "ccc"}
+    store.add(names("a"))  # removed and back
+    again = VectorStore(spark, str(tmp_path / "store"), encoder)
+    assert {r.name for r in again.load().collect()} == {"a", "bb", "ccc"}
+    assert {r.name for r in again.subset(names("a", "unknown")).collect()} == {"a"}
+    assert again.snapshot(1).count() == 3
+    again.remove(names("a", "bb"))
+    assert again.snapshot(2).count() == 1 and again.snapshot(1).count() == 1
+
+
 def test_top_k_and_ivf(spark):
     rng = random.Random(1)
     items = [(f"n{i:03}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
@@ -154,6 +259,17 @@ def test_files(spark, tmp_path):
     assert [r.answer for r in readers.qa_jsonl(spark, str(tmp_path / "q.json")).collect()] == [[["x"]], [["x"], ["y"]], [["x", "y"], ["z"]]]
     (tmp_path / "s.json").write_text('{"a r b": {"triplet": ["a", "r", "b"], "score": 100}}')
     assert tuple(readers.scores_json(spark, str(tmp_path / "s.json")).first()) == ("a", "r", "b", 100.0, True)
+    entry = '"{0} r b": {{"triplet": ["{0}", "r", "b"], "score": {1}}}'
+    parts = [entry.format(c, i) for i, c in enumerate("ab}")]
+    for name, body in (("m1", "{" + ", ".join(parts) + "}"), ("m2", "{\n" + ",\n".join(parts) + "\n}\n"), ("m3", "{" + ",\n".join(parts) + "}"), ("m4", "\n".join("{" + p + "}" for p in parts))):
+        (tmp_path / f"{name}.json").write_text(body)
+        assert {tuple(r) for r in readers.scores_json(spark, str(tmp_path / f"{name}.json")).collect()} == {(c, "r", "b", float(i), True) for i, c in enumerate("ab}")}, name
+    (tmp_path / "m5.json").write_text(parts[0].join("{}").replace(": {", ":\n {"))
+    assert readers.scores_json(spark, str(tmp_path / "m5.json"), multi_line=True).count() == 1
+    asked = ['{"query": "q%d", "answer": "x]", "question_type": "%s"}' % (i, t) for i, t in enumerate(["inference_query", "other", "inference_query"])]
+    for body, whole in (("[" + ",".join(asked) + "]", False), ("[\n" + ",\n".join(asked) + "\n]", False), ("\n".join(f"[{a}]" for a in asked), False), ("[" + ",\n".join(asked) + "]", False), ("[" + ",".join(asked).replace(", ", ",\n") + "]", True)):
+        (tmp_path / "arr.json").write_text(body)
+        assert {(r["query"], r.answer[0][0]) for r in readers.qa_array(spark, str(tmp_path / "arr.json"), multi_line=whole).collect()} == {("q0", "x]"), ("q2", "x]")}
     scores = spark.createDataFrame([("a", "r", "b", 5.0), ("", "r", "b", 50.0), ("c", "r", "d", 50.0)], f"{T}, score double")
     sinks.write_graph(sinks.loadable(scores, 10), str(tmp_path / "g"), 1)
     assert spark.read.parquet(str(tmp_path / "g")).select("head").first().head == "c"
@@ -168,8 +284,20 @@ def test_microbatches_replay_to_the_same_snapshot(spark, tmp_path):
     last = feedback_loop.run_microbatches(spark, scores, str(tmp_path / "in"), str(tmp_path / "snap"), str(tmp_path / "cp"))
     want = {("A", 25.0), ("B", 50.0)}
     assert {(r.head, r.score) for r in last.collect()} == want
-    feedback_loop.apply_batch(spark, str(tmp_path / "snap"), deltas.where("q_ord = 3"), 3)
-    assert {(r.head, r.score) for r in spark.read.parquet(feedback_loop.snapshot_path(str(tmp_path / "snap"), 4)).collect()} == want
+    changed = spark.read.parquet(str(tmp_path / "snap" / "changes"))
+    assert {r.head for r in changed.collect()} == {"A"}  # only what changes is written
+    batch = changed.agg(F.max("batch")).first()[0]
+    feedback_loop.apply_batch(spark, str(tmp_path / "snap"), deltas.where("q_ord = 3") if batch == 3 else deltas, batch)
+    assert {(r.head, r.score) for r in feedback_loop.current(spark, str(tmp_path / "snap")).collect()} == want
+
+
+def test_score_state_as_a_stream(spark, tmp_path):
+    rows = [("A", "r", "B", i, 0, i, d, 100.0) for i, d in enumerate([150.0, 80.0, -300.0, 5.0])] + [("B", "r", "C", 1, 0, 9, 5.0, 198.0)]
+    deltas = spark.createDataFrame(rows, f"{feedback_loop.DELTAS}, base double")
+    for i in range(4):
+        deltas.where(f"q_ord = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = feedback_loop.run_score_state(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 1)
+    assert {(r.head, r.score) for r in got.collect()} == {("A", 25.0), ("B", 200.0)}
 
 
 def test_score_state_logic():
