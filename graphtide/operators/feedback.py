@@ -9,18 +9,35 @@ KEY = ["head", "rel", "tail"]
 LOW, HIGH = 20.0, 200.0
 
 
-def clamp(x: Column, low: float = LOW, high: float = HIGH) -> Column:
+def clamp(x: Column, low: float | Column = LOW, high: float | Column = HIGH) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def fold(scores: DataFrame, deltas: DataFrame, order: list[str], step=None) -> DataFrame:
+def fold(scores: DataFrame, deltas: DataFrame, order: list[str], step=None, span: int = 1000) -> DataFrame:
     """scores(head, rel, tail, score) with all deltas(head, rel, tail, delta, *order) applied in order; only triples with deltas.
 
-    step(score, delta) is one application; by default a clamped sum.
+    step(score, delta) is one application; by default a clamped sum. Clamped sums in a row are one sum
+    clamped to moved bounds, so they are first folded over each `span` values of the first order column
+    (a whole number), and a triple with very many deltas is not one group. Another step needs all deltas
+    of a triple together.
     """
-    step = step or (lambda a, d: clamp(a + d))
-    grouped = deltas.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("delta").cast("double").alias("delta")))).alias("steps"))
-    return scores.hint("merge").join(grouped.hint("merge"), KEY).select(*KEY, F.aggregate("steps", F.col("score").cast("double"), lambda a, x: step(a, x["delta"])).alias("score"))
+    one = F.struct(*order, F.col("delta").cast("double").alias("delta"))
+    if step is not None:
+        grouped = deltas.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("steps"))
+        changed = F.aggregate("steps", F.col("score").cast("double"), lambda a, x: step(a, x["delta"]))
+        return scores.hint("merge").join(grouped.hint("merge"), KEY).select(*KEY, changed.alias("score"))
+    parts = deltas.groupBy(*KEY, F.floor(F.col(order[0]) / span).alias("part")).agg(F.array_sort(F.collect_list(one)).alias("steps"))
+    none = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+
+    def then(f: Column, add: Column, low: Column, high: Column) -> Column:
+        """The function x -> clamp(x + add, low, high) after f of the same form."""
+        return F.struct((f["add"] + add).alias("add"), clamp(f["low"] + add, low, high).alias("low"), clamp(f["high"] + add, low, high).alias("high"))
+
+    folded = parts.select(*KEY, "part", F.aggregate("steps", none, lambda f, x: then(f, x["delta"], F.lit(LOW), F.lit(HIGH))).alias("f"))
+    grouped = folded.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("part", "f"))).alias("parts"))
+    whole = F.aggregate("parts", none, lambda f, x: then(f, x["f"]["add"], x["f"]["low"], x["f"]["high"]))
+    joined = scores.hint("merge").join(grouped.hint("merge"), KEY).select(*KEY, F.col("score").cast("double").alias("score"), whole.alias("f"))
+    return joined.select(*KEY, F.greatest("f.low", F.least("f.high", F.col("score") + F.col("f.add"))).alias("score"))
 
 
 def next_iteration(scores: DataFrame, folded: DataFrame, iteration: int) -> DataFrame:
@@ -88,7 +105,7 @@ def path_gradient(paths: DataFrame, hops: DataFrame, weight: float, rate: float,
     scored = paths.withColumn("u", u).withColumn("eul", F.sum((F.col("u") + 1) / 2 * F.col("p")).over(w)).withColumn("mean", F.sum(F.col("u") * F.col("p")).over(w))
     value = F.col("p") * (F.col("u") - F.col("mean"))
     scored = scored.withColumn("v", value / F.col("len") if by_length else value)
-    each = hops.join(scored.select("q_id", "path_id", "p", "v", "eul", F.col("utility").isNotNull().alias("is_scored")), ["q_id", "path_id"])
+    each = hops.join(scored.select("q_id", "path_id", "p", "v", "eul", F.col("utility").isNotNull().alias("is_scored")).hint("merge"), ["q_id", "path_id"])
     share = each.groupBy("q_id", *KEY).agg(F.sum(F.col("p") * F.col("v")).alias("s"), F.first("eul").alias("eul"), F.first("pt").alias("pt"))
     grad = share.where(F.col("eul") != 0).select("q_id", *KEY, (-(F.lit(weight) / (2 * F.col("eul"))) * F.col("s") / F.col("pt")).alias("g"))
-    return each.where("is_scored").select("q_id", "path_id", "hop_ord", *KEY).join(grad, ["q_id", *KEY]).withColumn("delta", -F.lit(rate) * F.col("g"))
+    return each.where("is_scored").select("q_id", "path_id", "hop_ord", *KEY).join(grad.hint("merge"), ["q_id", *KEY]).withColumn("delta", -F.lit(rate) * F.col("g"))

@@ -52,8 +52,8 @@ def nodes_by_property(nodes: DataFrame, label: str, limit: int = 10, **propertie
 def neighbours_1hop(triples: DataFrame, seeds: DataFrame, limit: int = 30) -> DataFrame:
     """Edges with a seed at either end, as text `s-r->t`, in order of their ends."""
     seed = seeds.select(F.col("name").alias("seed")).distinct()
-    out = triples.join(seed, F.col("head") == F.col("seed"), "left_semi").select(*KEY)
-    into = triples.join(seed, F.col("tail") == F.col("seed"), "left_semi").select(*KEY)
+    out = triples.join(seed.hint("merge"), F.col("head") == F.col("seed"), "left_semi").select(*KEY)
+    into = triples.join(seed.hint("merge"), F.col("tail") == F.col("seed"), "left_semi").select(*KEY)
     edges = out.union(into).distinct().orderBy(*KEY).limit(limit)
     return edges.select(F.concat("head", F.lit("-"), "rel", F.lit("->"), "tail").alias("edge"))
 

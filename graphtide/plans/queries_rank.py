@@ -195,7 +195,7 @@ _FRAGMENTS = duck(
 @register("path_merge_fragments", _FRAGMENTS)
 @register("rk_fragments", _FRAGMENTS)
 def rk_fragments(x):
-    hops = ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores, graph.KEY)
+    hops = ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.hint("merge"), graph.KEY)
     return ranking.fragments(hops, 96.0)
 
 
@@ -204,7 +204,7 @@ def rk_fragments(x):
     duck("hops kg_scores", "SELECT q_id, seed_ord, path_ord, round(coalesce(avg(score), 0), 4) AS mean_score FROM hops LEFT JOIN kg_scores USING (head, rel, tail) GROUP BY ALL HAVING min(score) IS NULL OR min(score) >= 95"),
 )
 def rk_whole_paths(x):
-    return ranking.whole_paths(ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores, graph.KEY, "left"), 95.0)
+    return ranking.whole_paths(ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.hint("merge"), graph.KEY, "left"), 95.0)
 
 
 @register("rk_unique_facts", duck("hops", "SELECT q_id, fact, row_number() OVER (PARTITION BY q_id ORDER BY f.head, f.tail, f.seed_ord, f.path_ord, f.hop_ord) - 1 AS pos FROM (SELECT q_id, concat_ws(' ', head, replace(rel, '_', ' '), tail) AS fact, min({'seed_ord': seed_ord, 'path_ord': path_ord, 'hop_ord': hop_ord, 'head': head, 'rel': rel, 'tail': tail}) AS f FROM hops GROUP BY ALL) g"))
@@ -232,7 +232,7 @@ def _utilities(x, paths):
     """Feedback of a question's top paths: idx-th best path of the question."""
     ranked = ranking.top_paths(paths, "pl", 10, per_seed=False).withColumn("idx", F.col("rank") - 1)
     fb = x.fb_rows.select(F.col("q_ord").alias("q_id"), "idx", F.when(F.col("kind") == "correct", F.col("degree")).otherwise(-F.col("degree")).cast("double").alias("utility"))
-    return ranked.join(fb, ["q_id", "idx"], "left")
+    return ranked.hint("merge").join(fb.hint("merge"), ["q_id", "idx"], "left")
 
 
 _GRADIENT = dict(
@@ -247,7 +247,7 @@ _GRADIENT = dict(
 def _gradient(x, scale=0.4, by_length=True):
     paths, hops, probabilities = retrieve.standard(x)
     scored = _utilities(x, paths).withColumn("path_id", F.struct("seed_ord", "path_ord"))
-    each = hops.join(probabilities.select("q_id", *graph.KEY, "pt"), ["q_id", *graph.KEY]).withColumn("path_id", F.struct("seed_ord", "path_ord"))
+    each = hops.hint("merge").join(probabilities.select("q_id", *graph.KEY, "pt").hint("merge"), ["q_id", *graph.KEY]).withColumn("path_id", F.struct("seed_ord", "path_ord"))
     return feedback.path_gradient(scored, each, 0.5, 1.0, scale, by_length)
 
 
@@ -281,5 +281,5 @@ def fb_path_gradient_v0(x):
 @register("fb_weight_gradient", duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, round(sum((sim01 - score01) * g / -0.5) * 1000, 5) AS gradient FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail JOIN q_triples t ON t.q_id = o.q_id AND t.head = o.head AND t.rel = o.rel AND t.tail = o.tail WHERE utility IS NOT NULL GROUP BY o.q_id", **_GRADIENT))
 def fb_weight_gradient(x):
     _, _, probabilities = retrieve.standard(x)
-    steps = _gradient(x).join(probabilities.select("q_id", *graph.KEY, "sim01", "score01"), ["q_id", *graph.KEY])
+    steps = _gradient(x).join(probabilities.select("q_id", *graph.KEY, "sim01", "score01").hint("merge"), ["q_id", *graph.KEY])
     return steps.groupBy("q_id").agg(F.round(F.sum((F.col("sim01") - F.col("score01")) * F.col("delta") / 0.5) * 1000, 5).alias("gradient"))

@@ -88,7 +88,7 @@ def seed_aligned_paths(x):
 
 @register("flt_hop_score_ge", duck("hops kg_scores", "SELECT q_id, seed_ord, path_ord, count(*) AS n_kept FROM hops JOIN kg_scores USING (head, rel, tail) WHERE score >= 100 GROUP BY ALL"))
 def flt_hop_score_ge(x):
-    return ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores, KEY).where("score >= 100").groupBy(*ranking.PATH).agg(F.count("*").alias("n_kept"))
+    return ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.hint("merge"), KEY).where("score >= 100").groupBy(*ranking.PATH).agg(F.count("*").alias("n_kept"))
 
 
 _KNOWN = "SELECT * FROM kg_scores WHERE score >= 40"
@@ -101,12 +101,12 @@ def flt_path_unknown(x):
 
 @register("flt_path_all_ge", duck("hops kg_scores", "SELECT q_id, seed_ord, path_ord, round(coalesce(avg(score), 0), 4) AS mean_score FROM hops LEFT JOIN known USING (head, rel, tail) GROUP BY ALL HAVING min(score) IS NULL OR min(score) >= 95", known=_KNOWN))
 def flt_path_all_ge(x):
-    return ranking.whole_paths(ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.where("score >= 40"), KEY, "left"), 95.0)
+    return ranking.whole_paths(ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.where("score >= 40").hint("merge"), KEY, "left"), 95.0)
 
 
 @register("j_hop_score", duck("hops kg_scores", "SELECT q_id, seed_ord, path_ord, hop_ord, score FROM hops LEFT JOIN known USING (head, rel, tail)", known=_KNOWN))
 def j_hop_score(x):
-    return ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.where("score >= 40"), KEY, "left").select(*ranking.PATH, "hop_ord", "score")
+    return ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.where("score >= 40").hint("merge"), KEY, "left").select(*ranking.PATH, "hop_ord", "score")
 
 
 @register("j_hop_vector", duck("hops vec_count", "SELECT DISTINCT head, rel, tail, ('0x' || substr(md5(concat_ws(' ', head, replace(rel, '_', ' '), tail)), 1, 6))::INT % n AS vec_id FROM hops CROSS JOIN vec_count"))
@@ -115,7 +115,7 @@ def j_hop_vector(x):
     ids = x.embeddings.select("vec_id", "embedding")
     n = F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
     keyed = hops.crossJoin(n).withColumn("vec_id", F.conv(F.substring(F.md5("s"), 1, 6), 16, 10).cast("long") % F.col("n"))
-    return keyed.join(ids, "vec_id").select(*KEY, "vec_id")
+    return keyed.join(ids.hint("merge"), "vec_id").select(*KEY, "vec_id")
 
 
 @register("rk_2hop_pruned", duck("q_triples", "SELECT q_id, head, rel, tail, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(sim01 * 2 - 1, 6) DESC, head, rel, tail) AS rank FROM q_triples) r WHERE rank <= 10"))
@@ -404,9 +404,9 @@ def sink_graph_view(x):
  tops=f"SELECT q_id, name FROM (SELECT q_id, name, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, name) AS rk FROM (SELECT q_id, name, {COS.format('q_vectors.vec', 'entity_vectors.vec')} AS sim FROM q_vectors CROSS JOIN entity_vectors) s) r WHERE rk <= 12"))
 def vec_question_accept(x):
     top = vectors.top_k(x.q_vectors, x.entity_vectors, 12).groupBy("q_id").agg(F.collect_set("name").alias("names"))
-    q = x.q_vectors.join(top, "q_id")
+    q = x.q_vectors.join(top.hint("merge"), "q_id")
     other = q.select((F.col("q_id") - 1).alias("q_id"), F.col("vec").alias("v2"), F.col("names").alias("n2"))
-    both = q.join(other, "q_id").select("q_id", vectors.cosine(F.col("vec"), F.col("v2")).alias("sim"), F.round(F.size(F.array_intersect("names", "n2")) / 12.0, 6).alias("overlap"))
+    both = q.join(other.hint("merge"), "q_id").select("q_id", vectors.cosine(F.col("vec"), F.col("v2")).alias("sim"), F.round(F.size(F.array_intersect("names", "n2")) / 12.0, 6).alias("overlap"))
     return both.withColumn("accepted", ((F.col("sim") >= 0.5) & (F.col("overlap") >= 0.5)) | (F.col("overlap") >= 0.7))
 
 
@@ -452,5 +452,5 @@ def rk_dataset_eval_flow(x):
     n = F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
     docs = x.documents.select("doc_id").crossJoin(n).withColumn("vec_id", F.col("doc_id") % F.col("n")).join(x.embeddings, "vec_id")
     top = vectors.top_k(x.q_vectors, docs.select(F.col("doc_id").cast("string").alias("name"), F.col("embedding").alias("vec")), 5)
-    found = top.join(x.documents.select(F.col("doc_id").cast("string").alias("name"), "text"), "name").join(x.q_eval.select("q_id", "w1"), "q_id")
+    found = top.hint("merge").join(x.documents.select(F.col("doc_id").cast("string").alias("name"), "text"), "name").join(x.q_eval.select("q_id", "w1"), "q_id")
     return found.groupBy("q_id").agg(F.max(evaluate.any_match(F.col("text"), F.array("w1"))).alias("label"))

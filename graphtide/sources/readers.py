@@ -89,7 +89,7 @@ def evidence_corpus(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """q_id, texts: bodies of a question's evidence urls in order; unknown urls are dropped, of a repeated url the last body counts."""
     bodies = corpus.groupBy("url").agg(F.max_by("body", "ord").alias("body"))
     wanted = questions.select("q_id", F.posexplode("urls").alias("i", "url"))
-    found = wanted.join(bodies, "url")
+    found = wanted.hint("merge").join(bodies.hint("merge"), "url")
     return found.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda e: e["body"]).alias("texts"))
 
 

@@ -63,6 +63,19 @@ def test_fold_is_ordered_and_clamped(spark):
     assert {(r.head, r.score, r.iteration) for r in after} == {("A", 25.0, 3), ("B", 198.0, 3)}
 
 
+def test_fold_in_parts_is_the_fold(spark):
+    rng = random.Random(4)
+    rows = [(f"T{rng.randrange(4)}", "r", "x", i, float(rng.randrange(-60, 60) * 5)) for i in range(400)]
+    scores = {f"T{k}": 25.0 + 50 * k for k in range(5)}
+    want = {k: v for k, v in scores.items() if k != "T4"}
+    for head, _, _, _, d in rows:
+        want[head] = max(20.0, min(200.0, want[head] + d))
+    df = spark.createDataFrame(rows, f"{T}, ord int, delta double").repartition(3)
+    sdf = spark.createDataFrame([(k, "r", "x", v) for k, v in scores.items()], f"{T}, score double")
+    for span in (1, 7, 1000):
+        assert {r.head: r.score for r in feedback.fold(sdf, df, ["ord"], span=span).collect()} == want
+
+
 def test_noise(spark):
     q = spark.range(10).select(F.col("id").alias("q_id"))
     chosen = feedback.choose_noise(q, q.where("q_id = 3"), 0.1).collect()
