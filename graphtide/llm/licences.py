@@ -119,8 +119,12 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Proprietary", ["all-rights"]),
 ]
-#: Every known sentence holds one of these words.
-WORTH = re.compile(r"licen[sc]e|permission|redistribution|warrant|public domain|cc0|free software|all rights reserved|provided|copyright|endorse|mpl was not|liable|liability|attribution|creative commons|\bcc\b|distributed|advertising|free to copy|event|product includes", re.I)
+#: Every known sentence holds one of these words or word groups.
+MARKS = [
+    *["licen[sc]e", "permission", "redistribution", "warrant", "public domain", "cc0", "free software", "all rights reserved", "software is provided", "conditions are met", "copyright", "endorse", "mpl was not"],
+    *["attribution", "creative commons", r"\bcc\b", "distributed in the hope", "advertising", "free to copy", "in no event", "product includes"],
+]
+WORTH = re.compile("|".join(m.replace(" ", r"[\W_]+") for m in MARKS), re.I)
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)", re.S)
 _NUMBER = re.compile(r"[^\w\n]*\d{1,3}[.:;]")
@@ -171,7 +175,7 @@ def known_sentences(text: str) -> Iterator[tuple[str | None, int, int]]:
     while i < len(pieces):
         name, last, stopped, joined = alone[i], i, stops[i], plain[i]
         first = joined.split(" ", 1)[0]
-        if name is None and (first in FIRST or first.isdigit()):
+        if name is None and (first in FIRST or first.isdigit()) and WORTH.search(text, pieces[i][0], pieces[min(len(pieces), i + MOST_LINES) - 1][1]):
             for j in range(i + 1, min(len(pieces), i + MOST_LINES)):
                 if ends[j - 1] or alone[j] is not None:
                     break
