@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from graphtide.session import shared_dir
+from graphtide.session import own_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,7 +68,7 @@ def ship(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
     """
     name = f"{name}-{uuid.uuid4().hex}"
     jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/graphtide/{name}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     try:
         for part in parts:

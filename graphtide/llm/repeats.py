@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm.common import ranges, slices, utf8
-from graphtide.session import discard, materialize, remove, shared_dir
+from graphtide.session import discard, materialize, own_dir, remove
 
 LEAST, GRAM, CUT = 50, 16, 512
 CHUNK_ROWS, CHUNK_BYTES, BUCKET_BYTES, MOST_PARTS = 8192, 3 << 24, 16_000_000, 20_000
@@ -614,7 +614,7 @@ def _run(docs: DataFrame, least: int, chunk_rows: int, chunk_bytes: int, bucket_
     if least < 24 or not 0 < cut < 1 << 16:
         raise ValueError("least must be 24 or more, cut from 1 to 65535")
     spark, name = docs.sparkSession, f"graphtide_chunks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/graphtide/{name}"
+    path = f"{own_dir(spark)}/{name}"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
     source = source.withColumn("chunk", _chunk(chunk_rows, chunk_bytes))
     parts = min(MOST_PARTS, max(8, 2 * docs.rdd.getNumPartitions()))
