@@ -12,7 +12,7 @@ from graphtide.operators import evaluate, feedback, graph, ranking, redundancy
 from graphtide.operators.vectors import vector_index
 from graphtide.plans import retrieve
 from graphtide.plans.fixtures import duck
-from graphtide.session import shared_dir
+from graphtide.session import own_dir
 from graphtide.sources import sinks
 from graphtide.sources.vector_store import VectorStore
 
@@ -124,7 +124,7 @@ def sink_dictionary_encode(x):
 
 def _store(x, name: str) -> VectorStore:
     """An empty store in the shared folder whose encoder looks vectors up by the digest of the name."""
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/store-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/store-{name}-{uuid.uuid4().hex}"
     return VectorStore(x.spark, path, lambda names: vector_index(x.embeddings, names, "name"))
 
 
@@ -191,7 +191,7 @@ def vec_store_snapshot(x):
 
 @register("sink_stage_rows", duck("q_eval", "SELECT q_id, question, p1 AS response, contains(lower(prediction), lower(w1)) AS label, it AS iteration FROM q_eval CROSS JOIN (SELECT 1 AS it UNION ALL SELECT 2) i"))
 def sink_stage_rows(x):
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/stages-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/stages-{uuid.uuid4().hex}"
     rows = x.q_eval.select("q_id", "question", F.col("p1").alias("response"), evaluate.any_match(F.col("prediction"), F.array("w1")).alias("label"))
     for iteration in (1, 2, 2):
         sinks.write_stage_rows(rows, path, iteration)

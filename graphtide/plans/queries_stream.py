@@ -11,7 +11,7 @@ from graphtide.functions.models import hash_encoder, model_udf
 from graphtide.operators import feedback
 from graphtide.plans.fixtures import duck
 from graphtide.plans.queries_graph import _BOARD, _duck_fold
-from graphtide.session import shared_dir
+from graphtide.session import own_dir
 from graphtide.streaming import feedback_loop
 
 KEY = feedback_loop.KEY
@@ -19,7 +19,7 @@ KEY = feedback_loop.KEY
 
 def _deltas(x, parts=4):
     """Delta files in feedback order: the files' order is that of q_ord."""
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/stream-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/stream-{uuid.uuid4().hex}"
     rows = feedback.leaderboard_deltas(x.fb_triples).select(*KEY, *(F.col(c).cast("long").alias(c) for c in feedback_loop.ORDER), F.col("delta").cast("double").alias("delta"), F.col("score").alias("base"))
     bounds = [r[0] for r in rows.agg(F.percentile_approx("q_ord", [i / parts for i in range(1, parts)])).collect()][0] or []
     part = sum([(F.col("q_ord") > b).cast("int") for b in bounds], F.lit(0))
@@ -30,13 +30,13 @@ def _deltas(x, parts=4):
 
 @register("st_microbatch_loop", duck("fb_triples kg_scores", f"SELECT s.head, s.rel, s.tail, coalesce(f.score, s.score) AS score FROM kg_scores s LEFT JOIN ({_duck_fold(_BOARD)}) f ON s.head = f.head AND s.rel = f.rel AND s.tail = f.tail"))
 def st_microbatch_loop(x):
-    base = f"{shared_dir(x.spark).rstrip('/')}/graphtide/loop-{uuid.uuid4().hex}"
+    base = f"{own_dir(x.spark)}/loop-{uuid.uuid4().hex}"
     return feedback_loop.run_microbatches(x.spark, x.kg_scores, _deltas(x), f"{base}/snapshots", f"{base}/checkpoint").select(*KEY, "score")
 
 
 @register("st_score_state", duck("fb_triples", _duck_fold(_BOARD)))
 def st_score_state(x):
-    base = f"{shared_dir(x.spark).rstrip('/')}/graphtide/state-{uuid.uuid4().hex}"
+    base = f"{own_dir(x.spark)}/state-{uuid.uuid4().hex}"
     return feedback_loop.run_score_state(x.spark, _deltas(x), f"{base}/scores", f"{base}/checkpoint")
 
 

@@ -13,14 +13,14 @@ from graphtide.operators import evaluate, graph, ranking, vectors
 from graphtide.plans import retrieve
 from graphtide.plans.fixtures import duck
 from graphtide.plans.retrieve import COS
-from graphtide.session import shared_dir
+from graphtide.session import own_dir
 from graphtide.sources import readers, sinks
 
 KEY = graph.KEY
 
 
 def _file(x, lines, value="value"):
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/text-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/text-{uuid.uuid4().hex}"
     lines.select(F.col(value).alias("value")).write.text(path)
     return path
 
@@ -298,7 +298,7 @@ def src_triples_jsonl(x):
 @register("src_scores_json", duck("kg_scores", "SELECT head, rel, tail, score, true AS matches FROM kg_scores"))
 def src_scores_json(x):
     entry = F.to_json(F.create_map(graph.triple_key(), F.struct(F.array(*KEY).alias("triplet"), "score")))
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/scores-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/scores-{uuid.uuid4().hex}"
     x.kg_scores.select(entry.alias("value")).write.text(path)
     return readers.scores_json(x.spark, path)
 
@@ -313,7 +313,7 @@ def src_qa_jsonl(x):
 def src_qa_array_filter(x):
     kind = F.when(F.col("q_id") % 2 == 0, "inference_query").otherwise("other")
     row = F.to_json(F.array(F.struct(F.col("question").alias("query"), F.col("prediction").alias("answer"), kind.alias("question_type"))))
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/array-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/array-{uuid.uuid4().hex}"
     x.q.select(row.alias("value")).repartition(8).write.text(path)
     return readers.qa_array(x.spark, path)
 
@@ -382,14 +382,14 @@ def src_similar_questions(x):
 
 @register("sink_graph_load", duck("kg_scores", "SELECT head, rel, tail FROM kg_scores WHERE score > 50"))
 def sink_graph_load(x):
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/graph-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/graph-{uuid.uuid4().hex}"
     sinks.write_graph(sinks.loadable(x.kg_scores, 50), path, 1)
     return x.spark.read.parquet(path).where("iteration = 1").select(*KEY)
 
 
 @register("sink_graph_export", duck("kg_triples", "SELECT head, rel, tail FROM kg_triples"))
 def sink_graph_export(x):
-    path = f"{shared_dir(x.spark).rstrip('/')}/graphtide/export-{uuid.uuid4().hex}"
+    path = f"{own_dir(x.spark)}/export-{uuid.uuid4().hex}"
     sinks.export_triples(x.kg_triples, path)
     return x.spark.read.schema("head string, rel string, tail string").json(path)
 

@@ -45,10 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/graphtide/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; for when no result of it is read any more."""
+    remove(spark, own_dir(spark))
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives true sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphtide/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphtide_path = path

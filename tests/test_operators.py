@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphtide import session
 from graphtide.functions import text
 from graphtide.functions.models import hash_encoder, model_udf
 from graphtide.operators import evaluate, feedback, graph, ranking, redundancy, vectors
@@ -335,6 +336,14 @@ def test_score_state_logic():
     assert next(p.handleInputRows(("A", "r", "B"), iter([frame]), None)).score[0] == 20.0
 
 
+def test_clean_up_deletes_what_was_written(spark):
+    path = session.materialize(spark.range(3), "x")._graphtide_path
+    there = lambda: spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+    assert there()
+    session.clean_up(spark)
+    assert not there()
+
+
 def test_model_udf(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",)], "t string").select(model_udf(hash_encoder, "array<float>")(F.col("t")).alias("v"))
     got = [r.v for r in df.collect()]
