@@ -158,25 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([toxic, pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["toxic", "buckets"])
 
     chosen = sample.mapInArrow(select, "toxic boolean, buckets array<int>").toArrow()  # fit_rows rows at most
-    place = np.full(1 << BITS, -1)
+    place = np.zeros(1 << BITS, np.min_scalar_type(len(buckets)))
     place[buckets] = np.arange(len(buckets))
-    lists = chosen.column("buckets").combine_chunks()
     y = np.array(chosen.column("toxic").to_pylist(), float)
-    sizes = np.diff(lists.offsets.to_numpy())
-    weights, bias = _logistic(y, np.repeat(np.arange(len(y), dtype=np.int32), sizes), place[lists.flatten().to_numpy()].astype(np.int32), ratio, bias)
+    lists = chosen.column("buckets").combine_chunks()
+    sizes, feature = np.diff(lists.offsets.to_numpy()), place[lists.flatten().to_numpy()]
+    del chosen, lists
+    weights, bias = _logistic(y, sizes, feature, ratio, bias)
+    pa.default_memory_pool().release_unused()
     return Model(buckets, weights * ratio, bias)
 
 
-def _logistic(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on features of value ratio, by Adam over all rows; the order of rows doesn't matter."""
-    by_row, by_feature = np.argsort(row, kind="stable"), np.lexsort((row, feature))
-    features, rows = feature[by_row], row[by_feature]
-    full, row_starts = np.unique(row[by_row], return_index=True)
-    some, feature_starts = np.unique(feature[by_feature], return_index=True)
+def _logistic(y: np.ndarray, sizes: np.ndarray, feature: np.ndarray, ratio: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by Adam over all rows; row i has the next sizes[i] entries of feature, each of value ratio."""
+    full = np.flatnonzero(sizes)
+    row_starts = (np.cumsum(sizes) - sizes)[full]
+    rows = np.repeat(np.arange(len(y), dtype=np.min_scalar_type(len(y))), sizes)[np.argsort(feature, kind="stable")]
+    counts = np.bincount(feature, minlength=len(ratio))
+    some = np.flatnonzero(counts)
+    feature_starts = (np.cumsum(counts) - counts)[some]
     w, b, margin, slope = np.zeros(len(ratio)), bias, np.zeros(len(y)), np.zeros(len(ratio))
     m = v = np.zeros(len(ratio) + 1)
     for step in range(1, STEPS + 1):
-        margin[full] = np.add.reduceat((w * ratio)[features], row_starts)
+        margin[full] = np.add.reduceat((w * ratio)[feature], row_starts)
         error = (1 / (1 + np.exp(-np.clip(margin + b, -40, 40))) - y) / len(y)
         slope[some] = np.add.reduceat(error[rows], feature_starts)
         g = np.append(slope * ratio + PENALTY * w, error.sum())
