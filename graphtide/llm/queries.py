@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm import chat, decontaminate, infill, licences, lines, neighbours, packing, pii, repeats, simhash, toxicity, urls
+from graphtide.llm import alignment, chat, decontaminate, infill, licences, lines, neighbours, packing, pii, repeats, simhash, toxicity, urls
 from graphtide.llm.common import read
 
 
@@ -154,3 +154,11 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY rid, doc_id
 """
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES["op11_tokenizer_alignment"] = op11_tokenizer_alignment
