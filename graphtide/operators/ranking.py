@@ -109,11 +109,26 @@ def whole_paths(hops: DataFrame, least: float) -> DataFrame:
 
 
 def unique_facts(hops: DataFrame) -> DataFrame:
-    """Distinct facts of a question, by sentence, sorted by head and tail; pos is the feedback id."""
+    """Distinct facts of a question, by sentence, sorted by head and tail, with the triple that comes first; pos is the feedback id."""
     text = F.concat_ws(" ", F.col("head"), F.translate("rel", "_", " "), F.col("tail"))
     first = hops.withColumn("fact", text).groupBy("q_id", "fact").agg(F.min(F.struct("seed_ord", "path_ord", "hop_ord", *KEY)).alias("f"))
     w = Window.partitionBy("q_id").orderBy("f.head", "f.tail", "f.seed_ord", "f.path_ord", "f.hop_ord")
-    return first.select("q_id", "fact", (F.row_number().over(w) - 1).alias("pos"))
+    return first.select("q_id", "fact", *(f"f.{c}" for c in KEY), (F.row_number().over(w) - 1).alias("pos"))
+
+
+def fragment_runs(hops: Column, least: float) -> Column:
+    """Runs of the hops with score >= least whose ends meet, read along the path: text `A -r-> B <-r2- C` and mean score of each."""
+    arrow = lambda h: F.when(h["dir"] == "->", F.concat(F.lit(" -"), h["rel"], F.lit("-> "), h["dst"])).otherwise(F.concat(F.lit(" <-"), h["rel"], F.lit("- "), h["dst"]))
+    none = F.array().cast("array<struct<text:string,total:double,n:int,last:string>>")
+
+    def step(runs: Column, h: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        new = F.struct(F.concat(h["src"], arrow(h)).alias("text"), h["score"].cast("double").alias("total"), F.lit(1).alias("n"), h["dst"].alias("last"))
+        longer = F.struct(F.concat(last["text"], arrow(h)).alias("text"), (last["total"] + h["score"]).alias("total"), (last["n"] + 1).alias("n"), h["dst"].alias("last"))
+        return F.when(last["last"] == h["src"], F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
+
+    runs = F.aggregate(F.filter(hops, lambda h: h["score"] >= least), none, step)
+    return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), F.round(r["total"] / r["n"], 4).alias("mean_score")))
 
 
 def entity_support(hops: DataFrame, k: int = 5) -> DataFrame:

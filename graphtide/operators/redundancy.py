@@ -177,17 +177,3 @@ def adaptive_threshold(items: DataFrame, text: str = "name", most_numbers: int =
     counted = materialize(numbers.groupBy("of").agg(F.count("*").alias("numbers")), "numbers")
     threshold = F.when(F.coalesce("numbers", F.lit(0)) > most_numbers, many).otherwise(few)
     return items.hint("merge").join(counted.hint("merge"), F.col("q_id") == F.col("of"), "left").withColumn("threshold", threshold).drop("of", "numbers")
-
-
-def substring_suppress(ranked: DataFrame, limit: int) -> DataFrame:
-    """q_id, seed_ord, rank, path of ranked(q_id, seed_ord, rank, path): in rank order a path inside a kept one is skipped and one that contains a kept one takes the place of the first such; else it is kept if fewer than limit are."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda r: r["path"])
-
-    def step(kept: Column, path: Column) -> Column:
-        inside = F.array_position(F.transform(kept, lambda k: F.contains(path, k)), F.lit(True))
-        replaced = F.transform(kept, lambda k, i: F.when(i + 1 == inside, path).otherwise(k))
-        fresh = F.when(inside > 0, replaced).when(F.size(kept) < limit, F.concat(kept, F.array(path))).otherwise(kept)
-        return F.when(F.exists(kept, lambda k: F.contains(k, path)), kept).otherwise(fresh)
-
-    folded = ranked.groupBy("q_id", "seed_ord").agg(F.aggregate(ordered, F.array().cast("array<string>"), step).alias("kept"))
-    return folded.select("q_id", "seed_ord", F.posexplode("kept").alias("rank", "path")).withColumn("rank", F.col("rank") + 1)

@@ -405,7 +405,7 @@ def fb_trace(x):
     return feedback.leaderboard_deltas(x.fb_triples).select("q_ord", "idx", *KEY, "delta")
 
 
-@register("fb_next_iteration", duck("fb_triples kg_scores", f"SELECT s.head, s.rel, s.tail, coalesce(f.score, s.score) AS score, 1 AS iteration FROM kg_scores s LEFT JOIN ({_duck_fold(_BOARD)}) f ON s.head = f.head AND s.rel = f.rel AND s.tail = f.tail"))
+@register("fb_next_iteration", duck("fb_triples kg_scores", "SELECT s.head, s.rel, s.tail, coalesce(f.score, s.score) AS score, 1 AS iteration FROM kg_scores s LEFT JOIN folded f ON s.head = f.head AND s.rel = f.rel AND s.tail = f.tail", folded=_duck_fold(_BOARD)))
 def fb_next_iteration(x):
     return feedback.next_iteration(x.kg_scores, _folded(x, feedback.leaderboard_deltas(x.fb_triples)), 1)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphtide.catalog import register
-from graphtide.operators import evaluate, feedback, graph, ranking, redundancy, vectors
+from graphtide.operators import evaluate, feedback, graph, ranking, suppress, vectors
 from graphtide.plans import retrieve
 from graphtide.plans.fixtures import duck
 from graphtide.plans.retrieve import COS
+from graphtide.session import materialize
 
 
 @register(
@@ -115,52 +116,44 @@ def rk_topk_global(x):
     return ranking.top_paths(paths, "sim", 10, per_seed=False).select("q_id", "seed_ord", "path_ord", "path", "rank")
 
 
-@register(
-    "rk_basic",
-    duck(
-        "path_sims hops kg_scores",
-        """SELECT q_id, seed_ord, path_ord, path, n_kept, value, rank FROM (
- SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY value DESC, path_ord) AS rank FROM (
-  SELECT p.q_id, p.seed_ord, p.path_ord, path, n_kept, round((sim + 1) * 50 + prod / pow(100.0, n_kept - 1), 6) AS value FROM path_sims p
-  JOIN (SELECT q_id, seed_ord, path_ord, product(score) AS prod, count(*) AS n_kept FROM hops JOIN kg_scores USING (head, rel, tail) WHERE score >= 61 GROUP BY ALL) k
-  ON p.q_id = k.q_id AND p.seed_ord = k.seed_ord AND p.path_ord = k.path_ord WHERE sim > 0) v) r WHERE rank <= 5""",
-    ),
-)
+@register("rk_basic", duck("basic", "SELECT q_id, seed_ord, path_ord, kept_path AS path, n_kept, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY value DESC, path_ord) AS rank FROM basic) r WHERE rank <= 5"))
 def rk_basic(x):
     return retrieve.ranked_basic(x)
 
 
-_SUPPRESS = """list_reduce(list(list_value(path) ORDER BY rank), lambda acc, x: CASE
-  WHEN len(list_filter(acc, lambda k: contains(k, x[1]))) > 0 THEN acc
-  WHEN len(list_filter(acc, lambda k: contains(x[1], k))) > 0 THEN list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda m: contains(x[1], m)), true) THEN x[1] ELSE k END)
-  WHEN len(acc) < {limit} THEN list_concat(acc, x) ELSE acc END)"""
-
-
-def _suppressed_sql(limit: int) -> str:
-    return f"SELECT q_id, seed_ord, unnest(kept) AS path, generate_subscripts(kept, 1) AS rank FROM (SELECT q_id, seed_ord, {_SUPPRESS.format(limit=limit)} AS kept FROM ranked GROUP BY q_id, seed_ord) s"
+_MEETS = "contains(k['t'], x[1]['t']) OR contains(x[1]['t'], k['t'])"
+_AT = f"list_position(list_transform(acc, lambda k: {_MEETS}), true)"
+_SLOTS = f"""SELECT q_id, seed_ord, unnest(list_reduce(list([{{'t': text, 'v': value, 'o': ord, 's': ord}}] ORDER BY ord), lambda acc, x: CASE
+  WHEN coalesce({_AT}, 0) = 0 THEN list_concat(acc, x)
+  WHEN contains(acc[{_AT}]['t'], x[1]['t']) THEN acc
+  ELSE list_transform(acc, lambda k, i: CASE WHEN i = {_AT} THEN {{'t': x[1]['t'], 'v': x[1]['v'], 'o': x[1]['o'], 's': k['s']}} ELSE k END) END)) AS slot FROM candidates GROUP BY q_id, seed_ord"""
 
 
-@register("flt_substring_suppress", duck("facts", _suppressed_sql(8), ranked="SELECT q_ord AS q_id, 0 AS seed_ord, pos + 1 AS rank, CASE WHEN pos % 3 = 0 THEN head WHEN pos % 3 = 1 THEN concat_ws(' ', head, rel) ELSE concat_ws(' ', head, rel, tail) END AS path FROM facts"))
+@register(
+    "flt_substring_suppress",
+    duck(
+        "facts",
+        f"SELECT q_id, seed_ord, slot['s'] AS slot, slot['o'] AS ord, slot['t'] AS text, slot['v'] AS value FROM ({_SLOTS}) s",
+        candidates="SELECT q_ord AS q_id, CAST(0 AS BIGINT) AS seed_ord, pos AS ord, CASE WHEN pos % 3 = 0 THEN head WHEN pos % 3 = 1 THEN concat_ws(' ', head, rel) ELSE concat_ws(' ', head, rel, tail) END AS text, score AS value FROM facts",
+    ),
+)
 def flt_substring_suppress(x):
-    path = F.when(F.col("pos") % 3 == 0, F.col("head")).when(F.col("pos") % 3 == 1, F.concat_ws(" ", "head", "rel")).otherwise(graph.triple_key())
-    return redundancy.substring_suppress(x.facts.select(F.col("q_ord").alias("q_id"), F.lit(0).alias("seed_ord"), (F.col("pos") + 1).alias("rank"), path.alias("path")), 8)
+    shown = F.when(F.col("pos") % 3 == 0, F.col("head")).when(F.col("pos") % 3 == 1, F.concat_ws(" ", "head", "rel")).otherwise(graph.triple_key())
+    rows = materialize(x.facts.select(F.col("q_ord").alias("q_id"), F.lit(0).cast("long").alias("seed_ord"), F.col("pos").cast("long").alias("ord"), shown.alias("text"), F.col("score").alias("value")), "facts")
+    return suppress.suppressed(rows).hint("merge").join(rows.select("q_id", "seed_ord", "ord", "text").hint("merge"), ["q_id", "seed_ord", "ord"])
 
 
 @register(
     "rk_basic_suppressed",
     duck(
-        "path_sims hops kg_scores",
-        _suppressed_sql(5),
-        ranked="""SELECT * FROM (
- SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY value DESC, path_ord) AS rank FROM (
-  SELECT p.q_id, p.seed_ord, p.path_ord, path, round((sim + 1) * 50 + prod / pow(100.0, n_kept - 1), 6) AS value FROM path_sims p
-  JOIN (SELECT q_id, seed_ord, path_ord, product(score) AS prod, count(*) AS n_kept FROM hops JOIN kg_scores USING (head, rel, tail) WHERE score >= 61 GROUP BY ALL) k
-  ON p.q_id = k.q_id AND p.seed_ord = k.seed_ord AND p.path_ord = k.path_ord WHERE sim > 0) v) r WHERE rank <= 20""",
+        "basic",
+        f"""SELECT q_id, seed_ord, rank, slot['s'] AS slot, slot['o'] AS path_ord, slot['t'] AS sentence, round(slot['v'], 6) AS value, rank > 5 AS more FROM (
+ SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY slot['v'] DESC, slot['s']) AS rank FROM ({_SLOTS}) s) r WHERE rank <= 30""",
+        candidates="SELECT q_id, seed_ord, path_ord AS ord, sentence AS text, value FROM basic",
     ),
 )
 def rk_basic_suppressed(x):
-    ranked = retrieve.ranked_basic(x, pruning=20)
-    return redundancy.substring_suppress(ranked.select("q_id", F.col("seed_ord").cast("int").alias("seed_ord"), "rank", "path"), 5)
+    return retrieve.ranked_basic_suppressed(x).drop("hops")
 
 
 @register(
@@ -193,23 +186,48 @@ _FRAGMENTS = duck(
 
 
 @register("path_merge_fragments", _FRAGMENTS)
-@register("rk_fragments", _FRAGMENTS)
-def rk_fragments(x):
+def path_merge_fragments(x):
     hops = ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.hint("merge"), graph.KEY)
     return ranking.fragments(hops, 96.0)
 
 
+_RANKED_TEXTS = f"""SELECT q_id, text, mean_score, value, row_number() OVER (PARTITION BY q_id ORDER BY value DESC, o) AS rank FROM (
+ SELECT f.q_id, text, o, mean_score, round(({COS.format('q_vectors.vec', 'embedding')} + 1) * 50 + mean_score, 6) AS value FROM (
+  SELECT q_id, text, min({{'seed_ord': seed_ord, 'path_ord': path_ord, 'run': run}}) AS o, first(mean_score) AS mean_score, ('0x' || substr(md5(text), 1, 6))::INT % first(n) AS v
+  FROM made JOIN links USING (seed) CROSS JOIN vec_count GROUP BY q_id, text) f JOIN q_vectors ON q_vectors.q_id = f.q_id JOIN embeddings ON vec_id = v) r"""
+
+
+@register(
+    "rk_fragments",
+    duck(
+        "seed_hops kg_scores links q_vectors vec_count",
+        _RANKED_TEXTS,
+        met="""SELECT *, sum(CASE WHEN before = src THEN 0 ELSE 1 END) OVER (PARTITION BY seed, path_ord ORDER BY hop_ord) AS run FROM (
+ SELECT h.*, score, lag(dst) OVER (PARTITION BY seed, path_ord ORDER BY hop_ord) AS before FROM seed_hops h JOIN kg_scores s ON h.head = s.head AND h.rel = s.rel AND h.tail = s.tail WHERE score >= 96) a""",
+        made="""SELECT seed, path_ord, run, round(avg(score), 4) AS mean_score, string_agg(CASE WHEN starts THEN src ELSE '' END || CASE WHEN dir = '->' THEN ' -' || rel || '-> ' || dst ELSE ' <-' || rel || '- ' || dst END, '' ORDER BY hop_ord) AS text
+ FROM (SELECT *, row_number() OVER (PARTITION BY seed, path_ord, run ORDER BY hop_ord) = 1 AS starts FROM met) a GROUP BY seed, path_ord, run""",
+    ),
+)
+def rk_fragments(x):
+    return retrieve.ranked_fragments(x)
+
+
 @register(
     "rk_whole_paths",
-    duck("hops kg_scores", "SELECT q_id, seed_ord, path_ord, round(coalesce(avg(score), 0), 4) AS mean_score FROM hops LEFT JOIN kg_scores USING (head, rel, tail) GROUP BY ALL HAVING min(score) IS NULL OR min(score) >= 95"),
+    duck(
+        "seed_hops kg_scores links q_vectors vec_count",
+        _RANKED_TEXTS,
+        made="""SELECT seed, path_ord, 0 AS run, round(coalesce(avg(score), 0), 4) AS mean_score, coalesce(string_agg(concat_ws(' ', h.head, replace(h.rel, '_', ' '), h.tail), ', ' ORDER BY hop_ord) FILTER (WHERE score IS NOT NULL), '') || '.' AS text
+ FROM seed_hops h LEFT JOIN (SELECT * FROM kg_scores WHERE score >= 40) s ON h.head = s.head AND h.rel = s.rel AND h.tail = s.tail GROUP BY seed, path_ord HAVING min(score) IS NULL OR min(score) >= 95""",
+    ),
 )
 def rk_whole_paths(x):
-    return ranking.whole_paths(ranking.hop_rows(retrieve.candidate_paths(x)).join(x.kg_scores.hint("merge"), graph.KEY, "left"), 95.0)
+    return retrieve.ranked_whole_paths(x, unknown_below=40.0)
 
 
 @register("rk_unique_facts", duck("hops", "SELECT q_id, fact, row_number() OVER (PARTITION BY q_id ORDER BY f.head, f.tail, f.seed_ord, f.path_ord, f.hop_ord) - 1 AS pos FROM (SELECT q_id, concat_ws(' ', head, replace(rel, '_', ' '), tail) AS fact, min({'seed_ord': seed_ord, 'path_ord': path_ord, 'hop_ord': hop_ord, 'head': head, 'rel': rel, 'tail': tail}) AS f FROM hops GROUP BY ALL) g"))
 def rk_unique_facts(x):
-    return ranking.unique_facts(ranking.hop_rows(retrieve.candidate_paths(x)))
+    return ranking.unique_facts(ranking.hop_rows(retrieve.candidate_paths(x))).select("q_id", "fact", "pos")
 
 
 @register("rk_entity_support", duck("und", "SELECT entity, fact, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, fact) AS rank FROM (SELECT src AS entity, concat_ws(' ', CASE WHEN dir = '->' THEN src ELSE dst END, replace(rel, '_', ' '), CASE WHEN dir = '->' THEN dst ELSE src END) AS fact, count(*) AS n FROM und GROUP BY ALL) g) r WHERE rank <= 5"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphtide.operators import graph, ranking, vectors
+from graphtide.functions import text
+from graphtide.operators import graph, ranking, suppress, vectors
 from graphtide.plans.fixtures import DUCK, Inputs
 from graphtide.session import materialize
 
@@ -25,12 +28,12 @@ def _count(x: Inputs) -> DataFrame:
     return F.broadcast(x.embeddings.agg(F.count("*").alias("n")))
 
 
-def seed_paths(x: Inputs, linked: DataFrame, depth: int = DEPTH, max_degree: int | None = None, hops: bool = True) -> DataFrame:
-    """seed, path_ord, path, v, marks and, if wanted, hops: each seed's paths once, however many questions share it; written.
+def seed_paths(x: Inputs, linked: DataFrame, depth: int = DEPTH, max_degree: int | None = None, columns: tuple[str, ...] = ("path", "marks", "hops")) -> DataFrame:
+    """seed, path_ord, v and the wanted columns of each seed's paths, once however many questions share it; written.
 
     A path's place is the number of longer ones of its seed plus its place among those of its length, so
-    no task sorts a whole hub. v is the number of the path text's vector; marks hold each hop's score
-    (null if unknown) and the number of its sentence's vector.
+    no task sorts a whole hub. v is the number of the path text's vector; hops and marks hold each hop's score
+    (null if unknown) and the number of its sentence's vector, marks nothing else.
     """
     scored = x.kg_scores.crossJoin(_count(x)).select(*graph.KEY, "score", _vector_number(graph.sentence()).alias("v"))
     found = graph.expand_paths(scored, linked.select("seed"), depth, max_degree, carry=("score", "v")).withColumn("size", F.length("path"))
@@ -38,16 +41,16 @@ def seed_paths(x: Inputs, linked: DataFrame, depth: int = DEPTH, max_degree: int
     longer = F.sum("many").over(Window.partitionBy("seed").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
     before = materialize(counts.select(F.col("seed").alias("of"), F.col("size").alias("of_size"), F.coalesce(longer, F.lit(0)).alias("longer")), "longer")
     marks = F.transform("hops", lambda h: F.struct(h["score"].alias("score"), h["v"].alias("v")))
-    kept = found.select("seed", "size", "path", marks.alias("marks"), *(["hops"] if hops else []))
-    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy("seed", "size").orderBy("path")))
+    made = {"path": F.col("path"), "marks": marks.alias("marks"), "hops": F.col("hops")}
+    ranked = found.select("seed", "size", "path", *(made[c] for c in columns if c != "path")).withColumn("place", F.row_number().over(Window.partitionBy("seed", "size").orderBy("path")))
     joined = ranked.hint("merge").join(before.hint("merge"), (F.col("seed") == F.col("of")) & (F.col("size") == F.col("of_size"))).crossJoin(_count(x))
-    return materialize(joined.select("seed", (F.col("place") + F.col("longer")).alias("path_ord"), "path", _vector_number(F.col("path")).alias("v"), "marks", *(["hops"] if hops else [])), "seed_paths")
+    return materialize(joined.select("seed", (F.col("place") + F.col("longer")).alias("path_ord"), _vector_number(F.col("path")).alias("v"), *columns), "seed_paths")
 
 
-def candidates(x: Inputs, k: int = ENTITIES, depth: int = DEPTH, max_degree: int | None = None, hops: bool = True) -> tuple[DataFrame, DataFrame]:
+def candidates(x: Inputs, k: int = ENTITIES, depth: int = DEPTH, max_degree: int | None = None, columns: tuple[str, ...] = ("path", "marks", "hops")) -> tuple[DataFrame, DataFrame]:
     """(links, paths of their seeds), both written: what every ranking starts from."""
     linked = materialize(links(x, k), "links")
-    return linked, seed_paths(x, linked, depth, max_degree, hops)
+    return linked, seed_paths(x, linked, depth, max_degree, columns)
 
 
 def to_questions(linked: DataFrame, paths: DataFrame) -> DataFrame:
@@ -102,10 +105,10 @@ def path_probabilities(linked: DataFrame, hops: DataFrame, bounds: DataFrame, we
     return ranking.softmax(logs.groupBy(*ranking.PATH).agg(F.count("*").alias("len"), F.round(F.avg("log"), 9).alias("pl")))
 
 
-def with_text(ranked: DataFrame, linked: DataFrame, paths: DataFrame) -> DataFrame:
-    """ranked(q_id, seed_ord, path_ord), already cut, with the text of its paths."""
+def with_paths(ranked: DataFrame, linked: DataFrame, paths: DataFrame, *columns: str) -> DataFrame:
+    """ranked(q_id, seed_ord, path_ord), already cut, with seed and columns of its paths."""
     named = materialize(ranked.hint("merge").join(linked.hint("merge"), ["q_id", "seed_ord"]), "ranked")
-    return named.hint("merge").join(paths.select("seed", "path_ord", "path").hint("merge"), ["seed", "path_ord"])
+    return named.hint("merge").join(paths.select("seed", "path_ord", *columns).hint("merge"), ["seed", "path_ord"])
 
 
 def standard(x: Inputs, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,23 +122,94 @@ def standard(x: Inputs, weight: float = WEIGHT) -> tuple[DataFrame, DataFrame, D
 
 def ranked_standard(x: Inputs, pruning: int = PRUNING, weight: float = WEIGHT) -> DataFrame:
     """The first `pruning` paths of each question and seed by probability."""
-    linked, paths = candidates(x, hops=False)
+    linked, paths = candidates(x, columns=("path", "marks"))
     ranked = ranking.top_paths(path_probabilities(linked, *question_triples(x, linked, paths), weight), "pl", pruning)
-    return with_text(ranked, linked, paths).select("q_id", "seed_ord", "path_ord", "path", F.round("p", 6).alias("p"), "rank")
+    return with_paths(ranked, linked, paths, "path").select("q_id", "seed_ord", "path_ord", "path", F.round("p", 6).alias("p"), "rank")
 
 
-def ranked_basic(x: Inputs, sim_threshold: float = 0.0, score_threshold: float = 61.0, pruning: int = PRUNING) -> DataFrame:
-    """q_id, seed_ord, path_ord, path, n_kept, value, rank: the published basic ranking.
+def kept_hops(least: float) -> Column:
+    """The hops of a path that reach the score."""
+    return F.filter("hops", lambda h: h["score"] >= least)
+
+
+def basic_candidates(x: Inputs, linked: DataFrame, paths: DataFrame, sim_threshold: float, score_threshold: float, *more: Column) -> DataFrame:
+    """q_id, seed_ord, path_ord, n_kept, value and more: the paths above sim_threshold that have a kept hop and none of unknown score.
 
     What depends on the path alone (its kept hops and their product) is computed once per seed.
     """
-    linked, paths = candidates(x, hops=False)
-    kept = F.filter("marks", lambda h: h["score"] >= score_threshold)
-    known = paths.where(~F.exists("marks", lambda h: h["score"].isNull())).select("seed", "path_ord", "v", F.size(kept).alias("n_kept"), F.aggregate(kept, F.lit(1.0), lambda a, h: a * h["score"]).alias("product")).where("n_kept > 0")
+    kept = kept_hops(score_threshold)
+    known = paths.where(~F.exists("hops", lambda h: h["score"].isNull())).select("seed", "path_ord", "v", F.size(kept).alias("n_kept"), F.aggregate(kept, F.lit(1.0), lambda a, h: a * h["score"]).alias("product"), *more).where("n_kept > 0")
     asked = to_questions(linked, known).drop("seed")
     near = similar(asked, similarities(x, asked.select("q_id", "v"))).where(F.col("sim") > sim_threshold)
-    ranked = ranking.top_paths(near.withColumn("value", ranking.basic_value(F.col("sim"), F.col("product"), F.col("n_kept"))), "value", pruning)
-    return with_text(ranked, linked, paths).select("q_id", "seed_ord", "path_ord", "path", "n_kept", "value", "rank")
+    return near.withColumn("value", ranking.basic_value(F.col("sim"), F.col("product"), F.col("n_kept"))).drop("v", "sim", "product")
+
+
+def ranked_basic(x: Inputs, sim_threshold: float = 0.0, score_threshold: float = 61.0, pruning: int = PRUNING) -> DataFrame:
+    """q_id, seed_ord, path_ord, path, n_kept, value, rank: the published basic ranking; path is rendered from the kept hops."""
+    linked, paths = candidates(x, columns=("hops",))
+    ranked = ranking.top_paths(basic_candidates(x, linked, paths, sim_threshold, score_threshold), "value", pruning)
+    shown = with_paths(ranked, linked, paths, "hops").withColumn("path", text.path_render(kept_hops(score_threshold)))
+    return shown.select("q_id", "seed_ord", "path_ord", "path", "n_kept", "value", "rank")
+
+
+def ranked_basic_suppressed(x: Inputs, sim_threshold: float = 0.0, score_threshold: float = 61.0, pruning: int = PRUNING, pruning_more: int = 30) -> DataFrame:
+    """q_id, seed_ord, rank, slot, path_ord, sentence, hops, value, more: the basic ranking over sentences of kept hops, without those that stand inside others.
+
+    All candidates take part in the suppression, before any cut. A slot has sentence, hops and value of the path that took it
+    last. The first `pruning` slots are the result, those up to `pruning_more` (more is true) the longer list for redundancy.
+    """
+    linked, paths = candidates(x, columns=("hops",))
+    sentences = materialize(paths.select("seed", "path_ord", text.path_sentence(kept_hops(score_threshold)).alias("sentence")), "sentences")
+    firsts = sentences.groupBy("seed", "sentence").agg(F.min("path_ord").alias("text_ord"))
+    numbered = materialize(sentences.hint("merge").join(firsts.hint("merge"), ["seed", "sentence"]).select("seed", "path_ord", "text_ord"), "numbered")
+    known = paths.hint("merge").join(numbered.hint("merge"), ["seed", "path_ord"])
+    near = basic_candidates(x, linked, known, sim_threshold, score_threshold, F.col("text_ord"))
+    first = near.groupBy("q_id", "seed_ord", "text_ord").agg(F.min(F.struct("path_ord", "value")).alias("one")).select("q_id", "seed_ord", "text_ord", "one.*")
+    named = to_questions(linked, firsts).drop("seed")
+    rows = first.hint("merge").join(named.hint("merge"), ["q_id", "seed_ord", "text_ord"]).select("q_id", "seed_ord", F.col("path_ord").alias("ord"), F.col("sentence").alias("text"), "value")
+    order = Window.partitionBy("q_id", "seed_ord").orderBy(F.desc("value"), "slot")
+    ranked = suppress.suppressed(rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(pruning, pruning_more))
+    shown = with_paths(ranked.withColumnRenamed("ord", "path_ord"), linked, paths, "hops").withColumn("hops", kept_hops(score_threshold))
+    return shown.select("q_id", "seed_ord", "rank", "slot", "path_ord", text.path_sentence(F.col("hops")).alias("sentence"), "hops", "value", (F.col("rank") > pruning).alias("more"))
+
+
+def text_similarity(x: Inputs, rows: DataFrame, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rows(q_id, text) with sim, the cosine of question and text. encode: texts(text) to (text, vec), each text once; by default the embedding that the text hashes to."""
+    if encode is None:
+        numbered = materialize(rows.crossJoin(_count(x)).withColumn("v", _vector_number(F.col("text"))).drop("n"), "texts")
+        return similar(numbered, similarities(x, numbered.select("q_id", "v"))).drop("v")
+    texts = materialize(graph.numbered(rows.select("text").distinct(), ["text"], "v"), "texts")
+    items = materialize(encode(texts.select("text")).hint("merge").join(texts.hint("merge"), "text").select("v", "vec"), "vectors")
+    numbered = materialize(rows.hint("merge").join(texts.hint("merge"), "text"), "texts")
+    sims = vectors.pair_cosines(materialize(numbered.select("q_id", "v").distinct(), "pairs"), x.q_vectors, items)
+    return similar(numbered, materialize(sims, "similarities")).drop("v")
+
+
+def _ranked_texts(x: Inputs, linked: DataFrame, made: DataFrame, encode: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """q_id, text, mean_score, value, rank of made(seed, path_ord, run, text, mean_score): each text of a question once, as first met, by (sim + 1) * 50 + mean score."""
+    of_seed = made.groupBy("seed", "text").agg(F.min(F.struct("path_ord", "run", "mean_score")).alias("one"))
+    of_question = to_questions(linked, of_seed).groupBy("q_id", "text").agg(F.min(F.struct("seed_ord", "one")).alias("first"))
+    rows = materialize(of_question.select("q_id", "text", "first.seed_ord", "first.one.path_ord", "first.one.run", "first.one.mean_score"), "texts")
+    valued = text_similarity(x, rows, encode).withColumn("value", F.round((F.col("sim") + 1) * 50 + F.col("mean_score"), 6))
+    order = Window.partitionBy("q_id").orderBy(F.desc("value"), "seed_ord", "path_ord", "run")
+    return valued.select("q_id", "text", "mean_score", "value", F.row_number().over(order).alias("rank"))
+
+
+def ranked_fragments(x: Inputs, least: float = 96.0, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Fragments of a question's paths: runs of hops that reach the score."""
+    linked, paths = candidates(x, columns=("hops",))
+    made = paths.select("seed", "path_ord", F.posexplode(ranking.fragment_runs(F.col("hops"), least)).alias("run", "f")).select("seed", "path_ord", "run", "f.*")
+    return _ranked_texts(x, linked, made, encode)
+
+
+def ranked_whole_paths(x: Inputs, least: float = 95.0, unknown_below: float | None = None, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sentences of the paths without a hop below the score; hops of unknown score (or below unknown_below) are left out of sentence and mean, which is 0 without any."""
+    linked, paths = candidates(x, columns=("hops",))
+    known = F.filter("hops", lambda h: h["score"].isNotNull() if unknown_below is None else h["score"] >= unknown_below)
+    whole = paths.select("seed", "path_ord", known.alias("hops")).where(~F.exists("hops", lambda h: h["score"] < least))
+    total = F.aggregate("hops", F.lit(0.0), lambda a, h: a + h["score"])
+    mean = F.round(F.when(F.size("hops") > 0, total / F.size("hops")).otherwise(0.0), 4)
+    return _ranked_texts(x, linked, whole.select("seed", "path_ord", F.lit(0).alias("run"), text.path_sentence(F.col("hops")).alias("text"), mean.alias("mean_score")), encode)
 
 
 COS = "round(list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[]))), 6)"
@@ -158,6 +232,24 @@ DUCK |= {
         {_EDGE.format('b.', '').replace('AS head', 'AS h2').replace('AS rel', 'AS r2').replace('AS tail', 'AS t2')}
  FROM (SELECT DISTINCT seed FROM links) s JOIN und a ON a.src = seed JOIN und b ON b.src = a.dst
  WHERE NOT (a.rel = b.rel AND a.src = b.dst AND a.dst = b.src AND a.dir <> b.dir)) p""",
+    ),
+    "seed_hops": (
+        ["seed_paths"],
+        """SELECT seed, path_ord, 0 AS hop_ord, seed AS src, r1 AS rel, CASE WHEN h1 = seed THEN t1 ELSE h1 END AS dst, CASE WHEN h1 = seed THEN '->' ELSE '<-' END AS dir, h1 AS head, t1 AS tail FROM seed_paths
+ UNION ALL SELECT seed, path_ord, 1, via, r2, CASE WHEN h2 = via THEN t2 ELSE h2 END, CASE WHEN h2 = via THEN '->' ELSE '<-' END, h2, t2
+ FROM (SELECT *, CASE WHEN h1 = seed THEN t1 ELSE h1 END AS via FROM seed_paths WHERE h2 IS NOT NULL) s""",
+    ),
+    "seed_kept": (
+        ["seed_hops", "kg_scores"],
+        f"""SELECT seed, path_ord, product(score) AS product, count(*) AS n_kept, string_agg(CASE WHEN first_hop THEN src ELSE '' END || {_STEP.format('')}, '' ORDER BY hop_ord) AS kept_path,
+ string_agg(concat_ws(' ', head, replace(rel, '_', ' '), tail), ', ' ORDER BY hop_ord) || '.' AS sentence FROM (
+  SELECT h.*, score, row_number() OVER (PARTITION BY seed, path_ord ORDER BY hop_ord) = 1 AS first_hop
+  FROM seed_hops h JOIN kg_scores s ON h.head = s.head AND h.rel = s.rel AND h.tail = s.tail WHERE score >= 61) k GROUP BY seed, path_ord""",
+    ),
+    "basic": (
+        ["path_sims", "links", "seed_kept"],
+        """SELECT p.q_id, p.seed_ord, p.path_ord, kept_path, sentence, n_kept, round((sim + 1) * 50 + product / pow(100.0, n_kept - 1), 6) AS value FROM path_sims p
+ JOIN links l ON l.q_id = p.q_id AND l.seed_ord = p.seed_ord JOIN seed_kept k ON k.seed = l.seed AND k.path_ord = p.path_ord WHERE sim > 0""",
     ),
     "paths": (["links", "seed_paths"], "SELECT q_id, seed_ord, path_ord, path, h1, r1, t1, h2, r2, t2 FROM links JOIN seed_paths USING (seed)"),
     "hops": (["paths"], "SELECT q_id, seed_ord, path_ord, 0 AS hop_ord, h1 AS head, r1 AS rel, t1 AS tail FROM paths UNION ALL SELECT q_id, seed_ord, path_ord, 1, h2, r2, t2 FROM paths WHERE h2 IS NOT NULL"),

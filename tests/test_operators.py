@@ -195,26 +195,6 @@ def test_adaptive_threshold_counts_different_numbers(spark):
     assert {(r.q_id, r.threshold) for r in got} == {(1, 0.05), (2, 0.15), (3, 0.15)}
 
 
-def test_substring_suppress_is_the_ordered_fold(spark):
-    rng = random.Random(3)
-    rows = [(q, 0, i, "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))) for q in range(20) for i in range(12)]
-    want = {}
-    for q in range(20):
-        kept = []
-        for _, _, _, path in [r for r in rows if r[0] == q]:
-            inside = next((i for i, k in enumerate(kept) if k in path), None)
-            if any(path in k for k in kept):
-                continue
-            if inside is not None:
-                kept[inside] = path
-            elif len(kept) < 3:
-                kept.append(path)
-        want[q] = kept
-    rng.shuffle(rows)
-    got = redundancy.substring_suppress(spark.createDataFrame(rows, "q_id long, seed_ord int, rank int, path string"), 3).orderBy("q_id", "rank").collect()
-    assert {q: [r.path for r in got if r.q_id == q] for q in want} == want
-
-
 def test_numbered_is_dense_and_ordered(spark):
     rows = [(f"k{i % 7}", i) for i in range(500)]
     got = graph.numbered(spark.createDataFrame(rows, "a string, b int").repartition(5), ["a", "b"], "n").orderBy("n").collect()
