@@ -169,6 +169,35 @@ def rk_standard(x):
     return retrieve.ranked_standard(x)
 
 
+_STEPS = "CASE WHEN {0}.dir = '->' THEN ' - ' || {0}.rel || ' -> ' || {0}.dst ELSE ' <- ' || {0}.rel || ' - ' || {0}.dst END"
+
+
+@register(
+    "rk_standard_deep",
+    duck(
+        "links und kg_scores q_vectors vec_count",
+        """SELECT q_id, seed_ord, path, round(exp(pl) / whole, 6) AS p, rank, n_paths FROM (
+ SELECT *, row_number() OVER (PARTITION BY q_id, seed_ord ORDER BY pl DESC, length(path) DESC, path) AS rank, sum(exp(pl)) OVER (PARTITION BY q_id) AS whole, count(*) OVER (PARTITION BY q_id, seed_ord) AS n_paths FROM valued) r WHERE rank <= 5""",
+        edge="SELECT row_number() OVER () AS eid, head, rel, tail, score, ('0x' || substr(md5(concat_ws(' ', head, replace(rel, '_', ' '), tail)), 1, 6))::INT % n AS v FROM kg_scores CROSS JOIN vec_count",
+        ways="SELECT eid, head AS src, rel, tail AS dst, '->' AS dir FROM edge UNION ALL SELECT eid, tail, rel, head, '<-' FROM edge",
+        first_seed="SELECT q_id, seed, seed_ord FROM links WHERE seed_ord < 1",
+        trails=f"""SELECT seed, a.eid AS e1, NULL AS e2, NULL AS e3, seed || {_STEPS.format('a')} AS path FROM (SELECT DISTINCT seed FROM first_seed) s JOIN ways a ON a.src = seed
+ UNION ALL SELECT seed, a.eid, b.eid, NULL, seed || {_STEPS.format('a')} || {_STEPS.format('b')} FROM (SELECT DISTINCT seed FROM first_seed) s JOIN ways a ON a.src = seed JOIN ways b ON b.src = a.dst AND b.eid <> a.eid
+ UNION ALL SELECT seed, a.eid, b.eid, c.eid, seed || {_STEPS.format('a')} || {_STEPS.format('b')} || {_STEPS.format('c')} FROM (SELECT DISTINCT seed FROM first_seed) s JOIN ways a ON a.src = seed JOIN ways b ON b.src = a.dst AND b.eid <> a.eid
+  JOIN ways c ON c.src = b.dst AND c.eid <> b.eid AND c.eid <> a.eid""",
+        used="SELECT DISTINCT seed, unnest([e1, e2, e3]) AS eid FROM trails",
+        asked=f"""SELECT q_id, eid, ln(greatest({1 - retrieve.WEIGHT} * (sim + 1) / 2 + {retrieve.WEIGHT} * CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 1e-12)) AS log FROM (
+ SELECT *, min(score) OVER (PARTITION BY q_id) AS lo, max(score) OVER (PARTITION BY q_id) AS hi FROM (
+  SELECT f.q_id, e.eid, score, {COS.format('q_vectors.vec', 'embedding')} AS sim FROM first_seed f JOIN used u ON u.seed = f.seed JOIN edge e ON e.eid = u.eid JOIN q_vectors ON q_vectors.q_id = f.q_id JOIN embeddings ON vec_id = v) a) b""",
+        valued="""SELECT f.q_id, f.seed_ord, t.path, round((a.log + coalesce(b.log, 0) + coalesce(c.log, 0)) / (1 + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT), 9) AS pl FROM first_seed f JOIN trails t ON t.seed = f.seed
+ JOIN asked a ON a.q_id = f.q_id AND a.eid = e1 LEFT JOIN asked b ON b.q_id = f.q_id AND b.eid = e2 LEFT JOIN asked c ON c.q_id = f.q_id AND c.eid = e3""",
+    ),
+)
+def rk_standard_deep(x):
+    """Up to three edges from the first seed of each question."""
+    return retrieve.ranked_deep(x, 3, entities=1)
+
+
 @register("rk_sim_score_maps", duck("q_triples", "SELECT q_id, head, rel, tail, round(sim01, 9) AS sim01, round(score01, 9) AS score01, round(pt, 9) AS pt FROM q_triples"))
 def rk_sim_score_maps(x):
     _, _, probabilities = retrieve.standard(x)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.functions import text
-from graphtide.operators import graph, ranking, suppress, vectors
+from graphtide.operators import graph, path_sums, ranking, suppress, vectors
 from graphtide.plans.fixtures import DUCK, Inputs
 from graphtide.session import materialize
 
@@ -212,6 +212,37 @@ def ranked_whole_paths(x: Inputs, least: float = 95.0, unknown_below: float | No
     return _ranked_texts(x, linked, whole.select("seed", "path_ord", F.lit(0).alias("run"), text.path_sentence(F.col("hops")).alias("text"), mean.alias("mean_score")), encode)
 
 
+def readings(x: Inputs, linked: DataFrame, depth: int, weight: float = WEIGHT) -> DataFrame:
+    """Every edge that a path of up to `depth` edges from a question's seeds can use, both ways, with the logarithm of p(t); written. What path_sums works on."""
+    scored = x.kg_scores.crossJoin(_count(x)).select(*graph.KEY, "score", _vector_number(graph.sentence()).alias("v"))
+    edges = materialize(graph.undirected(graph.numbered(scored, graph.KEY, "eid"), "eid", "score", "v"), "edges")
+    near = path_sums.reach(edges, linked, depth - 1)
+    each = to_questions(linked, near.hint("merge").join(edges.hint("merge"), F.col("node") == F.col("src")).drop("node"))
+    each = materialize(each.withColumnRenamed("seed", "start"), "readings")
+    sims = similarities(x, each.select("q_id", "v"))
+    ends = materialize(each.groupBy("q_id").agg(F.min("score").alias("low"), F.max("score").alias("high")), "ends")
+    pt = ranking.mixed(F.col("sim"), F.col("score"), F.col("low"), F.col("high"), weight)
+    return materialize(similar(each, sims).hint("merge").join(ends.hint("merge"), "q_id").withColumn("log", F.log(F.greatest(pt, F.lit(1e-12)))).drop("v", "score", "sim", "low", "high"), "readings")
+
+
+def ranked_deep(x: Inputs, depth: int = 3, pruning: int = PRUNING, entities: int = ENTITIES, weight: float = WEIGHT) -> DataFrame:
+    """q_id, seed_ord, path, p, rank, n_paths: the standard ranking over paths of up to three edges, none of them listed but the winners.
+
+    p is the softmax over all paths of the question, n_paths the number of paths of the seed.
+    """
+    linked = materialize(links(x, entities), "links")
+    edges = readings(x, linked, depth, weight)
+    totals = path_sums.trail_sums(edges, 1)
+    for length in range(2, depth + 1):
+        totals = totals.unionByName(path_sums.trail_sums(edges, length))
+    sums = totals.groupBy("q_id").agg(F.sum("total").alias("whole"))
+    found = path_sums.best_trails(edges, depth, pruning).select(*path_sums.GROUP, text.path_render(F.col("hops")).alias("path"), F.round("value", 9).alias("pl"))
+    order = Window.partitionBy("q_id", "seed_ord").orderBy(F.desc("pl"), F.desc(F.length("path")), "path")
+    best = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pruning), "best")
+    named = best.hint("merge").join(sums.hint("merge"), "q_id").hint("merge").join(path_sums.trail_counts(edges, depth).hint("merge"), path_sums.GROUP)
+    return named.select("q_id", "seed_ord", "path", F.round(F.exp("pl") / F.col("whole"), 6).alias("p"), "rank", "n_paths")
+
+
 COS = "round(list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[]))), 6)"
 _EDGE = "CASE WHEN {0}dir = '->' THEN {0}src ELSE {0}dst END AS {1}head, {0}rel AS {1}rel, CASE WHEN {0}dir = '->' THEN {0}dst ELSE {0}src END AS {1}tail"
 _STEP = "CASE WHEN {0}dir = '->' THEN ' - ' || {0}rel || ' -> ' || {0}dst ELSE ' <- ' || {0}rel || ' - ' || {0}dst END"
