@@ -62,6 +62,24 @@ def choose_noise(questions: DataFrame, last: DataFrame, rate: float, seed: str =
     return rest.orderBy(F.md5(F.concat(F.lit(seed), F.col("q_id").cast("string"))), "q_id").limit(wanted)
 
 
+def usable(feedback: DataFrame, flags: DataFrame, without: list[str]) -> DataFrame:
+    """Feedback of the questions that have none of the flags in flags(q_ord, ...), such as insufficient or no_feedback."""
+    gone = flags.where(F.greatest(F.lit(False), *(F.col(c) for c in without))).select("q_ord").distinct()
+    return feedback.hint("merge").join(gone.hint("merge"), "q_ord", "left_anti")
+
+
+def correct_first(feedback: DataFrame) -> DataFrame:
+    """One row for each id of a question: what was said under correct, else what was said under error."""
+    rest = [c for c in feedback.columns if c not in ("q_ord", "idx")]
+    best = feedback.groupBy("q_ord", "idx").agg(F.min(F.struct((F.col("kind") != "correct").alias("second"), *rest)).alias("one"))
+    return best.select("q_ord", "idx", *(F.col(f"one.{c}") for c in rest))
+
+
+def in_degree(feedback: DataFrame) -> DataFrame:
+    """Feedback of degree 1 to 3."""
+    return feedback.where(F.col("degree").between(1, 3))
+
+
 def leaderboard_deltas(feedback: DataFrame) -> DataFrame:
     """+5 degree for a correct id, else -5 degree for an error id."""
     return feedback.withColumn("delta", F.when(F.col("kind") == "correct", 5.0).otherwise(-5.0) * F.col("degree"))
@@ -74,6 +92,18 @@ def basic_deltas(feedback: DataFrame, labels: DataFrame) -> DataFrame:
     return feedback.join(labels, feedback.q_ord == labels.q_id).withColumn("delta", 10.0 * signed * sign).drop("q_id", "label")
 
 
+def contribution_deltas(chains: DataFrame) -> DataFrame:
+    """Deltas of chains(q_ord, idx, contribution, numeric, verdict, n_facts): 5 times the contribution, for `contribution` to apply.
+
+    verdict: 0 wrong, 1 partly, 2 correct. Ids outside the question's facts and contributions other than 1 to 3 don't count. A
+    numeric answer counts contributions of 3 only; a wrong answer in words those of 2 and 3.
+    """
+    c, wrong = F.col("contribution"), F.col("verdict") == 0
+    valid = c.between(1, 3) & (F.col("idx") >= 0) & (F.col("idx") < F.col("n_facts")) & F.col("verdict").between(0, 2)
+    counts = F.when(F.col("numeric"), c == 3).otherwise(~wrong | (c >= 2))
+    return chains.where(valid & counts).withColumn("delta", F.when(wrong, -5.0).otherwise(5.0) * c)
+
+
 def rejecting(a: Column, d: Column) -> Column:
     """An update that would leave the bounds on its own side is not applied."""
     return F.when((d > 0) & (a + d > HIGH) | (d < 0) & (a + d < LOW), a).otherwise(a + d)
@@ -105,7 +135,15 @@ def path_gradient(paths: DataFrame, hops: DataFrame, weight: float, rate: float,
     scored = paths.withColumn("u", u).withColumn("eul", F.sum((F.col("u") + 1) / 2 * F.col("p")).over(w)).withColumn("mean", F.sum(F.col("u") * F.col("p")).over(w))
     value = F.col("p") * (F.col("u") - F.col("mean"))
     scored = scored.withColumn("v", value / F.col("len") if by_length else value)
-    each = hops.join(scored.select("q_id", "path_id", "p", "v", "eul", F.col("utility").isNotNull().alias("is_scored")).hint("merge"), ["q_id", "path_id"])
+    each = hops.join(scored.select("q_id", "path_id", *(c for c in ("idx",) if c in paths.columns), "p", "v", "eul", F.col("utility").isNotNull().alias("is_scored")).hint("merge"), ["q_id", "path_id"])
     share = each.groupBy("q_id", *KEY).agg(F.sum(F.col("p") * F.col("v")).alias("s"), F.first("eul").alias("eul"), F.first("pt").alias("pt"))
     grad = share.where(F.col("eul") != 0).select("q_id", *KEY, (-(F.lit(weight) / (2 * F.col("eul"))) * F.col("s") / F.col("pt")).alias("g"))
-    return each.where("is_scored").select("q_id", "path_id", "hop_ord", *KEY).join(grad.hint("merge"), ["q_id", *KEY]).withColumn("delta", -F.lit(rate) * F.col("g"))
+    order = [c for c in ("idx",) if c in paths.columns]
+    return each.where("is_scored").select("q_id", "path_id", "hop_ord", *order, *KEY).join(grad.hint("merge"), ["q_id", *KEY]).withColumn("delta", -F.lit(rate) * F.col("g"))
+
+
+def weight_step(steps: DataFrame, weight: float, rate: float, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """q_id, gradient, weight of steps(q_id, sim01, score01, g), a row for each scored occurrence: the mixing weight after its own gradient step."""
+    gradient = F.sum((F.col("sim01") - F.col("score01")) * -F.col("g") / weight)
+    moved = steps.groupBy("q_id").agg(gradient.alias("gradient"))
+    return moved.withColumn("weight", clamp(F.lit(weight) - F.col("gradient") * rate * 1e-3, low, high))

@@ -7,12 +7,20 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators import evaluate
 from graphtide.operators.graph import numbered
 from graphtide.session import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def _slotted(rows: str, md5long) -> str:
+    return f"""SELECT q_ord, idx, kind, degree, event_id, head, rel, tail, score FROM (
+ SELECT head, rel, tail, score, slot, row_number() OVER (PARTITION BY slot ORDER BY head, rel, tail) AS n FROM (
+  SELECT head, rel, tail, score, {md5long("concat_ws(' ', head, rel, tail)")} % (3 * nq) AS slot FROM kg_scores CROSS JOIN q_count) h) s
+ JOIN (SELECT q_ord, idx, kind, degree, event_id, (q_ord * 7 + idx) % (3 * nq) AS want FROM {rows} CROSS JOIN q_count) f ON slot = want WHERE n = 1"""
+
+
 def _views(md5int, md5long) -> dict[str, tuple[list[str], str]]:
     """name -> (views it needs, SQL)."""
     return {
@@ -58,11 +66,17 @@ def _views(md5int, md5long) -> dict[str, tuple[list[str], str]]:
         # each slot has one triple, the first of those that hash to it: slots, and so the triples, grow with questions and events
         "fb_triples": (
             ["kg_scores", "fb_rows", "q_count"],
-            f"""SELECT q_ord, idx, kind, degree, event_id, head, rel, tail, score FROM (
- SELECT head, rel, tail, score, slot, row_number() OVER (PARTITION BY slot ORDER BY head, rel, tail) AS n FROM (
-  SELECT head, rel, tail, score, {md5long("concat_ws(' ', head, rel, tail)")} % (3 * nq) AS slot FROM kg_scores CROSS JOIN q_count) h) s
- JOIN (SELECT q_ord, idx, kind, degree, event_id, (q_ord * 7 + idx) % (3 * nq) AS want FROM fb_rows CROSS JOIN q_count) f ON slot = want WHERE n = 1""",
+            _slotted("fb_rows", md5long),
         ),
+        # all that was said of an id: one row for each kind, the last one counts
+        "fb_said": (
+            ["q_count"],
+            """SELECT q_ord, idx, kind, max_by(degree, event_id) AS degree, max(event_id) AS event_id FROM (
+ SELECT event_id % nq AS q_ord, user_id % 10 AS idx, CASE WHEN event_type IN ('purchase','click') THEN 'correct' ELSE 'error' END AS kind, 1 + event_id % 3 AS degree, event_id
+ FROM events CROSS JOIN q_count WHERE event_type IN ('purchase','click','error')) e GROUP BY q_ord, idx, kind""",
+        ),
+        "fb_flags": (["q_count", "fb_said"], "SELECT DISTINCT q_ord, q_ord % 11 = 0 AS insufficient, q_ord % 7 = 0 AS no_feedback FROM fb_said"),
+        "fb_marks": (["kg_scores", "fb_said", "q_count"], _slotted("fb_said", md5long)),
         "facts": (
             ["kg_scores", "q_count", "ev_count"],
             f"""SELECT q_ord, head, rel, tail, score, row_number() OVER (PARTITION BY q_ord ORDER BY head, tail, rel) - 1 AS pos FROM (
@@ -127,3 +141,11 @@ class Inputs:
             asked = said.where("role = 'user' AND nrole = 'assistant'")
             self._numbered = materialize(numbered(asked, ["conv_id", "turn"], "q_id").select("q_id", "question", "prediction"), "q")._graphtide_path
         return f"SELECT * FROM parquet.`{self._numbered}`"
+
+
+#: Whether the answer to a question is right.
+LABELS = "SELECT q_id, contains(lower(prediction), lower(w1)) AS label FROM q_eval"
+
+
+def labels(x: Inputs) -> DataFrame:
+    return x.q_eval.select("q_id", evaluate.any_match(F.col("prediction"), F.array("w1")).alias("label"))

@@ -11,7 +11,7 @@ from graphtide.catalog import register
 from graphtide.operators import evaluate, feedback, graph, ranking, redundancy
 from graphtide.operators.vectors import vector_index
 from graphtide.plans import retrieve
-from graphtide.plans.fixtures import duck
+from graphtide.plans.fixtures import LABELS, duck, labels
 from graphtide.session import own_dir
 from graphtide.sources import sinks
 from graphtide.sources.vector_store import VectorStore
@@ -358,9 +358,17 @@ def _duck_fold(delta: str, step: str = "greatest(20.0, least(200.0, a + d))") ->
 _BOARD = "CAST(CASE WHEN kind = 'correct' THEN 5.0 ELSE -5.0 END * degree AS DOUBLE)"
 
 
-@register("fb_leaderboard", duck(_FT, _duck_fold(_BOARD)))
+def _folded_from(cte: str, delta: str = _BOARD, step: str = "greatest(20.0, least(200.0, a + d))") -> str:
+    return _duck_fold(delta, step).replace("FROM fb_triples", f"FROM {cte}")
+
+
+@register(
+    "fb_leaderboard",
+    duck("fb_marks fb_flags", _folded_from("kept"), kept="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_ord, idx ORDER BY kind) AS n FROM fb_marks JOIN fb_flags USING (q_ord) WHERE NOT insufficient AND NOT no_feedback) k WHERE n = 1"),
+)
 def fb_leaderboard(x):
-    return _folded(x, feedback.leaderboard_deltas(x.fb_triples))
+    said = feedback.usable(x.fb_marks, x.fb_flags, ["insufficient", "no_feedback"])
+    return _folded(x, feedback.leaderboard_deltas(feedback.correct_first(said)))
 
 
 @register("fb_fold", duck(_FT, _duck_fold(f"{_BOARD} * 7")))
@@ -368,14 +376,24 @@ def fb_fold(x):
     return _folded(x, feedback.leaderboard_deltas(x.fb_triples).withColumn("delta", F.col("delta") * 7))
 
 
-@register("fb_triplet_reject", duck(_FT, _duck_fold(_BOARD, "CASE WHEN (d > 0 AND a + d > 200) OR (d < 0 AND a + d < 20) THEN a ELSE a + d END")))
+@register("fb_triplet_reject", duck(_FT, _folded_from("kept", step="CASE WHEN (d > 0 AND a + d > 200) OR (d < 0 AND a + d < 20) THEN a ELSE a + d END"), kept="SELECT * FROM (SELECT * REPLACE (event_id % 6 AS degree) FROM fb_triples) f WHERE degree BETWEEN 1 AND 3"))
 def fb_triplet_reject(x):
-    return _folded(x, feedback.leaderboard_deltas(x.fb_triples), feedback.rejecting)
-
-
-@register("fb_contribution", duck(_FT, _duck_fold(_BOARD, "CASE WHEN (d > 0 AND a <= 175) OR (d < 0 AND a >= 20) THEN a + d ELSE a END")))
+    said = feedback.in_degree(x.fb_triples.withColumn("degree", F.col("event_id") % 6))
+    return _folded(x, feedback.leaderboard_deltas(said), feedback.rejecting)
+
+
+@register(
+    "fb_contribution",
+    duck(
+        _FT,
+        _folded_from("kept", "CAST(CASE WHEN verdict = 0 THEN -5.0 ELSE 5.0 END * contribution AS DOUBLE)", "CASE WHEN (d > 0 AND a <= 175) OR (d < 0 AND a >= 20) THEN a + d ELSE a END"),
+        kept="""SELECT * FROM (SELECT *, event_id % 5 AS contribution, q_ord % 4 = 0 AS is_number, q_ord % 3 AS verdict, 5 + q_ord % 6 AS n_facts FROM fb_triples) f
+ WHERE contribution BETWEEN 1 AND 3 AND idx < n_facts AND CASE WHEN is_number THEN contribution = 3 ELSE verdict > 0 OR contribution >= 2 END""",
+    ),
+)
 def fb_contribution(x):
-    return _folded(x, feedback.leaderboard_deltas(x.fb_triples), feedback.contribution)
+    chains = x.fb_triples.withColumns({"contribution": F.col("event_id") % 5, "numeric": F.col("q_ord") % 4 == 0, "verdict": F.col("q_ord") % 3, "n_facts": 5 + F.col("q_ord") % 6})
+    return _folded(x, feedback.contribution_deltas(chains), feedback.contribution)
 
 
 @register("fb_triplet_unbounded", duck(_FT, f"SELECT head, rel, tail, first(score) + sum({_BOARD}) AS score FROM fb_triples GROUP BY head, rel, tail"))
@@ -383,21 +401,14 @@ def fb_triplet_unbounded(x):
     return feedback.unbounded(x.kg_scores, feedback.leaderboard_deltas(x.fb_triples))
 
 
-_LABELS = "SELECT q_id, contains(lower(prediction), lower(w1)) AS label FROM q_eval"
-
-
-def _labels(x):
-    return x.q_eval.select("q_id", evaluate.any_match(F.col("prediction"), F.array("w1")).alias("label"))
-
-
-@register("fb_label_flip", duck("q_eval", f"SELECT q_id, label <> (q_id % 5 = 0) AS label FROM ({_LABELS}) l"))
+@register("fb_label_flip", duck("q_eval", f"SELECT q_id, label <> (q_id % 5 = 0) AS label FROM ({LABELS}) l"))
 def fb_label_flip(x):
-    return feedback.flip_labels(_labels(x), x.q.where("q_id % 5 = 0").select("q_id"))
+    return feedback.flip_labels(labels(x), x.q.where("q_id % 5 = 0").select("q_id"))
 
 
-@register("fb_triplet_basic", duck("fb_triples q_eval", _duck_fold("10.0 * CASE WHEN kind = 'correct' THEN degree ELSE -degree END * CASE WHEN label THEN 1 ELSE -1 END").replace("FROM fb_triples", f"FROM (SELECT f.*, label FROM fb_triples f JOIN ({_LABELS}) l ON l.q_id = q_ord) z")))
+@register("fb_triplet_basic", duck("fb_triples q_eval", _duck_fold("10.0 * CASE WHEN kind = 'correct' THEN degree ELSE -degree END * CASE WHEN label THEN 1 ELSE -1 END").replace("FROM fb_triples", f"FROM (SELECT f.*, label FROM fb_triples f JOIN ({LABELS}) l ON l.q_id = q_ord WHERE q_ord % 11 <> 0) z")))
 def fb_triplet_basic(x):
-    return _folded(x, feedback.basic_deltas(x.fb_triples, _labels(x)))
+    return _folded(x, feedback.basic_deltas(feedback.usable(x.fb_triples, x.fb_flags, ["insufficient"]), labels(x)))
 
 
 @register("fb_trace", duck(_FT, f"SELECT q_ord, idx, head, rel, tail, {_BOARD} AS delta FROM fb_triples"))
@@ -415,9 +426,9 @@ def fb_noise_select(x):
     return feedback.choose_noise(x.q.select("q_id"), x.q.where("q_id % 10 = 3").select("q_id"), 0.1)
 
 
-@register("fb_leave_one", duck("fb_triples q_eval", f"SELECT head, rel, tail, CAST(sum(CASE WHEN label THEN 1 ELSE -1 END) AS BIGINT) AS votes FROM fb_triples JOIN ({_LABELS}) l ON l.q_id = q_ord GROUP BY head, rel, tail"))
+@register("fb_leave_one", duck("fb_triples q_eval", f"SELECT head, rel, tail, CAST(sum(CASE WHEN label THEN 1 ELSE -1 END) AS BIGINT) AS votes FROM fb_triples JOIN ({LABELS}) l ON l.q_id = q_ord GROUP BY head, rel, tail"))
 def fb_leave_one(x):
-    return feedback.leave_one(x.fb_triples.join(_labels(x), F.col("q_ord") == F.col("q_id")).withColumn("match", F.col("label")))
+    return feedback.leave_one(x.fb_triples.join(labels(x), F.col("q_ord") == F.col("q_id")).withColumn("match", F.col("label")))
 
 
 def _qa(x):
@@ -449,19 +460,19 @@ def ev_any_match_refusal(x):
     return _qa(x).select("q_id", evaluate.any_match_refusal(said, F.col("aliases")).alias("label"))
 
 
-@register("ev_accuracy", duck("q_eval", f"SELECT round(avg(label::INT), 6) AS accuracy FROM ({_LABELS}) l"))
+@register("ev_accuracy", duck("q_eval", f"SELECT round(avg(label::INT), 6) AS accuracy FROM ({LABELS}) l"))
 def ev_accuracy(x):
-    return evaluate.accuracy(_labels(x))
+    return evaluate.accuracy(labels(x))
 
 
-@register("ev_accuracy_sliced", duck("q_eval", f"SELECT hop, count(*) AS n, round(avg(label::INT), 6) AS accuracy FROM (SELECT q_id // 100 AS hop, label FROM ({_LABELS}) l) s GROUP BY ROLLUP (hop)"))
+@register("ev_accuracy_sliced", duck("q_eval", f"SELECT hop, count(*) AS n, round(avg(label::INT), 6) AS accuracy FROM (SELECT q_id // 100 AS hop, label FROM ({LABELS}) l) s GROUP BY ROLLUP (hop)"))
 def ev_accuracy_sliced(x):
-    return evaluate.accuracy(_labels(x).withColumn("hop", F.floor(F.col("q_id") / 100)), "hop")
+    return evaluate.accuracy(labels(x).withColumn("hop", F.floor(F.col("q_id") / 100)), "hop")
 
 
-@register("ev_wrong_index", duck("q_eval", f"SELECT q_id FROM ({_LABELS}) l WHERE NOT label"))
+@register("ev_wrong_index", duck("q_eval", f"SELECT q_id FROM ({LABELS}) l WHERE NOT label"))
 def ev_wrong_index(x):
-    return _labels(x).where(~F.col("label")).select("q_id")
+    return labels(x).where(~F.col("label")).select("q_id")
 
 
 @register("answer_combinations", duck("q_eval", "SELECT q_id, [w1 || ', ' || w2, p1 || ', ' || w2] AS combos FROM q_eval WHERE w1 <> '' AND p1 <> ''"))

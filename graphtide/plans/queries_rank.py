@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphtide.catalog import register
 from graphtide.operators import evaluate, feedback, graph, ranking, suppress, vectors
 from graphtide.plans import retrieve
-from graphtide.plans.fixtures import duck
+from graphtide.plans.fixtures import LABELS, duck, labels
 from graphtide.plans.retrieve import COS
 from graphtide.session import materialize
 
@@ -276,57 +276,76 @@ def ev_sim_stats(x):
 
 
 def _utilities(x, paths):
-    """Feedback of a question's top paths: idx-th best path of the question."""
+    """A question's ten best paths with what was said of the idx-th: the path score, minus if the answer was wrong; nothing where information was insufficient."""
     ranked = ranking.top_paths(paths, "pl", 10, per_seed=False).withColumn("idx", F.col("rank") - 1)
-    fb = x.fb_rows.select(F.col("q_ord").alias("q_id"), "idx", F.when(F.col("kind") == "correct", F.col("degree")).otherwise(-F.col("degree")).cast("double").alias("utility"))
-    return ranked.hint("merge").join(fb.hint("merge"), ["q_id", "idx"], "left")
+    said = feedback.usable(x.fb_rows, x.fb_flags, ["insufficient"])
+    sign = F.when(F.col("label"), 1.0).otherwise(-1.0)
+    signed = said.join(labels(x).hint("merge"), F.col("q_ord") == F.col("q_id")).select("q_id", "idx", (F.when(F.col("kind") == "correct", F.col("degree")).otherwise(-F.col("degree")) * sign).alias("utility"))
+    return ranked.hint("merge").join(signed.hint("merge"), ["q_id", "idx"], "left")
 
 
-_GRADIENT = dict(
-    top="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY pl DESC, seed_ord, path_ord) - 1 AS idx FROM path_p) r WHERE idx < 10",
-    scored="""SELECT t.*, CASE WHEN kind = 'correct' THEN degree ELSE -degree END AS utility FROM top t LEFT JOIN fb_rows f ON f.q_ord = t.q_id AND f.idx = t.idx""",
-    valued="""SELECT *, p * (u - mean) / len AS v FROM (SELECT *, sum((u + 1) / 2 * p) OVER (PARTITION BY q_id) AS eul, sum(u * p) OVER (PARTITION BY q_id) AS mean FROM (SELECT *, coalesce(utility, 0) * 0.4 AS u FROM scored) a) b""",
-    occurrences="SELECT h.*, pt, p, v, eul, utility FROM hops h JOIN valued w USING (q_id, seed_ord, path_ord) JOIN q_triples t ON h.q_id = t.q_id AND h.head = t.head AND h.rel = t.rel AND h.tail = t.tail",
-    grads="SELECT q_id, head, rel, tail, -(0.5 / (2 * first(eul))) * sum(p * v) / first(pt) AS g FROM occurrences GROUP BY q_id, head, rel, tail HAVING first(eul) <> 0",
-)
+RATE = 5e6
 
 
-def _gradient(x, scale=0.4, by_length=True):
-    paths, hops, probabilities = retrieve.standard(x)
-    scored = _utilities(x, paths).withColumn("path_id", F.struct("seed_ord", "path_ord"))
-    each = hops.hint("merge").join(probabilities.select("q_id", *graph.KEY, "pt").hint("merge"), ["q_id", *graph.KEY]).withColumn("path_id", F.struct("seed_ord", "path_ord"))
-    return feedback.path_gradient(scored, each, 0.5, 1.0, scale, by_length)
+def _gradient_ctes(scale: float, by_length: bool) -> dict[str, str]:
+    return dict(
+        judged=LABELS,
+        top="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY pl DESC, seed_ord, path_ord) - 1 AS idx FROM path_p) r WHERE idx < 10",
+        scored="""SELECT t.*, CASE WHEN t.q_id % 11 = 0 THEN NULL WHEN kind = 'correct' THEN degree ELSE -degree END * CASE WHEN label THEN 1.0 ELSE -1.0 END AS utility
+ FROM top t LEFT JOIN fb_rows f ON f.q_ord = t.q_id AND f.idx = t.idx LEFT JOIN judged l ON l.q_id = t.q_id""",
+        valued=f"""SELECT *, p * (u - mean){' / len' if by_length else ''} AS v FROM (SELECT *, sum((u + 1) / 2 * p) OVER (PARTITION BY q_id) AS eul, sum(u * p) OVER (PARTITION BY q_id) AS mean FROM (SELECT *, coalesce(utility, 0) * {scale} AS u FROM scored) a) b""",
+        occurrences="SELECT h.*, idx, pt, sim01, score01, p, v, eul, utility FROM hops h JOIN valued w USING (q_id, seed_ord, path_ord) JOIN q_triples t ON h.q_id = t.q_id AND h.head = t.head AND h.rel = t.rel AND h.tail = t.tail",
+        grads="SELECT q_id, head, rel, tail, -(0.5 / (2 * first(eul))) * sum(p * v) / first(pt) AS g FROM occurrences GROUP BY q_id, head, rel, tail HAVING first(eul) <> 0",
+        steps="SELECT o.*, g FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail WHERE utility IS NOT NULL",
+    )
 
 
-@register("fb_path_gradient", duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, o.seed_ord, o.path_ord, o.hop_ord, o.head, o.rel, o.tail, round(-g * 1000, 6) AS delta FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail WHERE utility IS NOT NULL", **_GRADIENT))
-def fb_path_gradient(x):
-    return _gradient(x).select("q_id", "path_id.seed_ord", "path_id.path_ord", "hop_ord", *graph.KEY, F.round(F.col("delta") * 1000, 6).alias("delta"))
+_VIEWS = "paths path_p q_triples hops fb_rows kg_scores q_eval"
 
 
 def _gradient_sql(scale: float, by_length: bool) -> str:
-    ctes = dict(_GRADIENT)
-    ctes["valued"] = ctes["valued"].replace("* 0.4 AS u", f"* {scale} AS u")
-    if not by_length:
-        ctes["valued"] = ctes["valued"].replace(" / len AS v", " AS v")
-    return duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, o.seed_ord, o.path_ord, o.hop_ord, o.head, o.rel, o.tail, round(-g * 1000, 6) AS delta FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail WHERE utility IS NOT NULL", **ctes)
+    fold = f"list_reduce(list_prepend(first(s.score), list(-{RATE} * g ORDER BY q_id, idx, hop_ord)), lambda a, d: greatest(20.0, least(200.0, a + d)))"
+    return duck(_VIEWS, f"SELECT s.head, s.rel, s.tail, round({fold}, 3) AS score FROM steps o JOIN kg_scores s ON s.head = o.head AND s.rel = o.rel AND s.tail = o.tail GROUP BY s.head, s.rel, s.tail", **_gradient_ctes(scale, by_length))
+
+
+def _gradient(x, scale: float, by_length: bool, tables=None):
+    paths, hops, probabilities = tables or retrieve.standard(x)
+    scored = materialize(_utilities(x, paths).withColumn("path_id", F.struct("seed_ord", "path_ord")), "scored")
+    each = hops.hint("merge").join(probabilities.select("q_id", *graph.KEY, "pt").hint("merge"), ["q_id", *graph.KEY]).withColumn("path_id", F.struct("seed_ord", "path_ord"))
+    return feedback.path_gradient(scored, each, 0.5, RATE, scale, by_length)
+
 
+def _moved(x, scale: float, by_length: bool):
+    """Scores after the gradient steps of all questions, in order and clamped."""
+    steps = materialize(_gradient(x, scale, by_length).select(*graph.KEY, "q_id", "idx", "hop_ord", "delta"), "steps")
+    return feedback.fold(x.kg_scores, steps, ["q_id", "idx", "hop_ord"]).withColumn("score", F.round("score", 3))
 
-def _scaled(df):
-    return df.select("q_id", "path_id.seed_ord", "path_id.path_ord", "hop_ord", *graph.KEY, F.round(F.col("delta") * 1000, 6).alias("delta"))
+
+@register("fb_path_gradient", _gradient_sql(0.4, True))
+def fb_path_gradient(x):
+    return _moved(x, 0.4, True)
 
 
 @register("fb_path_gradient_v1", _gradient_sql(0.1, False))
 def fb_path_gradient_v1(x):
-    return _scaled(_gradient(x, 0.1, False))
+    return _moved(x, 0.1, False)
 
 
-@register("fb_path_gradient_v0", _gradient_sql(0.05, False))
+@register("fb_path_gradient_v0", _gradient_sql(1.0, False))
 def fb_path_gradient_v0(x):
-    return _scaled(_gradient(x, 0.05, False))
+    return _moved(x, 1.0, False)
 
 
-@register("fb_weight_gradient", duck("paths path_p q_triples hops fb_rows", "SELECT o.q_id, round(sum((sim01 - score01) * g / -0.5) * 1000, 5) AS gradient FROM occurrences o JOIN grads g ON g.q_id = o.q_id AND g.head = o.head AND g.rel = o.rel AND g.tail = o.tail JOIN q_triples t ON t.q_id = o.q_id AND t.head = o.head AND t.rel = o.rel AND t.tail = o.tail WHERE utility IS NOT NULL GROUP BY o.q_id", **_GRADIENT))
+@register(
+    "fb_weight_gradient",
+    duck(
+        _VIEWS,
+        f"SELECT q_id, round(gradient * 1000, 5) AS gradient, round(greatest(0.1, least(0.9, 0.5 - gradient * {RATE} * 1e-3)), 5) AS weight FROM (SELECT q_id, sum((sim01 - score01) * -g / 0.5) AS gradient FROM steps GROUP BY q_id) s",
+        **_gradient_ctes(0.4, True),
+    ),
+)
 def fb_weight_gradient(x):
-    _, _, probabilities = retrieve.standard(x)
-    steps = _gradient(x).join(probabilities.select("q_id", *graph.KEY, "sim01", "score01").hint("merge"), ["q_id", *graph.KEY])
-    return steps.groupBy("q_id").agg(F.round(F.sum((F.col("sim01") - F.col("score01")) * F.col("delta") / 0.5) * 1000, 5).alias("gradient"))
+    """One retrieval for gradients and similarities alike."""
+    tables = retrieve.standard(x)
+    steps = _gradient(x, 0.4, True, tables).hint("merge").join(tables[2].select("q_id", *graph.KEY, "sim01", "score01").hint("merge"), ["q_id", *graph.KEY])
+    return feedback.weight_step(steps, 0.5, RATE).select("q_id", F.round(F.col("gradient") * 1000, 5).alias("gradient"), F.round("weight", 5).alias("weight"))
