@@ -37,6 +37,7 @@ from graphtide.session import materialize
 
 Q, RATE, BLOCK_CHARS = 8, 0.1, 2_000_000
 _PART, _BITS = 500_000, 22
+_BLANKS = " \t\n\x0b\x0c\r"  # what `folded` makes spaces
 _NULL = np.iinfo(np.int64).min
 _REPEATS, _PAIRS, _SLICE = 16, 100_000, 2_000_000  # a q-gram with so many places and pairs is counted by diagonals; pairs counted at once
 _P, _M = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -300,10 +301,11 @@ def _short(items: Items, text: str) -> Iterator[tuple[int, int, int]]:
     """(item id, start, end) of the short items that stand as a line."""
     at = 0
     for line in text.split("\n") if items.lines else ():
-        if len(line) <= 4 * items.q or not line.strip():
-            bare = _line(line)
-            for i in items.lines.get(bare, ()) if bare else ():
-                start = at + len(line) - len(line.lstrip())
+        left = line.lstrip(_BLANKS)
+        bare = left.rstrip(_BLANKS)
+        if 0 < len(bare) < items.q:
+            start = at + len(line) - len(left)
+            for i in items.lines.get(_line(bare), ()):
                 yield i, start, start + len(bare)
         at += len(line) + 1
 
