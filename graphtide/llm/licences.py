@@ -19,9 +19,12 @@ carried along. An empty table gives an empty result; further columns are not use
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +138,10 @@ _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES.items()]
 FIRST = frozenset("this released licensed distributed dedicated available under the permission redistribution redistributions neither you copyright all if in boost do anyone".split())
 ACROSS = frozenset(["mpl2-name", "epl1-name", "epl2-name", "gpl-free", "gpl2-free", "gpl3-free", "lgpl-free", "lgpl21-free", "lgpl3-free", "agpl-free", "gnu-warranty"])
 SHORT = frozenset(["lgpl-name", "agpl-name", "cc0", "wtfpl", "bsl-name"])
-MOST_LINES = 16  # a known sentence's fixed words are looked for in so many pieces
+#: Patterns for joined pieces, which can tell that a text may still become a match.
+_JOINED = {name: regex.compile(p) for name, p in SENTENCES.items()}
+#: Head and closing of the patterns with any words in between.
+_AROUND = {"bsd-endorse": (regex.compile(r"(?:\d )?neither the name of "), regex.compile(r"may be used to endorse or promote products")), "all-rights": (regex.compile("copyright "), regex.compile(r"all rights reserved\b"))}
 _OPEN = frozenset(name for name, p in SENTENCES.items() if p.endswith(".*"))
 _STOP = re.compile(r"[.!?;:]\s*\Z")
 _TAG = re.compile(r"SPDX-License-Identifier:[ \t]*(?:\n[^\w\n(]*)?([^\n]*?)[ \t]*(?:\*/|-->|$)", re.M)
@@ -171,31 +177,49 @@ def known_sentences(text: str) -> Iterator[tuple[str | None, int, int]]:
     alone = [next((name for name, p in _KNOWN if p.fullmatch(t)), None) if WORTH.search(text, a, b) else None for t, (a, b) in zip(plain, pieces, strict=True)]
     stops = [bool(_STOP.search(text, a, b)) for a, b in pieces]
     ends = [bool(_BLANK.search(text, b, a) or _ITEM.match(text, a)) for (_, b), (a, _) in zip(pieces, pieces[1:])] + [True]  # before a blank line or a list's number
+    n = len(pieces)
+    starts = np.cumsum([0, *(len(t) + 1 for t in plain)]).tolist()  # of each piece in the joined text
+    joined, until = " ".join(plain), [at + len(t) for at, t in zip(starts, plain)]
+    worth = [m.start() for m in WORTH.finditer(text)]
+    closings = {name: [bisect_left(until, m.end()) for m in c.finditer(joined)] for name, (_, c) in _AROUND.items()}
+    upto, stop = [n - 1] * n, [n - 1] * n  # the last piece that can follow; the first piece from here on that ends in a stop
+    for i in range(n - 2, -1, -1):
+        upto[i] = i if ends[i] or alone[i + 1] is not None else upto[i + 1]
+        stop[i] = i if stops[i] else stop[i + 1]
+
+    def wrapped(i: int) -> tuple[str | None, int]:
+        """The known sentence that begins with piece i and goes over the fewest pieces, and its last piece."""
+        first = plain[i].split(" ", 1)[0]
+        at = bisect_left(worth, pieces[i][0])
+        if not (first in FIRST or first.isdigit()) or at == len(worth) or worth[at] >= pieces[upto[i]][1]:
+            return None, i
+        name, last = None, upto[i] + 1
+        for around, (head, _) in _AROUND.items():  # any number of words may stand in between: go to the next closing
+            if head.match(joined, starts[i]):
+                k = bisect_left(closings[around], i + 1)
+                if k < len(closings[around]) and (j := closings[around][k]) < last and j <= stop[i] and _JOINED[around].fullmatch(joined, starts[i], until[j]):
+                    name, last = around, j
+        alive = [x for x in _JOINED if x not in _AROUND]
+        for j in range(i + 1, last):  # ends when no pattern can go on: after as many pieces as a pattern has words
+            alive = [x for x in alive if (x in ACROSS or j <= stop[i]) and _JOINED[x].fullmatch(joined, starts[i], until[j], partial=True)]
+            if not alive:
+                break
+            if found := next((x for x in alive if not _JOINED[x].fullmatch(joined, starts[i], until[j], partial=True).partial), None):
+                return found, j
+        return (name, last) if name else (None, i)
+
     i = 0
-    while i < len(pieces):
-        name, last, stopped, joined = alone[i], i, stops[i], plain[i]
-        first = joined.split(" ", 1)[0]
-        if name is None and (first in FIRST or first.isdigit()) and WORTH.search(text, pieces[i][0], pieces[min(len(pieces), i + MOST_LINES) - 1][1]):
-            for j in range(i + 1, min(len(pieces), i + MOST_LINES)):
-                if ends[j - 1] or alone[j] is not None:
-                    break
-                joined = f"{joined} {plain[j]}"
-                found = next((n for n, p in _KNOWN if (n in ACROSS or not stopped) and p.fullmatch(joined)), None)
-                stopped |= stops[j]
-                if found:
-                    name, last = found, j
-                    break
+    while i < n:
+        name, last = (alone[i], i) if alone[i] else wrapped(i)
         if name in _OPEN and name not in SHORT:
-            while not stops[last] and not ends[last] and alone[last + 1] is None:
-                last += 1
-            whole = " ".join(plain[i : last + 1])  # what follows may make it a more special one
+            last = max(last, min(upto[last], stop[last]))
+            whole = joined[starts[i] : until[last]]  # what follows may make it a more special one
             name = next(n for n, p in _KNOWN if p.fullmatch(whole))
-        elif name and name not in SHORT:
-            pattern, j, joined = re.compile(SENTENCES[name]), last, " ".join(plain[i : last + 1])
-            while j < last + 3 and not stops[j] and not ends[j] and alone[j + 1] is None:
+        elif name and name not in SHORT and name not in _AROUND:
+            j = last
+            while j < upto[last] and not stops[j] and (m := _JOINED[name].fullmatch(joined, starts[i], until[j + 1], partial=True)):
                 j += 1
-                joined = f"{joined} {plain[j]}"
-                last = j if pattern.fullmatch(joined) else last
+                last = last if m.partial else j
         yield name, pieces[i][0], pieces[last][1]
         i = last + 1
 

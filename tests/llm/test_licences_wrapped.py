@@ -1,6 +1,7 @@
 """Each licence rule on its canonical text, wrapped as licence files and headers are."""
 
 import textwrap
+import time
 
 import pytest
 
@@ -93,3 +94,26 @@ def test_rules_against_brute_force():
                 want.append(fit[0][0])
             i += fit[0][1] if fit else 1
         assert [f[0] for f in licences.scan(text)] == want
+def test_a_sentence_in_any_number_of_pieces():
+    one_word_a_line = "\n\n".join("\n".join(part.split()) for part in (MIT, NOTICE, AS_IS))
+    assert [f[0] for f in licences.scan(one_word_a_line)] == ["MIT"]
+    holder = "\n".join(f"Holder{i}" for i in range(300))
+    assert [f[0] for f in licences.scan(f"Neither the name of\n{holder}\nnor of others may be\nused to endorse or promote products")] == [f[0] for f in licences.scan("Neither the name of X may be used to endorse or promote products")]
+    assert [f[0] for f in licences.scan(f"Copyright\n{holder}\nall rights\nreserved")] == ["Proprietary"]
+    assert licences.scan(f"Copyright {holder}. And then\nall rights") == []
+
+
+def test_long_licensed_texts_in_time():
+    began = time.time()
+    many = "\n".join(["Copyright of a line that begins like a known one", "this software is mine", "neither the name of it"] * 10_000)
+    assert licences.scan(many + "\nall rights unreserved") == []
+    assert [f[0] for f in licences.scan("\n\n".join(["\n".join(ISC.split()), "prose."] * 300))] == ["ISC"] * 300
+    assert time.time() - began < 60
+
+
+def test_rows_that_repeat_and_rules_that_tie(spark):
+    text = "\n\n".join([MIT, NOTICE, AS_IS, "Some prose.", MIT, "Licensed under the MIT License."])
+    rows = licences.licences(spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")).collect()
+    found = licences.scan(text)
+    assert len(found) >= 2 and len(rows) == 4
+    assert {(r.doc_id, r.n_found, r.spans) for r in rows} == {(2, 0, ""), *((i, len(found), ",".join(f"{n}:{a}:{b}" for n, a, b in found)) for i in (1, None))}
