@@ -1,4 +1,4 @@
-"""The hook for encoders, answer models and judges: a user factory, called once per Python worker task."""
+"""The hook for encoders, answer models and judges: a user factory, called once per Python worker process."""
 
 from __future__ import annotations
 
@@ -7,23 +7,50 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphtide.session import materialize
+
+_MODELS: dict[str, Callable[[list[str]], list]] = {}
+
+
+def _model(key: str, factory: Callable[[], Callable[[list[str]], list]]) -> Callable[[list[str]], list]:
+    """The model of this process; it outlives the task that made it."""
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
 
 def model_udf(factory: Callable[[], Callable[[list[str]], list]], result: str, batch_rows: int = 400):
-    """A column function: factory() gives a function from a list of texts to a list of results."""
+    """A column function: factory() gives a function from a list of texts to a list of results. Texts of a batch are of like length."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     @F.pandas_udf(result)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = _model(key, factory)
         for batch in batches:
             texts = batch.fillna("").tolist()
-            out = [r for at in range(0, len(texts), batch_rows) for r in model(texts[at : at + batch_rows])]
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            out = [None] * len(texts)
+            for at in range(0, len(order), batch_rows):
+                some = order[at : at + batch_rows]
+                for i, made in zip(some, model([texts[i] for i in some]), strict=True):
+                    out[i] = made
             yield pd.Series(out, index=batch.index)
 
     return run
 
 
+def encoded(rows: DataFrame, text: str, factory: Callable[[], Callable[[list[str]], list]], result: str = "array<float>", batch_rows: int = 400) -> DataFrame:
+    """rows with vec, the model's result for their text; equal texts (by SHA-256) go to the model once."""
+    keyed = rows.withColumn("__key", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    texts = keyed.groupBy("__key").agg(F.first(F.coalesce(text, F.lit(""))).alias("__text"))
+    made = materialize(texts.select("__key", model_udf(factory, result, batch_rows)(F.col("__text")).alias("vec")), "encoded")
+    return keyed.hint("merge").join(made.hint("merge"), "__key").drop("__key")
+
+
 def hash_encoder(dims: int = 64) -> Callable[[list[str]], list]:
     """A deterministic stand-in for a text encoder: unit vectors seeded by the text's digest."""
 

@@ -132,19 +132,24 @@ def json_slice(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-EXTRACTION = "struct<entities:map<string,array<string>>,triplets:array<array<string>>>"
+EXTRACTION = "struct<entities:{},triplets:array<array<string>>>"
+_LABELS = "map<string,array<string>>"
 
 
 def extraction(text: Column) -> Column:
-    """The parsed reply of a triple extraction, or null if it is no JSON or lacks a key."""
-    parsed = F.from_json(json_slice(text), EXTRACTION)
-    return F.when(parsed["entities"].isNotNull() & parsed["triplets"].isNotNull(), parsed)
+    """The parsed reply of a triple extraction, or null if it is no JSON or lacks a key. entities is a list of maps, whether the reply has one map or a list."""
+    body = json_slice(text)
+    one, many = F.from_json(body, EXTRACTION.format(_LABELS)), F.from_json(body, EXTRACTION.format(f"array<{_LABELS}>"))
+    entities = F.coalesce(many["entities"], F.when(one["entities"].isNotNull(), F.array(one["entities"])))
+    triplets = F.coalesce(one["triplets"], many["triplets"])
+    return F.when(entities.isNotNull() & triplets.isNotNull(), F.struct(entities.alias("entities"), triplets.alias("triplets")))
 
 
 def entity_labels(replies: DataFrame) -> DataFrame:
     """name, label of replies(ord, parsed): names and labels capitalised, a later entry overwrites."""
-    pairs = replies.select("ord", F.explode("parsed.entities").alias("label", "names")).select("ord", "label", F.posexplode("names").alias("i", "name"))
-    return pairs.groupBy(capitalise(F.col("name")).alias("name")).agg(F.max_by(capitalise(F.col("label")), F.struct("ord", "label", "i")).alias("label"))
+    maps = replies.select("ord", F.posexplode("parsed.entities").alias("at", "m"))
+    pairs = maps.select("ord", "at", F.explode("m").alias("label", "names")).select("ord", "at", "label", F.posexplode("names").alias("i", "name"))
+    return pairs.groupBy(capitalise(F.col("name")).alias("name")).agg(F.max_by(capitalise(F.col("label")), F.struct("ord", "at", "label", "i")).alias("label"))
 
 
 def extracted_triples(replies: DataFrame) -> DataFrame:
@@ -157,6 +162,68 @@ def question_lines(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n"), lambda l: F.startswith(l, F.lit("Question:"))), lambda l: F.trim(F.regexp_replace(l, "^Question:", "")))
 
 
+def question_answers(text: Column) -> Column:
+    """(question, answers) of alternating `Question:` and `Answer:` lines, answers separated by `;;;`; pairs of lines that don't fit are skipped."""
+    start = F.struct(F.lit(None).cast("string").alias("line"), F.array().cast("array<struct<question:string,answers:array<string>>>").alias("found"))
+
+    def step(state: Column, line: Column) -> Column:
+        """The first line of a pair waits for the second."""
+        question, answer = F.regexp_extract(state["line"], r"Question:\s*(.*)", 1), F.regexp_extract(line, r"Answer:\s*(.*)", 1)
+        fits = F.contains(state["line"], F.lit("Question:")) & F.contains(line, F.lit("Answer:"))
+        pair = F.struct(F.trim(question).alias("question"), F.transform(F.split(F.trim(answer), ";;;"), lambda x: F.trim(x)).alias("answers"))
+        return F.struct(
+            F.when(state["line"].isNull(), line).alias("line"),
+            F.when(state["line"].isNotNull() & fits, F.concat(state["found"], F.array(pair))).otherwise(state["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.split(F.trim(text), "\n"), start, step, lambda s: s["found"])
+
+
+NO_GROUPS = "No results matching your criteria."
+
+
+def id_groups(reply: Column, sizes: Column) -> Column:
+    """Id lists of a reply with a line for each group: integers below the group's size, shifted by the sizes of the groups before.
+
+    Lines without such an id give no list, those beyond the groups are not read; the sentinel NO_GROUPS gives none.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("before"), F.array().cast("array<array<long>>").alias("groups"))
+
+    def step(state: Column, line: Column) -> Column:
+        size = F.coalesce(F.get(sizes, state["at"]), F.lit(0))
+        ids = F.transform(id_list(line, size), lambda i: i + state["before"])
+        return F.struct(
+            (state["at"] + 1).alias("at"), (state["before"] + size).cast("long").alias("before"), F.when(F.size(ids) > 0, F.concat(state["groups"], F.array(ids))).otherwise(state["groups"]).alias("groups")
+        )
+
+    none = F.contains(reply, F.lit(NO_GROUPS))
+    return F.when(none, F.array().cast("array<array<long>>")).otherwise(F.aggregate(F.split(F.trim(reply), "\n"), start, step, lambda s: s["groups"]))
+
+
+def judgement(reply: Column) -> Column:
+    """(numeric, verdict) of a two-line judgement; null for insufficient information, (-1, -1) where a line is missing, left over or unknown."""
+    lines = F.filter(F.split(F.trim(reply), "\n"), lambda l: l != "")
+    first, second = F.lower(F.get(lines, F.lit(0))), F.get(lines, F.lit(1))
+    numeric = F.when(F.contains(first, F.lit("answer is numeric")), 1).when(F.contains(first, F.lit("not numeric")), 0)
+    said = F.when(F.contains(second, F.lit("Partially Correct")), 2).when(F.contains(second, F.lit("Correct")), 1).when(F.contains(second, F.lit("Incorrect")), 0)
+    good = (F.size(lines) == 2) & numeric.isNotNull() & said.isNotNull()
+    made = F.struct(F.when(good, numeric).otherwise(-1).alias("numeric"), F.when(good, said).otherwise(-1).alias("verdict"))
+    return F.when(~F.contains(F.lower(reply), F.lit("insufficient information")), made)
+
+
+def filled(template: str, **fields: Column) -> Column:
+    """A prompt: the template with {name} replaced by the fields, in one pass, so what a field holds is never replaced again."""
+    out, rest = [], template
+    while rest:
+        found = min(((rest.index("{" + name + "}"), name) for name in fields if "{" + name + "}" in rest), default=None)
+        if found is None:
+            out.append(F.lit(rest))
+            break
+        out += [F.lit(rest[: found[0]]), F.coalesce(fields[found[1]], F.lit(""))]
+        rest = rest[found[0] + len(found[1]) + 2 :]
+    return F.concat(*out) if out else F.lit("")
+
+
 def global_ids(groups: DataFrame) -> DataFrame:
     """groups(q_id, group_ord, ids, size) with ids shifted by the sizes of the groups before."""
     before = F.coalesce(F.sum("size").over(Window.partitionBy("q_id").orderBy("group_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

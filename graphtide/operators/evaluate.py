@@ -37,11 +37,11 @@ def any_match_refusal(prediction: Column, aliases: Column) -> Column:
     return F.when(F.contains(prediction, F.lit("The context do not contain answer")), 2).otherwise(any_match(prediction, aliases).cast("int"))
 
 
-def accuracy(labels: DataFrame, *by: str) -> DataFrame:
-    """Mean label per slice and, as the row of nulls, over all."""
-    if not by:
-        return labels.agg(F.round(F.avg(F.col("label").cast("int")), PLACES).alias("accuracy"))
-    return labels.rollup(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("int")), PLACES).alias("accuracy"))
+def accuracy(labels: DataFrame, *by: str, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Mean label per slice and, as the row of nulls, over all; and the means of further metrics times 100."""
+    mean = F.round(F.avg(F.col("label").cast("int")), PLACES).alias("accuracy")
+    more = [F.round(F.avg(m) * 100, 4).alias(m) for m in metrics]
+    return labels.rollup(*by).agg(F.count("*").alias("n"), mean, *more) if by else labels.agg(mean, *more)
 
 
 def answer_combinations(answer: Column) -> Column:
@@ -72,13 +72,15 @@ def em_f1(df: DataFrame) -> DataFrame:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    numbers: dict[str, int] = {}
-    left, right = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (a, b))
-    row = np.zeros(len(right) + 1, np.int64)
-    for x in left if len(right) else ():
-        row[1:] = np.maximum.accumulate(np.where(right == x, row[:-1] + 1, row[1:]))
-    return int(row[-1])
+    """Length of the longest common subsequence: the table's differences as bits, a whole row a step."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for word in b:
+        if hits := row & places.get(word, 0):
+            row = (row + hits | row - hits) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(df: DataFrame) -> DataFrame:
@@ -128,9 +130,17 @@ def iteration_diff(last: DataFrame, now: DataFrame) -> DataFrame:
     )
 
 
-def judge_rates(classes: DataFrame) -> DataFrame:
-    share = lambda v: F.round(F.avg((F.col("class") == v).cast("int")), PLACES)
-    return classes.agg(share("correct").alias("correct_rate"), share("error").alias("error_rate"), share("refused").alias("refused_rate"))
+def iteration_means(diff: DataFrame) -> DataFrame:
+    """Mean facts and losses of iteration_diff, the mean of the questions' rates and the ratio of the sums; null without facts."""
+    ratio = F.when(F.sum("n_last") > 0, F.sum("n_gone") / F.sum("n_last"))
+    return diff.agg(*(F.round(x, PLACES).alias(n) for n, x in (("mean_last", F.avg("n_last")), ("mean_gone", F.avg("n_gone")), ("mean_rate", F.avg("rate")), ("ratio", ratio))))
+
+
+def judge_rates(verdicts: DataFrame) -> DataFrame:
+    """Shares of verdict 1 (correct), 2 (partly), 0 (wrong) and null (refused)."""
+    share = lambda x: F.round(F.avg(x.cast("int")), PLACES)
+    is_ = lambda v: F.coalesce(F.col("verdict") == v, F.lit(False))
+    return verdicts.agg(share(is_(1)).alias("correct_rate"), share(is_(2)).alias("partial_rate"), share(is_(0)).alias("error_rate"), share(F.col("verdict").isNull()).alias("refused_rate"))
 
 
 def cost_means(rows: DataFrame) -> DataFrame:

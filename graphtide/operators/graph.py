@@ -114,6 +114,15 @@ def expand_paths(triples: DataFrame, seeds: DataFrame, depth: int = 2, max_degre
     return found.select("seed", "hops", path_text(F.col("hops")).alias("path"))
 
 
+def sample(triples: DataFrame, n: int, seed: str = "") -> DataFrame:
+    """n triples in a seeded order; fewer than n raise."""
+    found = triples.orderBy(F.md5(F.concat(F.lit(seed), triple_key())), *KEY).limit(n)
+    there = triples.limit(n).count()
+    if there < n:
+        raise ValueError(f"a sample of {n} of {there} triples")
+    return found
+
+
 def hubs(triples: DataFrame, max_degree: int) -> DataFrame:
     """name, degree of the nodes with more than max_degree edges."""
     return undirected(triples).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("degree")).where(F.col("degree") > max_degree)

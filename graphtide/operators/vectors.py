@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,21 +30,23 @@ def unit(a: Column) -> Column:
 
 
 def pair_cosines(pairs: DataFrame, questions: DataFrame, items: DataFrame, block_rows: int = 20_000, bucket_pairs: int = 500_000) -> DataFrame:
-    """q_id, v, sim of pairs(q_id, v) for questions(q_id, vec) and items(v, vec).
+    """q_id, v, sim of pairs(q_id, v) for questions(q_id, vec) and items(v, vec), where both are vectors (see usable).
 
-    Pairs and items meet in buckets of v, sized by the number of pairs, so a vector travels once and not
+    Only the items that pairs name are dealt out.     Pairs and items meet in buckets of v, sized by the number of pairs, so a vector travels once and not
     once a pair; questions are sent to the buckets in blocks of at most block_rows.
     """
     total, count = pairs.count(), questions.count()
+    items = items.hint("merge").join(pairs.select("v").distinct().hint("merge"), "v", "left_semi")
     buckets, blocks = max(16, -(-total // bucket_pairs)), max(1, -(-count // block_rows))
     place = F.pmod(F.xxhash64("v"), F.lit(buckets))
     found = None
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b
         rows = questions.where(mine).select(F.col("q_id").cast("long").alias("q_id"), "vec").orderBy("q_id").toArrow()
-        if not rows.num_rows:
+        kept, matrix = usable(rows.column("vec").combine_chunks())
+        if not len(kept):
             continue
-        shared = pairs.sparkSession.sparkContext.broadcast((rows.column("q_id").to_numpy(), _unit(_matrix(rows.column("vec").combine_chunks()))))
+        shared = pairs.sparkSession.sparkContext.broadcast((rows.column("q_id").to_numpy()[kept], _unit(matrix)))
         left = pairs.where(mine).select(F.col("q_id").cast("long").alias("q_id"), F.col("v").cast("long").alias("v"), place.alias("bucket")).groupBy("bucket")
         right = items.select(F.col("v").cast("long").alias("v"), "vec", place.alias("bucket")).groupBy("bucket")
         one = left.cogroup(right).applyInArrow(_pair_sims(shared), "q_id long, v long, sim double")
@@ -55,12 +58,12 @@ def _pair_sims(shared):
     def work(pairs: pa.Table, items: pa.Table) -> pa.Table:
         ids, matrix = shared.value
         q, v = pairs.column("q_id").to_numpy(), pairs.column("v").to_numpy()
-        if not len(q) or not items.num_rows:
+        kept, vectors = usable(items.column("vec").combine_chunks(), matrix.shape[1])
+        if not len(q) or not len(kept):
             return pa.table({"q_id": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        known = items.column("v").to_numpy()
+        known = items.column("v").to_numpy()[kept]
         order = np.argsort(known, kind="stable")
-        units = _unit(_matrix(items.column("vec").combine_chunks()))[order]
-        known = known[order]
+        units, known = _unit(vectors)[order], known[order]
         i, j = np.minimum(np.searchsorted(ids, q), len(ids) - 1), np.minimum(np.searchsorted(known, v), len(known) - 1)
         both = (ids[i] == q) & (known[j] == v)
         q, v, i, j = q[both], v[both], i[both], j[both]
@@ -70,9 +73,18 @@ def _pair_sims(shared):
     return work
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
+def usable(vectors: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and matrix of the rows that are vectors: of dimension dim (by default the most common one), with finite components, not all of them zero.
+
+    Others take no part in any similarity: a null, ragged or zero vector is like nothing.
+    """
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    if dim is None:
+        dim = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
+    rows = np.flatnonzero(lengths == dim) if dim else np.zeros(0, np.int64)
+    matrix = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), max(dim, 1))
+    good = np.isfinite(matrix).all(1) & (matrix != 0).any(1)
+    return rows[good], matrix[good]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -92,10 +104,10 @@ def top_k(questions: DataFrame, items: DataFrame, k: int, threshold: float | Non
     for b in range(blocks):
         part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
         rows = part.select(F.col("q_id").cast("long").alias("q_id"), "vec").orderBy("q_id").toArrow()
-        if not rows.num_rows:
+        kept, matrix = usable(rows.column("vec").combine_chunks())
+        if not len(kept):
             continue
-        ids, matrix = rows.column("q_id").to_numpy(), _unit(_matrix(rows.column("vec").combine_chunks()))
-        shared = questions.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = questions.sparkSession.sparkContext.broadcast((rows.column("q_id").to_numpy()[kept], _unit(matrix)))
         one = materialize(items.select("name", "vec").mapInArrow(_best(shared, k, threshold), "q_id long, name string, sim double"), "block")
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -109,9 +121,12 @@ def _best(shared, k: int, threshold: float | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            kept, items = usable(batch.column(1), matrix.shape[1])
+            if not len(kept):
+                continue
+            names = np.array(batch.column(0).take(pa.array(kept)).to_pylist(), object)
             order = np.argsort(names, kind="stable")
-            names, items = names[order], np.ascontiguousarray(_matrix(batch.column(1))[order])
+            names, items = names[order], np.ascontiguousarray(items[order])
             # one row a vector, with its names in order
             _, first, group = np.unique(items.view(np.dtype((np.void, items.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
             by_group = np.argsort(group, kind="stable")
@@ -152,45 +167,6 @@ def filter_stats(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def ivf_search(items: DataFrame, questions: DataFrame, k: int, lists: int = 128, probes: int = 10, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
-    """Approximate top-k: items are dealt to the nearest of `lists` centroids, a question scans its nearest `probes` lists.
-
-    Centroids are k-means on at most sample_rows items; every item is indexed. Scoring is a join on
-    the list number, exact cosine inside it.
-    """
-    sample = items.orderBy(F.xxhash64("name")).limit(sample_rows).select("vec").toArrow()
-    if not sample.num_rows:
-        return questions.sparkSession.createDataFrame([], "q_id long, name string, sim double, rank int")
-    points = _unit(_matrix(sample.column("vec").combine_chunks()))
-    rng = np.random.default_rng(seed)
-    centres = points[rng.permutation(len(points))[: min(lists, len(points))]]
-    for _ in range(12):
-        near = (points @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, points)
-        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
-        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
-    shared = questions.sparkSession.sparkContext.broadcast(centres)
-
-    def deal(n: int):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                unit = _unit(_matrix(batch.column(1)))
-                near = np.argsort(-(unit @ shared.value.T), axis=1, kind="stable")[:, :n]
-                rows = np.repeat(np.arange(len(unit)), near.shape[1])
-                unit_lists = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), unit.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), unit_lists.take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], names=["id", "unit", "list_id"])
-
-        return work
-
-    indexed = items.select(F.col("name").alias("id"), "vec").mapInArrow(deal(1), "id string, unit array<double>, list_id int")
-    probed = questions.select(F.col("q_id").cast("long").alias("id"), "vec").mapInArrow(deal(probes), "id long, unit array<double>, list_id int")
-    scored = probed.select(F.col("id").alias("q_id"), F.col("unit").alias("q_unit"), "list_id").hint("merge").join(indexed.withColumnRenamed("id", "name").hint("merge"), "list_id")
-    scored = scored.select("q_id", "name", F.round(dot(F.col("q_unit"), F.col("unit")), PLACES).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "name"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def vector_index(embeddings: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     """keyed rows with the vector that the first digits of md5(key) choose: a deterministic stand-in for an encoder."""
     n = embeddings.agg(F.count("*").alias("n"))

@@ -200,7 +200,7 @@ def sink_stage_rows(x):
 
 @register("sample_n", duck(T, "SELECT head, rel, tail FROM kg_triples ORDER BY md5(concat_ws(' ', head, rel, tail)), head, rel, tail LIMIT 1200"))
 def sample_n(x):
-    return x.kg_triples.orderBy(F.md5(graph.triple_key()), *KEY).limit(1200)
+    return graph.sample(x.kg_triples, 1200)
 
 
 @register("verbalise_hop", duck("und", "SELECT src, dst, dir, concat_ws(' ', h, rel, t) AS key, concat_ws(' ', h, replace(rel, '_', ' '), t) AS sentence FROM (SELECT *, CASE WHEN dir = '->' THEN src ELSE dst END AS h, CASE WHEN dir = '->' THEN dst ELSE src END AS t FROM und) u"))
@@ -292,6 +292,18 @@ def rd_rate(x):
     return redundancy.redundancy_rate(_decisions(x))
 
 
+@register("rd_rate_mean", duck("", "SELECT round(avg(rate), 6) AS mean_rate FROM (SELECT q_id, count(*) FILTER (WHERE decision = 'delete') / count(*) AS rate FROM d GROUP BY q_id) r", **_DECIDED))
+def rd_rate_mean(x):
+    return redundancy.redundancy_rate(_decisions(x)).agg(F.round(F.avg("rate"), 6).alias("mean_rate"))
+
+
+@register("rd_missing_deletes", duck("facts", "SELECT DISTINCT head, rel, tail || CASE WHEN pos % 3 = 0 THEN ' gone' ELSE '' END AS tail FROM facts WHERE pos % 3 = 0"))
+def rd_missing_deletes(x):
+    """Deletes that name no stored triple."""
+    wanted = x.facts.select("head", "rel", F.concat("tail", F.when(F.col("pos") % 3 == 0, " gone").otherwise("")).alias("tail"))
+    return redundancy.missing_deletes(x.kg_scores, wanted)
+
+
 @register("rd_apply_deletes", duck("kg_scores", "SELECT head, rel, tail, score FROM kg_scores WHERE NOT (rel = 'contains' AND score < 60)"))
 def rd_apply_deletes(x):
     return redundancy.apply_deletes(x.kg_scores, x.kg_scores.where("rel = 'contains' AND score < 60"))
@@ -465,11 +477,6 @@ def ev_accuracy(x):
     return evaluate.accuracy(labels(x))
 
 
-@register("ev_accuracy_sliced", duck("q_eval", f"SELECT hop, count(*) AS n, round(avg(label::INT), 6) AS accuracy FROM (SELECT q_id // 100 AS hop, label FROM ({LABELS}) l) s GROUP BY ROLLUP (hop)"))
-def ev_accuracy_sliced(x):
-    return evaluate.accuracy(labels(x).withColumn("hop", F.floor(F.col("q_id") / 100)), "hop")
-
-
 @register("ev_wrong_index", duck("q_eval", f"SELECT q_id FROM ({LABELS}) l WHERE NOT label"))
 def ev_wrong_index(x):
     return labels(x).where(~F.col("label")).select("q_id")
@@ -515,6 +522,11 @@ def ev_iteration_diff(x):
     return evaluate.iteration_diff(_facts(x), _facts(x).where("score > 60"))
 
 
+@register("ev_iteration_diff_means", duck("facts", f"SELECT round(avg(n_last), 6) AS mean_last, round(avg(n_gone), 6) AS mean_gone, round(avg(round(n_gone / n_last, 6)), 6) AS mean_rate, round(sum(n_gone) / sum(n_last), 6) AS ratio FROM (SELECT count(*) AS n_last, count(*) FILTER (WHERE score <= 60) AS n_gone FROM ({_FACTS}) f GROUP BY q_id) d"))
+def ev_iteration_diff_means(x):
+    return evaluate.iteration_means(evaluate.iteration_diff(_facts(x), _facts(x).where("score > 60")))
+
+
 @register("j_iteration_diff", duck("facts", f"SELECT q_id, fact FROM ({_FACTS}) f WHERE score <= 60"))
 def j_iteration_diff(x):
     return _facts(x).select("q_id", "fact").join(_facts(x).where("score > 60").select("q_id", "fact"), ["q_id", "fact"], "left_anti")
@@ -531,6 +543,11 @@ def j_error_redundant(x):
     return wrong.join(red, "fact", "left_semi").withColumn("redundant", F.lit(True)).union(wrong.join(red, "fact", "left_anti").withColumn("redundant", F.lit(False)))
 
 
+@register("j_error_redundant_rate", duck("facts", f"SELECT round(avg((fact IN (SELECT fact FROM ({_FACTS}) g WHERE pos % 2 = 1))::INT), 6) AS redundant_rate, count(*) AS n_wrong FROM (SELECT DISTINCT fact FROM ({_FACTS}) f WHERE score < 80) e"))
+def j_error_redundant_rate(x):
+    return j_error_redundant(x).agg(F.round(F.avg(F.col("redundant").cast("int")), 6).alias("redundant_rate"), F.count("*").alias("n_wrong"))
+
+
 @register("ev_error_batches", duck("facts", f"SELECT q_id, fact, pos // 30 AS chunk, (pos // 30) * 30 + pos % 30 AS global_id FROM ({_FACTS}) f"))
 def ev_error_batches(x):
     chunk = F.floor(F.col("pos") / 30)
@@ -542,11 +559,6 @@ def sort_by_entity(x):
     return x.facts.select(F.col("q_ord").alias("q_id"), *KEY, F.row_number().over(Window.partitionBy("q_ord").orderBy("head", "pos")).alias("n"))
 
 
-@register("ev_extraction_counts", duck(T, "SELECT count(*) AS n_triples, (SELECT count(*) FROM (SELECT head FROM kg_triples UNION SELECT tail FROM kg_triples) e) AS n_entities, count(DISTINCT rel) AS n_relations FROM kg_triples"))
-def ev_extraction_counts(x):
-    return x.kg_triples.agg(F.count("*").alias("n_triples"), F.countDistinct("rel").alias("n_relations")).crossJoin(graph.entities(x.kg_triples).agg(F.count("*").alias("n_entities")))
-
-
 @register("maximal_paths", duck("seed_paths", "SELECT DISTINCT seed, path FROM (SELECT seed, path, lead(path) OVER (PARTITION BY seed ORDER BY path) AS nxt FROM (SELECT DISTINCT seed, path FROM seed_paths) d) e WHERE nxt IS NULL OR NOT starts_with(nxt, path)"))
 def maximal_paths(x):
     return ranking.maximal_paths(graph.expand_paths(x.kg_triples, retrieve.links(x).select("seed"), 2))

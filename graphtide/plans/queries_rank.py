@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphtide.catalog import register
 from graphtide.operators import evaluate, feedback, graph, ranking, suppress, vectors
+from graphtide.operators.vector_lists import VectorLists
 from graphtide.plans import retrieve
 from graphtide.plans.fixtures import LABELS, duck, labels
 from graphtide.plans.retrieve import COS
-from graphtide.session import materialize
+from graphtide.session import materialize, own_dir
 
 
 @register(
@@ -85,15 +89,14 @@ def vec_retrieve_chunks(x):
 
 @register("vec_ann_ivf")
 def vec_ann_ivf(x):
-    return vectors.ivf_search(x.entity_vectors, x.q_vectors, 10)
+    folder = f"{own_dir(x.spark)}/lists-{uuid.uuid4().hex}"
+    return VectorLists.build(materialize(x.entity_vectors, "entities"), folder).search(x.q_vectors, 10)
 
 
 @register("vec_topk_triples", duck("q_triples", "SELECT q_id, head, rel, tail, sim, rank FROM (SELECT q_id, head, rel, tail, round(sim01 * 2 - 1, 6) AS sim, row_number() OVER (PARTITION BY q_id ORDER BY round(sim01 * 2 - 1, 6) DESC, head, rel, tail) AS rank FROM q_triples) r WHERE rank <= 30"))
 def vec_topk_triples(x):
     hops = ranking.hop_rows(retrieve.candidate_paths(x))
     sims = retrieve.triple_similarity(x, hops)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), *graph.KEY))
     return sims.withColumn("rank", rank).where(F.col("rank") <= 30)
 

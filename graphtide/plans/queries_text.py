@@ -11,9 +11,9 @@ from graphtide.catalog import register
 from graphtide.functions import text
 from graphtide.operators import evaluate, graph, ranking, vectors
 from graphtide.plans import retrieve
-from graphtide.plans.fixtures import duck
+from graphtide.plans.fixtures import LABELS, duck, labels
 from graphtide.plans.retrieve import COS
-from graphtide.session import own_dir
+from graphtide.session import materialize, own_dir
 from graphtide.sources import readers, sinks
 
 KEY = graph.KEY
@@ -167,10 +167,26 @@ def id_list_parse(x):
     return rows.select("q_id", text.id_list(F.concat("r", F.lit(", x, 99, -1")), F.lit(10)).alias("ids"))
 
 
-@register("id_groups_parse", duck("fb_rows", "SELECT q_ord AS q_id, degree AS group_ord, list(idx + before ORDER BY idx) AS ids FROM (SELECT *, (SELECT count(*) FROM fb_rows g WHERE g.q_ord = f.q_ord AND g.degree < f.degree) AS before FROM fb_rows f) z GROUP BY q_ord, degree"))
+_GROUP_REPLIES = """SELECT q_ord, [3 + q_ord % 4, 10, 1 + q_ord % 9] AS sizes, degree, idx FROM fb_rows"""
+
+
+@register(
+    "id_groups_parse",
+    duck(
+        "fb_rows",
+        """SELECT q_ord AS q_id, row_number() OVER (PARTITION BY q_ord ORDER BY degree) - 1 AS group_ord, ids FROM (
+ SELECT q_ord, degree, list(idx + before ORDER BY idx) AS ids FROM (SELECT *, coalesce(list_sum(sizes[1 : (degree - 1)::INT]), 0) AS before FROM replies WHERE idx < sizes[degree] AND q_ord % 13 <> 0) r GROUP BY q_ord, degree) g""",
+        replies=_GROUP_REPLIES,
+    ),
+)
 def id_groups_parse(x):
-    groups = x.fb_rows.groupBy(F.col("q_ord").alias("q_id"), F.col("degree").alias("group_ord")).agg(F.array_sort(F.collect_list("idx")).alias("ids"), F.count("*").alias("size"))
-    return text.global_ids(groups)
+    """A line a degree, with what is no id and what is out of range in between; every thirteenth question has none."""
+    line = lambda d: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("degree") == d, F.col("idx")))), lambda i: i.cast("string")), ", ")
+    lines = x.fb_rows.groupBy(F.col("q_ord").alias("q_id")).agg(*(line(d).alias(f"l{d}") for d in (1, 2, 3)))
+    reply = F.concat(F.lit(" "), F.concat_ws(", x, 99,-1\n", "l1", "l2", "l3", F.lit("5, 6")))
+    reply = F.when(F.col("q_id") % 13 == 0, F.lit(f"So: {text.NO_GROUPS} ")).otherwise(reply)
+    sizes = F.array(3 + F.col("q_id") % 4, F.lit(10), 1 + F.col("q_id") % 9)
+    return lines.select("q_id", F.posexplode(text.id_groups(reply, sizes)).alias("group_ord", "ids"))
 
 
 @register("contribution_parse", duck("fb_rows", "SELECT q_ord AS q_id, count(*) AS n, CAST(sum(degree) AS BIGINT) AS total FROM fb_rows WHERE q_ord % 3 <> 0 GROUP BY q_ord"))
@@ -182,10 +198,18 @@ def contribution_parse(x):
     return pairs.groupBy("q_id").agg(F.count("*").alias("n"), F.sum(F.col("p.c").cast("long")).alias("total"))
 
 
-@register("judge_parse", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN NULL ELSE 0 END AS verdict FROM events")
+_JUDGED = """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 7 = 0 THEN -1 ELSE (event_id % 2)::INT END AS numeric,
+ CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 7 = 0 THEN -1 WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END AS verdict FROM events"""
+
+
+@register("judge_parse", _JUDGED)
 def judge_parse(x):
-    said = F.when(F.col("event_type") == "purchase", "Partially Correct").when(F.col("event_type") == "click", "Correct").when(F.col("event_type") == "error", "Insufficient information").otherwise("Wrong")
-    return x.events.select("event_id", text.verdict(said).alias("verdict"))
+    """Two-line judgements; every seventh lacks a line, has one too many, or says nothing that is known."""
+    said = F.when(F.col("event_type") == "purchase", "Verdict: Partially Correct").when(F.col("event_type") == "click", "Correct").otherwise("Incorrect.")
+    first = F.when(F.col("event_id") % 2 == 1, "The answer is Numeric.").otherwise("Answer is NOT numeric")
+    broken = F.when(F.col("event_id") % 3 == 0, first).when(F.col("event_id") % 3 == 1, F.concat(first, F.lit("\n\nwrong"))).otherwise(F.concat(first, F.lit("\n"), said, F.lit("\nmore")))
+    reply = F.when(F.col("event_type") == "error", "Sorry:\nInsufficient Information").when(F.col("event_id") % 7 == 0, broken).otherwise(F.concat(F.lit("\n"), first, F.lit("\n\n"), said, F.lit(" \n")))
+    return x.events.select("event_id", text.judgement(reply).alias("j")).select("event_id", "j.numeric", "j.verdict")
 
 
 _CLASSES = "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'error' WHEN 'error' THEN 'refused' ELSE 'unknown' END AS class FROM events"
@@ -197,15 +221,24 @@ def judge_text_class(x):
     return x.events.select("event_id", text.text_class(said).alias("class"))
 
 
-@register("ev_judge_rates", "SELECT round(avg((class = 'correct')::INT), 6) AS correct_rate, round(avg((class = 'error')::INT), 6) AS error_rate, round(avg((class = 'refused')::INT), 6) AS refused_rate FROM c".replace("FROM c", f"FROM ({_CLASSES}) c"))
+@register("ev_judge_rates", f"SELECT round(avg(coalesce(verdict = 1, false)::INT), 6) AS correct_rate, round(avg(coalesce(verdict = 2, false)::INT), 6) AS partial_rate, round(avg(coalesce(verdict = 0, false)::INT), 6) AS error_rate, round(avg((verdict IS NULL)::INT), 6) AS refused_rate FROM ({_JUDGED}) j")
 def ev_judge_rates(x):
-    return evaluate.judge_rates(judge_text_class(x))
+    return evaluate.judge_rates(judge_parse(x))
 
 
-@register("prompt_context", duck("facts", "SELECT q_ord AS q_id, string_agg('Path ' || pos || ':' || chr(9) || concat_ws(' ', head, rel, tail) || chr(10), '' ORDER BY pos) AS context FROM facts GROUP BY q_ord"))
+@register(
+    "prompt_context",
+    duck(
+        "facts q",
+        """SELECT q_id, context, 'Answer {only} from these:' || chr(10) || context || 'Question: ' || question || chr(10) AS prompt FROM (
+ SELECT q_ord AS q_id, string_agg('Path ' || pos || ':' || chr(9) || concat_ws(' ', head, rel, tail) || chr(10), '' ORDER BY pos) AS context FROM facts GROUP BY q_ord) c JOIN q USING (q_id)""",
+    ),
+)
 def prompt_context(x):
     rows = x.facts.select(F.col("q_ord").alias("q_id"), "pos", graph.triple_key().alias("fact"))
-    return text.prompt_context(rows, "fact", "pos")
+    asked = text.prompt_context(rows, "fact", "pos").hint("merge").join(x.q.select("q_id", "question").hint("merge"), "q_id")
+    prompt = text.filled("Answer {only} from these:\n{context}Question: {question}\n", context=F.col("context"), question=F.col("question"))
+    return asked.select("q_id", "context", prompt.alias("prompt"))
 
 
 @register("chunk_context", duck("facts", "SELECT q_ord AS q_id, string_agg('Chunk' || (pos + 1) || ': ' || tail || chr(10), '' ORDER BY pos) AS context FROM facts GROUP BY q_ord"))
@@ -226,28 +259,53 @@ def number_tokens(x):
     return tokens.groupBy("q_id").agg(F.countDistinct("t").alias("n_numbers"))
 
 
-@register("question_parse", duck("q_eval", "SELECT q_id, unnest([w1, w2]) AS question FROM q_eval WHERE w1 <> '' AND w2 <> '' AND w1 NOT LIKE '%' || chr(10) || '%' AND w2 NOT LIKE '%' || chr(10) || '%'"))
+_ONE_LINE = "w1 <> '' AND w2 <> '' AND p1 <> '' AND {0} NOT LIKE {1}"
+
+
+@register(
+    "question_parse",
+    duck(
+        "q_eval",
+        """SELECT q_id, 'lines' AS form, unnest([w1, w2]) AS question, NULL AS answers FROM good
+ UNION ALL SELECT q_id, 'pairs', w1, w2 || '|' || p1 FROM good UNION ALL SELECT q_id, 'pairs', w2, w1 FROM good""",
+        good="SELECT * FROM q_eval WHERE " + _ONE_LINE.format("w1 || w2 || p1", "'%' || chr(10) || '%'"),
+    ),
+)
 def question_parse(x):
-    good = x.q_eval.where("w1 <> '' AND w2 <> '' AND w1 NOT LIKE concat('%', chr(10), '%') AND w2 NOT LIKE concat('%', chr(10), '%')")
-    reply = F.concat(F.lit("Here:\nQuestion: "), "w1", F.lit("\nQuestion:"), "w2", F.lit("\n"))
-    return good.select("q_id", F.explode(text.question_lines(reply)).alias("question"))
+    """Lines of questions, and pairs of question and answer lines, of which one has no answer."""
+    good = x.q_eval.where(_ONE_LINE.format("concat(w1, w2, p1)", "concat('%', chr(10), '%')"))
+    lines = F.concat(F.lit("Here:\nQuestion: "), "w1", F.lit("\nQuestion:"), "w2", F.lit("\n"))
+    pairs = F.concat(F.lit("Question: "), "w1", F.lit("\nAnswer: "), "w2", F.lit(" ;;; "), "p1", F.lit("\nQuestion: "), "p1", F.lit("\nno answer\n1. Question:"), "w2", F.lit("\nAnswer:"), "w1", F.lit("\nQuestion: left over"))
+    asked = good.select("q_id", F.lit("lines").alias("form"), F.explode(text.question_lines(lines)).alias("question"), F.lit(None).cast("string").alias("answers"))
+    answered = good.select("q_id", F.explode(text.question_answers(pairs)).alias("p")).select("q_id", F.lit("pairs").alias("form"), "p.question", F.array_join("p.answers", "|").alias("answers"))
+    return asked.unionByName(answered)
 
 
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda y: y NOT IN ('', 'a', 'an', 'the'))"
 
 
-@register(
-    "ev_em_f1",
-    duck(
-        "q_eval",
-        f"""SELECT q_id, max(em) AS em, round(max(f1), 6) AS f1 FROM (
+_EM_F1 = f"""SELECT q_id, max(em) AS em, round(max(f1), 6) AS f1 FROM (
  SELECT q_id, (pt = gt)::INT AS em, CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN (len(pt) = len(gt))::INT::DOUBLE WHEN c = 0 THEN 0 ELSE 2.0 * c / (len(pt) + len(gt)) END AS f1 FROM (
   SELECT *, coalesce(list_sum(list_transform(list_distinct(gt), lambda t: least(len(list_filter(pt, lambda y: y = t)), len(list_filter(gt, lambda y: y = t))))), 0) AS c FROM (
-   SELECT q_id, {_TOKENS.format('prediction')} AS pt, {_TOKENS.format('r')} AS gt FROM (SELECT q_id, prediction, unnest([question, w1]) AS r FROM q_eval) u) t) s) z GROUP BY q_id""",
-    ),
-)
+   SELECT q_id, {_TOKENS.format('prediction')} AS pt, {_TOKENS.format('r')} AS gt FROM (SELECT q_id, prediction, unnest([CASE WHEN w1 = '' THEN w2 ELSE w1 || ', ' || w2 END, CASE WHEN p1 = '' THEN w2 ELSE p1 || ', ' || w2 END]) AS r FROM q_eval) u) t) s) z GROUP BY q_id"""
+
+
+def _em_f1(x):
+    """Best over all combinations of the answers."""
+    answer = F.array(F.array("w1", "p1"), F.array("w2"))
+    return evaluate.em_f1(x.q_eval.select("q_id", "prediction", evaluate.answer_combinations(answer).alias("references")))
+
+
+@register("ev_em_f1", duck("q_eval", _EM_F1))
 def ev_em_f1(x):
-    return evaluate.em_f1(x.q_eval.select("q_id", "prediction", F.array("question", "w1").alias("references")))
+    return _em_f1(x)
+
+
+@register("ev_accuracy_sliced", duck("q_eval", f"SELECT hop, count(*) AS n, round(avg(label::INT), 6) AS accuracy, round(avg(em) * 100, 4) AS em, round(avg(f1) * 100, 4) AS f1 FROM (SELECT q_id // 100 AS hop, label, em, f1 FROM ({LABELS}) l JOIN ({_EM_F1}) e USING (q_id)) s GROUP BY ROLLUP (hop)"))
+def ev_accuracy_sliced(x):
+    """A slice for each hundred questions, and all."""
+    both = labels(x).hint("merge").join(_em_f1(x).hint("merge"), "q_id").withColumn("hop", F.floor(F.col("q_id") / 100))
+    return evaluate.accuracy(both, "hop", metrics=("em", "f1"))
 
 
 # extraction replies
@@ -259,7 +317,10 @@ _CAP = "upper(left({0}, 1)) || lower(substr({0}, 2))"
 
 def _extracted(x):
     words = x.documents.select("doc_id", *(F.replace(F.split_part("text", F.lit(" "), F.lit(i)), F.lit("ß"), F.lit("s")).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))))
-    body = F.to_json(F.struct(F.create_map(F.lit("thing"), F.array("a", "c")).alias("entities"), F.array(F.array("a", "b", "c"), F.array("a", "b")).alias("triplets")))
+    triplets = F.array(F.array("a", "b", "c"), F.array("a", "b")).alias("triplets")
+    one = F.to_json(F.struct(F.create_map(F.lit("thing"), F.array("a", "c")).alias("entities"), triplets))
+    many = F.to_json(F.struct(F.array(F.create_map(F.lit("other"), F.array("a")), F.create_map(F.lit("thing"), F.array("a", "c"))).alias("entities"), triplets))
+    body = F.when(F.col("doc_id") % 3 == 0, many).otherwise(one)
     raw = F.when(F.col("doc_id") % 10 == 0, F.substring(body, 1, 20)).otherwise(F.concat(F.lit("Sure: "), body, F.lit(" done")))
     return words.select("doc_id", F.col("doc_id").alias("ord"), text.extraction(raw).alias("parsed"))
 
@@ -289,6 +350,28 @@ def src_triples_pipe(x):
     return readers.triples_pipe(x.spark, _file(x, lines))
 
 
+def _pipe_file(x):
+    """Lines of all triples, each third one twice, and some that are none."""
+    line = F.concat_ws(" | ", *KEY).alias("value")
+    again = x.kg_triples.where(F.crc32(graph.triple_key()) % 3 == 0)
+    return _file(x, x.kg_triples.select(line).union(again.select(line)).union(x.region.select(F.concat("r_name", F.lit("||x")))).union(x.nation.select("n_name")))
+
+
+@register(
+    "ev_extraction_counts",
+    duck(
+        "kg_triples",
+        """SELECT count(*) AS n_triples, count(DISTINCT rel) AS n_relations, (SELECT count(*) FROM (SELECT head FROM kg_triples UNION SELECT tail FROM kg_triples) e) AS n_entities, count(*) AS n_distinct,
+ (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n_skipped FROM kg_triples""",
+    ),
+)
+def ev_extraction_counts(x):
+    path = _pipe_file(x)
+    triples = materialize(readers.triples_pipe(x.spark, path).distinct(), "triples")
+    counts = triples.agg(F.count("*").alias("n_triples"), F.countDistinct("rel").alias("n_relations"))
+    return counts.crossJoin(graph.entities(triples).agg(F.count("*").alias("n_entities"))).crossJoin(readers.triples_pipe_counts(x.spark, path).select("n_distinct", "n_skipped"))
+
+
 @register("src_triples_jsonl", duck("kg_triples", "SELECT head, rel, tail FROM kg_triples"))
 def src_triples_jsonl(x):
     lines = x.kg_triples.select(F.to_json(F.struct("head", F.col("rel").alias("relationship"), "tail")).alias("value")).union(x.region.select(F.concat(F.lit('{"head": "'), "r_name")))

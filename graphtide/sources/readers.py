@@ -101,6 +101,14 @@ def triples_pipe(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.col("p")[0].alias("head"), F.col("p")[1].alias("rel"), F.col("p")[2].alias("tail"))
 
 
+def triples_pipe_counts(spark: SparkSession, path: str) -> DataFrame:
+    """n_lines, n_skipped and n_distinct (of the lines that are triples) for a file of `head|relation|tail` lines."""
+    parts = F.transform(F.split("value", "\\|"), lambda p: F.trim(p))
+    good = (F.size(parts) == 3) & F.forall(parts, lambda x: x != "")
+    lines = spark.read.text(path).select("value", good.alias("good"))
+    return lines.agg(F.count("*").alias("n_lines"), F.count_if(~F.col("good")).alias("n_skipped"), F.countDistinct(F.when(F.col("good"), F.col("value"))).alias("n_distinct"))
+
+
 def triples_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(triples, malformed lines) of {head, relationship, tail} objects."""
     parsed = spark.read.text(path).select("value", F.from_json("value", "struct<head:string,relationship:string,tail:string>").alias("t"))

@@ -225,7 +225,7 @@ def test_vector_store(spark, tmp_path):
     assert again.snapshot(2).count() == 1 and again.snapshot(1).count() == 1
 
 
-def test_top_k_and_ivf(spark):
+def test_top_k(spark):
     rng = random.Random(1)
     items = [(f"n{i:03}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     items += [("a-tie", items[5][1])]
@@ -239,8 +239,6 @@ def test_top_k_and_ivf(spark):
         sim = np.round(m @ v / np.sqrt(v @ v), 6)
         best = sorted(range(len(items)), key=lambda k: (-sim[k], items[k][0]))[:5]
         assert [items[k][0] for k in best] == got[got.q_id == i].sort_values("rank").name.tolist()
-    ivf = vectors.ivf_search(idf, qdf, 5, lists=16, probes=8).toPandas().merge(got, on=["q_id", "name"])
-    assert len(ivf) / len(got) >= 0.8
 
 
 def test_files(spark, tmp_path):
