@@ -78,8 +78,12 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([digests.tobytes()]), pa.array([ends.tobytes()]), pa.array([b"".join(strings)])], names=["digests", "ends", "strings"])
 
 
-def digest_file(spark: SparkSession, entries: DataFrame) -> tuple[str, int, list[int]]:
-    """(name of the shipped file, number of entries, path lengths) of a list.
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def digest_file(spark: SparkSession, entries: DataFrame) -> tuple[str, int, list[int], list[int]]:
+    """(name of the shipped file, number of entries, path lengths, numbers of host labels) of a list.
 
     The file holds all digests in order, then the end of each entry's string, then the strings.
     """
@@ -88,8 +92,7 @@ def digest_file(spark: SparkSession, entries: DataFrame) -> tuple[str, int, list
     unsigned = F.col("digest").bitwiseXOR(F.lit(-(1 << 63)))  # the order of the unsigned digests
     ranked = listed.orderBy(unsigned, "host", "path").cache()
     try:
-        lengths = sorted(r[0] for r in ranked.select(F.length("path")).distinct().collect())
-        rows = ranked.count()
+        rows, lengths, labels = ranked.agg(F.count("*"), F.collect_set(F.length("path")), F.collect_set(_labels(F.col("host")))).first()
         parts = lambda c: (bytes(r[0]) for r in ranked.mapInArrow(_segment, "digests binary, ends binary, strings binary").select(c).toLocalIterator())
 
         def file() -> Iterator[bytes]:
@@ -101,7 +104,7 @@ def digest_file(spark: SparkSession, entries: DataFrame) -> tuple[str, int, list
                 yield found.tobytes()
             yield from parts("strings")
 
-        return ship(spark, "urls", file()), rows, lengths
+        return ship(spark, "urls", file()), rows, sorted(lengths), sorted(labels)
     finally:
         ranked.unpersist()
 
@@ -162,9 +165,9 @@ def match_entries(pages: DataFrame, entries: DataFrame | Sequence[tuple[str, str
     spark = pages.sparkSession
     if not isinstance(entries, DataFrame):
         entries = spark.createDataFrame([tuple(e) for e in entries], "host string, path string, action string")
-    file, count, lengths = digest_file(spark, entries)
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    file, count, lengths, labels = digest_file(spark, entries)
+    # only suffixes of as many labels as an entry has: a host of any length takes linear time
+    suffixes = F.filter(F.array(*(F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in labels)).cast("array<string>"), lambda h: h.isNotNull())
     known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
     prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _key(s, p))))
