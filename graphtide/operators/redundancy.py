@@ -72,34 +72,50 @@ def redundancy_rate(decisions: DataFrame) -> DataFrame:
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Cluster numbers of average-linkage clustering on cosine distance, cut at the threshold; numbered by first member.
 
-    A merge updates the distances of one row (the mean of two clusters' distances, weighted by size), so
-    all takes the square of the number of vectors.
+    The average cosine of two clusters is the product of their sums of unit vectors over the product of their sizes, so a cluster
+    is its sum and memory is linear. A chain of nearest neighbours is followed until two clusters are each other's nearest: they
+    merge, in whatever order, to the same tree. A cluster whose nearest is not below the threshold is done: no later merge comes nearer.
     """
-    n = len(vectors)
     unit = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-12)
-    distance = np.round(1 - unit @ unit.T, 9)
-    np.fill_diagonal(distance, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    nearest = distance.argmin(1) if n > 1 else np.zeros(n, int)
-    low = distance[np.arange(n), nearest] if n > 1 else np.full(n, np.inf)
-    while n > 1:
-        i = int(low.argmin())
-        if not low[i] < threshold:
-            break
-        a, b = sorted((i, int(nearest[i])))
-        row = (size[a] * distance[a] + size[b] * distance[b]) / (size[a] + size[b])
-        row[[a, b]] = np.inf
-        distance[a], distance[:, a] = row, row
-        distance[b], distance[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        owner[owner == b] = a
-        low[b] = np.inf
-        again = np.flatnonzero((nearest == a) | (nearest == b))
-        nearest[again], low[again] = distance[again].argmin(1), distance[again].min(1)
-        closer = np.flatnonzero((row < low) & np.isfinite(row))
-        nearest[closer], low[closer] = a, row[closer]
-        nearest[a], low[a] = row.argmin(), row.min()
-    return np.unique(owner, return_inverse=True)[1]
+    if len(unit) < 2 or threshold <= 0:
+        return np.arange(len(unit))
+    points, first, of, size = np.unique(np.round(unit, 12), axis=0, return_index=True, return_inverse=True, return_counts=True)  # equal vectors merge at 0
+    of = of.ravel()
+    owner = np.arange(len(points))  # of each point: the point that stands for its cluster
+    name, sums, size = np.arange(len(points)), points * size[:, None], size.astype(float)
+    alive, left, chain = np.ones(len(points), bool), len(points), []
+    while left:
+        if 2 * left < len(alive) and len(alive) > 64:  # forget what is done
+            place = np.cumsum(alive) - 1
+            chain = [int(place[c]) for c in chain]
+            name, sums, size, alive = name[alive], sums[alive], size[alive], alive[alive]
+        if not chain:
+            chain.append(int(alive.argmax()))
+        top = chain[-1]
+        distance = np.round(1 - (sums @ sums[top]) / (size * size[top]), 9)
+        distance[~alive] = np.inf
+        distance[top] = np.inf
+        near = int(distance.argmin())
+        if len(chain) > 1 and distance[chain[-2]] <= distance[near]:
+            near = chain[-2]
+        if not distance[near] < threshold:
+            alive[top] = False
+            left -= 1
+            chain.pop()
+        elif len(chain) > 1 and near == chain[-2]:
+            del chain[-2:]
+            sums[near] += sums[top]
+            size[near] += size[top]
+            owner[name[top]] = name[near]
+            alive[top] = False
+            left -= 1
+        else:
+            chain.append(near)
+    while (up := owner[owner] != owner).any():
+        owner[up] = owner[owner[up]]
+    lowest = np.full(len(points), len(unit))
+    np.minimum.at(lowest, owner, first)
+    return np.unique(lowest[owner[of]], return_inverse=True)[1]
 
 
 def close_pairs(items: DataFrame, threshold: float | str, chunk_rows: int = 1024) -> DataFrame:
@@ -145,7 +161,7 @@ def cluster(items: DataFrame, threshold: float | str = 0.25) -> DataFrame:
     """q_id, name, cluster for items(q_id, name, vec): average linkage on cosine distance within each question; a cluster is named by its first name.
 
     threshold is a number or a column of the items. Clusters that merge have a pair below the threshold,
-    so a cluster lies within a component of close pairs: linkage runs inside the components.
+    so a cluster lies within a component of close pairs: linkage runs inside the components, in memory linear in their members.
     """
     joined = _joined(numbered_items(items), threshold)
 
