@@ -156,17 +156,45 @@ def rename(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("h_new", "head").alias("head"), F.coalesce("t_new", "tail").alias("tail"), *rest)
 
 
-def three_hop_candidates(triples: DataFrame, relations: list[str]) -> DataFrame:
-    """Chains A -> B -> C -> D over the given relations with four different nodes."""
+def three_hop_candidates(triples: DataFrame, relations: list[str] | None = None, max_degree: int | None = None) -> DataFrame:
+    """Chains A -> B -> C -> D with four different nodes, over the given three relations or over any.
+
+    The middle edges come first, with the number of edges into B and out of C: what a chain's middle multiplies to is known before it is
+    joined, and max_degree leaves out middles of more chains than that (none by default).
+    """
     def hop(i: int) -> DataFrame:
-        return triples.where(F.col("rel") == relations[i]).select(F.col("head").alias(f"s{i}"), F.col("rel").alias(f"r{i}"), F.col("tail").alias(f"t{i}"))
+        rows = triples if relations is None else triples.where(F.col("rel") == relations[i])
+        return rows.select(F.col("head").alias(f"s{i}"), F.col("rel").alias(f"r{i}"), F.col("tail").alias(f"t{i}"))
 
-    joined = hop(0).join(hop(1), F.col("t0") == F.col("s1")).join(hop(2), F.col("t1") == F.col("s2"))
-    nodes = [F.col("s0"), F.col("t0"), F.col("t1"), F.col("t2")]
+    into = hop(0).groupBy(F.col("t0").alias("s1")).agg(F.count("*").alias("n_in"))
+    out_of = hop(2).groupBy(F.col("s2").alias("t1")).agg(F.count("*").alias("n_out"))
+    middle = hop(1).hint("merge").join(into.hint("merge"), "s1").hint("merge").join(out_of.hint("merge"), "t1")
+    if max_degree is not None:
+        middle = middle.where(F.col("n_in") * F.col("n_out") <= max_degree)
+    middle = materialize(middle.select("s1", "r1", "t1"), "middle")
+    joined = middle.hint("merge").join(hop(0).hint("merge"), F.col("t0") == F.col("s1")).hint("merge").join(hop(2).hint("merge"), F.col("t1") == F.col("s2"))
+    nodes = [F.col("s0"), F.col("s1"), F.col("t1"), F.col("t2")]
     for i in range(4):
         for j in range(i):
             joined = joined.where(nodes[i] != nodes[j])
-    return joined.select(F.col("s0").alias("a"), "r0", F.col("t0").alias("b"), "r1", F.col("t1").alias("c"), "r2", F.col("t2").alias("d"))
+    return joined.select(F.col("s0").alias("a"), "r0", F.col("s1").alias("b"), "r1", F.col("t1").alias("c"), "r2", F.col("t2").alias("d"))
+
+
+def chain_text() -> Column:
+    """A chain of three_hop_candidates as `A -r-> B -r-> C -r-> D`."""
+    return F.concat("a", F.lit(" -"), "r0", F.lit("-> "), "b", F.lit(" -"), "r1", F.lit("-> "), "c", F.lit(" -"), "r2", F.lit("-> "), "d")
+
+
+def shortcuts(triples: DataFrame, replies: DataFrame, iteration: int) -> DataFrame:
+    """New edges head, rel, tail with provenance via, n_chains, iteration, of replies(via, raw): JSON with source_node, inferred_relationship.label and target_node.
+
+    A reply that lacks one of them, or is no JSON, proposes nothing; an edge that is there already is not new.
+    """
+    said = F.from_json("raw", "struct<source_node:string,target_node:string,inferred_relationship:struct<label:string>>")
+    edges = replies.select("via", said.alias("s")).select(F.trim("s.source_node").alias("head"), F.trim("s.inferred_relationship.label").alias("rel"), F.trim("s.target_node").alias("tail"), "via")
+    whole = edges.where((F.coalesce("head", F.lit("")) != "") & (F.coalesce("rel", F.lit("")) != "") & (F.coalesce("tail", F.lit("")) != ""))
+    new = whole.groupBy(*KEY).agg(F.min("via").alias("via"), F.count("*").alias("n_chains"))
+    return new.hint("merge").join(triples.select(*KEY).hint("merge"), KEY, "left_anti").withColumn("iteration", F.lit(iteration))
 
 
 def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:

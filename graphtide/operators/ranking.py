@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators.graph import KEY, hop_edge
+from graphtide.session import materialize
 
 PATH = ["q_id", "seed_ord", "path_ord"]
 
@@ -85,10 +86,13 @@ def standard(hops: DataFrame, probabilities: DataFrame, places: int = 9) -> Data
 
 
 def softmax(paths: DataFrame) -> DataFrame:
-    """paths(q_id, pl) with p, the softmax of pl over each question."""
-    w = Window.partitionBy("q_id")
-    weight = F.exp(F.col("pl") - F.max("pl").over(w))
-    return paths.withColumn("e", weight).withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
+    """paths(q_id, pl) with p, the softmax of pl over each question, by partial aggregates: no task sees all paths of a question.
+
+    pl is a mean of logarithms from ln 1e-12 to 0, so its exponential needs no shift.
+    """
+    written = materialize(paths, "valued")
+    sums = written.groupBy("q_id").agg(F.sum(F.exp("pl")).alias("__sum"))
+    return written.hint("merge").join(sums.hint("merge"), "q_id").withColumn("p", F.exp("pl") / F.col("__sum")).drop("__sum")
 
 
 def fragments(hops: DataFrame, least: float) -> DataFrame:

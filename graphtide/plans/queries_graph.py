@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphtide.catalog import register
+from graphtide.functions.models import model_udf, shortcut_answers
 from graphtide.operators import evaluate, feedback, graph, ranking, redundancy
 from graphtide.operators.vectors import vector_index
 from graphtide.plans import retrieve
@@ -209,9 +210,21 @@ def verbalise_hop(x):
     return hop.select("src", "dst", "dir", graph.triple_key("e.head", "e.rel", "e.tail").alias("key"), graph.sentence("e.head", "e.rel", "e.tail").alias("sentence"))
 
 
-@register("three_hop_shortcut", duck(T, "SELECT a.head AS a, a.rel AS r0, a.tail AS b, b.rel AS r1, b.tail AS c, c.rel AS r2, c.tail AS d FROM kg_triples a JOIN kg_triples b ON a.tail = b.head JOIN kg_triples c ON b.tail = c.head WHERE a.rel = 'placed_by' AND b.rel = 'located_in' AND c.rel = 'part_of' AND a.head <> b.tail AND a.head <> c.tail AND a.tail <> c.tail AND a.head <> a.tail AND b.head <> b.tail AND c.head <> c.tail"))
+@register(
+    "three_hop_shortcut",
+    duck(
+        T,
+        """SELECT a AS head, r0 || '_' || r2 AS rel, d AS tail, min(via) AS via, count(*) AS n_chains, 1 AS iteration FROM chains WHERE substr(md5(via), 1, 1) = '0' AND (a, r0 || '_' || r2, d) NOT IN (SELECT (head, rel, tail) FROM kg_triples) GROUP BY a, r0 || '_' || r2, d""",
+        chains="""SELECT *, a || ' -' || r0 || '-> ' || b || ' -' || r1 || '-> ' || c || ' -' || r2 || '-> ' || d AS via FROM (
+ SELECT a.head AS a, a.rel AS r0, a.tail AS b, b.rel AS r1, b.tail AS c, c.rel AS r2, c.tail AS d FROM kg_triples a JOIN kg_triples b ON a.tail = b.head JOIN kg_triples c ON b.tail = c.head
+ WHERE a.head <> b.tail AND a.head <> c.tail AND a.tail <> c.tail AND a.head <> a.tail AND b.head <> b.tail AND c.head <> c.tail) x""",
+    ),
+)
 def three_hop_shortcut(x):
-    return graph.three_hop_candidates(x.kg_triples, ["placed_by", "located_in", "part_of"])
+    """Chains of any relations, put to the model; accepted edges with where they come from."""
+    chains = graph.three_hop_candidates(x.kg_triples).select(graph.chain_text().alias("via"))
+    replies = chains.withColumn("raw", model_udf(shortcut_answers, "string")(F.col("via")))
+    return graph.shortcuts(x.kg_triples, replies, 1)
 
 
 _MAP = "SELECT name AS dup, first_name AS canonical FROM (SELECT c_name AS name, first_value(c_name) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name) AS first_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name) AS rn FROM customer) c WHERE rn > 1"
