@@ -421,11 +421,17 @@ def src_qa_nested_filter(x):
     return readers.qa_nested(x.spark, _file(x, x.q.select(row.alias("value"))))
 
 
-@register("src_qa_tsv_pipe", "SELECT 'where is ' || c_name AS query, [[n_name, c_mktsegment]] AS answer, 1 AS hop FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@register(
+    "src_qa_tsv_pipe",
+    """SELECT row_number() OVER (ORDER BY hop, key) - 1 AS q_id, query, answer, hop FROM (
+ (SELECT 'where is ' || c_name AS query, [[n_name, c_mktsegment]] AS answer, 1 AS hop, c_custkey AS key FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 300)
+ UNION ALL (SELECT 'what has ' || p_name, [[p_brand]], 2, p_partkey FROM part ORDER BY p_partkey LIMIT 300)) u""",
+)
 def src_qa_tsv_pipe(x):
-    rows = x.customer.join(x.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    line = F.concat(F.lit("where is ["), "c_name", F.lit("]\t"), "n_name", F.lit("| "), "c_mktsegment")
-    return readers.qa_tsv(x.spark, _file(x, rows.select(line.alias("value"))), 1)
+    """The first 300 lines of two files of questions."""
+    one = x.customer.join(x.nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey").select(F.concat(F.lit("where is ["), "c_name", F.lit("]\t"), "n_name", F.lit("| "), "c_mktsegment").alias("value"))
+    two = x.part.orderBy("p_partkey").select(F.concat(F.lit("what has ["), "p_name", F.lit("]\t "), "p_brand").alias("value"))
+    return readers.qa_tsv_hops(x.spark, {2: _file(x, two), 1: _file(x, one)})
 
 
 @register("src_qa_alias_pairs", duck("q_eval", "SELECT question AS query, [[w1, w2, p1]] AS answer, [question || ' ' || prediction, w1] AS corpus FROM q_eval"))

@@ -1,7 +1,7 @@
 """Readers of question sets, corpora and triples from files. Schemas are explicit; nothing is inferred.
 
-A question set is (q_id, query, answer array of alias arrays): an AND of OR-groups, whatever shape
-the file has. q_id is the row's position within the file order that Spark reads.
+A question set is (query, answer array of alias arrays): an AND of OR-groups, whatever shape
+the file has. Where the order of the file counts, `in_file_order` numbers its lines first.
 """
 
 from __future__ import annotations
@@ -9,6 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.operators.graph import numbered
+from graphtide.session import materialize
+
+
+def in_file_order(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
+    """value and number, from 0, of each line, in the order of file names and of lines in a file, however files are split.
+
+    A line's order is its file, the block of it that a task reads, and its place there; places are counted by ranges, not by one task.
+    """
+    place = ["__file", "__block", "__row"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias(place[0]), F.col("_metadata.file_block_start").alias(place[1]), F.monotonically_increasing_id().alias(place[2]))
+    return numbered(materialize(lines, "lines"), place, name).drop(*place)
+
 
 def answer_groups(raw: Column) -> Column:
     """A raw JSON answer (string, array of strings, or array of arrays) as groups of aliases."""
@@ -59,11 +72,24 @@ def qa_nested(spark: SparkSession, path: str, language: str = "en", query_type:
     return kept.select(F.col("query.content").alias("query"), F.array(F.array("ground_truth.content")).alias("answer"))
 
 
+def _tsv(lines: DataFrame, *more: str | Column) -> DataFrame:
+    parts = F.split("value", "\t", 2)
+    answers = F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "\\|"), lambda a: F.trim(a))
+    return lines.select(F.translate(parts[0], "[]", "").alias("query"), F.array(answers).alias("answer"), *more)
+
+
 def qa_tsv(spark: SparkSession, path: str, hop: int) -> DataFrame:
     """`question<TAB>a1|a2` lines; brackets of the question go, answers are trimmed aliases."""
-    parts = F.split("value", "\t", 2)
-    answers = F.transform(F.split(parts[1], "\\|"), lambda a: F.trim(a))
-    return spark.read.text(path).select(F.translate(parts[0], "[]", "").alias("query"), F.array(answers).alias("answer"), F.lit(hop).alias("hop"))
+    return _tsv(spark.read.text(path).withColumn("hop", F.lit(hop)), "hop")
+
+
+def qa_tsv_hops(spark: SparkSession, files: dict[int, str], first: int = 300) -> DataFrame:
+    """q_id, query, answer, hop: the first lines of each hop's file, hop after hop, numbered in that order."""
+    parts = [in_file_order(spark, path).where(F.col("line") < first).withColumn("hop", F.lit(hop)) for hop, path in sorted(files.items())]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return _tsv(numbered(rows, ["hop", "line"], "q_id"), "hop", F.col("q_id").cast("long").alias("q_id"))
 
 
 def qa_alias_pairs(spark: SparkSession, path: str) -> DataFrame:
