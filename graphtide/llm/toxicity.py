@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import column
+from graphtide.llm.common import column, trimmed
 from graphtide.session import discard, materialize
 
 ORDERS, BITS, FIT_ROWS, THRESHOLD = (4, 5, 6), 20, 20_000, 0.7
@@ -129,7 +129,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The classifier, fitted on labelled rows that are not held out."""
     sample = _sample(docs, labels, fit_rows)
-    counted = sample.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(trimmed(_count), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = materialize(counted, "counts")  # 2^20 + 1 rows at most
     rows = counted.where("bucket < 0").agg(F.sum("clean"), F.sum("toxic")).first()
     clean_rows, toxic_rows = (int(n or 0) for n in rows)
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             ends = np.searchsorted(owner, np.arange(len(toxic) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([toxic, pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["toxic", "buckets"])
 
-    chosen = sample.mapInArrow(select, "toxic boolean, buckets array<int>").toArrow()  # fit_rows rows at most
+    chosen = sample.mapInArrow(trimmed(select), "toxic boolean, buckets array<int>").toArrow()  # fit_rows rows at most
     place = np.zeros(1 << BITS, np.min_scalar_type(len(buckets)))
     place[buckets] = np.arange(len(buckets))
     y = np.array(chosen.column("toxic").to_pylist(), float)
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             scores = shared.value.scores(column(batch, "text").to_pylist(), tables)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(work), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -213,4 +213,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(column(batch, "text").to_pylist(), tables) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)
