@@ -88,8 +88,23 @@ class LineRuns:
         remove(self.spark, f"{own_dir(self.spark)}/{name}")
 
     def _merged(self, names: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.union, [self.spark.table(n) for n in names])
-        return runs.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest"))
+        """Equal keys of several runs as one: each key from the first run that holds it, with what the runs after it add.
+
+        Joins by bucket, and a union of parts without a common key: Spark 4.1 takes a union of bucketed tables as partitioned by key, but
+        reads their buckets one after the other, so an aggregate over it would leave equal keys apart.
+        """
+        parts = []
+        for i, name in enumerate(names):
+            part = self.spark.table(name)
+            for before in names[:i]:
+                part = part.hint("merge").join(self.spark.table(before).select("key"), "key", "left_anti")
+            docs, largest = F.col("docs"), [F.col("largest")]
+            for k, after in enumerate(names[i + 1 :]):
+                more = self.spark.table(after).select("key", F.col("docs").alias(f"docs_{k}"), F.col("largest").alias(f"largest_{k}"))
+                part = part.hint("merge").join(more, "key", "left")
+                docs, largest = docs + F.coalesce(f"docs_{k}", F.lit(0)), [*largest, F.col(f"largest_{k}")]
+            parts.append(part.select("key", docs.alias("docs"), (F.greatest(*largest) if len(largest) > 1 else largest[0]).alias("largest")))
+        return reduce(DataFrame.union, parts)
 
     def _names(self) -> list[str]:
         return [name for level in self.levels for name in level]

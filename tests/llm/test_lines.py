@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphtide.llm import lines
 
@@ -81,3 +82,13 @@ def test_a_long_text_and_nothing(spark):
     rows = [(1, long), (2, long), (3, long)]
     assert got(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_keys_of_several_runs_are_one(spark):
+    keys = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"))
+    runs = lines.LineRuns(spark, least=3, fanout=2)
+    for doc in (9, 8, 7):
+        runs.add(keys.select(F.lit(doc).cast("long").alias("doc_id"), "key"))
+    assert runs.settled().count() == 3000
+    assert spark.table(runs.levels[1][0]).agg(F.count("*"), F.sum("docs")).first() == (3000, 6000)
+    runs.close()
