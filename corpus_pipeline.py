@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm import decontaminate, packing, pii, shingles, toxicity
+from graphtide.llm import decontaminate, packing, pii, shingles, simhash, toxicity
 from graphtide.llm.common import read
 from graphtide.llm.queries import tokenizer_path
-from graphtide.session import materialize, ready
+from graphtide.operators.components import components
+from graphtide.session import discard, materialize, ready
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates (five words, 0.8).
+    """One document, that of the smallest doc_id, of each group of near duplicates: SimHashes within three bits, or a Jaccard similarity of 0.8 (five words).
 
-    Null and empty texts are copies of each other. Rows with a null doc_id stay; rows that repeat a
-    doc_id stay or go together. An empty table gives an empty result; all columns stay.
+    A group is everything that links of either kind lead to, so the second search adds what the fingerprints tell apart. Null and
+    empty texts are copies of each other. Rows with a null doc_id stay; rows that repeat a doc_id stay or go together. An empty
+    table gives an empty result; all columns stay.
     """
     ready(spark)
-    return shingles.one_of_each(docs).select(docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = [search.near_duplicates(named).select("doc_id", "component_id") for search in (simhash, shingles)]
+    links = found[0].unionByName(found[1]).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    labels = components(links)
+    copies = materialize(labels.where("node != label").select(F.col("node").alias("doc_id")), "copies")
+    discard(*found, labels)
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
