@@ -29,6 +29,13 @@ def _rows(matrix: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), matrix.shape[1]).cast(pa.list_(pa.float64()))
 
 
+def _equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows as one: the first place of each, the number of each row's, and how many there are."""
+    flat = np.ascontiguousarray(rows)
+    _, first, of, many = np.unique(flat.view(np.dtype((np.void, flat.shape[1] * flat.itemsize))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    return first, of.ravel(), many
+
+
 def centroids(items: DataFrame, lists: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """k-means on the sphere over items(name, vec) of the most common dimension; starts from at most `lists` vectors in a seeded order, the driver sees no more than one row a list."""
     size = items.groupBy(F.size("vec").alias("dim")).count().where("dim > 0").orderBy(F.desc("count"), F.desc("dim")).first()
@@ -44,10 +51,13 @@ def centroids(items: DataFrame, lists: int, rounds: int = ROUNDS, seed: int = 7)
             sums, many = np.zeros_like(now), np.zeros(len(now), np.int64)
             for batch in batches:
                 _, matrix = usable(batch.column(0), now.shape[1])
-                unit = _unit(matrix)
-                near = (unit @ now.T).argmax(1) if len(unit) else np.zeros(0, np.int64)
-                np.add.at(sums, near, unit)
-                many += np.bincount(near, minlength=len(now))
+                if not len(matrix):
+                    continue
+                first, _, times = _equal(matrix)  # a vector that many rows share is looked up once
+                unit = _unit(matrix[first])
+                near = (unit @ now.T).argmax(1)
+                np.add.at(sums, near, unit * times[:, None])
+                np.add.at(many, near, times)
             used = np.flatnonzero(many)
             if len(used):
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _rows(sums[used]), pa.array(many[used])], names=["list_id", "total", "many"])
@@ -145,6 +155,12 @@ def _best_of_lists(shared, k: int):
         best: list[list[tuple[float, str]]] = [[] for _ in ids]
         for batch in batches:
             names, (_, matrix), lists = batch.column(0).to_pylist(), usable(batch.column(1), unit.shape[1]), batch.column(2).to_numpy()
+            if len(names):  # of rows that share a vector, only the k first names can be among the k best
+                _, of, many = _equal(np.column_stack([matrix, lists]))
+                order = np.lexsort((np.array(names, object), of))
+                begin = np.cumsum(many) - many
+                order = np.sort(order[np.arange(len(order)) - begin[of[order]] < k])
+                names, matrix, lists = [names[i] for i in order], matrix[order], lists[order]
             rows = _unit(matrix)
             for one in np.unique(lists):
                 if one not in asking:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,21 @@ def test_rows_without_a_vector_take_no_part(spark, tmp_path):
     assert {(r.q_id, r.v, r.sim) for r in vectors.pair_cosines(pairs, questions, numbered).collect()} == {(1, 1, 1.0), (1, 2, 0.0), (4, 1, 0.707107), (4, 2, 0.707107)}
     nothing = items.limit(0)
     assert vectors.top_k(questions, nothing, 3).count() == 0 and VectorLists.build(nothing, f"file://{tmp_path}/n").search(questions, 3).count() == 0
+
+
+def test_a_vector_of_very_many_names(spark):
+    """Only the first names of a shared vector are carried along: time doesn't grow with questions times names."""
+    import time
+
+    from graphtide.operators.vector_lists import _best_of_lists
+
+    class Shared:
+        value = (np.arange(300), np.ones((300, 2)) / np.sqrt(2), np.zeros((300, 1), np.int64))
+
+    names = [f"n{i:05d}" for i in reversed(range(20_000))]
+    vec = pa.array([[1.0, 1.0]] * 20_000, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(names), vec, pa.array(np.zeros(20_000), pa.int32())], names=["name", "vec", "list_id"])
+    began = time.process_time()
+    got = pa.Table.from_batches(_best_of_lists(Shared, 3)(iter([batch, batch.slice(0, 10)]))).to_pylist()
+    assert time.process_time() - began < 2
+    assert len(got) == 900 and [r["name"] for r in got[:3]] == ["n00000", "n00001", "n00002"]
