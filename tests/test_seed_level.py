@@ -1,8 +1,12 @@
 """What depends on a seed's paths alone is found by seed, in the same results as by question."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphtide import catalog
 from graphtide.functions import text
 from graphtide.operators import evaluate, graph, ranking, vectors
 from graphtide.plans import retrieve
@@ -66,3 +70,41 @@ def test_two_hop_chains_join_only_the_first_edges(spark):
     for limit in (3, 30, 1000):
         got = graph.neighbours_2hop(triples, spark.createDataFrame([(s,) for s in seeds], "name string"), limit)
         assert [tuple(r) for r in got.collect()] == want[:limit]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_edges_in_reach_are_those_of_the_paths(spark, monkeypatch, depth):
+    rng = random.Random(depth)
+    rows = {(rng.choice("abcdefgh"), rng.choice("rs"), rng.choice("abcdefgh")) for _ in range(9)} | {("x", "r", None), ("x", None, "y"), ("y", "r", "z")}
+    triples = spark.createDataFrame(sorted(rows, key=str), "head string, rel string, tail string")
+    seeds = spark.createDataFrame([("a",), ("x",), (None,), ("a",)], "seed string")
+    used = graph.expand_paths(triples, seeds, depth).select(F.explode("hops").alias("h")).select(graph.hop_edge(F.col("h")).alias("e")).select("e.*").distinct()
+    want = _rows(used)
+    assert _rows(graph.edges_in_reach(triples, seeds, depth)) == want and want
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert _rows(graph.edges_in_reach(triples, seeds, depth)) == want
+
+
+def test_hop_vectors_need_no_paths(spark, small, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("paths are listed")
+
+    monkeypatch.setattr(graph, "expand_paths", never)
+    assert catalog.QUERIES["j_hop_vector"](spark, small).count() > 0
+
+
+def test_dealt_items_give_the_same_nearest(spark):
+    rng = np.random.default_rng(3)
+    vec = [np.round(rng.normal(size=4), 1).tolist() for _ in range(40)]
+    items = spark.createDataFrame([(f"n{i:03}", vec[i % 30]) for i in range(90)] + [("none", None), ("zero", [0.0] * 4)], "name string, vec array<float>").coalesce(1)
+    asked = spark.createDataFrame([(i, vec[i % 7 + 25] if i % 7 + 25 < 40 else None) for i in range(20)], "q_id long, vec array<float>")
+    unit = [np.float32(v).astype(float) / np.sqrt((np.float32(v).astype(float) ** 2).sum()) for v in vec]
+    for k, least in ((1, None), (7, None), (0, 0.4), (3, 0.9)):
+        want = []
+        for q in range(20):
+            found = sorted((-round(float(unit[q % 7 + 25] @ unit[i % 30]), 6) + 0.0, f"n{i:03}") for i in range(90))
+            found = [f for f in found if least is None or -f[0] > least]
+            want += [(q, n, -s) for s, n in (found[:k] if k else found)]
+        for deal in (False, True):
+            got = vectors.top_k(asked, items, k, threshold=least, deal=deal)
+            assert sorted((r.q_id, r.name, r.sim + 0.0) for r in got.collect()) == sorted((q, n, s + 0.0) for q, n, s in want), (k, least)
