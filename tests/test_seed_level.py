@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphtide import catalog
+from graphtide import catalog, session
 from graphtide.functions import text
 from graphtide.operators import evaluate, graph, ranking, vectors
 from graphtide.plans import retrieve
@@ -108,3 +108,18 @@ def test_dealt_items_give_the_same_nearest(spark):
         for deal in (False, True):
             got = vectors.top_k(asked, items, k, threshold=least, deal=deal)
             assert sorted((r.q_id, r.name, r.sim + 0.0) for r in got.collect()) == sorted((q, n, s + 0.0) for q, n, s in want), (k, least)
+
+
+def test_only_edges_of_the_frontier_are_sorted(spark, monkeypatch):
+    rows = [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d"), ("x", "r", "y"), ("y", "r", "z")]
+    written = {}
+
+    def seen(df, name="step"):
+        out = session.materialize(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialize", seen)
+    found = graph.expand_paths(spark.createDataFrame(rows, "head string, rel string, tail string"), spark.createDataFrame([("a",)], "seed string"), 2)
+    assert sorted(r.path for r in found.collect()) == ["a - r -> b", "a - r -> b - r -> c"]
+    assert written["triples"] == 5 and "edges" not in written and "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
