@@ -121,17 +121,19 @@ def evidence_corpus(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def triples_pipe(spark: SparkSession, path: str) -> DataFrame:
     """`head|relation|tail` lines with three non-empty parts, trimmed; duplicates stay."""
-    parts = F.transform(F.split("value", "\\|"), lambda p: F.trim(p))
-    lines = spark.read.text(path).select(parts.alias("p"))
-    kept = lines.where((F.size("p") == 3) & F.forall("p", lambda x: x != ""))
-    return kept.select(F.col("p")[0].alias("head"), F.col("p")[1].alias("rel"), F.col("p")[2].alias("tail"))
+    return _pipe_parts(spark, path).where("good").select("head", "rel", "tail")
+
+
+def _pipe_parts(spark: SparkSession, path: str) -> DataFrame:
+    """value, head, rel, tail and whether these are all of the line and none is empty; a line is split once."""
+    lines = spark.read.text(path).select("value", F.explode(F.array(F.split("value", "\\|"))).alias("p"))
+    parts = lines.select("value", F.size("p").alias("n"), *(F.trim(F.get("p", F.lit(i))).alias(c) for i, c in enumerate(("head", "rel", "tail"))))
+    return parts.withColumn("good", (F.col("n") == 3) & (F.col("head") != "") & (F.col("rel") != "") & (F.col("tail") != ""))
 
 
 def triples_pipe_counts(spark: SparkSession, path: str) -> DataFrame:
     """n_lines, n_skipped and n_distinct (of the lines that are triples) for a file of `head|relation|tail` lines."""
-    parts = F.transform(F.split("value", "\\|"), lambda p: F.trim(p))
-    good = (F.size(parts) == 3) & F.forall(parts, lambda x: x != "")
-    lines = spark.read.text(path).select("value", good.alias("good"))
+    lines = _pipe_parts(spark, path).select("value", F.coalesce("good", F.lit(False)).alias("good"))
     return lines.agg(F.count("*").alias("n_lines"), F.count_if(~F.col("good")).alias("n_skipped"), F.countDistinct(F.when(F.col("good"), F.col("value"))).alias("n_distinct"))
 
 
