@@ -4,6 +4,7 @@ import duckdb
 
 from graphtide.operators import feedback
 from graphtide.plans.fixtures import Inputs, duck
+from graphtide.streaming import feedback_loop
 
 TINY = {
     "region": "(0, 'R0'), (1, 'R1')) t(r_regionkey, r_name)",
@@ -50,3 +51,26 @@ def test_a_few_changes_are_sent_to_the_scores(spark):
         after = feedback.next_iteration(scores, folded, 3)
         assert "SortMergeJoin" not in _plan(after)
         assert sorted(tuple(r) for r in after.collect()) == [("a", "r", "b", 105.0, 3), ("c", "r", "d", 50.0, 3)]
+
+
+def test_entities_come_from_the_tables(spark, tmp_path):
+    base = duckdb.connect()
+    for name, rows in TINY.items():
+        base.execute(f"COPY (SELECT * FROM (VALUES {rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    found = Inputs(spark, str(tmp_path)).kg_entities
+    want = base.execute(duck("kg_entities", "SELECT name FROM kg_entities").replace("AS STRING", "AS VARCHAR")).fetchall()
+    assert sorted(r.name for r in found.collect()) == sorted(n for (n,) in want) and len(want) > 10
+    assert "contains" not in found._jdf.queryExecution().optimizedPlan().toString()  # no triple is made for it
+
+
+def test_scores_that_cannot_change_are_not_sorted(spark, tmp_path):
+    rows = [(f"h{i}", "r", "t", float(i)) for i in range(50)]
+    spark.createDataFrame(rows, "head string, rel string, tail string, score double").write.parquet(f"{tmp_path}/base")
+    few = spark.createDataFrame([("h3", "r", "t", 7.0, 0), ("h3", "r", "t", 9.0, 1), ("h4", "r", "t", 1.0, 1)], "head string, rel string, tail string, score double, batch long")
+    few.write.partitionBy("batch").parquet(f"{tmp_path}/changes")
+    want = {h: s for h, _, _, s in rows} | {"h3": 9.0, "h4": 1.0}
+    now = feedback_loop.current(spark, str(tmp_path))
+    assert "SortMergeJoin" not in _plan(now) and {r.head: r.score for r in now.collect()} == want and now.count() == 50
+    keys = spark.createDataFrame([("h3", "r", "t"), ("h9", "r", "t"), ("none", "r", "t")], "head string, rel string, tail string")
+    assert {r.head: r.score for r in feedback_loop.current(spark, str(tmp_path), 1, keys).collect()} == {"h3": 7.0, "h9": 9.0}
