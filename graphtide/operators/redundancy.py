@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators.components import components
-from graphtide.operators.graph import KEY, rename
+from graphtide.operators.graph import KEY, rename, send_or_sort
+from graphtide.operators.vectors import usable
 from graphtide.session import materialize
 
 
@@ -118,38 +121,65 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(lowest[owner[of]], return_inverse=True)[1]
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group, whole, of rows sorted by their first `keys` columns (whole numbers)."""
+    parts, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        begins = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for first, end in zip([0, *begins.tolist()], [*begins.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[first] for c in columns)
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            last = key
+            parts.append(batch.slice(first, end - first))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _gathered(tables: Iterator[pa.Table], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Small tables put together to larger batches."""
+    some, size = [], 0
+    for table in tables:
+        some.append(table)
+        size += table.num_rows
+        if size >= rows:
+            yield from pa.concat_tables(some).combine_chunks().to_batches()
+            some, size = [], 0
+    if size:
+        yield from pa.concat_tables(some).combine_chunks().to_batches()
+
+
+def _near(table: pa.Table) -> pa.Table:
+    """The close pairs (a, b) of two chunks (or of one, in itself) of a question."""
+    kept, matrix = usable(table.column("vec").combine_chunks())
+    matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+    ids, own, x, y = table.column("id").to_numpy()[kept], table.column("own").to_numpy()[kept], table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    i, j = np.nonzero(np.round(1 - matrix[left] @ matrix[right].T, 9) < table.column("limit")[0].as_py())
+    a, b = ids[left[i]], ids[right[j]]
+    keep = a < b if x == y else a != b
+    return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+
 def close_pairs(items: DataFrame, threshold: float | str, chunk_rows: int = 1024) -> DataFrame:
     """(a, b) of items(q_id, id, vec), ids of one question whose cosine distance is below the threshold (a number or a column of the items).
 
-    A question with over chunk_rows items is cut into chunks and each pair of chunks compared in a task
-    of its own; only close pairs leave it.
+    A question with over chunk_rows items is cut into chunks and each pair of chunks compared by itself; only close pairs leave
+    the task. Small questions come to a task many at a time, sorted, and vectors are shuffled once.
     """
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    rows = items.select("q_id", "id", "vec", limit.cast("double").alias("limit"))
-    sizes = rows.groupBy(F.col("q_id").alias("of")).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("n"))
+    rows = items.select("q_id", "id", "vec", limit.cast("double").alias("limit")).where("q_id IS NOT NULL")
+    sizes = rows.groupBy(F.col("q_id").alias("of")).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
-    dealt = rows.hint("merge").join(materialize(sizes, "sizes").hint("merge"), F.col("q_id") == F.col("of")).withColumn("own", own).select("q_id", "id", "vec", "limit", "own", F.explode(others).alias("c"))
-    dealt = dealt.select("q_id", "id", "vec", "limit", "own", "c.x", "c.y")
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.array(frame["vec"].tolist(), float)
-        matrix /= np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
-        ids, own_, x, y = frame["id"].to_numpy(), frame["own"].to_numpy(), int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
-        left, right = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
-        i, j = np.nonzero(np.round(1 - matrix[left] @ matrix[right].T, 9) < float(frame["limit"].iloc[0]))
-        a, b = ids[left[i]], ids[right[j]]
-        keep = a < b if x == y else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
-
-    return dealt.groupBy("q_id", "x", "y").applyInPandas(work, "a long, b long")
-
-
-def _joined(items: DataFrame, threshold: float | str) -> DataFrame:
-    """items(q_id, id, ...) with label, the smallest id that close pairs lead to; written."""
-    labels = components(close_pairs(items, threshold))
-    found = items.hint("merge").join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-    return materialize(found, "joined")
+    large = send_or_sort(materialize(sizes, "sizes"))
+    dealt = rows.join(large, F.col("q_id") == F.col("of"), "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", own).select("q_id", "id", "vec", "limit", "own", F.explode(others).alias("c"))
+    dealt = dealt.select("q_id", "c.x", "c.y", "id", "vec", "limit", "own").repartition("q_id", "x", "y").sortWithinPartitions("q_id", "x", "y")
+    return dealt.mapInArrow(lambda batches: _gathered(map(_near, _runs(batches, 3))), "a long, b long")
 
 
 def numbered_items(items: DataFrame) -> DataFrame:
@@ -157,29 +187,42 @@ def numbered_items(items: DataFrame) -> DataFrame:
     return materialize(items.withColumn("id", F.monotonically_increasing_id()), "items")
 
 
-def cluster(items: DataFrame, threshold: float | str = 0.25) -> DataFrame:
+def _linked(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(id, ...) with label, the smallest id that close pairs lead to; null where nothing is close."""
+    return rows.join(send_or_sort(labels), F.col("id") == F.col("node"), "left").drop("node")
+
+
+def cluster(items: DataFrame, threshold: float | str = 0.25, alone: bool = True) -> DataFrame:
     """q_id, name, cluster for items(q_id, name, vec): average linkage on cosine distance within each question; a cluster is named by its first name.
 
     threshold is a number or a column of the items. Clusters that merge have a pair below the threshold,
-    so a cluster lies within a component of close pairs: linkage runs inside the components, in memory linear in their members.
+    so a cluster lies within a component of close pairs: linkage runs inside the components, in memory linear in their members. Items that
+    nothing is close to are clusters of their own without it; alone=False leaves these out.
     """
-    joined = _joined(numbered_items(items), threshold)
+    rows = numbered_items(items)
+    linked = _linked(rows, components(close_pairs(rows, threshold)))
+    cut = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    members = linked.where("label IS NOT NULL").select(F.col("q_id").cast("long"), "label", "name", "vec", cut.cast("double").alias("cut"))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("name", kind="stable").reset_index(drop=True)
-        cut = float(frame[threshold].iloc[0]) if isinstance(threshold, str) else threshold
-        number = average_linkage(np.array(frame["vec"].tolist(), float), cut)
-        frame["cluster"] = frame["name"].groupby(number).transform("first")
-        return frame[["q_id", "name", "cluster"]]
+    def work(table: pa.Table) -> pa.Table:
+        matrix = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        number = average_linkage(matrix, table.column("cut")[0].as_py())
+        _, first = np.unique(number, return_index=True)  # rows come in the order of their names
+        return pa.table({"q_id": table.column("q_id"), "name": table.column("name"), "cluster": table.column("name").take(pa.array(first[number]))})
 
-    return joined.groupBy("q_id", "label").applyInPandas(work, "q_id long, name string, cluster string")
+    ordered = members.repartition("q_id", "label").sortWithinPartitions("q_id", "label", "name")
+    found = ordered.mapInArrow(lambda batches: _gathered(map(work, _runs(batches, 2))), "q_id long, name string, cluster string")
+    if not alone:
+        return found
+    return found.unionByName(linked.where("label IS NULL").select(F.col("q_id").cast("long"), "name", F.col("name").alias("cluster")))
 
 
 def dbscan(items: DataFrame, eps: float = 0.05) -> DataFrame:
     """q_id, name, cluster: density clustering with two points as least, which is components of pairs within eps; noise stays alone. A cluster is named by its first name."""
-    joined = _joined(numbered_items(items), eps)
-    first = joined.groupBy(F.col("label").alias("of")).agg(F.min("name").alias("cluster"))
-    return joined.hint("merge").join(materialize(first, "first").hint("merge"), F.col("label") == F.col("of")).select("q_id", "name", "cluster")
+    rows = numbered_items(items)
+    linked = _linked(rows.select("q_id", "id", "name"), components(close_pairs(rows, eps)))
+    first = materialize(linked.where("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("name").alias("cluster")), "first")
+    return linked.join(send_or_sort(first), F.col("label") == F.col("of"), "left").select("q_id", "name", F.coalesce("cluster", "name").alias("cluster"))
 
 
 def large_clusters(clusters: DataFrame, least: int = 2) -> DataFrame:
