@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from graphtide.session import discard, materialize
 
 
+TASK_ROWS = 500_000
+
+
 class VectorStore:
     """Vectors under a folder. An operation appends rows with its number; nothing stored is rewritten.
 
@@ -46,11 +49,17 @@ class VectorStore:
         return stored.hint("merge").join(gone.hint("merge"), (F.col("name") == F.col("gone")) & (F.col("at") > F.col("op")), "left_anti").select("name", "vec")
 
     def add(self, names: DataFrame) -> DataFrame:
-        """Encodes and appends the names that are not there yet; returns the rows added."""
-        fresh = names.select("name").where("name IS NOT NULL").distinct().hint("merge").join(self.load().select("name").hint("merge"), "name", "left_anti")
+        """Encodes and appends the names that are not there yet; returns the rows added.
+
+        Names are written first, so that their number gives the number of tasks: a task has about TASK_ROWS of them, however many come.
+        """
+        asked = materialize(names.select("name").where("name IS NOT NULL"), "asked")
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // TASK_ROWS))
+        new, there = (rows.repartition(tasks, "name") for rows in (asked, self.load().select("name")))
+        fresh = new.distinct().hint("merge").join(there.hint("merge"), "name", "left_anti")
         op, written = self._next(), materialize(fresh, "fresh")
         self.encoder(written).select("name", F.col("vec").cast("array<float>").alias("vec"), F.lit(op).cast("long").alias("op")).write.mode("append").parquet(f"{self.path}/vectors")
-        discard(written)
+        discard(written, asked)
         return self._stored().where(F.col("op") == op).select("name", "vec")
 
     def build(self, names: DataFrame) -> DataFrame:
