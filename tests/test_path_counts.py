@@ -28,7 +28,19 @@ def test_paths_are_counted_by_degrees(spark, monkeypatch, depth):
         assert {r["seed"]: r["n"] for r in graph.path_counts(triples, seeds, depth).collect()} == want and len(want) == 3
 
 
-@pytest.mark.parametrize("name", ["ev_path_counts"])
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_covering_paths_have_all_hops(spark, monkeypatch, depth):
+    triples, seeds = _graph(spark, 10 + depth)
+    edges = lambda df: {tuple(r.e) for r in df.select(F.explode("hops").alias("h")).select(graph.hop_edge(F.col("h")).alias("e")).collect()}
+    whole = graph.expand_paths(triples, seeds, depth)
+    paths = {(r.seed, str(r.hops), r.path) for r in whole.collect()}
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        some = graph.covering_paths(triples, seeds, depth)
+        assert edges(some) == edges(whole) and {(r.seed, str(r.hops), r.path) for r in some.collect()} <= paths
+
+
+@pytest.mark.parametrize("name", ["ev_path_counts", "path_distinct_hops"])
 def test_no_path_of_a_hub_is_listed(spark, small, monkeypatch, name):
     def never(*a, **k):
         raise AssertionError("paths are listed")
