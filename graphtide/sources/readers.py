@@ -150,10 +150,12 @@ def scores_json(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
     A line is a map of its own, or a part of a map over many lines with whole entries on each, so no file is
     one row; entries over several lines need multi_line, which reads a file as a whole.
     """
-    body = F.regexp_replace(F.regexp_replace(F.trim("value"), r",$", ""), r"^\{(?=\s*$)|^\}$", "")
+    line = F.trim("value")
+    alone = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}}"))  # a map of its own, as the lines of large files are: nothing to put right
+    body = F.regexp_replace(F.regexp_replace(line, r",$", ""), r"^\{(?=\s*$)|^\}$", "")
     whole = F.when(F.startswith(body, F.lit("{")), body).otherwise(F.concat(F.lit("{"), body))
-    whole = F.when(F.rlike(whole, F.lit(r"\}\s*\}\s*$")), whole).otherwise(F.concat(whole, F.lit("}")))
-    rows = spark.read.text(path, wholetext=True).withColumn("whole", F.col("value")) if multi_line else spark.read.text(path).where(F.trim(body) != "").withColumn("whole", whole)
+    whole = F.when(alone, line).otherwise(F.when(F.rlike(whole, F.lit(r"\}\s*\}\s*$")), whole).otherwise(F.concat(whole, F.lit("}"))))
+    rows = spark.read.text(path, wholetext=True).withColumn("whole", F.col("value")) if multi_line else spark.read.text(path).where(alone | (F.trim(body) != "")).withColumn("whole", whole)
     lines = rows.select(F.explode(F.from_json("whole", "map<string,struct<triplet:array<string>,score:double>>")).alias("key", "v"))
     parts = [F.col("v.triplet")[i].alias(n) for i, n in enumerate(("head", "rel", "tail"))]
     return lines.select(*parts, F.col("v.score").alias("score"), (F.col("key") == F.array_join("v.triplet", " ")).alias("matches"))
