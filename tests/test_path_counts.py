@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphtide import catalog
 from graphtide.operators import graph
+from graphtide.plans import retrieve
 
 T = "head string, rel string, tail string"
 
@@ -47,3 +48,11 @@ def test_no_path_of_a_hub_is_listed(spark, small, monkeypatch, name):
 
     monkeypatch.setattr(graph, "expand_paths", never)
     assert catalog.QUERIES[name](spark, small).count() > 0
+
+
+def test_hop_vectors_need_no_scores(spark, small, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("scores are derived")
+
+    monkeypatch.setattr(retrieve, "triples", never)
+    assert catalog.QUERIES["j_hop_vector"](spark, small).count() > 0
